@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import mixing, pii, sharding, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,6 +13,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 QUERIES = {
     "op1_histogram_shards": lambda s, d: sharding.shard_documents(_table(s, d, "documents")),
+    "op2_simhash_dedup": lambda s, d: simhash.dedup_documents(_table(s, d, "documents")),
+    "op4_find_pii": lambda s, d: pii.pii_documents(_table(s, d, "documents")),
     "op6_mix_sources": lambda s, d: mixing.mix_documents(_table(s, d, "documents")),
 }
 
