@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, sharding, simhash
+from . import language, mixing, pii, sharding, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,8 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 QUERIES = {
     "op1_histogram_shards": lambda s, d: sharding.shard_documents(_table(s, d, "documents")),
     "op2_simhash_dedup": lambda s, d: simhash.dedup_documents(_table(s, d, "documents")),
+    "op3_language_id": lambda s, d: language.identify_documents(_table(s, d, "documents")),
     "op4_find_pii": lambda s, d: pii.pii_documents(_table(s, d, "documents")),
     "op6_mix_sources": lambda s, d: mixing.mix_documents(_table(s, d, "documents")),
+    "op10_toxicity": lambda s, d: toxicity.score_documents(_table(s, d, "documents"), _table(s, d, "labels")),
 }
 
 ORACLE: dict[str, str] = {}
