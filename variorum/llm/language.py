@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIMS = 4096
-PER_LANG = 1000  # training documents of a language at most, as an expected number
+PER_LANG = 500  # training documents of a language at most, as an expected number
 SNIPPET = 48  # characters of the short extra example cut from each training document
 UNDETERMINED = "und"
 
