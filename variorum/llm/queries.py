@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, mixing, pii, sharding, simhash, toxicity
+from . import bpe, language, mixing, pii, sharding, simhash, token_files, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,7 @@ QUERIES = {
     "op4_find_pii": lambda s, d: pii.pii_documents(_table(s, d, "documents")),
     "op5_bpe_roundtrip": lambda s, d: bpe.tokenize_documents(_table(s, d, "documents")),
     "op6_mix_sources": lambda s, d: mixing.mix_documents(_table(s, d, "documents")),
+    "op9_token_files": lambda s, d: token_files.token_files_of_documents(_table(s, d, "documents")),
     "op10_toxicity": lambda s, d: toxicity.score_documents(_table(s, d, "documents"), _table(s, d, "labels")),
 }
 
