@@ -276,3 +276,16 @@ def _digests(rows: pa.Table, docs: Iterator[np.ndarray], name: str) -> pa.Table:
 def tokenize_documents(docs: DataFrame, name: str = RANKS) -> DataFrame:
     """Digest for ``documents``: doc_id, n_tokens, ids_sha256, decoded_sha256."""
     return _joined(docs.select("doc_id", "text"), "text", name, _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def _training_rows(rows: pa.Table, docs: Iterator[np.ndarray], name: str) -> pa.Table:
+    ids = list(docs)
+    back = [hashlib.sha256(decode(x.astype(np.int64), name)).hexdigest() for x in ids]
+    out = _with_ids(rows, iter(ids), name).append_column("n_tokens", pa.array([len(x) for x in ids], pa.int64()))
+    return out.append_column("decoded_sha256", pa.array(back, pa.string()))
+
+
+def training_rows(docs: DataFrame, text: str = "text", name: str = RANKS) -> DataFrame:
+    """All columns of ``docs`` but ``text``, plus ids, n_tokens and decoded_sha256, the hash of the decoded bytes."""
+    docs = docs.drop("ids", "n_tokens", "decoded_sha256")
+    return _joined(docs, text, name, _training_rows, "ids array<int>, n_tokens long, decoded_sha256 string")

@@ -21,6 +21,7 @@ DIMS = 4096
 PER_LANG = 500  # training documents of a language at most, as an expected number
 SNIPPET = 48  # characters of the short extra example cut from each training document
 UNDETERMINED = "und"
+MIN_SCORE = 0.3  # below it a text is as good as undecided
 
 #: fixed values: families by language code; a code that is not listed is a family of its own
 FAMILIES = {
@@ -223,6 +224,16 @@ def _schema(df: DataFrame, more: str):
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
 
 
+def keep_identified(docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
+    """Rows of ``docs`` (doc_id, text, lang and more) whose language is found with a score of ``least`` or more.
+
+    A null ``lang`` is filled with what was found; other values stay.
+    """
+    model = fit(docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"), 1, 3)))
+    found = predict(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+
+
 def identify_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score of all ``documents``; learned from those not held out."""
     rows = docs.select("doc_id", "text", "lang")

@@ -150,3 +150,18 @@ def mix_documents(docs: DataFrame, **how) -> DataFrame:
     thin = docs.select("doc_id", F.col("source").alias("src"), words(F.col("text")).alias("n_words"), F.crc32("text").alias("crc"))
     out = mix(thin, F.col("src"), F.col("n_words"), [F.col("doc_id"), F.col("crc")], **how)
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_rows(docs: DataFrame, seed: int = 17, **how) -> DataFrame:
+    """``docs`` (doc_id, text, source and more) as the mix takes them: rows dropped, kept or repeated whole.
+
+    A row of which the mix takes a fraction is kept or dropped by a seeded draw with
+    that chance, so sources hold the taken words on average and no text is cut.
+    """
+    sized = docs.withColumns({"_n_words": words(F.col("text")), "_crc": F.crc32("text"), "_doc": F.struct(*docs.columns)})
+    thin = sized.select("_doc", "_n_words", "_crc")
+    out = mix(thin, F.col("_doc.source"), F.col("_n_words"), [F.col("_doc.doc_id"), F.col("_crc")], seed=seed, **how)
+    draw = F.pmod(F.xxhash64(F.lit(seed + 1), "_doc.doc_id", "_crc"), F.lit(1 << 30)) / F.lit(1 << 30)
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + draw)).otherwise(0)
+    out = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
+    return out.select("_doc.*")

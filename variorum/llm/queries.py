@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, language, mixing, pii, sharding, simhash, token_files, toxicity, vector_dedup
+from . import ann, bpe, language, mixing, pii, sharding, simhash, token_files, toxicity, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,7 @@ QUERIES = {
     "op5_bpe_roundtrip": lambda s, d: bpe.tokenize_documents(_table(s, d, "documents")),
     "op6_mix_sources": lambda s, d: mixing.mix_documents(_table(s, d, "documents")),
     "op7_vector_dedup": lambda s, d: vector_dedup.dedup_embeddings(_table(s, d, "embeddings")),
+    "op8_learned_partitions": lambda s, d: ann.search_embeddings(_table(s, d, "embeddings")),
     "op9_token_files": lambda s, d: token_files.token_files_of_documents(_table(s, d, "documents")),
     "op10_toxicity": lambda s, d: toxicity.score_documents(_table(s, d, "documents"), _table(s, d, "labels")),
 }

@@ -65,11 +65,12 @@ def _fingerprints(shingle: int, at: int):
     return run
 
 
-def fingerprints(df: DataFrame, row_id: str, text: str, shingle: int = 3) -> DataFrame:
-    """``(id long, fp long)``; fp holds the 64 bits, null or wordless text gives 0."""
-    return df.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(
-        _fingerprints(shingle, 1), "id long, fp long"
-    )
+def fingerprints(df: DataFrame, row_id: str, text: str, shingle: int = 3, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``id`` (long), columns of ``carry``, ``fp`` (long): fp holds the 64 bits, null or wordless text gives 0."""
+    from .language import _schema
+
+    rows = df.select(F.col(row_id).cast("long").alias("id"), F.col(text).alias("_text"), *carry)
+    return rows.mapInArrow(_fingerprints(shingle, 1), _schema(rows.drop("_text"), "fp long"))
 
 
 def forest(n: int, links: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -159,22 +160,41 @@ def links_between(nodes: DataFrame, radius: int) -> DataFrame:
     return pairs.mapInArrow(_compare(radius), "a long, b long")
 
 
-def near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
-    """``(id, fp, component_id)`` of every row: component_id is the least id reachable over links.
+def near_duplicates(
+    df: DataFrame, row_id: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """``id``, columns of ``carry``, ``fp, component_id`` of every row: component_id is the least id reachable over links.
 
     Rows link at ``radius`` or fewer differing bits, wordless and null texts
     (fingerprint 0) like any other. Null ids keep their rows and take the
     component of their fingerprint; repeated rows come back repeated; an empty
-    table gives no rows. Columns of ``df`` other than the two named are not read.
+    table gives no rows. Other columns of ``df`` are not read.
     """
-    rows = materialize(fingerprints(df, row_id, text, shingle))
+    rows = materialize(fingerprints(df, row_id, text, shingle, carry))
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")))
     comp = connected_components(links_between(nodes.select("fp"), radius))
     comp = comp.withColumnRenamed("node", "fp")
     nodes = nodes.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     named = nodes.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("id", "fp", "component_id")
+    return rows.join(named, "fp").select("id", *carry, "fp", "component_id")
+
+
+def drop_near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
+    """``df`` with one row of each component: the one of least id, and of least row hash among rows of that id.
+
+    A component whose rows all lack an id keeps its row of least hash. Rows equal
+    in every column are one row.
+    """
+    hashed = df.withColumn("_row", F.xxhash64(*df.columns))
+    found = near_duplicates(hashed, row_id, text, radius, shingle, ("_row",))
+    first = F.min(F.struct(F.col("id").isNull(), "id", F.col("_row").alias("row"))).alias("first")
+    keep = materialize(found.groupBy("component_id").agg(first, F.count(F.lit(1)).alias("n")).select("first.id", "first.row"))
+    again = found.groupBy("id", "_row").count().where("count > 1").limit(1).count()
+    kept = hashed.join(keep, F.col(row_id).cast("long").eqNullSafe(F.col("id")) & (F.col("_row") == F.col("row")), "left_semi")
+    if again:
+        kept = kept.dropDuplicates(["_row", row_id])
+    return kept.select(*df.columns)
 
 
 def dedup_documents(docs: DataFrame) -> DataFrame:
