@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .language import _schema, held_out, sample_by_hash
 
 PER_CLASS = 4000  # labelled rows of either class at most, as an expected number
@@ -33,11 +34,17 @@ SEED = frozenset(
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti usted ustedes vos".split())
 NEAR = 6  # words
 
-_TOKEN = re.compile(r"[^\s]+")
 _LETTERS = re.compile(r"[^\W\d_]+")
-_BROKEN = re.compile(r"[^\W\d_][^\w\s'’\-.,/]+[^\W_]|[^\W\d_]\d+[^\W\d_]")
-_MARKED = re.compile(r"[^\W\d_][*#$%&@]{2,}")
-_LONG = re.compile(r"([^\W\d_])\1{2,}")
+#: classes of characters; what lies beyond the table counts as a small letter if it is one
+SPACE, LOWER, UPPER, DIGIT, JOINS, MARK = range(6)
+_BEYOND = 0x250
+_CLASS = np.array(
+    [
+        UPPER if c.isupper() else LOWER if c.isalpha() else DIGIT if c.isdigit() else SPACE if c.isspace() else JOINS if c in "'’-.,/_" else MARK
+        for c in map(chr, range(_BEYOND))
+    ],
+    np.uint8,
+)
 _LEET = str.maketrans("@013457$!", "aoieastsi")
 PREFIXES = (4, 5, 6, 7)
 NAMES = (
@@ -58,43 +65,69 @@ def keys(word: str) -> list[str]:
 
 
 class Weights(dict):
-    """Word to (word weight, stem weight), remembered for the words met so far, of which it keeps a bounded number."""
+    """Word to (word weight, stem weight, second person), remembered for a bounded number of words; None for plain words."""
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
         self.lexicon = lexicon
 
-    def __missing__(self, word: str) -> tuple[float, float] | None:
+    def __missing__(self, word: str) -> tuple[float, float, bool] | None:
         own = self.lexicon.get(word, 0.0)
         stem = max((self.lexicon.get(k, 0.0) for k in keys(word)[1:]), default=0.0)
         if word in SEED:
             own = max(own, 2.0)
-        value = (own, stem) if own or stem else None
+        you = word in SECOND_PERSON
+        value = (own, stem, you) if own or stem or you else None
         if len(self) > 500_000:
             self.clear()
         self[word] = value
         return value
 
 
+def _marks(text: str) -> tuple[np.ndarray, list[float]]:
+    """Where words are broken by signs or digits, and counts of what characters alone show."""
+    c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    k = _CLASS[np.minimum(c, _BEYOND - 1)]
+    far = np.flatnonzero(c >= _BEYOND)
+    k[far] = [LOWER if x.isalpha() else SPACE if x.isspace() else MARK for x in map(chr, c[far].tolist())]
+    letter, upper, mark = (k == LOWER) | (k == UPPER), k == UPPER, k == MARK
+    edge = np.diff(np.concatenate(([0], letter.view(np.int8), [0])))
+    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    ups = np.concatenate(([0], np.cumsum(upper)))
+    shouted = int(((ups[end] - ups[start] == end - start) & (end - start > 2)).sum())
+    # a word's end, up to three signs or digits of one kind, and the next word's start
+    gap = start[1:] - end[:-1]
+    cut = np.flatnonzero((gap > 0) & (gap <= 3))
+    first, last = k[end[cut]], k[start[cut + 1] - 1]
+    broken = cut[(first == last) & (k[(end[cut] + start[cut + 1] - 1) // 2] == first) & ((first == MARK) | (first == DIGIT))]
+    marked = int((letter[:-2] & mark[1:-1] & mark[2:]).sum()) if len(k) > 2 else 0
+    run = (c[:-2] == c[1:-1]) & (c[1:-1] == c[2:]) & letter[:-2] if len(k) > 2 else np.zeros(0, bool)
+    long = int((run & ~np.concatenate(([False], run[:-1]))).sum()) if len(run) else 0
+    return end[broken], [int(upper.sum()), shouted, int(mark.sum() + (k == JOINS).sum()), marked, long, int((k == DIGIT).sum())]
+
+
 def features(text: str | None, weights: Weights) -> list[float]:
     """Values of ``NAMES``; null and empty texts give zeros."""
     text = text or ""
     n_chars = max(1, len(text))
     lower = text.lower()
     words = _LETTERS.findall(lower)
-    hits = [(i, w, v) for i, (w, v) in enumerate(zip(words, map(weights.__getitem__, words), strict=True)) if v]
-    for m in _BROKEN.finditer(lower):  # obfuscated spellings count as the word they spell
-        a, b = m.start(), m.end()
-        while a and not lower[a - 1].isspace():
+    found = list(map(weights.__getitem__, words))
+    some = [i for i, v in enumerate(found) if v]
+    hits = [(i, words[i], found[i]) for i in some if found[i][0] or found[i][1]]
+    you = np.array([i for i in some if found[i][2]])
+    broken, (capitals, shouted, signs, marked, long, digits) = _marks(text)
+    for m in broken.tolist():  # obfuscated spellings count as the word they spell
+        a, b = m, m
+        while a > m - 32 and a and not text[a - 1].isspace():
             a -= 1
-        while b < len(lower) and not lower[b].isspace():
+        while b < m + 32 and b < len(text) and not text[b].isspace():
             b += 1
-        meant = "".join(_LETTERS.findall(lower[a : min(b, a + 64)].translate(_LEET)))
+        meant = "".join(_LETTERS.findall(text[a:b].lower().translate(_LEET)))
         if meant in SEED or weights.lexicon.get(meant, 0.0) >= 2:
-            hits.append((len(_LETTERS.findall(lower[max(0, a - 4000) : a])), meant, (2.0, 0.0)))
+            hits.append((len(_LETTERS.findall(text[max(0, a - 4000) : a])), meant, (2.0, 0.0, False)))
     n = max(1, len(words))
-    you = np.array([i for i, w in enumerate(words) if w in SECOND_PERSON])
-    strong = np.array([i for i, _, v in hits if max(v) >= 2])
+    strong = np.array([i for i, _, v in hits if max(v[:2]) >= 2])
     near = 0
     if len(you) and len(strong):
         at = np.searchsorted(you, strong)
@@ -102,13 +135,10 @@ def features(text: str | None, weights: Weights) -> list[float]:
         near = int((gap <= NEAR).sum())
     own, stem = sum(v[0] for _, _, v in hits), sum(v[1] for _, _, v in hits)
     seeds = sum(w in SEED for _, w, _ in hits)
-    capitals = sum(map(str.isupper, text))
-    shouted = sum(len(w) > 2 and w.isupper() for w in _TOKEN.findall(text)) if capitals > 2 else 0
     return [
-        np.log1p(len(words)), len(hits) / n, own / n, len(hits), own, max((max(v) for _, _, v in hits), default=0.0),
+        np.log1p(len(words)), len(hits) / n, own / n, len(hits), own, max((max(v[:2]) for _, _, v in hits), default=0.0),
         len({w for _, w, _ in hits}), seeds / n, seeds, stem / n, near / n, near, len(you) / n, capitals / n_chars, shouted / n,
-        text.count("!") / n, text.count("?") / n, sum(map(text.count, ".,;:!?\"'()*#$%&@")) / n_chars, len(_MARKED.findall(text)) / n,
-        len(_BROKEN.findall(text)) / n, len(_LONG.findall(text)) / n, sum(map(text.count, "0123456789")) / n_chars,
+        text.count("!") / n, text.count("?") / n, signs / n_chars, marked / n, len(broken) / n, long / n, digits / n_chars,
         sum(map(len, words)) / n,
     ]
 
@@ -230,16 +260,19 @@ def train(x: np.ndarray, y: np.ndarray, w: np.ndarray, calibrate: np.ndarray, le
     return m
 
 
-def fit(labelled: DataFrame, per_class: int = PER_CLASS) -> Model:
-    """Model from ``doc_id, text, toxic`` (0 or 1; other labels and null ids are left out).
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+    """Model from ``doc_id, text`` and ``doc_id, toxic`` (0 or 1; other labels and null ids are left out).
 
     ``per_class`` bounds the rows of a class that are looked at; weights undo the
-    choice. Each half of them meets the lexicon that the other half gave, as unseen
-    texts do; the model keeps the lexicon of all. Without both classes every score is 0.
+    choice, which is made among ids before any text moves. Each half of the rows meets
+    the lexicon that the other half gave, as unseen texts do; the model keeps the
+    lexicon of all. Without both classes every score is 0.
     """
-    rows = labelled.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.col("toxic").cast("int"))
+    known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int")).distinct()
     part = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(10)).cast("int")
-    picked = sample_by_hash(rows, F.col("doc_id"), "toxic", per_class).withColumn("part", part)
+    chosen = sample_by_hash(known, F.col("doc_id"), "toxic", per_class).withColumn("part", part)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    picked = materialize(texts.join(F.broadcast(chosen), "doc_id"))
     halves = [mine_lexicon(picked.where(f"part % 2 = {1 - k}")) for k in (0, 1)]
     at = ["toxic", "_share", "part"]
 
@@ -284,5 +317,5 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of all ``documents``; labels are learned from rows not held out only."""
     out = held_out(F.col("doc_id"), 2, 4)
-    known = docs.select("doc_id", "text").where(~out).join(labels.select("doc_id", "toxic").distinct(), "doc_id")
-    return score(docs.select("doc_id", "text"), fit(known)).select("doc_id", out.alias("held_out"), "score", "predicted")
+    rows = docs.select("doc_id", "text")
+    return score(rows, fit(rows, labels.where(~out))).select("doc_id", out.alias("held_out"), "score", "predicted")
