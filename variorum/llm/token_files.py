@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import ragged
 from .common import shared_dir
 from .pretoken import pieces
 
@@ -33,7 +34,7 @@ END = 0  # id after each document
 BLOCK = 4096
 QUANTILE = 0.95
 SEGMENT = 1 << 18  # ids after which a segment ends with the document
-KNOWN = 400_000  # words a worker remembers
+KNOWN = 800_000  # words a worker remembers
 MAGIC = b"PFR1"
 _HEAD = struct.Struct("<4sQI")  # magic, ids, blocks
 _BLOCK = struct.Struct("<IIBI")  # minimum, ids, width, exceptions
@@ -94,20 +95,59 @@ def tokenizer(name: str):
     return t
 
 
-_known: dict[str, dict[str, bytes]] = {}
+class Words(dict):
+    """Pre-tokens a worker has met: word to code, and by code where its ids stand; new ones wait in ``new``."""
+
+    def __init__(self, name: str):
+        super().__init__()
+        self.name = name
+        self.new: list[str] = []
+        self.start, self.lens, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = len(self)
+        self.new.append(word)
+        return code
+
+    def learn(self) -> None:
+        """Encode what is new. Words of the shape " letters" go in one text, which splits into just these words again."""
+        if not self.new:
+            return
+        t = tokenizer(self.name)
+        plain = np.array([w[0] == " " and w[1:].isalpha() for w in self.new])
+        words = [w for w, p in zip(self.new, plain, strict=True) if p]
+        lens = np.zeros(len(self.new), np.int64)
+        e = t.encode("".join(words), add_special_tokens=False)
+        of = np.array(e.word_ids, np.int64)
+        if len(words) and of[-1] + 1 != len(words):
+            plain[:], of, e = False, np.zeros(0, np.int64), t.encode("", add_special_tokens=False)
+        rest = t.encode_batch_fast([w for w, p in zip(self.new, plain, strict=True) if not p], add_special_tokens=False)
+        lens[plain] = np.bincount(of, minlength=int(plain.sum()))
+        lens[~plain] = [len(x.ids) for x in rest]
+        start = np.empty(len(lens), np.int64)
+        start[plain] = np.cumsum(lens[plain]) - lens[plain]
+        start[~plain] = np.cumsum(lens[~plain]) - lens[~plain] + len(e.ids)
+        self.start = np.concatenate((self.start[: len(self.lens)], start + len(self.ids)))
+        self.lens = np.concatenate((self.lens, lens))
+        self.ids = np.concatenate((self.ids, np.array(e.ids, np.uint32), *(np.array(x.ids, np.uint32) for x in rest)))
+        self.new = []
+
+
+_words: dict[str, Words] = {}
 
 
 def encode(texts: list[str], name: str = VOCABULARY) -> Iterator[np.ndarray]:
     """Ids of each text. The library meets each word once while the worker remembers it; ids of a text are those of its pre-tokens."""
-    t, known = tokenizer(name), _known.setdefault(name, {})
-    if len(known) > KNOWN:
-        known.clear()
-    split = [pieces(x) for x in texts]
-    new = list({w for p in split for w in p if w not in known})
-    for w, e in zip(new, t.encode_batch_fast(new, add_special_tokens=False), strict=True):
-        known[w] = np.array(e.ids, "<u4").tobytes()
-    for p in split:
-        yield np.frombuffer(b"".join(map(known.__getitem__, p)), "<u4")
+    words = _words.get(name)
+    if words is None or len(words) > KNOWN:
+        words = _words[name] = Words(name)
+    codes = []
+    for x in texts:
+        split = pieces(x)
+        codes.append(np.fromiter(map(words.__getitem__, split), np.int64, len(split)))
+    words.learn()
+    for c in codes:
+        yield words.ids[ragged(words.start[c], words.lens[c])]
 
 
 _SEGMENT = "part int, first long, n_ids long, doc_ids array<long>, n_tokens array<long>, ids binary"
@@ -128,8 +168,8 @@ def _write(name: str):
             return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, types, strict=True)], names)
 
         for whole in batches:
-            for k in range(0, whole.num_rows, 128):
-                b = whole.slice(k, 128)
+            for k in range(0, whole.num_rows, 1024):
+                b = whole.slice(k, 1024)
                 texts = [t or "" for t in b["text"].to_pylist()]
                 for d, ids in zip(b["doc_id"].to_pylist(), encode(texts, name), strict=True):
                     docs.append(d)
