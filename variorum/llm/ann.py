@@ -29,7 +29,7 @@ PARTITION = 2000  # rows of a partition aimed at
 MOST = 256  # partitions
 RECALL = 0.95  # on the sample; sample neighbours lie farther than those among all rows
 HIDDEN = 96
-CHUNK, QUERIES = 4096, 512  # rows and queries of a comparison at most, on average
+CHUNK, QUERIES = 4096, 256  # rows and queries of a comparison at most, on average
 
 
 @dataclass
@@ -217,16 +217,21 @@ def _search(k: int):
             yield int(qid[i]), rid[at][first], exact[first]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # all partitions that a query goes to meet in this task: its best so far are all it keeps
+        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            out = [[], [], []]
             for n in range(batch.num_rows):
                 qid, rid = V.longs(batch["qid"][n]), V.longs(batch["rid"][n])
                 for i, ids, s in best(qid, V.doubles(batch["qv"][n], len(qid)), rid, V.doubles(batch["rv"][n], len(rid))):
-                    out[0].append(np.full(len(ids), i))
-                    out[1].append(ids)
-                    out[2].append(s)
-            cells = [np.concatenate([*o, np.zeros(0, t)]).astype(t) for o, t in zip(out, (np.int64, np.int64, float), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cells], ["query_id", "vec_id", "score"])
+                    if i in held:
+                        ids, s = np.concatenate((held[i][0], ids)), np.concatenate((held[i][1], s))
+                        first = np.lexsort((ids, -s))[:k]
+                        ids, s = ids[first], s[first]
+                    held[i] = ids, s
+        ids = np.concatenate([*(x for x, _ in held.values()), np.zeros(0, np.int64)]).astype(np.int64)
+        scores = np.concatenate([*(s for _, s in held.values()), np.zeros(0)])
+        asked = np.repeat(np.array(list(held), np.int64), [len(x) for x, _ in held.values()])
+        yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -265,11 +270,11 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "vec_id",
     asked = asked.withColumn("dims", F.size("v")).where(F.col("dims").isin(*routers) if routers else F.lit(False))
     sent = asked.mapInArrow(_route(routers, 1, True), _schema(asked, "parts array<int>"))
     sent = materialize(sent.withColumn("part", F.explode("parts")).drop("parts"))
-    heaps = sent.groupBy("dims", "part").agg(F.ceil(F.count(F.lit(1)) / QUERIES).alias("heaps"))
-    sent = sent.join(F.broadcast(heaps), ["dims", "part"]).withColumn("heap", F.pmod(F.xxhash64("id"), F.col("heaps")))
+    heaps = -(-asked.count() // QUERIES) or 1
+    sent = sent.withColumn("heap", F.pmod(F.xxhash64("id"), F.lit(heaps)))
     asked = V.packed_chunks(sent, ["dims", "part", "heap"], ["id"], "v").toDF("dims", "part", "heap", "qid", "qv")
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = asked.join(packed, ["dims", "part"]).repartition(n, "dims", "part", "heap", "salt").select("qid", "qv", "rid", "rv")
+    work = asked.join(packed, ["dims", "part"]).repartition(n, "heap").select("qid", "qv", "rid", "rv")
     found = work.mapInArrow(_search(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
