@@ -17,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIMS = 4096
-PER_LANG = 500  # training documents of a language at most, as an expected number
+DIMS = 2048
+PER_LANG = 400  # training documents of a language at most, as an expected number
 SNIPPET = 48  # characters of the short extra example cut from each training document
 UNDETERMINED = "und"
 MIN_SCORE = 0.3  # below it a text is as good as undecided
@@ -57,7 +57,7 @@ def features(text: str | None) -> np.ndarray | None:
         three = (two[:-1] ^ (c[2:] * _MULT[2])) * _MULT[1]
         for h, n in ((one, 1), (two, 2), (three, 3)):
             h = h[max(0, skip - n + 1) :]
-            counts += np.bincount(h >> np.uint32(20), minlength=DIMS)
+            counts += np.bincount(h >> np.uint32(21), minlength=DIMS)
     v = np.sqrt(counts)
     return v / np.linalg.norm(v)
 
@@ -103,13 +103,11 @@ def _svm(x: np.ndarray, y: np.ndarray, c: float = 2000.0, rounds: int = 120) ->
     """Weights and bias of a linear SVM (squared hinge, classes weighed equally) by Nesterov steps."""
     sign = np.where(y, 1.0, -1.0).astype(np.float32)
     w_row = np.where(y, 0.5 / max(1, y.sum()), 0.5 / max(1, (~y).sum())).astype(np.float32) * c
-    x1 = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w = np.zeros(x1.shape[1], np.float32)
+    w = np.zeros(x.shape[1] + 1, np.float32)
     ahead, step = w.copy(), 1.0 / (1.0 + 4.0 * c)
     for t in range(rounds):
-        gap = np.maximum(0, 1 - sign * (x1 @ ahead))
-        grad = ahead - 2 * x1.T @ (w_row * sign * gap)
-        new = ahead - step * grad
+        pull = 2 * w_row * sign * np.maximum(0, 1 - sign * (x @ ahead[:-1] + ahead[-1]))
+        new = ahead - step * (ahead - np.append(pull @ x, pull.sum()))
         ahead = new + t / (t + 3) * (new - w)
         w = new
     return w
@@ -180,16 +178,18 @@ def held_out(doc_id: Column, fold: int, folds: int) -> Column:
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """Model of the languages in ``lang`` over (doc_id, text, lang); null texts and languages are left out.
 
-    ``per_lang`` bounds what the driver gets: two 8 KB vectors a document.
+    ``per_lang`` bounds what the driver gets: two 4 KB vectors a document.
     Without a labelled row the model knows no language.
     """
     rows = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     picked = sample_by_hash(rows, F.col("doc_id"), "lang", per_lang).select("text", "lang")
-    got = sorted(tuple(r) for r in picked.mapInArrow(_examples, "lang string, x binary").collect())
+    got = sorted((r[0], bytes(r[1])) for r in picked.mapInArrow(_examples, "lang string, x binary").collect())
     if not got:
         return Model()
-    x = np.frombuffer(b"".join(bytes(r[1]) for r in got), np.float16).reshape(len(got), DIMS).astype(np.float32)
-    return train(x, [r[0] for r in got])
+    x, langs = np.empty((len(got), DIMS), np.float32), [r[0] for r in got]
+    for k in range(len(got)):
+        x[k], got[k] = np.frombuffer(got[k][1], np.float16), None
+    return train(x, langs)
 
 
 def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
