@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.udf import UserDefinedFunction
 
@@ -26,8 +26,20 @@ GROUPS = "array<struct<c:array<int>,o:array<int>>>"
 RECORDS = "array<struct<canon_indexes:array<int>,our_indexes:array<int>,canon_word:string,our_word:string,relation:string,matched:boolean>>"
 
 
-def _udf(f: Callable, kind: str) -> UserDefinedFunction:
-    return F.udf(f, kind, useArrow=True)
+class _Lazy:
+    """A UDF made when it is called: its type is parsed by a running session, and modules are imported before there is one."""
+
+    def __init__(self, f: Callable, kind: str):
+        self.f, self.kind = f, kind
+
+    def made(self) -> UserDefinedFunction:
+        return F.udf(self.f, self.kind, useArrow=True)
+
+    def __call__(self, *columns) -> Column:
+        return self.made()(*columns)
+
+
+_udf = _Lazy
 
 
 def _strings(f: Callable) -> Callable:
@@ -90,6 +102,6 @@ def register(spark: SparkSession) -> None:
     from ..sources import xml
 
     for name in NAMES:
-        spark.udf.register(name, globals()[name])
+        spark.udf.register(name, globals()[name].made())
     for name, f in xml.TABLE_FUNCTIONS.items():
         spark.udtf.register(name, f)

@@ -7,24 +7,26 @@ from pyspark.sql import functions as F
 
 from ..kernels.annotate import Annotator
 from ..operators import apparatus, cascade, ladder, relations, segments
+from ..session import written
 from ..sources import xml
 
 
 def tagged_apparatus(lemma: DataFrame, witnesses: DataFrame, rules: list[dict], families: list[dict]) -> DataFrame:
     """``app_id, ab_id, a, b, lem, witness, rdg, type`` from segments (ab_id, text) and (witness, ab_id, text).
 
-    Neighbouring lemmas are those of the same segment.
+    Neighbouring lemmas are those of the same segment. Alignments and readings are
+    each written once, as several branches need them.
     """
-    work = apparatus.aligned(lemma, witnesses)
-    rows = apparatus.readings(work, apparatus.entry_spans(work), witnesses)
+    work = written(apparatus.aligned(lemma, witnesses))
+    rows = written(apparatus.readings(work, apparatus.entry_spans(work), witnesses))
     rows = ladder.with_neighbours(rows, ["ab_id"], ["a", "b"])
     return ladder.classify(rows, rules, families).drop("before", "after")
 
 
 def apparatus_of_files(spark: SparkSession, lemma: str, witnesses: list[str], prefixes: list[str], rules, families, remap: DataFrame | None = None) -> DataFrame:
     """The same from TEI files."""
-    wanted = segments.lemma_segments(xml.read_segments(spark, lemma), prefixes)
-    found = segments.witness_segments(xml.read_segments(spark, witnesses), wanted, remap)
+    wanted = written(segments.lemma_segments(xml.read_segments(spark, lemma), prefixes))
+    found = written(segments.witness_segments(written(xml.read_segments(spark, witnesses)), wanted, remap))
     return tagged_apparatus(wanted.select("ab_id", "text"), found, rules, families)
 
 
@@ -33,7 +35,7 @@ def chosen_alignment(stanzas: DataFrame, threshold: float = 0.90) -> DataFrame:
 
     ``stanzas`` has xml_id, canon, our. Greedy runs once and feeds the gate and both results.
     """
-    matched = relations.greedy_matches(stanzas).persist()
+    matched = written(relations.greedy_matches(stanzas))
     flagged = relations.gate(matched).where("flagged").select("xml_id")
     greedy = F.transform("matches", lambda m: F.struct(m["canon_indexes"].alias("c"), m["our_indexes"].alias("o")))
     kept = matched.withColumn("groups", F.filter(greedy, lambda g: (F.size(g["c"]) > 0) & (F.size(g["o"]) == 1)))

@@ -17,7 +17,7 @@ from .functions import udfs as U
 from .kernels.annotate import Annotator
 from .operators import apparatus, cascade, curate, ladder, post, relations, reports, segments
 from .plans import collate
-from .session import shared_folder
+from .session import shared_folder, written
 from .sources import sinks, tables
 from .streaming import curation
 
@@ -415,7 +415,7 @@ def variant_ranges(spark, d):
 
 def _work(spark, d) -> tuple[DataFrame, DataFrame]:
     lemma, wits = collation(spark, d)
-    return apparatus.aligned(lemma, wits), wits
+    return written(apparatus.aligned(lemma, wits)), wits
 
 
 @query("align_dp_spans")
@@ -443,7 +443,7 @@ def readings_grouped(spark, d):
 
 @query("apparatus_types")
 def apparatus_types(spark, d):
-    rows = ladder.with_neighbours(_readings(spark, d), ["ab_id"], ["a", "b"])
+    rows = ladder.with_neighbours(written(_readings(spark, d)), ["ab_id"], ["a", "b"])
     return ladder.type_summary(ladder.classify(rows, RULES, FAMILIES))
 
 

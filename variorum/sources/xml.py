@@ -68,7 +68,7 @@ def running_text(el, order: tuple[str, ...] = ("orig", "mod")) -> str:
             out.append(child.tail or "")
 
     walk(el)
-    return re.sub(r"\s*\1\s*", " ", re.sub(r"\s*\0\s*", "", nfc("".join(out))))
+    return re.sub(r"\s*\x01\s*", " ", re.sub(r"\s*\x00\s*", "", nfc("".join(out))))
 
 
 @udtf(returnType="kind string, div_id string, key string, place int, text string", useArrow=False)
