@@ -21,7 +21,7 @@ DIMS = 2048
 PER_LANG = 400  # training documents of a language at most, as an expected number
 SNIPPET = 48  # characters of the short extra example cut from each training document
 UNDETERMINED = "und"
-MIN_SCORE = 0.3  # below it a text is as good as undecided
+MIN_SCORE = 0.2  # below it a text fits no known language
 
 #: fixed values: families by language code; a code that is not listed is a family of its own
 FAMILIES = {
