@@ -47,3 +47,15 @@ def test_odd_tables(spark, monkeypatch, segment, tmp_path):
     got = sorted(T.read_documents(spark, str(tmp_path / "f")).collect(), key=lambda r: r.start)
     assert [r.doc_id for r in got] == [None, 1, 1, 1] and sum(len(r.ids) for r in got) == 9
     assert [r.start for r in got] == np.cumsum([0, *(len(r.ids) for r in got)])[:-1].tolist()
+
+
+def whole(words, texts):
+    ids, n = words.encode(texts)
+    return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
+
+
+@given(st.lists(st.text("ab'sé \n\t\0\x1c\xa0.9²日", max_size=25), min_size=1, max_size=8))
+def test_encoding_equals_the_library(texts):
+    t, words = T.tokenizer(T.VOCABULARY), T.Words()
+    for _ in range(2):  # from scratch, then by memory
+        assert whole(words, texts) == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]

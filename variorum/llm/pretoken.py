@@ -18,7 +18,8 @@ import regex
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: letters and digits mean the same to re below U+0250 but for these number signs; re also takes \x1c-\x1f for white space
 _ODD = re.compile("[\x1c-\x1f\xb2\xb3\xb9\xbc-\xbeɐ-\U0010ffff]")
-_FAST = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+# letters first: no other alternative begins with a letter, or with a space before one
+_FAST = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
 @cache
@@ -27,6 +28,12 @@ def _exact() -> regex.Pattern:
     return regex.compile(spaced.replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]"))
 
 
+def _odd(text: str) -> bool:
+    if text.isascii():
+        return any(c in text for c in "\x1c\x1d\x1e\x1f")
+    return _ODD.search(text) is not None
+
+
 def pieces(text: str) -> list[str]:
     """Pre-tokens of the text in order; joined they give the text."""
-    return (_exact() if _ODD.search(text) else _FAST).findall(text)
+    return (_exact() if _odd(text) else _FAST).findall(text)

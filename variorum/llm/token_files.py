@@ -31,46 +31,75 @@ from .pretoken import pieces
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0  # id after each document
-BLOCK = 4096
+BLOCK = 8192
 QUANTILE = 0.95
-SEGMENT = 1 << 18  # ids after which a segment ends with the document
-KNOWN = 800_000  # words a worker remembers
+SEGMENT = 1 << 18  # ids after which a segment ends, with a document
+KNOWN = 600_000  # words a worker remembers
 MAGIC = b"PFR1"
 _HEAD = struct.Struct("<4sQI")  # magic, ids, blocks
 _BLOCK = struct.Struct("<IIBI")  # minimum, ids, width, exceptions
 
 
-def pack_block(ids: np.ndarray) -> bytes:
-    """One block of unsigned 32-bit ids (any number but none)."""
-    low = int(ids.min())
-    off = (ids - np.uint32(low)).astype("<u4")
-    width = int(np.quantile(off, QUANTILE, method="higher")).bit_length()
-    over = np.flatnonzero(off >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
-    kept = off.copy()
-    kept[over] = 0
-    bits = np.unpackbits(kept.view(np.uint8).reshape(-1, 4), axis=1, bitorder="little", count=width) if width else np.zeros(0, np.uint8)
-    return b"".join((
-        _BLOCK.pack(low, len(ids), width, len(over)), over.astype("<u4").tobytes(), off[over].tobytes(), np.packbits(bits, bitorder="little").tobytes(),
-    ))
-
-
-def unpack_block(data: bytes, at: int) -> np.ndarray:
-    """Ids of the block that starts at byte ``at``."""
-    low, n, width, over = _BLOCK.unpack_from(data, at)
-    at += _BLOCK.size
-    where = np.frombuffer(data, "<u4", over, at)
-    value = np.frombuffer(data, "<u4", over, at + 4 * over)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, (n * width + 7) // 8, at + 8 * over), count=n * width, bitorder="little")
-    wide = np.zeros((n, 32), np.uint8)
-    wide[:, :width] = bits.reshape(n, width)
-    out = np.packbits(wide, axis=1, bitorder="little").view("<u4").reshape(-1)
-    out[where] = value
-    return out + np.uint32(low)
+def _bits(rows: np.ndarray, width: int) -> np.ndarray:
+    """Each row's values, least bit first, as one stream of ``width`` bits a value; eight values fill ``width`` bytes."""
+    n = rows.shape[1]
+    if not width:
+        return np.zeros((len(rows), 0), np.uint8)
+    eights = np.zeros((len(rows), -(-n // 8) * 8), np.uint64)
+    eights[:, :n] = rows
+    eights = eights.reshape(len(rows), -1, 8)
+    out = np.zeros((*eights.shape[:2], width), np.uint8)
+    for k in range(8):
+        byte, shift = divmod(k * width, 8)
+        value = eights[:, :, k] << np.uint64(shift)
+        for i in range((shift + width + 7) // 8):
+            out[:, :, byte + i] |= (value >> np.uint64(8 * i)).astype(np.uint8)
+    return out.reshape(len(rows), -1)[:, : (n * width + 7) // 8]
+
+
+def _values(rows: np.ndarray, width: int, n: int) -> np.ndarray:
+    """The ``n`` values of each row of bytes that ``_bits`` made."""
+    if not width:
+        return np.zeros((len(rows), n), np.uint32)
+    every = np.zeros((len(rows), -(-n // 8) * width), np.uint8)
+    every[:, : rows.shape[1]] = rows
+    every = every.reshape(len(rows), -1, width)
+    out = np.empty((*every.shape[:2], 8), np.uint32)
+    mask = np.uint64((1 << width) - 1)
+    for k in range(8):
+        byte, shift = divmod(k * width, 8)
+        value = np.zeros(every.shape[:2], np.uint64)
+        for i in range((shift + width + 7) // 8):
+            value |= every[:, :, byte + i].astype(np.uint64) << np.uint64(8 * i)
+        out[:, :, k] = value >> np.uint64(shift) & mask
+    return out.reshape(len(rows), -1)[:, :n]
+
+
+def _packed(rows: np.ndarray) -> list[bytes]:
+    """Blocks of equal length, packed; those of equal width at once."""
+    low = rows.min(1)
+    off = rows - low[:, None]
+    at = int(np.ceil(QUANTILE * (rows.shape[1] - 1)))
+    width = np.array([int(x).bit_length() for x in np.partition(off, at, axis=1)[:, at]])
+    out: list[bytes] = [b""] * len(rows)
+    for w in np.unique(width).tolist():
+        same = np.flatnonzero(width == w)
+        over = off[same] >> np.uint64(w) if w < 32 else np.zeros_like(off[same])
+        bits = _bits(np.where(over, 0, off[same]), w)
+        for i, high, b in zip(same.tolist(), over, bits, strict=True):
+            where = np.flatnonzero(high)
+            out[i] = b"".join((
+                _BLOCK.pack(int(low[i]), rows.shape[1], w, len(where)), where.astype("<u4").tobytes(), off[i, where].astype("<u4").tobytes(), b.tobytes(),
+            ))
+    return out
 
 
 def pack(ids: np.ndarray) -> bytes:
-    """A segment: head, byte start of each block, blocks."""
-    blocks = [pack_block(ids[i : i + BLOCK]) for i in range(0, len(ids), BLOCK)]
+    """A segment: head, byte start of each block, blocks. A block: head, places and values of what exceeds its width, packed differences."""
+    whole = len(ids) // BLOCK * BLOCK
+    ids = ids.astype(np.uint64)
+    blocks = _packed(ids[:whole].reshape(-1, BLOCK)) if whole else []
+    blocks += _packed(ids[None, whole:]) if len(ids) > whole else []
     first = _HEAD.size + 8 * len(blocks)
     starts = first + np.cumsum([0, *map(len, blocks)])[:-1]
     return _HEAD.pack(MAGIC, len(ids), len(blocks)) + starts.astype("<u8").tobytes() + b"".join(blocks)
@@ -81,8 +110,20 @@ def unpack(data: bytes, first: int = 0, last: int | None = None) -> np.ndarray:
     magic, _, n = _HEAD.unpack_from(data)
     if magic != MAGIC:
         raise ValueError("not a token-id segment")
-    starts = np.frombuffer(data, "<u8", n, _HEAD.size)[first:last]
-    return np.concatenate([np.zeros(0, np.uint32), *(unpack_block(data, int(s)) for s in starts)])
+    starts = np.frombuffer(data, "<u8", n, _HEAD.size)[first:last].tolist()
+    heads = [_BLOCK.unpack_from(data, s) for s in starts]
+    out: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(heads)
+    kinds: dict[tuple[int, int], list[int]] = {}
+    for i, (_, size, width, _) in enumerate(heads):
+        kinds.setdefault((size, width), []).append(i)
+    for (size, width), same in kinds.items():
+        at = [starts[i] + _BLOCK.size + 8 * heads[i][3] for i in same]
+        rows = np.array([np.frombuffer(data, np.uint8, (size * width + 7) // 8, a) for a in at])
+        for i, values in zip(same, _values(rows, width, size), strict=True):
+            low, _, _, over = heads[i]
+            values[np.frombuffer(data, "<u4", over, starts[i] + _BLOCK.size)] = np.frombuffer(data, "<u4", over, starts[i] + _BLOCK.size + 4 * over)
+            out[i] = values + np.uint32(low)
+    return np.concatenate([*out, np.zeros(0, np.uint32)])
 
 
 @cache
@@ -95,59 +136,76 @@ def tokenizer(name: str):
     return t
 
 
+def _appended(a: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
+    """``a`` with ``more`` behind its first ``used`` values, grown by half where it lacks room."""
+    if used + len(more) > len(a):
+        a = np.concatenate((a[:used], np.empty(len(more) + used // 2, a.dtype)))
+    a[used : used + len(more)] = more
+    return a
+
+
 class Words(dict):
-    """Pre-tokens a worker has met: word to code, and by code where its ids stand; new ones wait in ``new``."""
+    """Pre-tokens a worker has met: word to code, and by code where its ids stand. New ones wait in ``new``.
 
-    def __init__(self, name: str):
-        super().__init__()
-        self.name = name
-        self.new: list[str] = []
-        self.start, self.lens, self.ids = np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    The library meets each word once while the worker remembers it; ids of a text are
+    those of its pre-tokens. The empty word stands for the end of a document.
+    """
+
+    def __init__(self, name: str = VOCABULARY):
+        super().__init__({"": 0})
+        self.name, self.new = name, []
+        self.start, self.lens, self.ids, self.used = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([END], np.uint32), 1
 
     def __missing__(self, word: str) -> int:
         code = self[word] = len(self)
         self.new.append(word)
         return code
 
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with the end id, and how many each has."""
+        parts = []
+        for x in texts:
+            split = pieces(x)
+            split.append("")
+            parts.append(np.fromiter(map(self.__getitem__, split), np.int64, len(split)))
+        if self.new:
+            self.learn()
+        codes = np.concatenate(parts)
+        lens = self.lens[codes]
+        return self.ids[ragged(self.start[codes], lens)], np.add.reduceat(lens, np.cumsum([0, *map(len, parts[:-1])]))
+
     def learn(self) -> None:
         """Encode what is new. Words of the shape " letters" go in one text, which splits into just these words again."""
-        if not self.new:
-            return
         t = tokenizer(self.name)
         plain = np.array([w[0] == " " and w[1:].isalpha() for w in self.new])
         words = [w for w, p in zip(self.new, plain, strict=True) if p]
-        lens = np.zeros(len(self.new), np.int64)
         e = t.encode("".join(words), add_special_tokens=False)
         of = np.array(e.word_ids, np.int64)
-        if len(words) and of[-1] + 1 != len(words):
+        if words and of[-1] + 1 != len(words):
             plain[:], of, e = False, np.zeros(0, np.int64), t.encode("", add_special_tokens=False)
         rest = t.encode_batch_fast([w for w, p in zip(self.new, plain, strict=True) if not p], add_special_tokens=False)
+        lens, start = np.zeros(len(self.new), np.int64), np.empty(len(self.new), np.int64)
         lens[plain] = np.bincount(of, minlength=int(plain.sum()))
         lens[~plain] = [len(x.ids) for x in rest]
-        start = np.empty(len(lens), np.int64)
         start[plain] = np.cumsum(lens[plain]) - lens[plain]
         start[~plain] = np.cumsum(lens[~plain]) - lens[~plain] + len(e.ids)
-        self.start = np.concatenate((self.start[: len(self.lens)], start + len(self.ids)))
-        self.lens = np.concatenate((self.lens, lens))
-        self.ids = np.concatenate((self.ids, np.array(e.ids, np.uint32), *(np.array(x.ids, np.uint32) for x in rest)))
+        ids = np.concatenate((np.array(e.ids, np.uint32), *(np.array(x.ids, np.uint32) for x in rest)))
+        done = len(self) - len(self.new)
+        self.start = _appended(self.start, done, start + self.used)
+        self.lens = _appended(self.lens, done, lens)
+        self.ids = _appended(self.ids, self.used, ids)
+        self.used += len(ids)
         self.new = []
 
 
 _words: dict[str, Words] = {}
 
 
-def encode(texts: list[str], name: str = VOCABULARY) -> Iterator[np.ndarray]:
-    """Ids of each text. The library meets each word once while the worker remembers it; ids of a text are those of its pre-tokens."""
-    words = _words.get(name)
-    if words is None or len(words) > KNOWN:
-        words = _words[name] = Words(name)
-    codes = []
-    for x in texts:
-        split = pieces(x)
-        codes.append(np.fromiter(map(words.__getitem__, split), np.int64, len(split)))
-    words.learn()
-    for c in codes:
-        yield words.ids[ragged(words.start[c], words.lens[c])]
+def remembered(name: str) -> Words:
+    """The worker's words, anew when there are too many."""
+    if name not in _words or len(_words[name]) > KNOWN:
+        _words[name] = Words(name)
+    return _words[name]
 
 
 _SEGMENT = "part int, first long, n_ids long, doc_ids array<long>, n_tokens array<long>, ids binary"
@@ -164,22 +222,21 @@ def _write(name: str):
         docs, lens, held, size = [], [], [], 0
 
         def segment() -> pa.RecordBatch:
-            cells = [part, first, size, docs, lens, pack(np.concatenate(held))]
+            cells = [part, first, size, docs, np.concatenate(lens), pack(np.concatenate(held))]
             return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, types, strict=True)], names)
 
         for whole in batches:
-            for k in range(0, whole.num_rows, 1024):
-                b = whole.slice(k, 1024)
-                texts = [t or "" for t in b["text"].to_pylist()]
-                for d, ids in zip(b["doc_id"].to_pylist(), encode(texts, name), strict=True):
-                    docs.append(d)
-                    lens.append(len(ids) + 1)
-                    held += [ids, np.array([END], np.uint32)]
-                    size += len(ids) + 1
-                    if size >= SEGMENT:
-                        yield segment()
-                        first += size
-                        docs, lens, held, size = [], [], [], 0
+            for k in range(0, whole.num_rows, 256):
+                b = whole.slice(k, 256)
+                ids, n = remembered(name).encode([t or "" for t in b["text"].to_pylist()])
+                docs += b["doc_id"].to_pylist()
+                lens.append(n)
+                held.append(ids)
+                size += len(ids)
+                if size >= SEGMENT:
+                    yield segment()
+                    first += size
+                    docs, lens, held, size = [], [], [], 0
         if docs:
             yield segment()
 
@@ -223,7 +280,7 @@ def read_tokens(spark: SparkSession, path: str, finish, schema: str) -> DataFram
 def _digest(docs, starts, ids):
     cells = [
         pa.array(docs, pa.int64()), pa.array(starts, pa.int64()), pa.array([len(x) for x in ids], pa.int64()),
-        pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
+        pa.array([zlib.crc32(x.astype("<u4", copy=False)) for x in ids], pa.int64()),
     ]
     return cells, ["doc_id", "start", "n_tokens", "ids_crc32"]
 
