@@ -51,9 +51,9 @@ KINDS = (
     Kind("card", r"[0-9](?:[\x20-]?+[0-9])++", "{t} rlike '[0-9][0-9 -]{{11}}'", _LUHN, 0.8, "card|visa|credit|karte|carte|tarjeta"),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", "contains({t}, '+')", f"length({_DIGITS}) between 9 and 15", 0.8,
          "phone|call|tel|mobile|telefon|appel"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    Kind("iban", r"(?<![A-Za-z0-9_])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9_])",
          "{t} rlike '[A-Z][A-Z][0-9][0-9]'", _MOD97, 0.9, "iban|account|bank|konto|compte|cuenta"),
-    Kind("ssn", r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
+    Kind("ssn", r"(?<![0-9A-Za-z_])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z_])",
          "{t} rlike '[0-9]-[0-9][0-9]-[0-9]'", "true", 0.3, "ssn|social security|tax id"),
 )
 BASE = ("email", "ip", "card", "phone")
@@ -129,3 +129,46 @@ def pii_documents(docs: DataFrame) -> DataFrame:
         F.expr(f"cast(size(filter(pii, s -> s.kind not in {BASE})) as long)").alias("n_added"),
         F.expr("array_max(transform(pii, s -> s.score))").alias("best_score"),
     )
+
+
+def oracle() -> str:
+    """DuckDB SQL for :func:`pii_documents`: the plain patterns, positions by sums of lengths."""
+    plain = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[ -]?[0-9])+",
+        "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+        "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
+        "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    }
+    digits = "regexp_replace(x.m, '[^0-9]', '', 'g')"
+    solid = "replace(x.m, ' ', '')"
+    digit = f"CAST(substr({digits}, length({digits}) - i + 1, 1) AS INT)"
+    luhn = f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN {digit} ELSE 2 * {digit} - CASE WHEN {digit} > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+    number = f"array_to_string(list_transform(string_split(substr({solid}, 5) || substr({solid}, 1, 4), ''), lambda c: CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE CAST(ascii(c) - 55 AS VARCHAR) END), '')"
+    mod97 = f"list_reduce(list_transform(string_split({number}, ''), lambda c: CAST(c AS INT)), lambda a, c: (a * 10 + c) % 97) = 1"
+    valid = {
+        "email": "true", "ssn": "true",
+        "ip": "len(list_filter(string_split(x.m, '.'), lambda o: coalesce(TRY_CAST(o AS HUGEINT), 999) > 255)) = 0",
+        "card": f"length({digits}) BETWEEN 13 AND 19 AND {luhn}",
+        "phone": f"length({digits}) BETWEEN 9 AND 15",
+        "iban": f"length({solid}) BETWEEN 15 AND 34 AND {mod97}",
+    }
+    cut, spans = [], []
+    for k in KINDS:
+        n, pattern = k.name, plain[k.name]
+        cut.append(f"regexp_split_to_array(t, '{pattern}') AS g_{n}, regexp_extract_all(t, '{pattern}') AS m_{n}")
+        before = f"CAST(list_sum(list_transform(g_{n}[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m_{n}[1:i - 1], lambda y: length(y))), 0) AS BIGINT)"
+        near = f"regexp_matches(lower(right(x.g, {CONTEXT_CHARS})), '(^|[^a-z])(?:{k.context})')"
+        score = f"least(1.0::DOUBLE, {k.score}::DOUBLE + CASE WHEN {near} THEN {CONTEXT_GAIN}::DOUBLE ELSE 0::DOUBLE END)"
+        rows = f"list_transform(range(1, len(m_{n}) + 1), lambda i: {{'g': g_{n}[i], 'm': m_{n}[i], 's': {before}}})"
+        rows = f"list_transform(list_filter({rows}, lambda x: {valid[n]}), lambda x: {{'k': '{n}', 's': x.s, 'e': x.s + length(x.m), 'w': {score}}})"
+        spans.append((rows if n in BASE else f"list_filter({rows}, lambda z: z.w >= {THRESHOLD})") + f" AS s_{n}")
+    every = "list_concat(" + ", ".join(f"s_{k}" for k in BASE) + ")"
+    added = "list_concat(" + ", ".join(f"s_{k.name}" for k in KINDS if k.name not in BASE) + ")"
+    join = "array_to_string(list_transform({}, lambda z: z.k || ':' || z.s || ':' || z.e), ',')"
+    return f"""
+WITH c AS (SELECT doc_id, {", ".join(cut)} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)), s AS (SELECT doc_id, {", ".join(spans)} FROM c),
+  a AS (SELECT *, {every} AS base, {added} AS added FROM s)
+SELECT doc_id, {", ".join(f"len(s_{k}) AS n_{k}" for k in BASE)}, sha256({join.format("base")}) AS base_sha256, {join.format("list_concat(base, added)")} AS spans,
+  len(added) AS n_added, list_max(list_transform(list_concat(base, added), lambda z: z.w)) AS best_score FROM a"""

@@ -24,4 +24,4 @@ QUERIES = {
     "op10_toxicity": lambda s, d: toxicity.score_documents(_table(s, d, "documents"), _table(s, d, "labels")),
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op4_find_pii": pii.oracle(), "op7_vector_dedup": vector_dedup.ORACLE}

@@ -227,3 +227,13 @@ def dedup_embeddings(table: DataFrame) -> DataFrame:
     """Digest for ``embeddings``: vec_id, n_links, component_id, kept."""
     out = near_vectors(table)
     return out.withColumnRenamed("id", "vec_id")
+
+
+#: DuckDB SQL for :func:`dedup_embeddings`
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+  ok AS (SELECT * FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+  link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+  reach(id, r) AS (SELECT vec_id, vec_id FROM v UNION SELECT id, b FROM reach JOIN link ON a = r),
+  n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT id AS vec_id, coalesce(max(n), 0) AS n_links, min(r) AS component_id, id = min(r) AS kept FROM reach LEFT JOIN n ON a = id GROUP BY id"""
