@@ -96,3 +96,14 @@ def test_sql_functions(spark):
     assert spark.sql("select gestalt_ratio('diet', 'tide')").first()[0] == 0.5
     assert spark.sql("select size(align_dp(array('ab','cd'), array('abcd')))").first()[0] == 1
     assert spark.sql("select word from alto_words(cast('<a><TextLine><String CONTENT=\"x\"/></TextLine></a>' as binary))").first()[0] == "x"
+
+
+def test_readings_from_snippets_are_added_once(spark):
+    s = spark.createDataFrame([("a1", "#w1", "x", "b for c"), ("a1", "#w2", "y", "q→r"), ("zz", "#w1", "x", "b for c")], "app_id string, wit_list string, rdg_text string, feature string")
+    flags = ", ".join(f"{f} boolean" for f in ("orthography_match", "punct_penalty_applied", "singleton_demoted", "lexical_whitelist_applied", "unstable"))
+    scores = spark.createDataFrame([("b→c", "variant", 0.9, 3, *[False] * 5)], f"feature string, label string, variant_likelihood double, doc_freq int, {flags}")
+    there = spark.createDataFrame([("a1", "#w0", None, None)], "app_id string, wit string, resp string, n string")
+    got = cascade.readings_from_snippets(s, scores, there)
+    assert {(r.wit, r.cert, r.ana, r.n) for r in got.collect()} == {("#w1", "0.900", "#meaningful", "b→c"), ("#w2", "0.500", "#unknown", "q→r")}
+    again = there.union(got.select("app_id", "wit", "resp", "n"))
+    assert cascade.readings_from_snippets(s, scores, again).count() == 0

@@ -86,3 +86,23 @@ def override_decision(kind: Column, value: Column) -> Column:
 
 def suggestion(score: Column, orthographic: Column) -> Column:
     return F.when((score >= 0.73) & (score < 0.75) & ~orthographic, "meaningful?").when(orthographic, "trivial?").otherwise("")
+
+
+def readings_from_snippets(snippets: DataFrame, scores: DataFrame, present: DataFrame) -> DataFrame:
+    """Readings to append to entries: ``app_id, wit, rdg, type, resp, cert, ana, n`` for snippets (app_id, wit_list, rdg_text, feature).
+
+    ``present`` holds the apparatus (app_id, wit, resp, n): snippets of unknown entries and
+    those whose (entry, witnesses, n) is there already are left out, so running it
+    again adds nothing. Features without scores are judged by a likelihood of 0.5.
+    """
+    flags = ("orthography_match", "punct_penalty_applied", "singleton_demoted", "lexical_whitelist_applied", "unstable")
+    s = scores.select(F.col("feature").alias("n"), "label", "variant_likelihood", "doc_freq", *flags)
+    rows = snippets.select("app_id", F.col("wit_list").alias("wit"), F.col("rdg_text").alias("rdg"), C.canonical_feature(F.col("feature")).alias("n")).distinct()
+    rows = rows.join(present.select("app_id").distinct(), "app_id", "left_semi").join(s, "n", "left")
+    rows = rows.withColumns({"label": F.coalesce("label", F.lit("")), "variant_likelihood": F.coalesce("variant_likelihood", F.lit(0.5)), "doc_freq": F.coalesce("doc_freq", F.lit(0))})
+    done = present.where("resp = 'score-v3'").select("app_id", F.trim("wit").alias("wit"), "n")
+    rows = rows.join(done, ["app_id", "wit", "n"], "left_anti")
+    return rows.select(
+        "app_id", "wit", "rdg", F.lit("var").alias("type"), F.lit("score-v3").alias("resp"), C.certainty(F.col("variant_likelihood")).alias("cert"),
+        F.concat(F.lit("#"), score_policy(True)).alias("ana"), "n",
+    )
