@@ -67,6 +67,7 @@ inferred_feature = _udf(_strings(D.inferred_feature), "string")
 concise_diphthong = _udf(_strings(D.concise_diphthong), "string")
 align_dp = _udf(_lists(lambda a, b: [dict(zip(("op", "ls", "le", "ws", "we"), x, strict=True)) for x in A.align(a, b)]), OPS)
 align_spans = _udf(_lists(lambda a, b: [dict(zip(("a", "b", "surface"), x, strict=True)) for x in A.surfaces(A.align(a, b), a, b)]), SPANS)
+alignment = _udf(_lists(K.alignment), f"struct<spans:{SPANS},cover:array<array<int>>,diff:array<int>>")
 opcode_spans = _udf(_lists(lambda a, b: [dict(zip(("a", "b", "surface"), x, strict=True)) for x in A.opcode_spans(a, b)]), SPANS)
 greedy_spans = _udf(_lists(lambda a, b: [dict(zip(("a", "b", "surface"), x, strict=True)) for x in A.greedy_spans(a, b)]), SPANS)
 coverage = _udf(_lists(lambda a, b: A.coverage(A.align(a, b), len(a))), "array<array<int>>")
@@ -92,7 +93,7 @@ drop_neighbours = _udf(
 
 NAMES = (
     "nfc base_form without_marks compare_form search_form base_tokens gestalt_ratio spelling_ratio fuzzy_equal graphemes atomic_ops "
-    "equivalent_ops token_feature inferred_feature concise_diphthong align_dp align_spans opcode_spans greedy_spans coverage differing "
+    "equivalent_ops token_feature inferred_feature concise_diphthong align_dp align_spans alignment opcode_spans greedy_spans coverage differing "
     "reading_of compounds align_nw pair_groups align_greedy greedy_groups anchored trim_fused best_window trim_by_segments drop_neighbours"
 ).split()
 

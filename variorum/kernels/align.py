@@ -23,11 +23,17 @@ def align(lemma: list[str], witness: list[str], max_run: int = 4) -> list[Op]:
     came: list[list[tuple[str, int, int] | None]] = [[None] * (m + 1) for _ in range(n + 1)]
     best[0][0] = 0.0
 
-    def run(joined: str, one: str, k: int, lemma_side: bool) -> float | None:
-        if not reaches(joined, one, RUN_FLOOR):
-            return None
-        s = ratio(joined, one) if lemma_side else ratio(one, joined)
-        return s + RUN_BONUS * (k - 1) if s >= RUN_FLOOR else None
+    # runs of either side that end at a position, longest first, with their lengths
+    l_runs = [[(k, "".join(lk[i - k : i])) for k in range(min(max_run, i), 1, -1)] for i in range(n + 1)]
+    w_runs = [[(k, "".join(wk[j - k : j])) for k in range(min(max_run, j), 1, -1)] for j in range(m + 1)]
+
+    def gain(a: str, b: str, k: int) -> float:
+        """What a run of k tokens adds; nothing below the floor. Lengths decide first, at that floor by 3 to 1."""
+        x, y = len(a), len(b)
+        if 3 * x < y or 3 * y < x or not reaches(a, b, RUN_FLOOR):
+            return float("-inf")
+        s = ratio(a, b)
+        return s + RUN_BONUS * (k - 1) if s >= RUN_FLOOR else float("-inf")
 
     for i in range(n + 1):
         for j in range(m + 1):
@@ -35,18 +41,20 @@ def align(lemma: list[str], witness: list[str], max_run: int = 4) -> list[Op]:
                 continue
             top, arrow = float("-inf"), None
             if i and j:
-                for k in range(min(max_run, i), 1, -1):
-                    s = run("".join(lk[i - k : i]), wk[j - 1], k, True)
-                    if s is not None and best[i - k][j - 1] + s > top:
-                        top, arrow = best[i - k][j - 1] + s, ("merge", k, 1)
-                for k in range(min(max_run, j), 1, -1):
-                    s = run("".join(wk[j - k : j]), lk[i - 1], k, False)
-                    if s is not None and best[i - 1][j - k] + s > top:
-                        top, arrow = best[i - 1][j - k] + s, ("split", 1, k)
-                s = ratio(lk[i - 1], wk[j - 1])
-                s = max(s, FLOOR) if s > 0 else 0.0
-                if best[i - 1][j - 1] + s > top:
-                    top, arrow = best[i - 1][j - 1] + s, ("match", 1, 1)
+                one = wk[j - 1]
+                for k, joined in l_runs[i]:
+                    s = best[i - k][j - 1] + gain(joined, one, k)
+                    if s > top:
+                        top, arrow = s, ("merge", k, 1)
+                one = lk[i - 1]
+                for k, joined in w_runs[j]:
+                    s = best[i - 1][j - k] + gain(one, joined, k)
+                    if s > top:
+                        top, arrow = s, ("split", 1, k)
+                s = ratio(one, wk[j - 1])
+                s = best[i - 1][j - 1] + (max(s, FLOOR) if s > 0 else 0.0)
+                if s > top:
+                    top, arrow = s, ("match", 1, 1)
             if i and best[i - 1][j] + GAP > top:
                 top, arrow = best[i - 1][j] + GAP, ("delete", 1, 0)
             if j and best[i][j - 1] + GAP > top:

@@ -17,3 +17,10 @@ def paired(groups, canon, our) -> list[list[int]]:
 def grouped_records(records) -> list[dict]:
     plain = [{k: list(r[k]) if k.endswith("indexes") else r[k] for k in ("canon_indexes", "our_indexes", "relation", "matched")} for r in records]
     return [{"c": c, "o": o} for c, o in greedy.greedy_groups(plain)]
+
+
+def alignment(lemma, witness) -> dict:
+    """Spans, witness indices of each lemma token and differing positions, from one alignment."""
+    ops = align.align(lemma, witness)
+    spans = [dict(zip(("a", "b", "surface"), x, strict=True)) for x in align.surfaces(ops, lemma, witness)]
+    return {"spans": spans, "cover": align.coverage(ops, len(lemma)), "diff": align.differing(lemma, witness)}

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as C
 from ..functions import udfs as U
+from ..session import spread
 
 
 def aligned(lemma: DataFrame, witnesses: DataFrame) -> DataFrame:
@@ -18,10 +19,8 @@ def aligned(lemma: DataFrame, witnesses: DataFrame) -> DataFrame:
     pairs = lemma.select("ab_id", F.col("text").alias("l")).join(witnesses.select("ab_id", "witness", F.col("text").alias("w")), "ab_id")
     tokens = pairs.select("ab_id", "witness", C.tokens(F.col("l")).alias("lt"), C.tokens(F.col("w")).alias("wt"))
     different = F.col("lt") != F.col("wt")
-    todo = tokens.where(different).select("lt", "wt").distinct()
-    done = todo.select(
-        "lt", "wt", U.align_spans("lt", "wt").alias("spans"), U.coverage("lt", "wt").alias("cover"), U.differing("lt", "wt").alias("diff")
-    )
+    todo = spread(tokens.where(different).select("lt", "wt").distinct(), "lt", "wt")
+    done = todo.withColumn("_a", U.alignment("lt", "wt")).select("lt", "wt", "_a.*")
     changed = tokens.join(done, ["lt", "wt"])
     index = F.sequence(F.lit(0), F.size("lt") - 1)
     whole = F.transform(index, lambda i: F.struct(i.alias("a"), (i + 1).alias("b"), F.get(F.col("lt"), i).alias("surface")))

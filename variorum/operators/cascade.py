@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as C
 from ..kernels.annotate import Annotator
+from ..session import spread
 
 RESULT = "struct<label:string,cert:string,n:string,rule:string,feature:string,likelihood:double>"
 #: fixed values: categories that labels are written as
@@ -42,7 +43,7 @@ def annotate(readings: DataFrame, annotator: Annotator, overrides: DataFrame | N
         rows = rows.withColumn("label_override", F.lit(None).cast("string"))
     run = F.udf(lambda a, b, g, o: annotator.annotate(a, b, list(g if g is not None else ()), o), RESULT, useArrow=True)
     keys = ["lem", "rdg", "groups", "label_override"]
-    done = rows.select(*keys).distinct().withColumn("_r", run(*keys)).toDF(*[f"_{k}" for k in keys], "_r")
+    done = spread(rows.select(*keys).distinct(), *keys).withColumn("_r", run(*keys)).toDF(*[f"_{k}" for k in keys], "_r")
     same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
     out = rows.join(done, same).select(*[c for c in rows.columns if c not in ("_key", "label_override")], "_r.*")
     return out.withColumn("ana", F.concat(F.lit("#"), category(F.col("label"))))

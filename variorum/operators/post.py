@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as C
 from ..functions import udfs as U
+from ..session import spread
 
 
 def split_entries(rows: DataFrame) -> DataFrame:
@@ -29,7 +30,7 @@ def split_entries(rows: DataFrame) -> DataFrame:
 
 def _by_pairs(rows: DataFrame, run, name: str) -> DataFrame:
     """``rdg`` replaced by ``run(lem, rdg)``, worked out once for each distinct pair."""
-    pairs = rows.select("lem", "rdg").distinct().withColumn("_new", run)
+    pairs = spread(rows.select("lem", "rdg").distinct(), "lem", "rdg").withColumn("_new", run)
     return rows.join(pairs, ["lem", "rdg"]).withColumn(name, F.col("_new") != F.col("rdg")).withColumn("rdg", F.col("_new")).drop("_new")
 
 

@@ -7,16 +7,17 @@ from pyspark.sql import functions as F
 
 from ..functions import text as C
 from ..functions import udfs as U
+from ..session import spread
 
 
 def greedy_matches(stanzas: DataFrame) -> DataFrame:
     """Adds ``matches`` to ``xml_id, canon, our``; equal stanza pairs are aligned once."""
-    pairs = stanzas.select("canon", "our").distinct().withColumn("matches", U.align_greedy("canon", "our"))
+    pairs = spread(stanzas.select("canon", "our").distinct(), "canon", "our").withColumn("matches", U.align_greedy("canon", "our"))
     return stanzas.join(pairs, ["canon", "our"])
 
 
 def dp_groups(stanzas: DataFrame) -> DataFrame:
-    pairs = stanzas.select("canon", "our").distinct().withColumn("nw", U.align_nw("canon", "our"))
+    pairs = spread(stanzas.select("canon", "our").distinct(), "canon", "our").withColumn("nw", U.align_nw("canon", "our"))
     return stanzas.join(pairs, ["canon", "our"]).select(*stanzas.columns, F.col("nw.groups").alias("groups"), F.col("nw.score").alias("score"))
 
 
