@@ -262,9 +262,9 @@ def families_normal(c: Column, families: list[dict]) -> tuple[Column, Column, Co
 # -- features ----------------------------------------------------------------------------------------
 
 LONG, SHORT = "āīūēō", "aiueo"
-SIBILANTS = ("s", "š", "ś", "ṣ", "z", "ž")
-#: fixed values: diphthongs and what they are levelled to
-LEVELLED = (("aō", "ō"), ("aē", "ē"), ("ai", "aē"), ("au", "aō"), ("ōi", "ō"), ("ou", "ō"))
+#: fixed values: sibilants, and diphthongs with what they are levelled to
+SIBILANTS = ("s", "š", "ṣ", "ś")
+LEVELLED = (("ao", "ō"), ("ae", "ē"), ("aē", "ē"), ("ao", "ā"), ("ao", "o"), ("ae", "e"))
 
 
 def feature_sides(feature: Column) -> tuple[Column, Column]:

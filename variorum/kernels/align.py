@@ -147,23 +147,28 @@ def reading_of(lemma: list[str], witness: list[str], a: int, b: int) -> str:
 
 
 def compounds(lemma: list[str], witness: list[str], max_run: int = 4, threshold: float = 0.75) -> list[tuple[int, int, int]]:
-    """(lemma start, lemma end, witness index) where one witness token stands for a run of lemma tokens."""
-    out, at = [], 0
-    lk = [token_key(t) for t in lemma]
-    for j, w in enumerate(map(token_key, witness)):
-        hit = None
-        for i in range(at, len(lemma)):
-            for k in range(2, min(max_run, len(lemma) - i) + 1):
-                joined = "".join(lk[i : i + k])
-                if ratio(w, joined) > threshold or (w.startswith(lk[i]) and lk[i] and lk[i + k - 1] in w[len(lk[i]) :] and len(w) >= len(joined) - 2):
-                    s = ratio(w, joined)
-                    if hit is None or s > hit[0]:
-                        hit = (s, i, i + k)
-            if hit and hit[1] < i:
-                break
-        if hit and hit[0] > max((ratio(w, x) for x in lk[hit[1] : hit[2]]), default=0.0):
-            out.append((hit[1], hit[2], j))
-            at = hit[2]
+    """(lemma start, lemma end, witness index) where one witness token stands for a run of lemma tokens.
+
+    Tokens inside equal runs take no part. A run fits by similarity above the threshold,
+    or if the witness token begins with its first and holds its last token; the
+    shortest, then first, fitting run that is still free is taken.
+    """
+    lk, wk = _diff_keys(lemma), _diff_keys(witness)
+    equal = [(a, b, c, d) for op, a, b, c, d in opcodes(lk, wk) if op == "equal"]
+    taken = {i for a, b, _, _ in equal for i in range(a, b)}
+    settled = {j for _, _, c, d in equal for j in range(c, d)}
+    out = []
+    for j, word in enumerate(wk):
+        runs = ((i, i + k) for k in range(2, min(max_run, len(lemma)) + 1) for i in range(len(lemma) - k + 1))
+        fits = (
+            (a, b) for a, b in runs
+            if taken.isdisjoint(range(a, b))
+            and (ratio(word, "".join(lk[a:b])) > threshold or (len(word) > len(lk[a]) and word.startswith(lk[a]) and lk[b - 1] in word))
+        )
+        found = None if j in settled else next(fits, None)
+        if found:
+            out.append((*found, j))
+            taken.update(range(*found))
     return out
 
 

@@ -21,21 +21,28 @@ def dp_groups(stanzas: DataFrame) -> DataFrame:
     return stanzas.join(pairs, ["canon", "our"]).select(*stanzas.columns, F.col("nw.groups").alias("groups"), F.col("nw.score").alias("score"))
 
 
-def gate(matched: DataFrame, low: float = 0.75, subs: int = 6, errors: float = 0.20, short: int = 6, short_length: int = 2) -> DataFrame:
-    """Adds diagnostics of a greedy alignment and ``flagged``: whether dynamic programming should look at the stanza again."""
+def gate(matched: DataFrame, low: float = 0.75, subs: int = 6, errors: float = 0.20, short: int = 6, short_length: int = 3) -> DataFrame:
+    """Adds diagnostics of a greedy alignment and ``flagged``: whether dynamic programming should look at the stanza again.
+
+    Unmatched are manuscript words without a canon word; short tokens are manuscript
+    words of at most ``short_length`` characters without full stops, matched or not.
+    """
     one = matched.select("xml_id", "canon", "our", F.explode_outer("matches").alias("m")).where("m.relation is null or m.relation not like '%merged%'")
-    pair = one.withColumns({"a": C.stanza_token(F.col("m.canon_word")), "b": C.stanza_token(F.col("m.our_word"))})
-    ratios = pair.where("m.relation = 'substitution'").select("a", "b").distinct().withColumn("s", U.gestalt_ratio("a", "b"))
+    bare = lambda c: F.replace(C.stanza_token(F.col(c)), F.lit("."), F.lit(""))
+    pair = one.withColumns({"a": bare("m.canon_word"), "b": bare("m.our_word")})
+    ratios = spread(pair.where("m.relation = 'substitution'").select("a", "b").distinct(), "a", "b").withColumn("s", U.gestalt_ratio("a", "b"))
     rows = pair.join(ratios, ["a", "b"], "left")
-    rel = lambda r: F.count_if(F.col("m.relation") == r)
+    swapped = F.col("m.relation") == "substitution"
+    ours = (F.col("m.our_word") != "") & (F.length("b") <= short_length)
     d = rows.groupBy("xml_id").agg(
-        F.first(F.size("canon")).alias("canon_count"), F.first(F.size("our")).alias("our_count"), rel("substitution").alias("subs_total"),
-        F.count_if(F.col("s") < low).alias("subs_low"), (rel("insert") + rel("delete")).alias("unmatched"),
-        F.count_if((F.length("b") <= short_length) & (F.col("b") != "")).alias("short_tokens"),
+        F.first(F.size("canon")).alias("canon_count"), F.first(F.size("our")).alias("our_count"), F.count_if(swapped).alias("subs_total"),
+        F.count_if(swapped & (F.col("s") < low)).alias("subs_low"), F.count_if(F.col("m.relation") == "insert").alias("unmatched"),
+        F.count_if(ours).alias("short_tokens"),
     )
-    d = d.withColumn("error_rate", (F.col("subs_low") + F.col("unmatched")) / F.greatest(F.lit(1), F.col("canon_count")))
+    d = d.withColumn("error_rate", (F.col("subs_total") + F.col("unmatched")) / F.greatest(F.lit(1), F.col("canon_count")))
     why = F.array_compact(F.array(
-        F.when(F.col("subs_low") >= subs, "subs_low"), F.when(F.col("error_rate") >= errors, "error_rate"), F.when(F.col("short_tokens") >= short, "short_tokens"),
+        F.when(F.col("subs_low") >= subs, "low_conf_subs"), F.when(F.col("error_rate") >= errors, "high_error_rate"),
+        F.when(F.col("short_tokens") >= short, "short_token_cluster"),
     ))
     return d.withColumn("triggers", why).withColumn("flagged", F.size("triggers") > 0)
 
