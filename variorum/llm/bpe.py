@@ -31,7 +31,7 @@ from .language import _schema
 from .pretoken import pieces
 
 RANKS = "byte_bpe_50k.tiktoken"
-BLOCK = 12_000_000
+BLOCK = 6_000_000
 
 
 @cache
