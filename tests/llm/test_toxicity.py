@@ -46,3 +46,12 @@ def test_few_labels_and_odd_texts(spark, labels):
     if len(labels) > 50:
         by = {r.doc_id: r for r in got}
         assert by[1].predicted == 1 and by[2].predicted == 0
+
+
+@pytest.mark.parametrize("before", ["word " * 3000, "İ word " * 3000])
+def test_obfuscated_hits_stand_where_they_are_in_long_texts(before):
+    near = lambda text: X.features(text, X.Weights({}))[X.NAMES.index("near_you_count")]
+    assert near(before + "you m0ron") == 1
+    for k in (0, 300, 570, 800, 1000, 1500):  # a far "you", also where the last 4,000 characters would put the hit
+        words = before.split(" ")
+        assert near(" ".join([*words[:k], "you", *words[k:], "m0ron"])) == 0

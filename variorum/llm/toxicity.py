@@ -106,6 +106,15 @@ def _marks(text: str) -> tuple[np.ndarray, list[float]]:
     return end[broken], [int(upper.sum()), shouted, int(mark.sum() + (k == JOINS).sum()), marked, long, int((k == DIGIT).sum())]
 
 
+def _words_before(text: str, lower: str, places: list[int]) -> list[int]:
+    """How many words of ``lower`` start before each of ``places`` in ``text``."""
+    starts = np.fromiter((x.start() for x in _LETTERS.finditer(lower)), np.int64)
+    at = np.array(places, np.int64)
+    if len(lower) != len(text):  # small forms of more than one character move what follows
+        at += np.searchsorted([i for i, c in enumerate(text) for _ in c.lower()[1:]], at)
+    return np.searchsorted(starts, at).tolist()
+
+
 def features(text: str | None, weights: Weights) -> list[float]:
     """Values of ``NAMES``; null and empty texts give zeros."""
     text = text or ""
@@ -117,6 +126,7 @@ def features(text: str | None, weights: Weights) -> list[float]:
     hits = [(i, words[i], found[i]) for i in some if found[i][0] or found[i][1]]
     you = np.array([i for i in some if found[i][2]])
     broken, (capitals, shouted, signs, marked, long, digits) = _marks(text)
+    hidden = []
     for m in broken.tolist():  # obfuscated spellings count as the word they spell
         a, b = m, m
         while a > m - 32 and a and not text[a - 1].isspace():
@@ -125,7 +135,10 @@ def features(text: str | None, weights: Weights) -> list[float]:
             b += 1
         meant = "".join(_LETTERS.findall(text[a:b].lower().translate(_LEET)))
         if meant in SEED or weights.lexicon.get(meant, 0.0) >= 2:
-            hits.append((len(_LETTERS.findall(text[max(0, a - 4000) : a])), meant, (2.0, 0.0, False)))
+            hidden.append((a, meant))
+    if hidden:
+        at = _words_before(text, lower, [a for a, _ in hidden])
+        hits += [(i, meant, (2.0, 0.0, False)) for i, (_, meant) in zip(at, hidden, strict=True)]
     n = max(1, len(words))
     strong = np.array([i for i, _, v in hits if max(v[:2]) >= 2])
     near = 0
