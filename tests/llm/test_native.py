@@ -103,3 +103,17 @@ def test_mix(spark, table):
     again = mixing.mix_documents(docs.repartition(3)).collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
     assert not mixing.mix_documents(docs.limit(0)).collect()
+
+
+@pytest.mark.parametrize("size, shards", [(250_000, 20), (15, 800), (10**13, 20)])
+def test_rare_sources_over_many_shards(spark, size, shards):
+    """Sources of 150-word rows beside one of 20,000 rows: of billions of words, in shards smaller than a block, past the block limit."""
+    from pyspark.sql import functions as F
+
+    rows = {"a": (20_000, size), "b": (300, 150), "c": (900, 150), "d": (40, 15)}
+    df = spark.createDataFrame([(s, i, n) for s, (k, n) in rows.items() for i in range(k)], "src string, id long, n long")
+    got = mixing.mix(df, F.col("src"), F.col("n"), [F.col("id")], rows_per_shard=-(-21_240 // shards))
+    sums = got.groupBy("src").agg(F.sum("taken"), F.first("target"), F.min("taken"), F.max(F.col("taken") / F.col("n"))).collect()
+    assert len(sums) == len(rows)
+    for src, taken, target, least, most in sums:
+        assert abs(taken - target) <= 64 + 1e-6 * target and least >= 0 and most <= 2, (src, taken, target)

@@ -3,11 +3,11 @@
 1. Targets: every source has a weight; together they want ``share`` times all
    words, but no source more than ``repeats`` times its own; what a full source
    can't take is reshared by weight.
-2. The mix is counted in blocks of ``B`` words. Sources get integer numbers of
-   blocks by the highest quotients target/(2k-1). Each source's blocks are dealt
-   to its shards the same way, by the words each shard holds.
-3. A shard of a source is one stream of words (rows in seeded order) cut in ``n``
-   blocks of B words (the last one shorter). Quota ``q = full * n + r`` takes every block ``full`` times and
+2. The mix is counted in blocks of ``BLOCK`` words. Sources get integer numbers of
+   blocks by the highest quotients target/(2k-1).
+3. A source is one stream of words: its shards in turn, the rows of a shard in
+   seeded order. The stream is cut in ``n`` blocks, of which only the last is
+   shorter. Quota ``q = full * n + r`` takes every block ``full`` times and
    ``r`` blocks once more, chosen by seeded systematic sampling. The number of
    chosen blocks below any word is a closed formula, so a row's taken words need
    no join with blocks.
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import WORD, materialize
 
 BASE_WEIGHTS = (5, 2, 1)
+BLOCK = 32  # words
+MOST_BLOCKS = 10**9  # of a source, so that products of two counts stay longs; beyond, its blocks are several of BLOCK words
 
 
 def words(text: Column) -> Column:
@@ -103,38 +105,39 @@ def mix(
     thin = materialize(df.withColumns({"size": size, "_source": source, "_order": F.xxhash64(F.lit(seed), *order)}))
     by = thin.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
     by = materialize(by.withColumnRenamed("_source", "source"))
-    total, rows = by.agg(F.sum("source_size"), F.sum("_rows")).first()
-    rows, total = rows or 0, total or 0
+    rows = by.agg(F.sum("_rows")).first()[0] or 0
     shards = max(1, min(max_shards, -(-rows // rows_per_shard)))
-    block = max(32, min(4096, total // 1_000_000))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (rank % len(weights)).cast("int") + 1)
     spec = targets(by.select("source", weight.alias("weight"), "source_size"), share, repeats)
-    blocks = F.round(F.sum("target").over(Window.partitionBy()) / block).cast("long")
+    blocks = F.round(F.sum("target").over(Window.partitionBy()) / BLOCK).cast("long")
     spec = sainte_lague(spec.withColumn("_all", blocks).withColumn("_one", F.lit(1)), ["_one"], ["source"], "target", "_all", "_quota")
     spec = materialize(spec.select("source", "source_size", "target", "_quota"))
 
     shard = F.pmod(F.xxhash64("_order"), F.lit(shards)).cast("int")
     thin = thin.withColumn("_shard", shard)
     piece = thin.groupBy("_source", "_shard").agg(F.sum("size").alias("_words"))
+    before = Window.partitionBy("_source").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    piece = piece.withColumn("_at", F.coalesce(F.sum("_words").over(before), F.lit(0)))
+    wide = F.greatest(F.lit(1), F.ceil(F.col("source_size") / (BLOCK * MOST_BLOCKS)))
+    spec = spec.withColumn("_wide", wide).withColumn("_b", F.col("_wide") * BLOCK)
+    spec = spec.withColumn("_n", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.col("_b"))))
+    spec = spec.withColumn("_seats", F.least(F.round(F.col("_quota") / F.col("_wide")).cast("long"), F.col("_n") * repeats))
     piece = piece.join(spec, F.col("_source").eqNullSafe(F.col("source")))
-    piece = sainte_lague(piece, ["source"], ["_shard"], "_words", "_quota", "_seats")
-    n = F.greatest(F.lit(1), F.ceil(F.col("_words") / block)).cast("long")
-    piece = piece.withColumn("_n", n).withColumn("_seats", F.least(F.col("_seats"), F.col("_n") * repeats))
-    start = F.pmod(F.xxhash64(F.lit(seed), "source", "_shard"), F.col("_n"))
-    piece = piece.select("source", F.col("_shard").alias("_s"), "source_size", "target", "_words", "_n",
+    start = F.pmod(F.xxhash64(F.lit(seed), "source"), F.col("_n"))
+    piece = piece.select("source", F.col("_shard").alias("_s"), "source_size", "target", "_at", "_n",
                          F.expr("_seats div _n").alias("_full"), F.expr("_seats % _n").alias("_r"),
-                         start.alias("_u"), F.lit(block).cast("long").alias("_b"))
+                         start.alias("_u"), "_b")
     in_order = Window.partitionBy("_source", "_shard").orderBy("_order", *order, "size").rowsBetween(Window.unboundedPreceding, 0)
     out = thin.withColumn("_end", F.sum("size").over(in_order))
     out = out.join(piece, F.col("_source").eqNullSafe(F.col("source")) & (F.col("_shard") == F.col("_s")))
-    extra = _chosen_below("_end") - _chosen_below("(_end - size)")
+    extra = _chosen_below("(_at + _end)") - _chosen_below("(_at + _end - size)")
     taken = (F.col("size") * F.col("_full") + extra).cast("long")
     return out.select(*df.columns, "size", "source_size", "target", taken.alias("taken"))
 
 
 def _chosen_below(at: str) -> Column:
-    """Words of chosen blocks among the first ``at`` words of a piece.
+    """Words of chosen blocks among the first ``at`` words of a source.
 
     Block j covers words [j * _b, (j + 1) * _b), the last one what is left; it is chosen
     if (j + _u) * _r div _n rises at j, which happens _r times over _n blocks from any _u.
