@@ -17,6 +17,28 @@ def test_query_without_sql_runs(spark, name):
     assert Q.QUERIES[name](spark, SF).count() > 0
 
 
+def test_passages_inside_words_after_tabs_and_short(spark, tmp_path):
+    from pathlib import Path
+
+    for f in Path(SF).iterdir():
+        (tmp_path / f.name).symlink_to(f)
+    ten, long = "one two three four five six seven eight nine ten", "aa bb cc dd ee ff gg hh ii jj kk ll mm"
+    passages = [long, ten, "nearly\tthere by now", "word", "q w  e r t y u i o p a s", "tail one two three four five six seven eight nine ten eleven "]
+    texts = [f'he said "{long}"', f"a\t{long}\nb", f"x{long}y z", long, f"({ten})", "so nearly\tthere by nowhere", "so nearly there by now", "swords", "q w  e r t y u i o p a s"]
+    texts += ["q w e r t y u i o p a s", "cocktail one two three four five six seven eight nine ten eleven twelve", "aa bb cc", "", None, long[1:], long.upper()]
+    tables = {
+        "documents": spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string"),
+        "labels": spark.createDataFrame([(i, 1, i % 2) for i in range(len(texts))], "doc_id long, quality int, toxic int"),
+        "benchmark": spark.createDataFrame(list(enumerate([*passages, None])), "item_id long, text string"),
+    }
+    for name, rows in tables.items():
+        (tmp_path / f"{name}.parquet").unlink()
+        rows.write.parquet(str(tmp_path / f"{name}.parquet"))
+    name = "semi_and_anti"
+    assert compare(spark, str(tmp_path), Q.QUERIES[name], Q.ORACLE[name]) == ""
+    assert {r.doc_id for r in Q.QUERIES[name](spark, str(tmp_path)).collect() if r.reused} == {0, 1, 2, 3, 4, 5, 7, 8, 10}
+
+
 def test_entry_works_without_the_optional_operators(tmp_path):
     import shutil
     import subprocess

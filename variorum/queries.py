@@ -554,13 +554,18 @@ WHERE l.quality = 1 AND NOT EXISTS (SELECT 1 FROM documents t WHERE t.doc_id = l
 def semi_and_anti(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels").where("quality = 1")
     kept = labels.join(docs.where("lang = 'de'").select("doc_id"), "doc_id", "left_anti")
-    # passages are found by their first eight words, so that the join has a key, and then compared whole
-    first = lambda words, i: F.array_join(F.slice(words, i, 8), " ")
-    b = table(spark, d, "benchmark").select(F.col("text").alias("passage"))
-    b = b.withColumn("w", F.split(F.regexp_replace("passage", "\n", " "), " ")).withColumn("key", first(F.col("w"), F.lit(1)))
-    words = F.split(F.regexp_replace("text", "\n", " "), " ")
-    starts = docs.select("doc_id", "text", words.alias("w")).withColumn("key", F.explode(F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: first(F.col("w"), i))))
-    hits = starts.join(F.broadcast(b.select("passage", "key")), "key").where(F.contains("text", F.col("passage"))).select("doc_id").distinct()
+    # passages are found by eight words from the second on, so that the join has a key, and then compared whole; the first
+    # and the last word may be parts of longer ones in a document, so passages of fewer than ten are looked for without a key
+    words = lambda text: F.split(text, r"\s")
+    key = lambda w, i: F.array_join(F.slice(w, i, 8), " ")
+    b = table(spark, d, "benchmark").select(F.col("text").alias("passage")).withColumn("w", words("passage"))
+    long = b.where("size(w) >= 10").select("passage", key("w", 2).alias("key"))
+    short = b.where("size(w) < 10").select("passage")
+    places = F.when(F.size("w") >= 8, F.sequence(F.lit(1), F.size("w") - 7))
+    starts = docs.select("doc_id", "text", words("text").alias("w")).withColumn("key", F.explode(F.transform(places, lambda i: key(F.col("w"), i))))
+    whole = F.contains("text", F.col("passage"))
+    hits = starts.join(F.broadcast(long), "key").where(whole).select("doc_id")
+    hits = hits.union(docs.join(F.broadcast(short), whole, "left_semi").select("doc_id")).distinct()
     return kept.join(hits.withColumn("reused", F.lit(True)), "doc_id", "left").select("doc_id", "toxic", F.coalesce("reused", F.lit(False)).alias("reused"))
 
 
