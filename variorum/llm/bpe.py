@@ -1,15 +1,18 @@
 """Byte-level BPE over a global shuffle of distinct words.
 
-1. Blocks: a task cuts its rows in blocks of about ``BLOCK`` characters and notes
-   every pre-token as (row, position, code), the code pointing to the block's own
-   list of distinct words. A hot word so leaves a block once, however often it occurs.
+1. Blocks: a task cuts its rows in blocks of about ``BLOCK`` characters or ``TOKENS``
+   pre-tokens and notes every pre-token as (row, position, code), the code pointing to
+   the block's own list of distinct words. A hot word so leaves a block once, however
+   often it occurs. Blocks are written to a bucketed table before anything reads them:
+   word lists and reassembly see the same blocks whatever task is run again.
 2. Words go to buckets by their crc32; a bucket sees all blocks' copies of a word and
    encodes it once.
-3. Ids return to their blocks, positions take them up again, and rows get their ids.
+3. Ids return to their blocks, which stay where their bucket is; positions take them up
+   again, and rows get their ids, in slices of about ``SLICE`` ids.
 4. Decoding joins ids with the token-byte table, an array lookup as ids are dense
    (the table is a vocabulary's: bounded whatever the corpus).
 
-Word lists, codes and ids travel packed, so the shuffles stay below the size of the input.
+Word lists, codes and ids travel packed, so table and shuffles stay below the size of the input.
 """
 
 from __future__ import annotations
@@ -27,11 +30,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import bucketed
 from .language import _schema
-from .pretoken import pieces
+from .pretoken import each_piece, pieces
 
 RANKS = "byte_bpe_50k.tiktoken"
-BLOCK = 6_000_000
+BLOCK, TOKENS = 6_000_000, 2_000_000  # characters and pre-tokens of a block at most, but for the row that crosses them
+SLICE = 1 << 18  # ids of the rows that are returned together, but for the row that crosses it
+LONG = 1 << 20  # characters or ids of a text from which on it is taken in parts
+MOST_BUCKETS = 1 << 14  # of words: a block's list for a bucket should not shrink to single words
 
 
 @cache
@@ -72,10 +79,24 @@ def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return np.cumsum(step)
 
 
+def decoded(ids: np.ndarray, name: str = RANKS) -> Iterator[bytes]:
+    """Bytes of the ids by the token-byte table, in parts of bounded size."""
+    at, data = token_bytes(name)
+    for k in range(0, len(ids), LONG):
+        i = ids[k : k + LONG].astype(np.int64)
+        yield data[ragged(at[i], at[i + 1] - at[i])].tobytes()
+
+
 def decode(ids: np.ndarray, name: str = RANKS) -> bytes:
     """Bytes of the ids, by the token-byte table."""
-    at, data = token_bytes(name)
-    return data[ragged(at[ids], at[ids + 1] - at[ids])].tobytes()
+    return b"".join(decoded(ids, name))
+
+
+def _decoded_sha256(ids: np.ndarray, name: str) -> str:
+    h = hashlib.sha256()
+    for part in decoded(ids, name):
+        h.update(part)
+    return h.hexdigest()
 
 
 class _Codes(dict):
@@ -110,7 +131,31 @@ _BLOCKS = "block long, rows binary, counts binary, codes binary, buckets binary,
 _WORDS = pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary())]))
 
 
-def _to_blocks(at: int, buckets: int):
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's hash (Murmur3 of 32 bits, seed 42) of longs, as it deals rows to partitions and buckets."""
+
+    def turned(a: np.ndarray, by: int) -> np.ndarray:
+        return a << np.uint32(by) | a >> np.uint32(32 - by)
+
+    x = x.astype(np.int64).view(np.uint64)
+    h = np.full(len(x), 42, np.uint32)
+    for half in (x, x >> np.uint64(32)):
+        k = half.astype(np.uint32) * np.uint32(0xCC9E2D51)
+        h = turned(h ^ turned(k, 15) * np.uint32(0x1B873593), 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(8)
+    for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h = (h ^ h >> np.uint32(shift)) * np.uint32(by)
+    return (h ^ h >> np.uint32(16)).view(np.int32)
+
+
+def block_names(part: int, n: int) -> Iterator[int]:
+    """Names for a task's blocks, all of one bucket of ``n``: a task writes one file, and tasks spread evenly over the buckets."""
+    for at in range(part << 40, (part + 1) << 40, 8 * n):
+        names = np.arange(at, at + 8 * n)
+        yield from names[spark_hash(names) % n == part % n].tolist()
+
+
+def _to_blocks(at: int, buckets: int, parts_out: int):
     def pack(block: int, codes: _Codes, rows: list[pa.RecordBatch], parts: list[np.ndarray]) -> pa.RecordBatch:
         words = [w.encode() for w in codes]
         bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.uint32, len(words))
@@ -134,23 +179,29 @@ def _to_blocks(at: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        block = TaskContext.get().partitionId() << 33
-        codes, rows, parts, size = _Codes(), [], [], 0
+        names = block_names(TaskContext.get().partitionId(), parts_out)
+        codes, rows, parts, size, tokens = _Codes(), [], [], 0, 0
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 b = whole.slice(k, 256)
-                for t in b.column(at):
+                done = 0
+                for i, t in enumerate(b.column(at)):
                     text = t.as_py() or ""
                     size += len(text)
-                    found = pieces(text)
-                    parts.append(np.fromiter(map(codes.__getitem__, found), np.uint32, len(found)))
-                rows.append(b.remove_column(at))
-                if size >= BLOCK:
-                    yield pack(block, codes, rows, parts)
-                    block += 1
-                    codes, rows, parts, size = _Codes(), [], [], 0
+                    if len(text) < LONG:
+                        found = pieces(text)
+                        parts.append(np.fromiter(map(codes.__getitem__, found), np.uint32, len(found)))
+                    else:
+                        parts.append(np.fromiter(map(codes.__getitem__, each_piece(text)), np.uint32))
+                    tokens += len(parts[-1])
+                    if size >= BLOCK or tokens >= TOKENS:
+                        rows.append(b.slice(done, i + 1 - done).remove_column(at))
+                        yield pack(next(names), codes, rows, parts)
+                        codes, rows, parts, size, tokens, done = _Codes(), [], [], 0, 0, i + 1
+                if done < b.num_rows:
+                    rows.append(b.slice(done).remove_column(at))
         if rows:
-            yield pack(block, codes, rows, parts)
+            yield pack(next(names), codes, rows, parts)
 
     return run
 
@@ -161,82 +212,86 @@ def _encode(name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, known, now = encoding(name), {}, None
         single = enc._encode_single_piece
-        for b in batches:
-            ids = []
-            for bucket, words in zip(b["bucket"].to_pylist(), b["words"], strict=True):
-                if bucket != now:
-                    known, now = {}, bucket
-                lens, flat = [], []
-                for w in _unstrings(words.as_py()):
-                    got = known.get(w)
-                    if got is None:
-                        got = known[w] = tuple(single(w))
-                    lens.append(len(got))
-                    flat += got
-                ids.append(_planes(np.array([len(lens), *lens, *flat], np.uint32)))
-            yield pa.RecordBatch.from_arrays([b["block"], b["bucket"], pa.array(ids, pa.binary())], ["block", "bucket", "ids"])
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                b, ids = whole.slice(k, 512), []
+                for bucket, words in zip(b["bucket"].to_pylist(), b["words"], strict=True):
+                    if bucket != now:
+                        known, now = {}, bucket
+                    lens, flat = [], []
+                    for w in _unstrings(words.as_py()):
+                        got = known.get(w)
+                        if got is None:
+                            got = known[w] = tuple(single(w))
+                        lens.append(len(got))
+                        flat += got
+                    ids.append(_planes(np.array([len(lens), *lens, *flat], np.uint32)))
+                yield pa.RecordBatch.from_arrays([b["block"], b["bucket"], pa.array(ids, pa.binary())], ["block", "bucket", "ids"])
 
     return run
 
 
-def _reassemble(name: str, finish, schema: pa.Schema):
-    def run(blocks: pa.Table, lists: pa.Table) -> pa.Table:
-        out = []
-        by_bucket = dict(zip(lists["bucket"].to_pylist(), lists["ids"], strict=True))
-        for r in blocks.to_batches():
-            for k in range(r.num_rows):
-                bucket = _unplanes(r["buckets"][k].as_py())
-                order = np.argsort(bucket, kind="stable")
-                lens, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
-                for b in np.unique(bucket).tolist():
-                    a = _unplanes(by_bucket[b].as_py())
-                    lens.append(a[1 : 1 + a[0]])
-                    ids.append(a[1 + a[0] :])
-                lens, ids = np.concatenate(lens).astype(np.int64), np.concatenate(ids)
-                first = np.cumsum(lens) - lens
-                start, length = np.empty_like(first), np.empty_like(lens)  # by code
-                start[order], length[order] = first, lens
-                codes, counts = _unplanes(r["codes"][k].as_py()), _unplanes(r["counts"][k].as_py())
-                rows = pa.ipc.open_stream(r["rows"][k].as_buffer()).read_all().combine_chunks()
-                ends = np.cumsum(counts.astype(np.int64))
-
-                def each(codes=codes, ends=ends, counts=counts, start=start, length=length, ids=ids) -> Iterator[np.ndarray]:
-                    for e, n in zip(ends.tolist(), counts.tolist(), strict=True):
-                        c = codes[e - n : e]
-                        yield ids[ragged(start[c], length[c])]
-
-                out.append(finish(rows, each(), name))
-        return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
+def _taken(codes: np.ndarray, start: np.ndarray, length: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Ids of the words that ``codes`` name, one after the other."""
+    out = [ids[ragged(start[c], length[c])] for k in range(0, len(codes), LONG) for c in (codes[k : k + LONG],)]
+    return out[0] if len(out) == 1 else np.concatenate([*out, np.zeros(0, np.uint32)])
+
+
+def _reassemble(name: str, finish, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                yield from block(*(batch[c][k] for c in ("rows", "counts", "codes", "buckets", "lists")))
+
+    def block(rows, counts, codes, buckets, lists) -> Iterator[pa.RecordBatch]:
+        bucket = _unplanes(buckets.as_py())
+        order = np.argsort(bucket, kind="stable")
+        held = lists.values
+        lens, ids = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint32)]
+        for i in np.argsort(held.field("bucket").to_numpy(zero_copy_only=False)).tolist() if held is not None else ():
+            a = _unplanes(held.field("ids")[i].as_py())
+            lens.append(a[1 : 1 + a[0]])
+            ids.append(a[1 + a[0] :])
+        lens, ids = np.concatenate(lens).astype(np.int64), np.concatenate(ids)
+        if len(lens) != len(bucket):
+            raise ValueError("a block's words and ids differ in number")
+        first = np.cumsum(lens) - lens
+        start, length = np.empty_like(first), np.empty_like(lens)  # by code
+        start[order], length[order] = first, lens
+        codes, n = _unplanes(codes.as_py()), _unplanes(counts.as_py()).astype(np.int64)
+        ends = np.cumsum(n)
+        size = np.concatenate(([0], np.cumsum(np.concatenate([length[codes[k : k + LONG]] for k in range(0, len(codes), LONG)] or [lens[:0]]))))
+        size = size[ends] - size[ends - n]  # ids of each row
+        rows = pa.ipc.open_stream(rows.as_buffer()).read_all().combine_chunks()
+        a = 0
+        while a < len(n):
+            b = max(a + 1, int(np.searchsorted(np.cumsum(size[a:]), SLICE, "right")) + a)
+            docs = [_taken(codes[e - m : e], start, length, ids) for e, m in zip(ends[a:b].tolist(), n[a:b].tolist(), strict=True)]
+            out = finish(rows.slice(a, b - a), docs, name)
+            yield from out.select(names).combine_chunks().to_batches()
+            a = b
 
     return run
 
 
 def _joined(df: DataFrame, text: str, name: str, finish, more: str) -> DataFrame:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     schema = _schema(df.drop(text), more)
-    # the same exchange feeds the word lists and the reassembly
-    blocks = df.mapInArrow(_to_blocks(df.columns.index(text), 4 * n), _BLOCKS).repartition(n, "block")
-    lists = blocks.mapInArrow(_words_of, "block long, bucket int, words binary").repartition(n, "bucket")
-    lists = lists.sortWithinPartitions("bucket").mapInArrow(_encode(name), "block long, bucket int, ids binary")
-    run = _reassemble(name, finish, to_arrow_schema(schema))
-    return blocks.groupBy("block").cogroup(lists.groupBy("block")).applyInArrow(run, schema)
-
-
-def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        block = [x for x, w in zip(b["block"].to_pylist(), b["words"], strict=True) for _ in range(len(w.as_py() or ()))]
-        flat = b["words"].flatten()
-        yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), flat.field("bucket"), flat.field("words")], ["block", "bucket", "words"])
-
-
-def _with_ids(rows: pa.Table, docs: Iterator[np.ndarray], name: str) -> pa.Table:
-    ids = list(docs)
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids])))
+    buckets = min(4 * n, MOST_BUCKETS)
+    blocks = bucketed(df.mapInArrow(_to_blocks(df.columns.index(text), buckets, n), _BLOCKS), "block", n)
+    lists = blocks.select("block", F.explode("words").alias("w")).select("block", "w.bucket", "w.words")
+    lists = lists.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_encode(name), "block long, bucket int, ids binary")
+    lists = lists.groupBy("block").agg(F.collect_list(F.struct("bucket", "ids")).alias("lists"))
+    # a block without a word (of empty texts) has no list
+    both = blocks.drop("words").join(lists, "block", "left").select("rows", "counts", "codes", "buckets", "lists")
+    return both.mapInArrow(_reassemble(name, finish, schema.names), schema)
+
+
+def _with_ids(rows: pa.Table, ids: list[np.ndarray], name: str) -> pa.Table:
+    offsets = np.cumsum([0, *map(len, ids)])
     flat = np.concatenate([*ids, np.zeros(0, np.uint32)])
-    return rows.append_column("ids", pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(flat.astype(np.int32))).cast(pa.list_(pa.int32())))
+    return rows.append_column("ids", pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat.view(np.int32))))
 
 
 def encode_texts(df: DataFrame, text: str = "text", name: str = RANKS) -> DataFrame:
@@ -244,33 +299,33 @@ def encode_texts(df: DataFrame, text: str = "text", name: str = RANKS) -> DataFr
 
     Equal to encoding every match of the pattern separately. Null and empty
     texts give no ids; repeated rows stay repeated; a column ``ids`` is replaced;
-    an empty table gives no rows. Row order is not kept.
+    an empty table gives no rows. Row order is not kept. ``df`` is read when this
+    is called: its blocks are written to the shared folder.
     """
     return _joined(df.drop("ids"), text, name, _with_ids, "ids array<int>")
 
 
 def decode_ids(df: DataFrame, ids: str = "ids", name: str = RANKS) -> DataFrame:
-    """``df`` with ``ids`` replaced by ``bytes``; null ids give no bytes."""
+    """``df`` with ``ids`` replaced by ``bytes``; null ids give no bytes, an empty table no rows; other columns stay but ``bytes`` is replaced."""
+    df = df.select(*[c for c in df.columns if c != "bytes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            at = b.schema.names.index(ids)
-            out = [decode(np.asarray(x.values.to_numpy(zero_copy_only=False), np.int64), name) if x.is_valid else b"" for x in b.column(at)]
-            yield pa.RecordBatch.from_arrays(
-                [*(c for i, c in enumerate(b.columns) if i != at), pa.array(out, pa.binary())], [*(c for c in b.schema.names if c != ids), "bytes"]
-            )
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                b = whole.slice(k, 256)
+                at = b.schema.names.index(ids)
+                out = [decode(x.values.to_numpy(zero_copy_only=False), name) if x.is_valid else b"" for x in b.column(at)]
+                yield pa.RecordBatch.from_arrays(
+                    [*(c for i, c in enumerate(b.columns) if i != at), pa.array(out, pa.binary())], [*(c for c in b.schema.names if c != ids), "bytes"]
+                )
 
     return df.mapInArrow(run, _schema(df.drop(ids), "bytes binary"))
 
 
-def _digests(rows: pa.Table, docs: Iterator[np.ndarray], name: str) -> pa.Table:
-    n, sha, back = [], [], []
-    for ids in docs:
-        n.append(len(ids))
-        sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-        back.append(hashlib.sha256(decode(ids.astype(np.int64), name)).hexdigest())
-    rows = rows.append_column("n_tokens", pa.array(n, pa.int64()))
-    return rows.append_column("ids_sha256", pa.array(sha)).append_column("decoded_sha256", pa.array(back))
+def _digests(rows: pa.Table, ids: list[np.ndarray], name: str) -> pa.Table:
+    rows = rows.append_column("n_tokens", pa.array([len(x) for x in ids], pa.int64()))
+    rows = rows.append_column("ids_sha256", pa.array([hashlib.sha256(x.astype("<u4", copy=False)).hexdigest() for x in ids], pa.string()))
+    return rows.append_column("decoded_sha256", pa.array([_decoded_sha256(x, name) for x in ids], pa.string()))
 
 
 def tokenize_documents(docs: DataFrame, name: str = RANKS) -> DataFrame:
@@ -278,14 +333,16 @@ def tokenize_documents(docs: DataFrame, name: str = RANKS) -> DataFrame:
     return _joined(docs.select("doc_id", "text"), "text", name, _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _training_rows(rows: pa.Table, docs: Iterator[np.ndarray], name: str) -> pa.Table:
-    ids = list(docs)
-    back = [hashlib.sha256(decode(x.astype(np.int64), name)).hexdigest() for x in ids]
-    out = _with_ids(rows, iter(ids), name).append_column("n_tokens", pa.array([len(x) for x in ids], pa.int64()))
-    return out.append_column("decoded_sha256", pa.array(back, pa.string()))
+def _training_rows(rows: pa.Table, ids: list[np.ndarray], name: str) -> pa.Table:
+    out = _with_ids(rows, ids, name).append_column("n_tokens", pa.array([len(x) for x in ids], pa.int64()))
+    return out.append_column("decoded_sha256", pa.array([_decoded_sha256(x, name) for x in ids], pa.string()))
 
 
 def training_rows(docs: DataFrame, text: str = "text", name: str = RANKS) -> DataFrame:
-    """All columns of ``docs`` but ``text``, plus ids, n_tokens and decoded_sha256, the hash of the decoded bytes."""
+    """All columns of ``docs`` but ``text``, plus ids, n_tokens and decoded_sha256, the hash of the decoded bytes.
+
+    Null and empty texts give no ids and the hash of nothing; repeated rows stay
+    repeated; columns of the three names are replaced; an empty table gives no rows.
+    """
     docs = docs.drop("ids", "n_tokens", "decoded_sha256")
     return _joined(docs, text, name, _training_rows, "ids array<int>, n_tokens long, decoded_sha256 string")

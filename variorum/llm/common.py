@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,11 +40,49 @@ def materialize(df: DataFrame) -> DataFrame:
     recomputation of what stands before the table.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = scratch_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: folders written so far, of the innermost :func:`scratch` last
+_written: list[list[str]] = [[]]
+
+
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, which the :func:`scratch` around it removes."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _written[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, every intermediate table written inside.
+
+    Results are lazy and may read those tables: write or collect them before the end.
+    """
+    _written.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _written.pop():
+            there = jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """``df`` written once, and read again as ``buckets`` partitions by Spark's hash of ``key``: joins on ``key`` leave it where it is."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "buckets")
+    name = "variorum_" + path.rpartition("-")[2]
+    df.write.format("parquet").option("path", path).bucketBy(buckets, key).saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # of the catalog alone: the table is external
+    return out
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(a, b)`` longs, undirected, to ``(node, root)``, root the smallest node reachable.
 

@@ -9,6 +9,7 @@ with the white space of Unicode written out.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import cache
 
 import public_tokenizers
@@ -37,3 +38,8 @@ def _odd(text: str) -> bool:
 def pieces(text: str) -> list[str]:
     """Pre-tokens of the text in order; joined they give the text."""
     return (_exact() if _odd(text) else _FAST).findall(text)
+
+
+def each_piece(text: str) -> Iterator[str]:
+    """The same one by one: a very long text need not stand beside all its pieces."""
+    return (m[0] for m in (_exact() if _odd(text) else _FAST).finditer(text))
