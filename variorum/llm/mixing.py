@@ -14,7 +14,8 @@
 
 Only DataFrame functions: one window over (source, shard), whose size is bounded
 by the number of shards that grows with the rows, and small tables of sources
-and of (source, shard) pieces.
+and of (source, shard) pieces. The caller's columns travel in one struct, so that
+no name of theirs can meet a name of ours.
 """
 
 from __future__ import annotations
@@ -99,59 +100,73 @@ def mix(
     rows equal in all three may swap their ``taken``. Null is a source of its own,
     ranked last; rows of size 0 take 0; an empty table gives no rows. The number
     of different sources must fit one task (a table of sources, not of rows).
-    Columns of ``df`` named like the added ones or ``_*`` are replaced.
+    Columns of ``df`` named like the four added ones are replaced; all others stay,
+    also ``source`` and those that begin with ``_``.
+
+    ``rows_per_shard`` is the size of a window's group that is aimed at; beyond
+    ``max_shards`` shards of a source the groups grow instead (4096 shards hold
+    hundreds of millions of rows of a source in groups of 100,000). Neither
+    changes how many words a source gives.
     """
     df = df.drop("size", "source_size", "target", "taken")
-    thin = materialize(df.withColumns({"size": size, "_source": source, "_order": F.xxhash64(F.lit(seed), *order)}))
-    by = thin.groupBy("_source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows"))
-    by = materialize(by.withColumnRenamed("_source", "source"))
-    rows = by.agg(F.sum("_rows")).first()[0] or 0
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    own = materialize(
+        df.select(
+            F.struct(*kept).alias("row"), size.cast("long").alias("size"), source.alias("source"),
+            F.array(*[c.cast("string") for c in order]).alias("order"), F.xxhash64(F.lit(seed), *order).alias("hash"),
+        )
+    )
+    spec = materialize(_spec(own, weights, share, repeats))
+    rows = spec.agg(F.sum("rows")).first()[0] or 0
     shards = max(1, min(max_shards, -(-rows // rows_per_shard)))
+    own = own.withColumn("shard", F.pmod(F.xxhash64("hash"), F.lit(shards)).cast("int"))
+
+    piece = own.groupBy("source", "shard").agg(F.sum("size").alias("words"))
+    before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    piece = piece.withColumn("start", F.coalesce(F.sum("words").over(before), F.lit(0))).withColumnRenamed("source", "s")
+    wide = F.greatest(F.lit(1), F.ceil(F.col("source_size") / (BLOCK * MOST_BLOCKS)))
+    spec = spec.withColumn("wide", wide).withColumn("b", F.col("wide") * BLOCK)
+    spec = spec.withColumn("n", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.col("b"))))
+    spec = spec.withColumn("seats", F.least(F.round(F.col("quota") / F.col("wide")).cast("long"), F.col("n") * repeats))
+    piece = piece.join(spec, F.col("s").eqNullSafe(F.col("source")))
+    first = F.pmod(F.xxhash64(F.lit(seed), "source"), F.col("n"))
+    piece = piece.select("s", F.col("shard").alias("p"), "source_size", "target", "start", "n", F.expr("seats div n").alias("full"),
+                         F.expr("seats % n").alias("r"), first.alias("u"), "b")
+    in_order = Window.partitionBy("source", "shard").orderBy("hash", "order", "size").rowsBetween(Window.unboundedPreceding, 0)
+    out = own.withColumn("end", F.sum("size").over(in_order))
+    out = out.join(piece, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("p")))
+    extra = _chosen_below("(start + end)") - _chosen_below("(start + end - size)")
+    taken = (F.col("size") * F.col("full") + extra).cast("long")
+    return out.select(*[F.col("row")[c].alias(c) for c in df.columns], "size", "source_size", "target", taken.alias("taken"))
+
+
+def _spec(own: DataFrame, weights: tuple[int, ...], share: float, repeats: int) -> DataFrame:
+    """``source, source_size, rows, target, quota`` of each source; windows over all sources see a table of sources."""
+    by = materialize(own.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (rank % len(weights)).cast("int") + 1)
-    spec = targets(by.select("source", weight.alias("weight"), "source_size"), share, repeats)
+    spec = targets(by.withColumn("weight", weight), share, repeats)
     blocks = F.round(F.sum("target").over(Window.partitionBy()) / BLOCK).cast("long")
-    spec = sainte_lague(spec.withColumn("_all", blocks).withColumn("_one", F.lit(1)), ["_one"], ["source"], "target", "_all", "_quota")
-    spec = materialize(spec.select("source", "source_size", "target", "_quota"))
-
-    shard = F.pmod(F.xxhash64("_order"), F.lit(shards)).cast("int")
-    thin = thin.withColumn("_shard", shard)
-    piece = thin.groupBy("_source", "_shard").agg(F.sum("size").alias("_words"))
-    before = Window.partitionBy("_source").orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    piece = piece.withColumn("_at", F.coalesce(F.sum("_words").over(before), F.lit(0)))
-    wide = F.greatest(F.lit(1), F.ceil(F.col("source_size") / (BLOCK * MOST_BLOCKS)))
-    spec = spec.withColumn("_wide", wide).withColumn("_b", F.col("_wide") * BLOCK)
-    spec = spec.withColumn("_n", F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.col("_b"))))
-    spec = spec.withColumn("_seats", F.least(F.round(F.col("_quota") / F.col("_wide")).cast("long"), F.col("_n") * repeats))
-    piece = piece.join(spec, F.col("_source").eqNullSafe(F.col("source")))
-    start = F.pmod(F.xxhash64(F.lit(seed), "source"), F.col("_n"))
-    piece = piece.select("source", F.col("_shard").alias("_s"), "source_size", "target", "_at", "_n",
-                         F.expr("_seats div _n").alias("_full"), F.expr("_seats % _n").alias("_r"),
-                         start.alias("_u"), "_b")
-    in_order = Window.partitionBy("_source", "_shard").orderBy("_order", *order, "size").rowsBetween(Window.unboundedPreceding, 0)
-    out = thin.withColumn("_end", F.sum("size").over(in_order))
-    out = out.join(piece, F.col("_source").eqNullSafe(F.col("source")) & (F.col("_shard") == F.col("_s")))
-    extra = _chosen_below("(_at + _end)") - _chosen_below("(_at + _end - size)")
-    taken = (F.col("size") * F.col("_full") + extra).cast("long")
-    return out.select(*df.columns, "size", "source_size", "target", taken.alias("taken"))
+    spec = spec.withColumns({"all": blocks, "one": F.lit(1)})
+    return sainte_lague(spec, ["one"], ["source"], "target", "all", "quota").select("source", "source_size", "rows", "target", "quota")
 
 
 def _chosen_below(at: str) -> Column:
     """Words of chosen blocks among the first ``at`` words of a source.
 
-    Block j covers words [j * _b, (j + 1) * _b), the last one what is left; it is chosen
-    if (j + _u) * _r div _n rises at j, which happens _r times over _n blocks from any _u.
+    Block j covers words [j * b, (j + 1) * b), the last one what is left; it is chosen
+    if (j + u) * r div n rises at j, which happens r times over n blocks from any u.
     """
-    j = f"({at} div _b)"
-    before = f"(({j} + _u) * _r div _n - _u * _r div _n)"
-    chosen = f"(({j} + _u + 1) * _r div _n > ({j} + _u) * _r div _n)"
-    return F.expr(f"{before} * _b + if({chosen}, {at} - {j} * _b, 0L)")
+    j = f"({at} div b)"
+    before = f"(({j} + u) * r div n - u * r div n)"
+    chosen = f"(({j} + u + 1) * r div n > ({j} + u) * r div n)"
+    return F.expr(f"{before} * b + if({chosen}, {at} - {j} * b, 0L)")
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
     """Digest for ``documents``: doc_id, size, source_size, target, taken. See :func:`mix`."""
-    thin = docs.select("doc_id", F.col("source").alias("src"), words(F.col("text")).alias("n_words"), F.crc32("text").alias("crc"))
-    out = mix(thin, F.col("src"), F.col("n_words"), [F.col("doc_id"), F.col("crc")], **how)
+    thin = docs.select("doc_id", "source", words(F.col("text")).alias("n_words"), F.crc32("text").alias("crc"))
+    out = mix(thin, F.col("source"), F.col("n_words"), [F.col("doc_id"), F.col("crc")], **how)
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -160,11 +175,20 @@ def mixed_rows(docs: DataFrame, seed: int = 17, **how) -> DataFrame:
 
     A row of which the mix takes a fraction is kept or dropped by a seeded draw with
     that chance, so sources hold the taken words on average and no text is cut.
+    Null texts and texts without a word are not taken; a null source is a source of
+    its own; an empty table gives no rows. The mix works on ids, sources, sizes and
+    hashes; texts move once, to meet their number of copies. Rows equal in every
+    column are one row as often as their copies together.
     """
-    sized = docs.withColumns({"_n_words": words(F.col("text")), "_crc": F.crc32("text"), "_doc": F.struct(*docs.columns)})
-    thin = sized.select("_doc", "_n_words", "_crc")
-    out = mix(thin, F.col("_doc.source"), F.col("_n_words"), [F.col("_doc.doc_id"), F.col("_crc")], seed=seed, **how)
-    draw = F.pmod(F.xxhash64(F.lit(seed + 1), "_doc.doc_id", "_crc"), F.lit(1 << 30)) / F.lit(1 << 30)
-    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + draw)).otherwise(0)
-    out = out.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int"))))
-    return out.select("_doc.*")
+    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
+    thin = keyed.select("_row", "doc_id", "source", words(F.col("text")).alias("n_words"), F.crc32("text").alias("crc"))
+    out = mix(thin, F.col("source"), F.col("n_words"), [F.col("doc_id"), F.col("crc")], seed=seed, **how)
+    draw = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "crc"), F.lit(1 << 30)) / F.lit(1 << 30)
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + draw)).otherwise(0).cast("int")
+    copies = out.groupBy(F.col("_row").alias("r"), F.col("doc_id").alias("d")).agg(F.sum(copies).cast("int").alias("copies"), F.count(F.lit(1)).alias("n"))
+    copies = materialize(copies)
+    if copies.where("n > 1").limit(1).count():
+        keyed = keyed.dropDuplicates(["_row", "doc_id"])
+    same = (F.col("_row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d"))
+    found = keyed.join(copies.where("copies > 0").select("r", "d", "copies"), same)
+    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
