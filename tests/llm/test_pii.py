@@ -42,3 +42,49 @@ def test_documents(spark, sf):
     got = {r.doc_id: r for r in pii.pii_documents(docs).collect()}
     for r in docs.collect():
         assert got[r.doc_id].base_sha256 == sha(joined(base_spans(r.text)))
+
+
+def test_many_spans_in_one_text_take_linear_time(spark):
+    import time
+
+    n = 64_000
+    text = " ".join(f"a{i}@b.co" for i in range(n))
+    took = {}
+    for part in (n // 8, n):
+        t = " ".join(text.split(" ")[:part])
+        began = time.time()
+        got = pii.redact(pii.find_pii(rows(spark, [t]))).collect()[0]
+        took[part] = time.time() - began
+        assert len(got.pii) == part and got.text == " ".join(["<EMAIL>"] * part)
+        assert [(s.start, s.end) for s in got.pii] == [(a, b) for _, a, b in base_spans(t)]
+    assert took[n] < 30
+
+
+def test_context_words_stand_whole_on_either_side(spark):
+    far = "x" * pii.CONTEXT_CHARS
+    cases = {
+        "host 1.2.3.4": 1.0, "hostile 1.2.3.4": 0.8, "ghost 1.2.3.4": 0.8, "1.2.3.4 is the server": 1.0, "1.2.3.4 servers": 0.8, "ip1.2.3.4": 1.0,
+        "lorem ipsum 1.2.3.4": 0.8, "hôst ip\n1.2.3.4": 1.0, f"ip {far} 1.2.3.4": 0.8, f"1.2.3.4 {far} ip": 0.8, f"ip{'.' * (pii.CONTEXT_CHARS - 2)}1.2.3.4": 1.0,
+        f"xip{'.' * (pii.CONTEXT_CHARS - 2)}1.2.3.4": 0.8, f"1.2.3.4{' ' * (pii.CONTEXT_CHARS - 2)}ipx": 0.8, f"1.2.3.4{' ' * (pii.CONTEXT_CHARS - 2)}ip": 1.0,
+        "tell +4930123456789": 0.8, "tel +4930123456789": 1.0, "1.2.3.4 x 5.6.7.8 host": 0.8,
+    }
+    got = {r.doc_id: r.pii[0].score for r in pii.find_pii(rows(spark, cases)).collect()}
+    assert {t: got[i] for i, t in enumerate(cases)} == cases
+
+
+def test_redaction_equals_brute_force(spark):
+    rng = random.Random(8)
+    texts = ["".join(rng.choice("012.+ @ab.é") for _ in range(3000)) for _ in range(20)]
+    for r in pii.redact(pii.find_pii(rows(spark, texts))).collect():
+        out, pos = [], 0
+        for s in sorted(r.pii, key=lambda s: (s.start, s.end, s.kind)):
+            if s.start >= pos:
+                out += [texts[r.doc_id][pos : s.start], f"<{s.kind.upper()}>"]
+            pos = max(pos, s.end)
+        assert r.text == "".join(out) + texts[r.doc_id][pos:]
+
+
+def test_clashing_columns_stay(spark):
+    df = spark.createDataFrame([("a@b.co", "T", "r", "p", "e")], "text string, t string, row string, PII string, email string")
+    got = pii.redact(pii.find_pii(df)).collect()[0]
+    assert (got.text, got.t, got.row, got.email, got.pii[0].kind) == ("<EMAIL>", "T", "r", "e", "email")

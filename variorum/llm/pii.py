@@ -1,10 +1,12 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
 Built-in expressions only. Patterns run over the whole text; ``split`` gives what
-stands between the matches, so one fold over (gap, match) yields code-point
-positions. Quantifiers are possessive and starts are guarded, which leaves the
-matches as they are but makes matching linear and free of recursion on very long
-runs of digits or letters.
+stands between the matches, so a fold over (gap, match) yields code-point
+positions. Folds run over ``PART`` matches at a time, each part from its own start:
+an array that grows is copied at every step, so one fold over all matches of a text
+would cost their square. Quantifiers are possessive and starts are guarded, which
+leaves the matches as they are but makes matching linear and free of recursion on
+very long runs of digits or letters.
 """
 
 from __future__ import annotations
@@ -60,26 +62,52 @@ BASE = ("email", "ip", "card", "phone")
 THRESHOLD = 0.5
 CONTEXT_GAIN = 0.3
 CONTEXT_CHARS = 48
+PART = 256  # matches that one fold goes over
 _SPAN = "array<struct<kind:string,start:bigint,end:bigint,score:double>>"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body``, in which ``name`` is ``value``, computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
+
+
+def _parts(array: str) -> str:
+    """SQL for the numbers of the parts of an array; an empty one has one part."""
+    return f"sequence(0, greatest(0, (size({array}) - 1) div {PART}))"
+
+
+def _slice(array: str, part: str) -> str:
+    return f"slice({array}, {part} * {PART} + 1, {PART})"
+
+
 def _spans(kind: Kind, text: str) -> Column:
-    """All confirmed spans of a kind, in order; score is 0 to 1 (1 at most)."""
+    """All confirmed spans of a kind, in order; score is 0 to 1 (1 at most).
+
+    A context word counts where it stands whole within ``CONTEXT_CHARS`` characters
+    before or after the match, up to the kind's next match.
+    """
     pattern = "r'" + kind.pattern.replace("'", "\\'") + "'"
     valid = kind.valid.format(m="x.m").replace("{{", "{").replace("}}", "}")
-    near = f"lower(right(x.g, {CONTEXT_CHARS})) rlike r'(?<![a-z])(?:{kind.context})'"
-    found = f"""
-      aggregate(
-        zip_with(split({text}, {pattern}, -1), regexp_extract_all({text}, {pattern}, 0), (g, m) -> struct(g, m)),
-        named_struct('pos', 0L, 'spans', cast(array() as {_SPAN})),
+    n = CONTEXT_CHARS
+    before = rf"lower(if(length(x.g) > {n}, right(x.g, {n + 1}), concat(' ', x.g))) rlike r'[^\p{{L}}](?:{kind.context})(?:[^\p{{L}}]|$)'"
+    after = rf"lower(if(length(x.h) > {n}, left(x.h, {n + 1}), concat(x.h, ' '))) rlike r'(?:^|[^\p{{L}}])(?:{kind.context})[^\p{{L}}]'"
+    pairs = _let(
+        "gaps", f"split({text}, {pattern}, -1)",
+        f"transform(regexp_extract_all({text}, {pattern}, 0), (m, i) -> struct(get(gaps, i) as g, m as m, get(gaps, i + 1) as h))",
+    )
+    lengths = f"transform({_parts('p')}, c -> aggregate({_slice('p', 'c')}, 0L, (a, x) -> a + length(x.g) + length(x.m)))"
+    starts = f"aggregate({lengths}, array(0L), (a, n) -> concat(a, array(element_at(a, -1) + n)))"
+    fold = f"""
+      aggregate({_slice("p", "c")}, named_struct('pos', get(starts, c), 'spans', cast(array() as {_SPAN})),
         (a, x) -> named_struct(
-          'pos', a.pos + length(x.g) + coalesce(length(x.m), 0),
-          'spans', if(x.m is not null and ({valid}),
+          'pos', a.pos + length(x.g) + length(x.m),
+          'spans', if({valid},
             concat(a.spans, array(named_struct('kind', '{kind.name}', 'start', a.pos + length(x.g),
               'end', a.pos + length(x.g) + length(x.m),
-              'score', least(1.0D, {kind.score}D + if({near}, {CONTEXT_GAIN}D, 0.0D))))),
+              'score', least(1.0D, {kind.score}D + if({before} or {after}, {CONTEXT_GAIN}D, 0.0D))))),
             a.spans)),
         a -> a.spans)"""
+    found = _let("p", pairs, _let("starts", starts, f"flatten(transform({_parts('p')}, c -> {fold}))"))
     kept = found if kind.name in BASE else f"filter({found}, s -> s.score >= {THRESHOLD}D)"
     hint = kind.hint.format(t=text).replace("{{", "{").replace("}}", "}")
     return F.expr(f"case when {hint} then {kept} else cast(array() as {_SPAN}) end")
@@ -91,29 +119,39 @@ def find_pii(df: DataFrame, text: str = "text") -> DataFrame:
     Kinds in the order of ``KINDS``, then by start; positions count code points,
     end exclusive. Base kinds (``BASE``) are confirmed by their checks alone;
     the others also need a score of ``THRESHOLD``. Null and empty texts give an
-    empty array; repeated rows give equal arrays; a column ``pii`` is replaced.
+    empty array; repeated rows give equal arrays; an empty table gives no rows;
+    a column ``pii`` is replaced and every other column stays.
     """
-    names = [f"_pii_{k.name}" for k in KINDS]
-    df = df.drop("pii").withColumn("_t", F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumns({n: _spans(k, "_t") for n, k in zip(names, KINDS, strict=True)})
-    return df.withColumn("pii", F.concat(*names)).drop("_t", *names)
+    kept = [c for c in df.columns if c.lower() != "pii"]
+    row = df.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    row = row.select("row", *[_spans(k, "t").alias(k.name) for k in KINDS])
+    return row.select(*[F.col("row")[c].alias(c) for c in kept], F.concat(*[k.name for k in KINDS]).alias("pii"))
 
 
 def redact(df: DataFrame, text: str = "text") -> DataFrame:
     """``df`` with every span of ``pii`` in ``text`` replaced by its kind in angle brackets.
 
-    Overlapping spans become one replacement, named by the first. Null stays null.
+    Overlapping spans become one replacement, named by the first. Null texts stay
+    null, texts without spans and rows whose ``pii`` is null stay as they are;
+    repeated rows give equal texts; an empty table gives no rows; other columns,
+    ``pii`` among them, are kept.
     """
+    sorted_ = "array_sort(transform(pii, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind)))"
+    ends = f"transform({_parts('p')}, c -> aggregate({_slice('p', 'c')}, 0L, (a, s) -> greatest(a, s.end)))"
+    upto = f"aggregate({ends}, array(0L), (a, e) -> concat(a, array(greatest(element_at(a, -1), e))))"
+    # a part's own piece of the text is cut out first, so that its spans are not looked for from the text's start
+    piece = f"substring({text}, int(get(upto, c) + 1), int(get(upto, c + 1) - get(upto, c)))"
     fold = f"""
-      aggregate(
-        array_sort(transform(pii, s -> named_struct('start', s.start, 'end', s.end, 'kind', s.kind))),
-        named_struct('pos', 0L, 'out', cast(array() as array<string>)),
+      aggregate({_slice("p", "c")}, named_struct('pos', get(upto, c), 'out', cast(array() as array<string>)),
         (a, s) -> named_struct(
           'pos', greatest(a.pos, s.end),
           'out', if(s.start >= a.pos,
-            concat(a.out, array(substring({text}, int(a.pos + 1), int(s.start - a.pos)), concat('<', upper(s.kind), '>'))), a.out)),
-        a -> concat(array_join(a.out, ''), substring({text}, int(a.pos + 1))))"""
-    return df.withColumn(text, F.expr(f"case when size(pii) > 0 then {fold} else {text} end"))
+            concat(a.out, array(substring(piece, int(a.pos - get(upto, c) + 1), int(s.start - a.pos)), concat('<', upper(s.kind), '>'))), a.out)),
+        a -> array_join(a.out, ''))"""
+    parts = f"transform({_parts('p')}, c -> {_let('piece', piece, fold)})"
+    whole = f"concat(array_join({parts}, ''), substring({text}, int(element_at(upto, -1) + 1)))"
+    done = _let("p", sorted_, _let("upto", upto, whole))
+    return df.withColumn(text, F.expr(f"case when size(pii) > 0 then {done} else {text} end"))
 
 
 def pii_documents(docs: DataFrame) -> DataFrame:
@@ -159,9 +197,11 @@ def oracle() -> str:
         n, pattern = k.name, plain[k.name]
         cut.append(f"regexp_split_to_array(t, '{pattern}') AS g_{n}, regexp_extract_all(t, '{pattern}') AS m_{n}")
         before = f"CAST(list_sum(list_transform(g_{n}[1:i], lambda y: length(y))) + coalesce(list_sum(list_transform(m_{n}[1:i - 1], lambda y: length(y))), 0) AS BIGINT)"
-        near = f"regexp_matches(lower(right(x.g, {CONTEXT_CHARS})), '(^|[^a-z])(?:{k.context})')"
+        c = CONTEXT_CHARS
+        near = f"""(regexp_matches(lower(CASE WHEN length(x.g) > {c} THEN right(x.g, {c + 1}) ELSE ' ' || x.g END), '[^\\p{{L}}](?:{k.context})([^\\p{{L}}]|$)')
+          OR regexp_matches(lower(CASE WHEN length(x.h) > {c} THEN left(x.h, {c + 1}) ELSE x.h || ' ' END), '(^|[^\\p{{L}}])(?:{k.context})[^\\p{{L}}]'))"""
         score = f"least(1.0::DOUBLE, {k.score}::DOUBLE + CASE WHEN {near} THEN {CONTEXT_GAIN}::DOUBLE ELSE 0::DOUBLE END)"
-        rows = f"list_transform(range(1, len(m_{n}) + 1), lambda i: {{'g': g_{n}[i], 'm': m_{n}[i], 's': {before}}})"
+        rows = f"list_transform(range(1, len(m_{n}) + 1), lambda i: {{'g': g_{n}[i], 'm': m_{n}[i], 'h': g_{n}[i + 1], 's': {before}}})"
         rows = f"list_transform(list_filter({rows}, lambda x: {valid[n]}), lambda x: {{'k': '{n}', 's': x.s, 'e': x.s + length(x.m), 'w': {score}}})"
         spans.append((rows if n in BASE else f"list_filter({rows}, lambda z: z.w >= {THRESHOLD})") + f" AS s_{n}")
     every = "list_concat(" + ", ".join(f"s_{k}" for k in BASE) + ")"
