@@ -37,3 +37,71 @@ def test_few_languages_and_odd_texts(spark, langs):
     assert all(0 <= r.score <= 1 and r.held_out is not None for r in got)
     if langs:
         assert by[103].lang_pred in langs
+
+
+def plain_features(text):
+    """The same n-grams, one by one, with Python's numbers."""
+    import re
+    from collections import Counter
+
+    letters = re.sub(r"[\W\d_]+", " ", (text or "").lower()).strip()
+    if not letters:
+        return None
+    m1, m2, m3, top = 2654435761, 2246822519, 3266489917, 2**32
+    counts = Counter()
+    c = [ord(x) for x in f" {letters} "]
+    for i in range(len(c)):
+        counts[(c[i] * m1 % top) >> 20] += 1
+        if i + 1 < len(c):
+            two = ((c[i] * m1 % top) ^ (c[i + 1] * m2 % top)) * m1 % top
+            counts[two >> 20] += 1
+        if i + 2 < len(c):
+            counts[((two ^ (c[i + 2] * m3 % top)) * m2 % top) >> 20] += 1
+    size = sum(counts.values()) ** 0.5
+    return {k: n**0.5 / size for k, n in counts.items()}
+
+
+def plain_prediction(model, text):
+    """Family by the largest share of the heads' chances, then the language of the largest product of its pairs' chances."""
+    import math
+
+    x = plain_features(text)
+    if x is None:
+        return "und", 0.0
+    sure = []
+    for w, scale in zip(model.weights.astype(float), model.scale, strict=True):
+        margin = (sum(w[k] * v for k, v in x.items()) + w[-1]) * scale
+        sure.append(1 / (1 + math.exp(-max(-30, min(30, margin)))))
+    nf = len(model.families) if len(model.families) > 1 else 0
+    share = [p / sum(sure[:nf]) for p in sure[:nf]] or [1.0]
+    best = max(range(len(share)), key=lambda i: share[i])
+    family = model.families[best]
+    wins = dict.fromkeys(model.members[family], 1.0)
+    for k, (fam, a, b) in enumerate(model.pairs):
+        if fam == family:
+            wins[a] *= sure[nf + k]
+            wins[b] *= 1 - sure[nf + k]
+    lang = max(wins, key=lambda v: wins[v])
+    return lang, share[best] * wins[lang] / sum(wins.values())
+
+
+def test_predictions_equal_brute_force(spark, sf):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    model = L.fit(docs.where(~L.held_out(F.col("doc_id"), 1, 3)))
+    got = {r.doc_id: r for r in L.identify_documents(docs).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows) and len(model.pairs) >= 1
+    for r in rows:
+        lang, score = plain_prediction(model, r.text)
+        assert got[r.doc_id].lang_pred == lang and abs(got[r.doc_id].score - score) < 1e-4
+
+
+def test_clashing_columns_and_too_many_languages(spark):
+    rows = [(i, "the thing " * 9, "en", "own", 7.0) for i in range(30)] + [(90, "la chose ici " * 9, None, "own", 7.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
+    kept = L.keep_identified(docs).collect()
+    assert {(r.lang_pred, r.score) for r in kept} == {("own", 7.0)} and all(r.lang for r in kept)
+    with pytest.raises(ValueError):
+        L.fit(spark.createDataFrame([(i, "a", f"l{i}") for i in range(4)], "doc_id long, text string, lang string"), most_langs=3)

@@ -83,6 +83,12 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     return out
 
 
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df``, written and counted, to be broadcast if it has at most ``most`` rows; else joins are left to Spark."""
+    df = materialize(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(a, b)`` longs, undirected, to ``(node, root)``, root the smallest node reachable.
 

@@ -17,10 +17,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIMS = 2048
+from .common import small
+
+DIMS = 4096
 PER_LANG = 400  # training documents of a language at most, as an expected number
 SNIPPET = 48  # characters of the short extra example cut from each training document
 UNDETERMINED = "und"
+MOST_LANGS = 512  # values of ``lang`` that a model is fitted for; a column of more holds no languages
 MIN_SCORE = 0.2  # below it a text fits no known language
 
 #: fixed values: families by language code; a code that is not listed is a family of its own
@@ -57,7 +60,7 @@ def features(text: str | None) -> np.ndarray | None:
         three = (two[:-1] ^ (c[2:] * _MULT[2])) * _MULT[1]
         for h, n in ((one, 1), (two, 2), (three, 3)):
             h = h[max(0, skip - n + 1) :]
-            counts += np.bincount(h >> np.uint32(21), minlength=DIMS)
+            counts += np.bincount(h >> np.uint32(20), minlength=DIMS)
     v = np.sqrt(counts)
     return v / np.linalg.norm(v)
 
@@ -129,9 +132,10 @@ def train(x: np.ndarray, langs: list[str]) -> Model:
     heads, scales = [], []
 
     def head(rows: np.ndarray, y: np.ndarray) -> None:
-        w = _svm(x[rows], y)
+        seen = x[rows].astype(np.float32)  # the only whole copy beside the sample of 16 bits
+        w = _svm(seen, y)
         heads.append(w)
-        scales.append(_platt(x[rows] @ w[:-1] + w[-1], y))
+        scales.append(_platt(seen @ w[:-1] + w[-1], y))
 
     if len(m.families) > 1:
         for f in m.families:
@@ -153,7 +157,7 @@ def sample_by_hash(df: DataFrame, key: Column, stratum: str, cap: int) -> DataFr
     """
     sizes = df.groupBy(stratum).count().withColumn("_share", F.least(F.lit(1.0), F.lit(float(cap)) / F.col("count")))
     unit = F.pmod(F.xxhash64(F.lit(7), key), F.lit(1 << 30)) / F.lit(1 << 30)
-    return df.join(F.broadcast(sizes.drop("count")), stratum).where(unit < F.col("_share"))
+    return df.join(small(sizes.drop("count")), stratum).where(unit < F.col("_share"))
 
 
 def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,18 +179,21 @@ def held_out(doc_id: Column, fold: int, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> Model:
     """Model of the languages in ``lang`` over (doc_id, text, lang); null texts and languages are left out.
 
-    ``per_lang`` bounds what the driver gets: two 4 KB vectors a document.
-    Without a labelled row the model knows no language.
+    ``per_lang`` bounds what the driver gets: two vectors of 8 KB a document, of at
+    most ``most_langs`` languages; more raise a ValueError, as no model of theirs
+    would fit the driver. Without a labelled row the model knows no language.
     """
     rows = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    if rows.select("lang").distinct().limit(most_langs + 1).count() > most_langs:
+        raise ValueError(f"lang holds more than {most_langs} values")
     picked = sample_by_hash(rows, F.col("doc_id"), "lang", per_lang).select("text", "lang")
     got = sorted((r[0], bytes(r[1])) for r in picked.mapInArrow(_examples, "lang string, x binary").collect())
     if not got:
         return Model()
-    x, langs = np.empty((len(got), DIMS), np.float32), [r[0] for r in got]
+    x, langs = np.empty((len(got), DIMS), np.float16), [r[0] for r in got]
     for k in range(len(got)):
         x[k], got[k] = np.frombuffer(got[k][1], np.float16), None
     return train(x, langs)
@@ -227,11 +234,16 @@ def _schema(df: DataFrame, more: str):
 def keep_identified(docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
     """Rows of ``docs`` (doc_id, text, lang and more) whose language is found with a score of ``least`` or more.
 
-    A null ``lang`` is filled with what was found; other values stay.
+    A null ``lang`` is filled with what was found; other values stay. Null and empty
+    texts and texts without a letter go, as do all where no language can be learned;
+    repeated rows stay repeated; an empty table gives no rows. Further columns stay,
+    also those named ``lang_pred`` or ``score``.
     """
     model = fit(docs.select("doc_id", "text", "lang").where(~held_out(F.col("doc_id"), 1, 3)))
-    found = predict(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
-    return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    # numbered names can't meet the added ones
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    found = predict(docs.toDF(*own.values()), model, own["text"]).where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= least))
+    return found.withColumn(own["lang"], F.coalesce(own["lang"], "lang_pred")).select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:

@@ -55,7 +55,7 @@ NAMES = (
 
 
 def tokens(text: str) -> list[str]:
-    """Lower-case words of letters; a token broken by digits or signs inside is read as meant (``st*pid`` stays apart, ``1d10t`` does not)."""
+    """Lower-case words of letters."""
     return _LETTERS.findall(text.lower())
 
 
@@ -84,8 +84,8 @@ class Weights(dict):
         return value
 
 
-def _marks(text: str) -> tuple[np.ndarray, list[float]]:
-    """Where words are broken by signs or digits, and counts of what characters alone show."""
+def _marks(text: str) -> tuple[int, np.ndarray, np.ndarray, list[float]]:
+    """How often words are broken by signs or digits, starts and ends of what holds such breaks between white space, and counts of what characters alone show."""
     c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
     k = _CLASS[np.minimum(c, _BEYOND - 1)]
     far = np.flatnonzero(c >= _BEYOND)
@@ -103,7 +103,9 @@ def _marks(text: str) -> tuple[np.ndarray, list[float]]:
     marked = int((letter[:-2] & mark[1:-1] & mark[2:]).sum()) if len(k) > 2 else 0
     run = (c[:-2] == c[1:-1]) & (c[1:-1] == c[2:]) & letter[:-2] if len(k) > 2 else np.zeros(0, bool)
     long = int((run & ~np.concatenate(([False], run[:-1]))).sum()) if len(run) else 0
-    return end[broken], [int(upper.sum()), shouted, int(mark.sum() + (k == JOINS).sum()), marked, long, int((k == DIGIT).sum())]
+    spaces = np.concatenate(([-1], np.flatnonzero(k == SPACE), [len(k)]))
+    at = np.unique(np.searchsorted(spaces, end[broken]))  # one broken twice counts once
+    return len(broken), spaces[at - 1] + 1, spaces[at], [int(upper.sum()), shouted, int(mark.sum() + (k == JOINS).sum()), marked, long, int((k == DIGIT).sum())]
 
 
 def _words_before(text: str, lower: str, places: list[int]) -> list[int]:
@@ -125,14 +127,9 @@ def features(text: str | None, weights: Weights) -> list[float]:
     some = [i for i, v in enumerate(found) if v]
     hits = [(i, words[i], found[i]) for i in some if found[i][0] or found[i][1]]
     you = np.array([i for i in some if found[i][2]])
-    broken, (capitals, shouted, signs, marked, long, digits) = _marks(text)
+    broken, starts, ends, (capitals, shouted, signs, marked, long, digits) = _marks(text)
     hidden = []
-    for m in broken.tolist():  # obfuscated spellings count as the word they spell
-        a, b = m, m
-        while a > m - 32 and a and not text[a - 1].isspace():
-            a -= 1
-        while b < m + 32 and b < len(text) and not text[b].isspace():
-            b += 1
+    for a, b in zip(starts.tolist(), ends.tolist(), strict=True):  # obfuscated spellings count as the word they spell
         meant = "".join(_LETTERS.findall(text[a:b].lower().translate(_LEET)))
         if meant in SEED or weights.lexicon.get(meant, 0.0) >= 2:
             hidden.append((a, meant))
@@ -151,7 +148,7 @@ def features(text: str | None, weights: Weights) -> list[float]:
     return [
         np.log1p(len(words)), len(hits) / n, own / n, len(hits), own, max((max(v[:2]) for _, _, v in hits), default=0.0),
         len({w for _, w, _ in hits}), seeds / n, seeds, stem / n, near / n, near, len(you) / n, capitals / n_chars, shouted / n,
-        text.count("!") / n, text.count("?") / n, signs / n_chars, marked / n, len(broken) / n, long / n, digits / n_chars,
+        text.count("!") / n, text.count("?") / n, signs / n_chars, marked / n, broken / n, long / n, digits / n_chars,
         sum(map(len, words)) / n,
     ]
 
@@ -169,7 +166,7 @@ def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for b in batches:
         for t, y in zip(b["text"], b["toxic"].to_pylist(), strict=True):
-            seen[y].update({k for w in set(tokens(t.as_py() or "")) if len(w) < 40 for k in keys(w)})
+            seen[y].update({k for w in set(tokens(t.as_py() or "")) for k in keys(w)})
             if len(seen[0]) + len(seen[1]) > 400_000:
                 yield out()
                 seen = (Counter(), Counter())
