@@ -1,9 +1,11 @@
 import zlib
 
 import numpy as np
+import public_tokenizers
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from variorum.llm import token_files as T
 
@@ -20,8 +22,13 @@ def test_blocks_are_read_alone():
     assert len(T.pack(ids)) < 2.2 * len(ids)
 
 
+def library():
+    """The library's tokenizer as the file gives it."""
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def brute(rows):
-    t = T.tokenizer(T.VOCABULARY)
+    t = library()
     out, at = [], 0
     for i, text in sorted(rows):
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
@@ -38,7 +45,7 @@ def test_documents(spark, sf):
 @pytest.mark.parametrize("segment", [3, 1 << 18])
 def test_odd_tables(spark, monkeypatch, segment, tmp_path):
     monkeypatch.setattr(T, "SEGMENT", segment)
-    rows = [(9, None), (2, ""), (4, "it's 9² Ⅷ _x_ é\x1c z" * 500), (7, "<|endoftext|>"), (-3, "word " * 30000), (11, "日本 " * 99)]
+    rows = [(9, None), (2, ""), (4, "it's 9² Ⅷ _x_ é\x1c z" * 500), (7, "a <|endoftext|> b<|endoftext|><|endoftext|>x<|endoftext"), (-3, "word " * 30000), (11, "日本 " * 99)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, part int")
     assert sorted(map(tuple, T.token_files_of_documents(df).collect())) == brute(rows)
     assert not T.token_files_of_documents(df.limit(0)).collect()
@@ -54,8 +61,12 @@ def whole(words, texts):
     return [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])]
 
 
-@given(st.lists(st.text("ab'sé \n\t\0\x1c\xa0.9²日", max_size=25), min_size=1, max_size=8))
+@given(st.lists(st.lists(st.one_of(st.text("ab'sé \n\t\0\x1c\xa0.9²日<|", max_size=25), st.just("<|endoftext|>"))).map("".join), min_size=1, max_size=8))
 def test_encoding_equals_the_library(texts):
-    t, words = T.tokenizer(T.VOCABULARY), T.Words()
+    t, words = library(), T.Words()
     for _ in range(2):  # from scratch, then by memory
         assert whole(words, texts) == [[*t.encode(x, add_special_tokens=False).ids, 0] for x in texts]
+
+
+def test_added_tokens_are_the_librarys():
+    assert whole(T.Words(), ["a <|endoftext|> b"]) == [[64, 220, 50256, 275, 0]]

@@ -13,8 +13,8 @@ of the id; totals of the written parts give every document's global start.
 from __future__ import annotations
 
 import os
+import re
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import ragged
-from .common import shared_dir
+from .common import scratch_path
 from .pretoken import pieces
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -131,9 +131,23 @@ def tokenizer(name: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True  # their strings in a text are ordinary text
-    return t
+    return Tokenizer.from_file(public_tokenizers.path(name))
+
+
+@cache
+def added(name: str) -> re.Pattern | None:
+    """Tokens that the library takes out of a text before it splits the rest, as one group."""
+    found = sorted((x.content for x in tokenizer(name).get_added_tokens_decoder().values()), key=lambda x: (-len(x), x))
+    return re.compile(f"({'|'.join(map(re.escape, found))})") if found else None
+
+
+@cache
+def token_lengths(name: str) -> np.ndarray:
+    """Bytes of each token by id: the vocabulary writes a byte as one character."""
+    words = tokenizer(name).get_vocab(with_added_tokens=False)
+    out = np.zeros(max(words.values(), default=0) + 1, np.int64)
+    out[list(words.values())] = [len(w) for w in words]
+    return out
 
 
 def _appended(a: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
@@ -163,9 +177,12 @@ class Words(dict):
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id, and how many each has."""
-        parts = []
+        parts, special = [], added(self.name)
         for x in texts:
-            split = pieces(x)
+            if special and special.search(x):  # odd parts are the added tokens
+                split = [w for i, part in enumerate(special.split(x)) for w in ([part] if i % 2 else pieces(part))]
+            else:
+                split = pieces(x)
             split.append("")
             parts.append(np.fromiter(map(self.__getitem__, split), np.int64, len(split)))
         if self.new:
@@ -175,21 +192,25 @@ class Words(dict):
         return self.ids[ragged(self.start[codes], lens)], np.add.reduceat(lens, np.cumsum([0, *map(len, parts[:-1])]))
 
     def learn(self) -> None:
-        """Encode what is new. Words of the shape " letters" go in one text, which splits into just these words again."""
+        """Encode what is new. Words of the shape " letters" go in one text, which splits into just these words again;
+        ids are told apart by the bytes that they stand for."""
         t = tokenizer(self.name)
         plain = np.array([w[0] == " " and w[1:].isalpha() for w in self.new])
         words = [w for w, p in zip(self.new, plain, strict=True) if p]
-        e = t.encode("".join(words), add_special_tokens=False)
-        of = np.array(e.word_ids, np.int64)
-        if words and of[-1] + 1 != len(words):
-            plain[:], of, e = False, np.zeros(0, np.int64), t.encode("", add_special_tokens=False)
+        joined = "".join(words)
+        ends = np.cumsum(list(map(len, words)) if joined.isascii() else [len(w.encode()) for w in words], dtype=np.int64)
+        flat = np.array(t.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+        to = np.cumsum(token_lengths(self.name)[flat])
+        last = np.searchsorted(to, ends)
+        if len(to) and (to[-1] != ends[-1] or (to[last] != ends).any()):
+            plain[:], flat, last = False, flat[:0], last[:0]
         rest = t.encode_batch_fast([w for w, p in zip(self.new, plain, strict=True) if not p], add_special_tokens=False)
         lens, start = np.zeros(len(self.new), np.int64), np.empty(len(self.new), np.int64)
-        lens[plain] = np.bincount(of, minlength=int(plain.sum()))
+        lens[plain] = np.diff(last + 1, prepend=0)
         lens[~plain] = [len(x.ids) for x in rest]
         start[plain] = np.cumsum(lens[plain]) - lens[plain]
-        start[~plain] = np.cumsum(lens[~plain]) - lens[~plain] + len(e.ids)
-        ids = np.concatenate((np.array(e.ids, np.uint32), *(np.array(x.ids, np.uint32) for x in rest)))
+        start[~plain] = np.cumsum(lens[~plain]) - lens[~plain] + len(flat)
+        ids = np.concatenate((flat, *(np.array(x.ids, np.uint32) for x in rest)))
         done = len(self) - len(self.new)
         self.start = _appended(self.start, done, start + self.used)
         self.lens = _appended(self.lens, done, lens)
@@ -259,7 +280,11 @@ def write_tokens(df: DataFrame, path: str, name: str = VOCABULARY) -> None:
 
 
 def read_tokens(spark: SparkSession, path: str, finish, schema: str) -> DataFrame:
-    """Rows that ``finish(doc_ids, starts, list of ids)`` makes, as Arrow arrays, of each segment under ``path``."""
+    """Rows that ``finish(doc_ids, starts, list of ids)`` makes, as Arrow arrays, of each segment under ``path``.
+
+    Repeated and null doc_ids come back as they were written, documents without ids
+    not at all (each holds an end id); files without a segment give no rows.
+    """
     files = spark.read.schema(_SEGMENT).parquet(path)
     totals = sorted(tuple(r) for r in files.groupBy("part").agg(F.sum("n_ids")).collect())  # as many as write tasks
     ends = np.cumsum([n for _, n in totals], dtype=np.int64)
@@ -296,8 +321,12 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def token_files_of_documents(docs: DataFrame, path: str | None = None, name: str = VOCABULARY) -> DataFrame:
-    """Digest read back from the files: doc_id, start, n_tokens, ids_crc32. ``path`` defaults to a new shared folder."""
+    """Digest read back from the files: doc_id, start, n_tokens, ids_crc32. ``path`` defaults to a new shared folder.
+
+    Null texts are empty and hold the end id alone; rows of equal id keep all their
+    copies, null ids come first; an empty table gives no rows; other columns are not read.
+    """
     spark = docs.sparkSession
-    path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    path = path or scratch_path(spark, "tokens")
     write_tokens(docs, path, name)
     return read_tokens(spark, path, _digest, "doc_id long, start long, n_tokens long, ids_crc32 long")
