@@ -66,3 +66,14 @@ def components(ids, linked):
         a, b = find(a), find(b)
         root[max(a, b)] = min(a, b)
     return {i: find(i) for i in ids}
+
+
+def jaccard5(a, b):
+    """Similarity of the sets of five-word shingles (fewer words: the whole text)."""
+
+    def grams(text):
+        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    a, b = grams(a), grams(b)
+    return len(a & b) / max(1, len(a | b))

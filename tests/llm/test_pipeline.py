@@ -4,8 +4,9 @@ from collections import Counter
 import corpus_pipeline as P
 from variorum.llm import bpe
 from variorum.llm.common import materialize
+from variorum.llm.simhash import RADIUS as simhash_radius
 
-from .brute import base_spans, components, simhash
+from .brute import base_spans, components, jaccard5, simhash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,10 +24,22 @@ def test_stages_on_documents(spark):
 
     ids = sorted(rows)
     v = np.array([simhash(rows[i].text) for i in ids], np.uint64)
-    near = np.argwhere(np.triu(np.bitwise_count(v[:, None] ^ v[None]) <= 2, 1))
-    want = components(ids, [(ids[a], ids[b]) for a, b in near])
+    near = np.argwhere(np.triu(np.bitwise_count(v[:, None] ^ v[None]) <= simhash_radius, 1))
+    plain = {i: " ".join(rows[i].text.split()).lower() for i in ids}
+    links = [(ids[a], ids[b]) for a, b in near if plain[ids[a]] == plain[ids[b]] or jaccard5(rows[ids[a]].text, rows[ids[b]].text) >= 0.8]
+    want = components(ids, links)
     single = materialize(stages["simhash_dedup"](spark, known, sf))
-    assert sorted(r.doc_id for r in single.collect()) == sorted(set(want.values()))
+    left = sorted(r.doc_id for r in single.collect())
+    assert left == sorted(set(want.values()))
+    # no pair of five-word similarity 0.8 or more is left, whatever its fingerprints
+    seen, close = {}, set()
+    for i in left:
+        w = rows[i].text.lower().split()
+        for g in {tuple(w[k : k + 5]) for k in range(len(w) - 4)}:
+            others = seen.setdefault(g, [])
+            close |= {(j, i) for j in others} if len(others) < 50 else set()
+            others.append(i)
+    assert not [p for p in close if jaccard5(rows[p[0]].text, rows[p[1]].text) >= 0.8]
 
     clean = materialize(stages["pii"](spark, single, sf))
     got = {r.doc_id: r for r in clean.collect()}

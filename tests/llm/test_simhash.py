@@ -3,7 +3,7 @@ import numpy as np
 from variorum.llm import simhash as S
 from variorum.llm.common import connected_components
 
-from .brute import components, simhash
+from .brute import components, jaccard5, simhash
 
 
 def check(got, texts):
@@ -44,3 +44,62 @@ def test_links_over_cut_tiles(spark, monkeypatch):
 def test_components_of_long_chain(spark):
     got = connected_components(spark.createDataFrame([(i, i + 1) for i in range(300)] + [(900, 901), (5, 5)], "a long, b long"))
     assert {r.node: r.root for r in got.collect()} == {**{i: 0 for i in range(301)}, 900: 900, 901: 900}
+
+
+def similar(rows):
+    """Component of each row: equal but for case and space, or Jaccard similarity of 0.8 or more and fingerprints within the radius."""
+    v = np.array([simhash(t) for _, t in rows], np.uint64)
+    near = np.argwhere(np.triu(np.bitwise_count(v[:, None] ^ v[None]) <= S.RADIUS, 1))
+    plain = [" ".join((t or "").encode().lower().decode().split(None)) if t and t.isascii() else t or "" for _, t in rows]
+    links = [(a, b) for a, b in near if plain[a] == plain[b] or jaccard5(rows[a][1], rows[b][1]) >= 0.8]
+    return components(range(len(rows)), links)
+
+
+def words(rng, n):
+    return [f"w{rng.integers(3000)}" for _ in range(n)]
+
+
+def check_similar(spark, rows):
+    got = S.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = similar(rows)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        least[want[k]] = min(least.get(want[k], i), i)
+    assert sorted((r.id, r.component_id) for r in got) == sorted((i, least[want[k]]) for k, (i, _) in enumerate(rows))
+
+
+def edited_copies(seed=3):
+    rng, rows = np.random.default_rng(seed), []
+    for g in range(6):
+        base = words(rng, 150)
+        for _ in range(25):
+            own = list(base)
+            for k in rng.integers(0, 150, rng.integers(0, 6)):
+                own[k] = "edit"
+            rows.append(" ".join(own))
+        rows.append(" ".join(base).upper() + " ")
+    rows += [" ".join(words(rng, 80)) for _ in range(60)] + ["", None, " ", "one", "ONE", "a b c d e", "a b c d f"]
+    return list(enumerate(rows, 10))
+
+
+def test_similar_documents_equal_brute_force(spark):
+    check_similar(spark, edited_copies())
+
+
+def test_many_candidates_are_joined_round_by_round(spark, monkeypatch):
+    monkeypatch.setattr(S, "FEW", 20)
+    monkeypatch.setattr(S, "CHUNK", 16)
+    check_similar(spark, edited_copies(4))
+
+
+def test_similar_documents_of_the_table(spark, sf):
+    check_similar(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
+
+
+def test_one_row_of_a_component_stays_whatever_the_columns(spark):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(7, text, 1, 2, 3, 4), (5, text + " more", 1, 2, 3, 4), (5, text + " more", 1, 2, 3, 4), (None, text, 9, 9, 9, 9), (8, "other", 1, 1, 1, 1), (None, "lone", 0, 0, 0, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, id int, row int, _row int, component_id int")
+    got = S.drop_near_duplicates(df)
+    assert got.columns == df.columns and sorted(map(tuple, got.collect()), key=str) == sorted([rows[1], rows[4], rows[5]], key=str)
+    assert not S.drop_near_duplicates(df.limit(0)).collect()

@@ -89,6 +89,26 @@ def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def unlike(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it as long as ``df`` has such a column."""
+    while name.lower() in map(str.lower, df.columns):
+        name = f"_{name}"
+    return name
+
+
+def join_skewed(rows: DataFrame, keyed: DataFrame, on: list[str], hot: int = 1000) -> DataFrame:
+    """Inner join of ``rows`` with ``keyed``, which holds each key once with ``n``, its number of rows (dropped).
+
+    Keys with at least one in ``hot`` of all rows (at most ``hot`` keys) are
+    broadcast, so that no task gathers their rows; the others meet by shuffle.
+    """
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    often = F.col("n") * hot >= total
+    few = F.broadcast(keyed.where(often).drop("n"))
+    rest = rows.join(few.select(*on), on, "left_anti").join(keyed.where(~often).drop("n"), on)
+    return rows.join(few, on).unionByName(rest)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``(a, b)`` longs, undirected, to ``(node, root)``, root the smallest node reachable.
 

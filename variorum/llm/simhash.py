@@ -10,24 +10,30 @@
 4. Each pair of chunks is compared whole with numpy exclusive-or and bit counts,
    and gives a spanning forest of its links rather than the links.
 5. Connected components over the forests; ids join back by fingerprint.
+
+:func:`similar_documents` asks for more than close fingerprints: a wider radius
+proposes pairs of texts, and the Jaccard similarity of their word shingles decides.
+At such a radius population counts rule out little, so tiles are whole ones.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, materialize
+from .common import connected_components, join_skewed, materialize, small, unlike
 
 SEED = 42
-WORDS = 4  # 16-bit words whose population counts name a tile
+WORDS = 4  # equal words of a fingerprint whose population counts name a tile
 CHUNK = 4096  # nodes of a tile that one comparison holds at most, on average
-BLOCK = 512  # rows of a comparison at once
+BLOCK = 128  # rows of a comparison at once
+FEW = 100_000  # candidates of a chunk pair that are all checked; of more, spanning forests are, round by round
+SIMILAR, RADIUS, SHINGLE = 0.8, 12, 5  # of similar documents: Jaccard similarity over shingles of so many words, bits of a candidate
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -100,13 +106,17 @@ def _close(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> Iter
             yield i + k, j if same else j + len(left)
 
 
+def _fps(cell: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), np.int64).view(np.uint64)
+
+
 def _compare(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = [], []
             for x, y, same in zip(batch["x"], batch["y"], batch["same"].to_pylist(), strict=True):
-                left = np.frombuffer(x.as_buffer(), np.int64).view(np.uint64)
-                right = left if same else np.frombuffer(y.as_buffer(), np.int64).view(np.uint64)
+                left = _fps(x)
+                right = left if same else _fps(y)
                 names = left if same else np.concatenate((left, right))
                 node, root = forest(len(names), _close(left, right, radius, same))
                 a.append(names[node])
@@ -118,46 +128,67 @@ def _compare(radius: int):
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """array<long> to bytes, so that a chunk stays one buffer from here on."""
+    """array<struct<node, fp>> to bytes, so that a chunk stays two buffers from here on."""
     for b in batches:
-        packed = [np.asarray(x.values.to_numpy(), np.int64).tobytes() for x in b["fps"]]
-        yield pa.RecordBatch.from_arrays([b["tile"], b["chunk"], pa.array(packed, pa.binary())], ["tile", "chunk", "fps"])
+        cells = [[np.asarray(x.values.field(k).to_numpy(), np.int64).tobytes() for x in b["rows"]] for k in ("node", "fp")]
+        yield pa.RecordBatch.from_arrays([b["tile"], b["chunk"], *(pa.array(c, pa.binary()) for c in cells)], ["tile", "chunk", "nodes", "fps"])
 
 
-def _steps(radius: int) -> list[tuple[int, int]]:
-    """Tile differences (packed in base 64) that a radius allows, one of each two opposite ones; with their sizes."""
+def _steps(radius: int, words: int) -> list[tuple[int, int]]:
+    """Tile differences (packed in base 65) that a radius allows, one of each two opposite ones."""
     out = []
-    for d in itertools.product(range(-radius, radius + 1), repeat=WORDS):
-        if sum(map(abs, d)) <= radius and d >= (0,) * WORDS:
-            out.append(sum(x * 64**i for i, x in enumerate(reversed(d))))
+    for d in itertools.product(range(-radius, radius + 1), repeat=words):
+        if sum(map(abs, d)) <= radius and d >= (0,) * words:
+            out.append(sum(x * 65**i for i, x in enumerate(reversed(d))))
     return out
 
 
-def links_between(nodes: DataFrame, radius: int) -> DataFrame:
-    """Distinct ``fp`` longs to ``(a, b)``: forests of all links at ``radius`` or fewer bits."""
-    width = 64 // WORDS
-    tile = sum(
-        (F.bit_count(F.shiftrightunsigned("fp", width * i).bitwiseAND(2**width - 1)) * 64**i for i in range(WORDS)),
-        F.lit(0),
-    )
+def chunks_of(nodes: DataFrame, words: int = WORDS, size: int | None = None) -> DataFrame:
+    """``node, fp`` longs to ``tile, chunk, nodes, fps``: packed chunks of the tiles, written."""
+    width = 64 // words
+    word = (lambda i: F.shiftrightunsigned("fp", width * i).bitwiseAND(2**width - 1)) if words > 1 else lambda i: F.col("fp")
+    tile = sum((F.bit_count(word(i)) * 65**i for i in range(words)), F.lit(0))
     tiled = nodes.withColumn("tile", tile.cast("long"))
     # at most 17 ** 4 tiles: safe to broadcast whatever the input
-    sizes = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
-    chunk = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
-    chunks = (
-        tiled.join(F.broadcast(sizes), "tile")
-        .groupBy("tile", chunk.alias("chunk"))
-        .agg(F.collect_list("fp").alias("fps"))
-        .mapInArrow(_pack, "tile long, chunk int, fps binary")
-    )
-    chunks = materialize(chunks)
-    near = F.explode(F.array(*[F.lit(s).cast("long") for s in _steps(radius)])).alias("step")
-    x = chunks.select(F.col("tile").alias("xt"), F.col("chunk").alias("xc"), F.col("fps").alias("x"), near)
-    x = x.withColumn("tile", F.col("xt") + F.col("step"))
-    pairs = x.join(chunks, "tile").where("xt <> tile or xc <= chunk")
-    same = F.expr("xt = tile and xc = chunk")
-    pairs = pairs.select("x", F.when(~same, F.col("fps")).alias("y"), same.alias("same"))
-    return pairs.mapInArrow(_compare(radius), "a long, b long")
+    sizes = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / (size or CHUNK)).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    chunks = tiled.join(F.broadcast(sizes), "tile").groupBy("tile", chunk.alias("chunk")).agg(F.collect_list(F.struct("node", "fp")).alias("rows"))
+    return materialize(chunks.mapInArrow(_pack, "tile long, chunk int, nodes binary, fps binary"))
+
+
+def pairs_of(chunks: DataFrame, radius: int, words: int = WORDS) -> DataFrame:
+    """``xt, xc, yt, yc``: tile and chunk of both sides of every pair that a link may join."""
+    keys = chunks.select("tile", "chunk")
+    near = F.explode(F.array(*[F.lit(s).cast("long") for s in _steps(radius, words)])).alias("step")
+    x = keys.select(F.col("tile").alias("xt"), F.col("chunk").alias("xc"), near).withColumn("yt", F.col("xt") + F.col("step"))
+    y = keys.select(F.col("tile").alias("yt"), F.col("chunk").alias("yc"))
+    return x.join(y, "yt").where("xt <> yt or xc <= yc").select("xt", "xc", "yt", "yc")
+
+
+def with_chunks(pairs: DataFrame, chunks: DataFrame, *cells: str) -> DataFrame:
+    """Pairs with the chunks' ``cells`` (those of the left as ``x_``, of the right as ``y_``; null there if it is the same), dealt by pair."""
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = chunks.select(F.col("tile").alias("xt"), F.col("chunk").alias("xc"), *[F.col(c).alias(f"x_{c}") for c in cells])
+    y = chunks.select(F.col("tile").alias("yt"), F.col("chunk").alias("yc"), *[F.col(c).alias(f"y_{c}") for c in cells])
+    same = F.expr("xt = yt and xc = yc")
+    both = pairs.join(x, ["xt", "xc"]).join(y, ["yt", "yc"]).withColumn("same", same)
+    both = both.withColumns({f"y_{c}": F.when(~same, F.col(f"y_{c}")) for c in cells})
+    return both.repartition(n, "xt", "xc", "yt", "yc")
+
+
+def links_between(nodes: DataFrame, radius: int) -> DataFrame:
+    """Distinct ``fp`` longs to ``(a, b)``: forests of all links at ``radius`` or fewer bits."""
+    chunks = chunks_of(nodes.select(F.col("fp").alias("node"), "fp"))
+    both = with_chunks(pairs_of(chunks, radius), chunks, "fps")
+    return both.select(F.col("x_fps").alias("x"), F.col("y_fps").alias("y"), "same").mapInArrow(_compare(radius), "a long, b long")
+
+
+def _named(rows: DataFrame, nodes: DataFrame, key: list[str], node: str, edges: DataFrame) -> DataFrame:
+    """``rows`` plus ``component_id``; ``nodes`` hold ``key``, ``node``, ``least`` id and ``n`` rows of each node."""
+    comp = connected_components(edges).withColumnRenamed("node", node)
+    found = nodes.join(comp, node, "left").withColumn("root", F.coalesce("root", node))
+    least = found.groupBy("root").agg(F.min("least").alias("component_id"))
+    return join_skewed(rows, materialize(found.join(least, "root").select(*key, "component_id", "n")), key)
 
 
 def near_duplicates(
@@ -171,29 +202,204 @@ def near_duplicates(
     table gives no rows. Other columns of ``df`` are not read.
     """
     rows = materialize(fingerprints(df, row_id, text, shingle, carry))
-    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")))
-    comp = connected_components(links_between(nodes.select("fp"), radius))
-    comp = comp.withColumnRenamed("node", "fp")
-    nodes = nodes.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = nodes.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("id", *carry, "fp", "component_id")
+    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
+    edges = links_between(nodes.select("fp"), radius)
+    return _named(rows, nodes.withColumn("node", F.col("fp")), ["fp"], "node", edges).select("id", *carry, "fp", "component_id")
+
+
+def shingles(text: str | None, words: int = SHINGLE) -> np.ndarray:
+    """Sorted hashes of the different word shingles, by the words of :func:`fingerprint`; one of the whole text if it has fewer words."""
+    import xxhash
+
+    found = (text or "").encode().lower().split()
+    if not found:
+        return np.zeros(0, np.uint64)
+    n = max(1, len(found) - words + 1)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(found[i : i + words]), SEED) for i in range(n)), np.uint64, n))
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets, given sorted; 0 if both are empty."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _candidates(radius: int):
+    """Node pairs of a chunk pair within the radius: all where they are few; else edges that join what is not joined yet."""
+
+    def new_edges(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> list[np.ndarray]:
+        """Edges of a forest that joins all that (i, j) do; ``root`` follows."""
+        used, at = [], np.arange(len(i))
+        while True:
+            a, b = root[i[at]], root[j[at]]
+            at, a, b = at[a != b], np.maximum(a, b)[a != b], np.minimum(a, b)[a != b]
+            if not len(at):
+                return used
+            order = np.lexsort((b, a))
+            first = order[np.flatnonzero(np.diff(a[order], prepend=-1))]  # each greater root hooks onto the least it meets
+            used.append(at[first])
+            root[a[first]] = b[first]
+            while (root[root] != root).any():
+                root[:] = root[root]
+
+    def pair(left, right, same, known) -> tuple[np.ndarray, np.ndarray, bool]:
+        n = len(left) if same else len(left) + len(right)
+        root, out, size, dense = np.arange(n), [], 0, known is not None
+        barred = np.zeros(0, np.int64)
+        if known is not None:
+            i, j, similar = known
+            new_edges(root, i[similar], j[similar])
+            barred = i[~similar] * n + j[~similar]
+        for i, j in _close(left, right, radius, same):
+            if not dense:
+                out.append((i, j))
+                size += len(i)
+                if size <= FEW:
+                    continue
+                dense, (i, j), out = True, (np.concatenate(z) for z in zip(*out, strict=True)), []
+            if len(barred):
+                free = ~np.isin(i * n + j, barred)
+                i, j = i[free], j[free]
+            for used in new_edges(root, i, j):
+                out.append((i[used], j[used]))
+        i, j = (np.concatenate([*z, np.zeros(0, np.int64)]) for z in (zip(*out, strict=True) if out else ((), ())))
+        return i, j, dense
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                key = [batch[c][r].as_py() for c in ("xt", "xc", "yt", "yc")]
+                same = batch["same"][r].as_py()
+                left, names = _fps(batch["x_fps"][r]), _fps(batch["x_nodes"][r]).view(np.int64)
+                right = left if same else _fps(batch["y_fps"][r])
+                names = names if same else np.concatenate((names, _fps(batch["y_nodes"][r]).view(np.int64)))
+                known = batch["known"][r]
+                if known.is_valid:
+                    order = np.argsort(names)
+                    a, b = (order[np.searchsorted(names[order], known.values.field(c).to_numpy())] for c in ("a", "b"))
+                    known = np.minimum(a, b), np.maximum(a, b), known.values.field("similar").to_numpy(zero_copy_only=False)
+                else:
+                    known = None
+                i, j, dense = pair(left, right, same, known)
+                for k in range(0, len(i), FEW):
+                    a, b = names[i[k : k + FEW]], names[j[k : k + FEW]]
+                    cells = [np.full(len(a), v) for v in key]
+                    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32()]
+                    cells = [pa.array(c, t) for c, t in zip(cells, types, strict=True)] + [pa.array(a), pa.array(b), pa.array(np.full(len(a), dense))]
+                    yield pa.RecordBatch.from_arrays(cells, ["xt", "xc", "yt", "yc", "a", "b", "dense"])
+
+    return run
+
+
+def _similar(least: float, words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 256):
+                b = whole.slice(k, 256)
+                found = [jaccard(shingles(x.as_py(), words), shingles(y.as_py(), words)) >= least for x, y in zip(b["ta"], b["tb"], strict=True)]
+                keep = [c for c in b.schema.names if c not in ("ta", "tb")]
+                yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(found, pa.bool_())], [*keep, "similar"])
+
+    return run
+
+
+_PAIR = "xt long, xc int, yt long, yc int, a long, b long, dense boolean"
+
+
+def similar_links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], similarity: float, words: int, radius: int) -> DataFrame:
+    """``(a, b)`` that connect what pairs of nodes with a Jaccard similarity of ``similarity`` or more connect.
+
+    ``nodes``: node, fp; ``texts_of`` gives node, text of the nodes asked for. Candidates are all pairs within ``radius``
+    bits. Few candidates of a chunk pair are all checked. Many are checked as a spanning
+    forest; where an edge of it fails, that chunk pair is asked again for edges that
+    join what is still apart, without the failed ones, until none fails.
+    """
+    key = ["xt", "xc", "yt", "yc"]
+    chunks = chunks_of(nodes, 1, 4 * CHUNK)
+    todo = materialize(pairs_of(chunks, radius, 1)).withColumn("known", F.lit(None).cast("array<struct<a:bigint,b:bigint,similar:boolean>>"))
+    checked: list[DataFrame] = []
+    while True:
+        found = materialize(with_chunks(todo, chunks, "fps", "nodes").mapInArrow(_candidates(radius), _PAIR))
+        ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        near = materialize(texts_of(ends))
+        both = found.join(near.toDF("a", "ta"), "a").join(near.toDF("b", "tb"), "b").select(*key, "a", "b", "dense", "ta", "tb")
+        checked.append(materialize(both.mapInArrow(_similar(similarity, words), f"{_PAIR}, similar boolean")))
+        again = checked[-1].where("dense and not similar").select(*key).distinct()
+        every = checked[0]
+        for c in checked[1:]:
+            every = every.union(c)
+        if again.isEmpty():
+            return every.where("similar").select("a", "b")
+        todo = every.join(again, key, "left_semi").groupBy(*key).agg(F.collect_list(F.struct("a", "b", "similar")).alias("known"))
+
+
+def similar_documents(
+    df: DataFrame, row_id: str = "doc_id", text: str = "text", similarity: float = SIMILAR, words: int = SHINGLE, radius: int = RADIUS, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """``id``, columns of ``carry``, ``component_id`` of every row: the least id reachable over links.
+
+    Two texts link if they are equal but for case (A-Z) and white space, or if their
+    fingerprints lie within ``radius`` of 64 bits and their sets of shingles of ``words``
+    words have a Jaccard similarity of ``similarity`` or more. Fingerprints are those of
+    :func:`fingerprint` over three words: an edit touches fewer of them than of five.
+    Wordless and null texts are equal texts. Null ids keep their rows and take the
+    component of their text; repeated rows come back repeated; an empty table gives
+    no rows. Rows of equal id and equal ``carry`` count as one text, the least.
+    """
+    own, names = (text, *carry), [f"c{i}" for i in range(len(carry))]
+    picked = df.select(F.col(row_id).cast("long").alias("id"), *[F.col(c).alias(n) for c, n in zip(own, ("text", *names), strict=True)])
+    rows = materialize(picked.mapInArrow(_fingerprints_and_sames, _with_fields(picked.drop("text"), "fp long, same long")))
+    rep = F.min(F.struct("id", *names)).alias("rep")
+    nodes = rows.groupBy("fp", "same").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), rep)
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
+    mine = [F.col(c).eqNullSafe(F.col(f"rep.{c}")) for c in ("id", *names)]
+
+    def texts_of(asked: DataFrame) -> DataFrame:
+        few = small(nodes.join(asked, "node").select("node", "rep"))  # if they are few, the texts stay where they are
+        return picked.join(few, mine).groupBy("node").agg(F.min("text").alias("text"))
+
+    edges = similar_links(nodes.select("node", "fp"), texts_of, similarity, words, radius)
+    out = _named(rows, nodes, ["fp", "same"], "node", edges)
+    return out.select("id", *[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], "component_id")
+
+
+def _fingerprints_and_sames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import xxhash
 
+    for b in batches:
+        texts = [t.as_py() or "" for t in b["text"]]
+        fp = np.fromiter(map(fingerprint, texts), np.uint64, len(texts))
+        same = np.fromiter((xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split()), SEED) for t in texts), np.uint64, len(texts))
+        keep = [c for c in b.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), pa.array(fp.view(np.int64)), pa.array(same.view(np.int64))], [*keep, "fp", "same"])
+
+
+def _with_fields(df: DataFrame, more: str):
+    from .language import _schema
 
-def drop_near_duplicates(df: DataFrame, row_id: str = "doc_id", text: str = "text", radius: int = 2, shingle: int = 3) -> DataFrame:
-    """``df`` with one row of each component: the one of least id, and of least row hash among rows of that id.
+    return _schema(df, more)
+
+
+def drop_near_duplicates(
+    df: DataFrame, row_id: str = "doc_id", text: str = "text", similarity: float = SIMILAR, words: int = SHINGLE, radius: int = RADIUS
+) -> DataFrame:
+    """``df`` with one row of each component of :func:`similar_documents`: the one of least id, and of least row hash among rows of that id.
 
     A component whose rows all lack an id keeps its row of least hash. Rows equal
-    in every column are one row.
+    in every column are one row; null, empty and wordless texts are copies of one
+    another; an empty table gives no rows; all columns stay, whatever their names.
     """
-    hashed = df.withColumn("_row", F.xxhash64(*df.columns))
-    found = near_duplicates(hashed, row_id, text, radius, shingle, ("_row",))
-    first = F.min(F.struct(F.col("id").isNull(), "id", F.col("_row").alias("row"))).alias("first")
-    keep = materialize(found.groupBy("component_id").agg(first, F.count(F.lit(1)).alias("n")).select("first.id", "first.row"))
-    again = found.groupBy("id", "_row").count().where("count > 1").limit(1).count()
-    kept = hashed.join(keep, F.col(row_id).cast("long").eqNullSafe(F.col("id")) & (F.col("_row") == F.col("row")), "left_semi")
+    row = unlike(df, "_row")
+    hashed = df.withColumn(row, F.xxhash64(*df.columns))
+    found = similar_documents(hashed, row_id, text, similarity, words, radius, (row,)).toDF("id", "row", "component_id")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    keep = found.groupBy("component_id").agg(first).select(F.col("first.id").alias("kept_id"), F.col("first.row").alias("kept_row"))
+    keep = materialize(keep)
+    again = found.groupBy("id", "row").count().where("count > 1").limit(1).count()
+    keep = keep.toDF(unlike(df, "_kept_id"), unlike(df, "_kept_row"))
+    kept = hashed.join(keep, F.col(row_id).cast("long").eqNullSafe(keep[0]) & (F.col(row) == keep[1]), "left_semi")
     if again:
-        kept = kept.dropDuplicates(["_row", row_id])
+        kept = kept.dropDuplicates([row, row_id])
     return kept.select(*df.columns)
 
 
