@@ -14,28 +14,44 @@ from variorum.llm.common import materialize
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; texts that are null, without a letter or undecided go."""
+    """Documents whose language is identified; texts that are null, without a letter or undecided (``language.MIN_SCORE``) go.
+
+    Repeated rows stay repeated, null ids stay, further columns stay; an empty table gives no rows.
+    """
     return language.keep_identified(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, of least id, of each component of near-duplicates."""
+    """One document, of least id, of each component of near-duplicates: five-word shingles, Jaccard similarity of 0.8 or more.
+
+    Null and wordless texts are copies of one another; repeated rows are one; null ids
+    come last; an empty table gives no rows.
+    """
     return simhash.drop_near_duplicates(docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by its kind; ``n_chars`` follows the text."""
+    """All documents, personal data replaced by its kind; ``n_chars`` follows the text.
+
+    Null texts stay null, with a null ``n_chars``; empty and repeated rows stay; an empty table gives no rows.
+    """
     out = pii.redact(pii.find_pii(docs))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often (0, 1 or 2 times) as the mix of sources takes them."""
+    """Documents as often (0, 1 or 2 times) as the mix of sources takes them.
+
+    Null texts and texts without a word are not taken; a null source is a source; an empty table gives no rows.
+    """
     return mixing.mixed_rows(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, ids, n_tokens and the hash of the decoded bytes of each document."""
+    """doc_id, lang, source, ids, n_tokens and the hash of the decoded bytes of each document.
+
+    Null and empty texts give no ids; repeated rows stay repeated; an empty table gives no rows.
+    """
     return bpe.training_rows(docs.select("doc_id", "lang", "source", "text"))
 
 
