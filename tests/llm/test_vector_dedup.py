@@ -1,7 +1,6 @@
 import numpy as np
 
 from variorum.llm import vector_dedup as D
-from variorum.llm import vectors as V
 
 from .brute import components
 
@@ -39,7 +38,7 @@ def test_estimates_are_unbiased_and_bounded():
 
 
 def test_embeddings(spark, monkeypatch):
-    monkeypatch.setattr(V, "CHUNK", 100)
+    monkeypatch.setattr(D, "CHUNK", 100)
     table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rng = np.random.default_rng(3)
     rows = [(r.vec_id, [float(x) for x in r.embedding]) for r in table.collect()]

@@ -7,6 +7,9 @@
 4. Every row goes to its likeliest partition; a query goes to as many likeliest
    partitions as reach the wanted recall on queries of the sample, and is compared
    there with all original vectors in double precision.
+
+Rows move once, to their partition; queries are sent to the partitions that they
+ask, and only each partition's best come back.
 """
 
 from __future__ import annotations
@@ -25,11 +28,10 @@ from .language import _schema
 
 SAMPLE = 6000  # rows that the index is fitted on, as an expected number
 NEIGHBOURS = 16
-PARTITION = 2000  # rows of a partition aimed at
-MOST = 256  # partitions
+LEARNED = 16  # sample rows of a partition at least: more partitions need a larger sample
 RECALL = 0.95  # on the sample; sample neighbours lie farther than those among all rows
 HIDDEN = 96
-CHUNK, QUERIES = 4096, 256  # rows and queries of a comparison at most, on average
+CHUNK, QUERIES, BLOCK = 4096, 2048, 256  # rows and queries of a comparison at most, on average; queries at once
 
 
 @dataclass
@@ -149,11 +151,19 @@ def learn(x: np.ndarray, near: np.ndarray, label: np.ndarray, parts: int) -> lis
     return layers
 
 
+def partitions(rows: int, sample: int, k: int) -> int:
+    """How many: about a quarter of the root of the rows, as long as a part holds twice ``k`` rows and ``LEARNED`` of the sample."""
+    parts = 1
+    while parts < rows**0.5 / 4 and 2 * parts * max(2 * k, 1) <= rows and 2 * parts * LEARNED <= sample:
+        parts *= 2
+    return parts
+
+
 def fit(sample: np.ndarray, parts: int, k: int) -> Router:
-    """Router from sample rows; ``k`` is the number of neighbours whose recall sets the probes."""
+    """Router from sample rows; ``k`` is the number of neighbours whose recall sets the probes. One part takes all."""
     sample = sample[np.lexsort(sample.T)]
     longest = float(np.linalg.norm(sample, axis=1).max())
-    if parts == 1 or len(sample) < 4 * parts:
+    if parts == 1:
         d = sample.shape[1] + 1
         return Router(longest, [np.zeros((d, 1)), np.zeros(1), np.zeros((1, 1)), np.zeros(1), np.zeros((d, 1))], 1)
     base = lifted(sample, longest, False)
@@ -172,7 +182,12 @@ def fit(sample: np.ndarray, parts: int, k: int) -> Router:
     return router
 
 
-def _route(routers: dict[int, Router], at: int, query: bool):
+def _route(routers: dict[int, Router], at: int, held: dict[tuple[int, int], int] | None = None, least: int = 0):
+    """Adds ``parts``: the likeliest partition of a row; with ``held`` (rows by length and partition), those that a query asks.
+
+    A query asks on until its partitions hold ``least`` rows.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for a in range(0, whole.num_rows, 1024):
@@ -181,57 +196,54 @@ def _route(routers: dict[int, Router], at: int, query: bool):
                 out = np.empty(b.num_rows, object)
                 for d in np.unique(lens).tolist():
                     rows, r = np.flatnonzero(lens == d), routers[d]
-                    p = r.scores(V.matrix(b.column(at).take(pa.array(rows))), query)
-                    order = np.argsort(-p, axis=1, kind="stable")[:, : r.probes if query else 1]
-                    for i, o in zip(rows, order.astype(np.int32), strict=True):
-                        out[i] = o
+                    p = r.scores(V.matrix(b.column(at).take(pa.array(rows))), held is not None)
+                    order = np.argsort(-p, axis=1, kind="stable").astype(np.int32)
+                    ask = np.ones(len(rows), int)
+                    if held is not None:
+                        there = np.cumsum(np.array([held.get((d, k), 0) for k in range(p.shape[1])])[order], axis=1)
+                        ask = np.minimum(np.maximum(r.probes, 1 + (there < least).sum(1)), p.shape[1])
+                    for i, o, m in zip(rows, order, ask.tolist(), strict=True):
+                        out[i] = o[:m]
                 parts = pa.array(out.tolist(), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*b.columns, parts], [*b.schema.names, "parts"])
 
     return run
 
 
-def _search(k: int):
-    def best(qid: np.ndarray, q: np.ndarray, rid: np.ndarray, r: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        # of equal vectors only the k + 1 least ids can come among the k nearest
-        order = np.argsort(rid, kind="stable")
-        seen: dict[bytes, int] = {}
-        keep = []
-        for i in order.tolist():
-            key = (r[i] + 0.0).tobytes()
-            n = seen[key] = seen.get(key, 0) + 1
-            if n <= k + 1:
-                keep.append(i)
-        rid, r = rid[keep], r[keep]
-        rough = q @ r.T
-        for i in range(len(q)):
-            s = np.where(rid == qid[i], -np.inf, rough[i])
-            if len(s) > k:
-                least = np.partition(s, len(s) - k)[len(s) - k]
-                slack = 1e-9 * (1 + abs(least)) if np.isfinite(least) else 0
-                at = np.flatnonzero((s >= least - slack) & (rid != qid[i]))
-            else:
-                at = np.flatnonzero(rid != qid[i])
-            exact = (r[at] * q[i]).sum(1)  # the same sum for equal vectors wherever they stand
-            first = np.lexsort((rid[at], -exact))[:k]
-            yield int(qid[i]), rid[at][first], exact[first]
-
+def best(qid: np.ndarray, q: np.ndarray, rid: np.ndarray, r: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query ids, row ids (given in ascending order) and scores of each query's ``k`` best rows but its own, ties to the smaller id."""
+    rough = q @ r.T
+    rough[qid[:, None] == rid[None, :]] = -np.inf
+    m = min(len(r), k + 8)
+    if m < len(r):
+        at = np.sort(np.argpartition(-rough, m - 1, axis=1)[:, :m], axis=1)
+    else:
+        at = np.broadcast_to(np.arange(m), (len(q), m))
+    near = np.take_along_axis(rough, at, 1)
+    exact = np.where(np.isinf(near), near, (r[at] * q[:, None, :]).sum(-1))  # the same sum for equal vectors wherever they stand
+    first = np.argsort(-exact, axis=1, kind="stable")[:, :k]
+    ids, scores = rid[np.take_along_axis(at, first, 1)], np.take_along_axis(exact, first, 1)
+    if m < len(r):  # where rows as near as the last one may have been left out, all such are looked at
+        last = np.partition(rough, len(r) - k, axis=1)[:, len(r) - k]
+        slack = 1e-9 * (1 + np.abs(np.where(np.isinf(last), 0, last)))
+        for i in np.flatnonzero((rough >= (last - slack)[:, None]).sum(1) > m).tolist():
+            every = np.flatnonzero((rough[i] >= last[i] - slack[i]) & ~np.isinf(rough[i]))
+            s = (r[every] * q[i]).sum(-1)
+            top = np.argsort(-s, kind="stable")[:k]
+            ids[i, : len(top)], scores[i, : len(top)], scores[i, len(top) :] = rid[every][top], s[top], -np.inf
+    got = ~np.isinf(scores)
+    return np.repeat(qid, got.sum(1)), ids[got], scores[got]
+
+
+def _search(k: int, number: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # all partitions that a query goes to meet in this task: its best so far are all it keeps
-        held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for n in range(batch.num_rows):
                 qid, rid = V.longs(batch["qid"][n]), V.longs(batch["rid"][n])
-                for i, ids, s in best(qid, V.doubles(batch["qv"][n], len(qid)), rid, V.doubles(batch["rv"][n], len(rid))):
-                    if i in held:
-                        ids, s = np.concatenate((held[i][0], ids)), np.concatenate((held[i][1], s))
-                        first = np.lexsort((ids, -s))[:k]
-                        ids, s = ids[first], s[first]
-                    held[i] = ids, s
-        ids = np.concatenate([*(x for x, _ in held.values()), np.zeros(0, np.int64)]).astype(np.int64)
-        scores = np.concatenate([*(s for _, s in held.values()), np.zeros(0)])
-        asked = np.repeat(np.array(list(held), np.int64), [len(x) for x, _ in held.values()])
-        yield pa.RecordBatch.from_arrays([pa.array(asked), pa.array(ids), pa.array(scores)], ["query_id", "vec_id", "score"])
+                q, r = V.doubles(batch["qv"][n], len(qid), number), V.doubles(batch["rv"][n], len(rid), number)
+                for a in range(0, len(q), BLOCK):
+                    found = best(qid[a : a + BLOCK], q[a : a + BLOCK], rid, r, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], ["query_id", "vec_id", "score"])
 
     return run
 
@@ -239,9 +251,9 @@ def _search(k: int):
 def nearest(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` rows of largest inner product found for each query, nearest first.
 
-    Ties go to the smaller id; rows with the query's own id are left out; fewer than
-    ``k`` other rows of the query's length are all returned if its partitions hold them
-    (they do where there is one partition). Vectors that are null, empty, zero or hold
+    Ties go to the smaller id; rows with the query's own id are left out; a query whose
+    partitions hold too few rows asks further ones, so it gets ``k`` rows, or all other
+    rows of its length if they are fewer. Vectors that are null, empty, zero or hold
     null or non-finite components, and rows without an id, take no part. Repeated rows
     are separate candidates; of repeated query ids the least vector is asked. Empty
     tables give no rows.
@@ -253,29 +265,25 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "vec_id",
     sizes = dict(base.groupBy("dims").count().collect())
     routers = {}
     for d, n in sizes.items():
-        share = min(1.0, SAMPLE / n)
         unit = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1 << 30)) / F.lit(1 << 30)
-        sample = base.where((F.col("dims") == d) & (unit < share)).select("v").collect()
-        parts = 1
-        while parts < MOST and n / parts > PARTITION:
-            parts *= 2
-        routers[d] = fit(np.array([r.v for r in sample], float).reshape(-1, d), parts, k) if sample else fit(np.ones((1, d)), 1, k)
-    placed = base.mapInArrow(_route(routers, 1, False), _schema(base, "parts array<int>"))
+        sample = base.where((F.col("dims") == d) & (unit < min(1.0, SAMPLE / n))).select("v").collect()
+        sample = np.array([r.v for r in sample], float).reshape(-1, d) if sample else np.ones((1, d))
+        routers[d] = fit(sample, partitions(n, len(sample), k), k)
+    placed = base.mapInArrow(_route(routers, 1), _schema(base, "parts array<int>"))
     placed = materialize(placed.withColumn("part", F.col("parts")[0]).drop("parts"))
-    counts = placed.groupBy("dims", "part").count()  # at most MOST rows for each length
-    pieces = counts.select("dims", "part", F.ceil(F.col("count") / CHUNK).alias("pieces"))
-    salt = F.pmod(F.xxhash64("id", "v"), F.col("pieces"))
-    salted = placed.join(F.broadcast(pieces), ["dims", "part"])
-    packed = V.packed_chunks(salted.withColumn("salt", salt), ["dims", "part", "salt"], ["id"], "v").toDF("dims", "part", "salt", "rid", "rv")
-    asked = asked.withColumn("dims", F.size("v")).where(F.col("dims").isin(*routers) if routers else F.lit(False))
-    sent = asked.mapInArrow(_route(routers, 1, True), _schema(asked, "parts array<int>"))
-    sent = materialize(sent.withColumn("part", F.explode("parts")).drop("parts"))
+    held = {(d, p): n for d, p, n in placed.groupBy("dims", "part").count().collect()}  # as many as partitions
+    pieces = rows.sparkSession.createDataFrame([(d, p, -(-n // CHUNK)) for (d, p), n in held.items()], "dims int, part int, pieces int")
+    pieces, by = F.broadcast(pieces), ["dims", "part", "salt"]
+    salted = placed.join(pieces, ["dims", "part"]).withColumn("salt", F.pmod(F.xxhash64("id", "v"), F.col("pieces")).cast("int"))
+    packed = V.packed_chunks(salted, by, ["id"], "v", k + 1).toDF(*by, "rid", "rv")  # of equal vectors only k + 1 can come among the k nearest
+    asked = materialize(asked.withColumn("dims", F.size("v")).where(F.col("dims").isin(*routers) if routers else F.lit(False)))
     heaps = -(-asked.count() // QUERIES) or 1
+    sent = asked.mapInArrow(_route(routers, 1, held, k + 1), _schema(asked, "parts array<int>"))
+    sent = sent.withColumn("part", F.explode("parts")).join(pieces, ["dims", "part"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     sent = sent.withColumn("heap", F.pmod(F.xxhash64("id"), F.lit(heaps)))
-    asked = V.packed_chunks(sent, ["dims", "part", "heap"], ["id"], "v").toDF("dims", "part", "heap", "qid", "qv")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    work = asked.join(packed, ["dims", "part"]).repartition(n, "heap").select("qid", "qv", "rid", "rv")
-    found = work.mapInArrow(_search(k), "query_id long, vec_id long, score double")
+    asked = V.packed_chunks(sent, [*by, "heap"], ["id"], "v").toDF(*by, "heap", "qid", "qv")
+    work = asked.join(packed, by).select("qid", "qv", "rid", "rv")
+    found = work.mapInArrow(_search(k, V.kind(base, "v")), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -8,8 +8,8 @@ in D - 1 dimensions. A pair whose estimate lies below the threshold by more than
 ``SIGMAS`` of that error can't be a link (chance below 1e-8); all others are
 computed again from the original vectors in double precision.
 
-Equal vectors are one node. Nodes are gathered around a few pivots, cut in chunks,
-and chunk pairs are compared whole unless the angle between their centres proves
+Equal vectors are one node. Nodes are gathered around a few pivots, cut in chunks
+which hold codes, factors and original vectors, and chunk pairs are compared whole unless the angle between their centres proves
 that no link joins them. A comparison gives counts and a spanning forest, no pairs.
 """
 
@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as V
-from .common import connected_components, materialize
+from .common import connected_components, join_skewed, materialize
 from .simhash import forest
 
 SIGMAS = 6.0
 PIVOTS = 256  # at most; they only group what lies together
+CHUNK = 8192  # nodes of a chunk on average: what is sent falls with it
 ROWS, COLS = 512, 2048  # of a comparison at once
 
 
@@ -59,21 +60,21 @@ def floors(factor: np.ndarray, threshold: float, dims: int) -> np.ndarray:
     return (c - np.sqrt(np.maximum(0, 1 - c**2)) * spread[None, :]).min(0) - 1e-4
 
 
-def links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs of rows of ``x`` and ``y`` (original vectors) with cosine at or above the threshold; i < j if same."""
+def links(
+    x: np.ndarray, y: np.ndarray, bits: np.ndarray, factor: np.ndarray, threshold: float, same: bool
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs of rows of ``x`` and ``y`` (original vectors; codes and factors of the latter) with cosine at or above the threshold; i < j if same."""
     d = x.shape[1]
-    nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-    x, y = x / nx[:, None], y / ny[:, None]
-    turn = rotation(d)
-    query, coded = x @ turn, y @ turn
-    bits, factor = codes(coded)
-    least = floors(factor, threshold, d)
+    unit = [z / np.linalg.norm(z, axis=1, keepdims=True) for z in ((x,) if same else (x, y))]
+    x, y = unit[0], unit[-1]
+    query = x @ rotation(d)
+    least = floors(factor, threshold, d).astype(np.float32)
     for b in range(0, len(y), COLS):
         for a in range(0, len(x), ROWS):
             if same and b + COLS <= a:
                 continue
             qa, yb = slice(a, a + ROWS), slice(b, b + COLS)
-            i, j = np.nonzero(estimates(query[qa], bits[yb], factor[yb]) >= least[yb].astype(np.float32))
+            i, j = np.nonzero(estimates(query[qa], bits[yb], factor[yb]) >= least[yb])
             if same:
                 up = i + a < j + b
                 i, j = i[up], j[up]
@@ -88,24 +89,41 @@ def links(x: np.ndarray, y: np.ndarray, threshold: float, same: bool) -> Iterato
                 yield i[hit] + a, j[hit] + b
 
 
-def _compare(threshold: float):
+def _code(number: str):
+    """Adds ``bits`` and ``factors`` of a chunk's vectors, packed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [[], []]
+            for node, v in zip(b["node"], b["vectors"], strict=True):
+                x = V.doubles(v, len(V.longs(node)), number)
+                bits, factor = codes(x / np.linalg.norm(x, axis=1, keepdims=True) @ rotation(x.shape[1]))
+                out[0].append(bits.tobytes())
+                out[1].append(factor.tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(o, pa.binary()) for o in out)], [*b.schema.names, "bits", "factors"])
+
+    return run
+
+
+def _compare(threshold: float, number: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [[], [], []]
             for k in range(batch.num_rows):
                 same = batch["same"][k].as_py()
                 x_node, x_copies = V.longs(batch["xn"][k]), V.longs(batch["xm"][k])
-                x = V.doubles(batch["xv"][k], len(x_node))
+                x = V.doubles(batch["xv"][k], len(x_node), number)
                 if same:
                     node, copies, y, shift = x_node, x_copies, x, 0
                 else:
                     node = np.concatenate((x_node, V.longs(batch["yn"][k])))
                     copies = np.concatenate((x_copies, V.longs(batch["ym"][k])))
-                    y, shift = V.doubles(batch["yv"][k], len(node) - len(x_node)), len(x_node)
+                    y, shift = V.doubles(batch["yv"][k], len(node) - len(x_node), number), len(x_node)
+                bits = np.frombuffer(batch["yb"][k].as_buffer(), np.uint8).reshape(len(y), -1)
+                factor = np.frombuffer(batch["yf"][k].as_buffer(), np.float64)
                 n = np.zeros(len(node), np.int64)
 
-                def counted(x=x, y=y, same=same, n=n, copies=copies, shift=shift):
-                    for i, j in links(x, y, threshold, same):
+                def counted(x=x, y=y, bits=bits, factor=factor, same=same, n=n, copies=copies, shift=shift):
+                    for i, j in links(x, y, bits, factor, threshold, same):
                         np.add.at(n, i, copies[j + shift])
                         np.add.at(n, j + shift, copies[i])
                         yield i, j + shift
@@ -114,11 +132,7 @@ def _compare(threshold: float):
                 up = np.arange(len(node))
                 up[member] = root
                 some = np.flatnonzero(n)
-                for o, v in zip(out, (node[some], n[some], node[up[some]]), strict=True):
-                    o.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([*o, np.zeros(0, np.int64)]).astype(np.int64)) for o in out], ["node", "n", "root"]
-            )
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (node[some], n[some], node[up[some]])], ["node", "n", "root"])
 
     return run
 
@@ -127,16 +141,17 @@ def _placed(vector: str, at: int, pivots: dict[int, np.ndarray]):
     """Nearest pivot of each vector, and the angle to it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cell, angle = [], []
-            for v in b.column(at):
-                x = v.values.to_numpy(zero_copy_only=False).astype(np.float64)
-                cosine = pivots[len(x)] @ (x / np.linalg.norm(x))
-                cell.append(int(cosine.argmax()))
-                angle.append(float(np.arccos(np.clip(cosine.max(), -1, 1))))
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(cell, pa.int32()), pa.array(angle)], [*b.schema.names, "cell", "angle"]
-            )
+        for whole in batches:
+            for k in range(0, whole.num_rows, 1024):
+                b = whole.slice(k, 1024)
+                cell, angle = np.zeros(b.num_rows, np.int32), np.zeros(b.num_rows)
+                lens = b.column(at).value_lengths().to_numpy(zero_copy_only=False)
+                for d in np.unique(lens).tolist():
+                    rows = np.flatnonzero(lens == d)
+                    x = V.matrix(b.column(at).take(pa.array(rows)))
+                    cosine = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ pivots[d].T
+                    cell[rows], angle[rows] = cosine.argmax(1), np.arccos(np.clip(cosine.max(1), -1, 1))
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell), pa.array(angle)], [*b.schema.names, "cell", "angle"])
 
     return run
 
@@ -159,7 +174,7 @@ def near_vectors(df: DataFrame, row_id: str = "vec_id", vector: str = "embedding
     sizes = dict(nodes.groupBy("dims").count().collect())
     pivots = {}
     for d, n in sizes.items():
-        k = max(1, min(PIVOTS, n // V.CHUNK))
+        k = max(1, min(PIVOTS, n // CHUNK))
         some = nodes.where(F.col("dims") == d).orderBy(F.xxhash64("node")).limit(k).select("v").collect()
         p = np.array([r.v for r in some], float)
         pivots[d] = p / np.linalg.norm(p, axis=1, keepdims=True)
@@ -168,36 +183,36 @@ def near_vectors(df: DataFrame, row_id: str = "vec_id", vector: str = "embedding
     counts = placed.groupBy("dims", "cell").count().collect()  # at most PIVOTS rows for each length
     first, total = {}, 0
     for d, c, n in sorted(counts):
-        first[d, c] = (total, -(-n // V.CHUNK))
-        total += -(-n // V.CHUNK)
+        first[d, c] = (total, -(-n // CHUNK))
+        total += -(-n // CHUNK)
     plan = df.sparkSession.createDataFrame(
         [(d, c, a, k) for (d, c), (a, k) in first.items()], "dims int, cell int, base long, parts long"
     )
     placed = placed.join(F.broadcast(plan), ["dims", "cell"])
     placed = placed.withColumn("chunk", F.col("base") + F.pmod(F.xxhash64("node"), F.col("parts")))
-    chunks = materialize(V.packed_chunks(placed, ["chunk"], ["node", "copies"], "v"))
+    number = V.kind(placed, "v")
+    chunks = V.packed_chunks(placed, ["chunk"], ["node", "copies"], "v")
+    chunks = materialize(chunks.mapInArrow(_code(number), _schema(chunks, "bits binary, factors binary")))
     reach = placed.groupBy("chunk", "dims", "cell").agg(F.max("angle").alias("reach"))
     pairs = chunk_pairs(reach, pivots, total, threshold)
-    x = chunks.toDF("i", "xn", "xm", "xv")
-    y = chunks.toDF("j", "yn", "ym", "yv")
+    x = chunks.select("chunk", "node", "copies", "vectors").toDF("i", "xn", "xm", "xv")
+    y = chunks.toDF("j", "yn", "ym", "yv", "yb", "yf")
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     both = pairs.join(x, "i").join(y, "j").repartition(n, "i", "j")
     same = F.col("i") == F.col("j")
-    both = both.select("xn", "xm", "xv", *[F.when(~same, F.col(c)).alias(c) for c in ("yn", "ym", "yv")], same.alias("same"))
-    found = materialize(both.mapInArrow(_compare(threshold), "node long, n long, root long"))
+    both = both.select("xn", "xm", "xv", *[F.when(~same, F.col(c)).alias(c) for c in ("yn", "ym", "yv")], "yb", "yf", same.alias("same"))
+    found = materialize(both.mapInArrow(_compare(threshold, number), "node long, n long, root long"))
     comp = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("node").agg(F.sum("n").alias("n"))
     nodes = nodes.join(linked, "node", "left").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    nodes = materialize(nodes.select("v", "least", "root", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")))
+    n_links = (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).cast("long").alias("n_links")
+    nodes = materialize(nodes.select("v", "least", "root", n_links, F.col("copies").alias("n")))
     least = nodes.groupBy("root").agg(F.min("least").alias("component"))
-    nodes = nodes.join(least, "root").select(F.col("v").alias("w"), "n_links", "component")
-    out = rows.join(nodes, F.col("ok") & (F.col("v") == F.col("w")), "left")
+    nodes = materialize(nodes.join(least, "root").select("v", "n_links", "component", "n"))
+    out = join_skewed(rows.where("ok").select("id", "v"), nodes, ["v"]).select("id", "n_links", "component")
+    out = out.unionByName(rows.where("not ok").select("id", F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component")))
     component = F.coalesce("component", "id")
-    return out.select(
-        "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
-        F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"),
-    )
-
+    return out.select("id", "n_links", component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def chunk_pairs(reach: DataFrame, pivots: dict[int, np.ndarray], total: int, threshold: float) -> DataFrame:

@@ -26,25 +26,41 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def packed_chunks(df: DataFrame, by: list[str], ids: list[str], vector: str) -> DataFrame:
-    """Rows of each value of ``by`` (which must bound their number) as one row: packed ids and float64 vectors.
+def kind(df: DataFrame, vector: str) -> str:
+    """Numpy type in which the column's numbers travel unchanged."""
+    return "<f4" if df.schema[vector].dataType.elementType.simpleString() == "float" else "<f8"
 
-    Gives ``by`` columns plus a binary per id column and ``vectors``.
+
+def first_of_equal(ids: np.ndarray, vectors: np.ndarray, keep: int) -> np.ndarray:
+    """Rows in order of id, of equal vectors only the ``keep`` first."""
+    _, group = np.unique((vectors + 0.0).view(np.dtype((np.void, vectors.shape[1] * vectors.itemsize))).ravel(), return_inverse=True)
+    order = np.lexsort((ids, group))
+    start = np.flatnonzero(np.diff(group[order], prepend=-1))
+    rank = np.arange(len(order)) - np.repeat(start, np.diff(start, append=len(order)))
+    rows = order[rank < keep]
+    return rows[np.argsort(ids[rows], kind="stable")]
+
+
+def packed_chunks(df: DataFrame, by: list[str], ids: list[str], vector: str, keep: int | None = None) -> DataFrame:
+    """Rows of each value of ``by`` (which must bound their number) as one row: packed ids and vectors of type :func:`kind`.
+
+    Gives ``by`` columns plus a binary per id column and ``vectors``. With ``keep``,
+    rows stand by the first id, and of equal vectors only so many.
     """
-    fields = [*ids, vector]
+    fields, number = [*ids, vector], kind(df, vector)
     rows = df.groupBy(*by).agg(F.collect_list(F.struct(*fields)).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list[bytes]] = [[] for _ in fields]
-            for r in b["rows"]:
-                s = r.values
-                for k, name in enumerate(ids):
-                    out[k].append(s.field(name).to_numpy(zero_copy_only=False).astype(np.int64).tobytes())
-                out[-1].append(matrix(s.field(vector)).tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [*(b[c] for c in by), *(pa.array(o, pa.binary()) for o in out)], [*by, *ids, "vectors"]
-            )
+            for k in range(b.num_rows):  # one at a time: a row is a whole chunk
+                s = b["rows"][k].values
+                names = [s.field(name).to_numpy(zero_copy_only=False).astype(np.int64) for name in ids]
+                m = s.field(vector).flatten().to_numpy(zero_copy_only=False).astype(number).reshape(len(s), -1)
+                if keep is not None:
+                    at = first_of_equal(names[0], m, keep)
+                    names, m = [x[at] for x in names], m[at]
+                cells = [pa.array([x.tobytes()], pa.binary()) for x in (*names, m)]
+                yield pa.RecordBatch.from_arrays([*(b[c].slice(k, 1) for c in by), *cells], [*by, *ids, "vectors"])
 
     types = dict(df.dtypes)
     schema = ", ".join([*(f"{c} {types[c]}" for c in by), *(f"{c} binary" for c in ids), "vectors binary"])
@@ -55,5 +71,5 @@ def longs(cell: pa.Scalar) -> np.ndarray:
     return np.frombuffer(cell.as_buffer(), np.int64)
 
 
-def doubles(cell: pa.Scalar, n: int) -> np.ndarray:
-    return np.frombuffer(cell.as_buffer(), np.float64).reshape(n, -1)
+def doubles(cell: pa.Scalar, n: int, number: str) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), number).reshape(n, -1).astype(np.float64)
