@@ -33,13 +33,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, compact: bool = False) -> DataFrame:
     """Cut lineage through a Parquet table in the shared folder.
 
     Every later read sees the same rows, and a lost executor costs no
-    recomputation of what stands before the table.
+    recomputation of what stands before the table. ``compact`` deals rows to files of
+    the size that adaptive execution aims at: for thin rows of many tasks, which
+    would leave as many tiny files.
     """
     spark = df.sparkSession
+    df = df.hint("rebalance") if compact else df
     path = scratch_path(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -85,7 +88,7 @@ def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
 
 def small(df: DataFrame, most: int = 100_000) -> DataFrame:
     """``df``, written and counted, to be broadcast if it has at most ``most`` rows; else joins are left to Spark."""
-    df = materialize(df)
+    df = materialize(df, compact=True)
     return F.broadcast(df) if df.count() <= most else df
 
 

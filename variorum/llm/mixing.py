@@ -114,7 +114,8 @@ def mix(
         df.select(
             F.struct(*kept).alias("row"), size.cast("long").alias("size"), source.alias("source"),
             F.array(*[c.cast("string") for c in order]).alias("order"), F.xxhash64(F.lit(seed), *order).alias("hash"),
-        )
+        ),
+        compact=True,
     )
     spec = materialize(_spec(own, weights, share, repeats))
     rows = spec.agg(F.sum("rows")).first()[0] or 0

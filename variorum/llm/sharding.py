@@ -121,7 +121,7 @@ def histogram_shards(
     are replaced.
     """
     key = F.concat(_ordered(F.xxhash64(group)), _ordered(row_id), _ordered(F.monotonically_increasing_id()))
-    kept = materialize(df.drop("shard", "slot").withColumns({"_size": size.cast("long"), "_key": key}))
+    kept = materialize(df.drop("shard", "slot").withColumns({"_size": size.cast("long"), "_key": key}), compact=True)
     cuts, _, rows = splitters(kept, shards, tolerance)
     # pieces within the shards only bound the rows that one sort task sees; their sizes may vary
     many = max(16, -(-rows // (shards * rows_per_piece)))

@@ -201,7 +201,7 @@ def near_duplicates(
     component of their fingerprint; repeated rows come back repeated; an empty
     table gives no rows. Other columns of ``df`` are not read.
     """
-    rows = materialize(fingerprints(df, row_id, text, shingle, carry))
+    rows = materialize(fingerprints(df, row_id, text, shingle, carry), compact=True)
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")))
     edges = links_between(nodes.select("fp"), radius)
     return _named(rows, nodes.withColumn("node", F.col("fp")), ["fp"], "node", edges).select("id", *carry, "fp", "component_id")
@@ -319,11 +319,11 @@ def similar_links(nodes: DataFrame, texts_of: Callable[[DataFrame], DataFrame],
     todo = materialize(pairs_of(chunks, radius, 1)).withColumn("known", F.lit(None).cast("array<struct<a:bigint,b:bigint,similar:boolean>>"))
     checked: list[DataFrame] = []
     while True:
-        found = materialize(with_chunks(todo, chunks, "fps", "nodes").mapInArrow(_candidates(radius), _PAIR))
+        found = materialize(with_chunks(todo, chunks, "fps", "nodes").mapInArrow(_candidates(radius), _PAIR), compact=True)
         ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
         near = materialize(texts_of(ends))
         both = found.join(near.toDF("a", "ta"), "a").join(near.toDF("b", "tb"), "b").select(*key, "a", "b", "dense", "ta", "tb")
-        checked.append(materialize(both.mapInArrow(_similar(similarity, words), f"{_PAIR}, similar boolean")))
+        checked.append(materialize(both.mapInArrow(_similar(similarity, words), f"{_PAIR}, similar boolean"), compact=True))
         again = checked[-1].where("dense and not similar").select(*key).distinct()
         every = checked[0]
         for c in checked[1:]:
@@ -348,7 +348,7 @@ def similar_documents(
     """
     own, names = (text, *carry), [f"c{i}" for i in range(len(carry))]
     picked = df.select(F.col(row_id).cast("long").alias("id"), *[F.col(c).alias(n) for c, n in zip(own, ("text", *names), strict=True)])
-    rows = materialize(picked.mapInArrow(_fingerprints_and_sames, _with_fields(picked.drop("text"), "fp long, same long")))
+    rows = materialize(picked.mapInArrow(_fingerprints_and_sames, _with_fields(picked.drop("text"), "fp long, same long")), compact=True)
     rep = F.min(F.struct("id", *names)).alias("rep")
     nodes = rows.groupBy("fp", "same").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"), rep)
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))

@@ -201,7 +201,7 @@ def near_vectors(df: DataFrame, row_id: str = "vec_id", vector: str = "embedding
     both = pairs.join(x, "i").join(y, "j").repartition(n, "i", "j")
     same = F.col("i") == F.col("j")
     both = both.select("xn", "xm", "xv", *[F.when(~same, F.col(c)).alias(c) for c in ("yn", "ym", "yv")], "yb", "yf", same.alias("same"))
-    found = materialize(both.mapInArrow(_compare(threshold, number), "node long, n long, root long"))
+    found = materialize(both.mapInArrow(_compare(threshold, number), "node long, n long, root long"), compact=True)
     comp = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = found.groupBy("node").agg(F.sum("n").alias("n"))
     nodes = nodes.join(linked, "node", "left").join(comp, "node", "left").withColumn("root", F.coalesce("root", "node"))
