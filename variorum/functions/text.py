@@ -12,13 +12,15 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..kernels.text import EQUIVALENT, GRAPHEMES, MERGED, PUNCT
+from ..kernels.text import CLASSES, EQUIVALENT, GRAPHEMES, MERGED, PUNCT
 
+#: fixed values: editorial signs, vowels of the consonant skeleton, punctuation at word edges
 EDITORIAL = "※⁛"
 VOWELS = "aāiīuūeēoōəąįų"
 EDGE_PUNCT = ",;:\"()[]{}«»—–"
 #: fixed values: letters that dots in canonical spelling stand between
 DOT_LETTERS = "a-zāēīōūąą̇ṇŋϑδγšṣśžə̨́̄hᵛ"
+#: fixed values: marks and letters of another language's transliteration
 _CAPITAL = "[A-Z0-9]|[-']"
 
 
@@ -62,6 +64,13 @@ def stanza_token(c: Column) -> Column:
     return F.lower(strip(F.translate(c, "⸳⁛", ".")))
 
 
+def phonological(c: Column) -> Column:
+    """Phonological classes merged, initial y before a vowel dropped."""
+    for a, b in CLASSES:
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return F.regexp_replace(c, r"(?U)\b[yY](?=[aāeēiīoōuū])", "")
+
+
 def builder_token(c: Column) -> Column:
     """Without leading full stops."""
     return F.regexp_replace(c, r"^\.+", "")
@@ -88,7 +97,7 @@ def skeleton(c: Column) -> Column:
     c = F.regexp_replace(c, r"[ą̇aeoāąēōūīəə̄ēyẏ\d]", "")
     c = F.regexp_replace(c, "([^u])u([^u])", "$1$2")
     c = F.regexp_replace(c, "([^i])i([^i])", "$1$2")
-    return reduce(lambda c, step: reduce(lambda c, one: F.replace(c, F.lit(one), F.lit(step[0])), step[1].split(), c), MERGED, c)
+    return reduce(lambda c, step: reduce(lambda c, one: F.replace(c, F.lit(one), F.lit(step[0])), step[1], c), MERGED, c)
 
 
 def canonical_feature(c: Column) -> Column:
@@ -132,7 +141,8 @@ def manuscript_id(name: Column) -> Column:
 
 def certainty(c: Column) -> Column:
     """Three decimals; ``0.500`` for what is no number."""
-    return F.coalesce(F.format_string("%.3f", c.try_cast("double")), F.lit("0.500"))
+    # format_number rounds the number as it is stored; format_string rounds its shortest spelling
+    return F.coalesce(F.replace(F.format_number(c.try_cast("double"), 3), F.lit(","), F.lit("")), F.lit("0.500"))
 
 
 def app_id_of(stub: Column) -> Column:

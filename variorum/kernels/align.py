@@ -6,6 +6,7 @@ from .gestalt import opcodes, ratio, reaches
 from .text import nfc, stanza_token, token_key
 
 Op = tuple[str, int, int, int, int]
+#: fixed values: penalty of a gap, least gain of a pair, floor and bonus of a run
 GAP = -0.6
 FLOOR = 0.10
 RUN_FLOOR, RUN_BONUS = 0.5, 0.05

@@ -11,9 +11,10 @@ PUNCT = ".,;:·⸳"
 _PUNCT = re.compile(f"[{PUNCT}]")
 #: fixed values: graphemes of more than one code point or outside ASCII, and the plain letters
 GRAPHEMES = (
-    "ə̄u aō aē āu āi ōi ou ai au ā̊ ą̇ ə̄ t̰ x́ xᵛ ŋ́ ŋᵛ š́ ṣ̌ ṇ ń ɱ ġ γ δ ẏ č ž β ā ą ō ē ū ī a o ə e u i "
-    "k x g c j t ϑ d p b ŋ n m y v r l s z š h uu ii"
-).split()
+    "ə̄u", "aō", "aē", "āu", "āi", "ōi", "ou", "ai", "au", "ā̊", "ą̇", "ə̄", "t̰", "x́", "xᵛ", "ŋ́", "ŋᵛ", "š́", "ṣ̌", "ṇ", "ń", "ɱ", "ġ", "γ", "δ", "ẏ", "č", "ž", "β",
+    "ā", "ą", "ō", "ē", "ū", "ī", "a", "o", "ə", "e", "u", "i",
+    "k", "x", "g", "c", "j", "t", "ϑ", "d", "p", "b", "ŋ", "n", "m", "y", "v", "r", "l", "s", "z", "š", "h", "uu", "ii",
+)
 _GRAPHEME = re.compile("|".join(map(re.escape, sorted(GRAPHEMES, key=len, reverse=True))) + "|.", re.S)
 #: fixed values: representatives of graphemes that count as one in feature keys
 EQUIVALENT = {
@@ -113,14 +114,16 @@ _SKELETON = (
     (re.compile(r"([^i])i([^i])"), r"\1\2"),
 )
 #: fixed values: consonant classes of the matching skeleton, merged in this order
-MERGED = (("ŋ", "ŋ́ ŋᵛ"), ("s", "š š́ ṣ"), ("mh", "m̨"), ("x", "θ x́"), ("y", "ẏ"), ("n", "ń"), ("x́", "xᵛ"), ("t", "δ t t̰"), ("y", "ẏ"))
+MERGED = (
+    ("ŋ", ("ŋ́", "ŋᵛ")), ("s", ("š", "š́", "ṣ")), ("mh", ("m̨",)), ("x", ("θ", "x́")), ("y", ("ẏ",)), ("n", ("ń",)), ("x́", ("xᵛ",)), ("t", ("δ", "t", "t̰")), ("y", ("ẏ",)),
+)
 
 
 def skeleton(word: str) -> str:
     for pattern, to in _SKELETON:
         word = pattern.sub(to, word)
     for to, those in MERGED:
-        for one in those.split():
+        for one in those:
             word = word.replace(one, to)
     return word
 

@@ -279,7 +279,7 @@ def _sql_skeleton(c: str) -> str:
     c = rf"regexp_replace({c}, '[ą̇aeoāąēōūīəə̄ēyẏ\d]', '', 'g')"
     c = f"regexp_replace(regexp_replace({c}, '([^u])u([^u])', '\\1\\2', 'g'), '([^i])i([^i])', '\\1\\2', 'g')"
     for to, those in C.MERGED:
-        for one in those.split():
+        for one in those:
             c = f"replace({c}, '{one}', '{to}')"
     return c
 
@@ -367,18 +367,6 @@ def pair_measures(spark, d):
     )
 
 
-@query("gestalt_ratios")
-def gestalt_ratios(spark, d):
-    return differing_pairs(spark, d).select("lem", "rdg", U.gestalt_ratio("lem", "rdg").alias("s"), U.spelling_ratio("lem", "rdg").alias("spelled"))
-
-
-@query("fuzzy_catalogue")
-def fuzzy_catalogue(spark, d):
-    p = table(spark, d, "part")
-    keys = p.select(F.col("p_type").alias("key")).distinct()
-    return curate.nearest_keys(p.select(F.lower("p_brand").alias("feature")).distinct(), keys.select(F.lower("key").alias("key")), 0.0)
-
-
 # -- segments, spans, relations ------------------------------------------------------------------------
 
 
@@ -825,3 +813,6 @@ def curation_stream(spark, d):
     run = curation.follow(edits, f"{root}/state", f"{root}/log", ["user_id", "event_type"], "ts", ["event_id", "value"], interval=None)
     run.awaitTermination()
     return curation.latest(spark, f"{root}/state", max(0, run.lastProgress["batchId"])).select("user_id", "event_type", "value", "event_id")
+
+
+from . import queries_more  # noqa: E402, F401  it adds its queries to those above

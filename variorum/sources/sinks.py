@@ -49,6 +49,91 @@ def write_tei(apps: DataFrame, path: str, div_id: str) -> None:
     rows.repartition("doc").sortWithinPartitions("doc", "ord").select("doc", "xml").write.partitionBy("doc").text(path)
 
 
+def write_report(df: DataFrame, path: str, csv: bool = True) -> None:
+    """A table as JSON lines under ``path``/json and, unless it holds structures that CSV can't show, as CSV with a header; lists become ``;``-joined cells."""
+    df.write.mode("overwrite").json(f"{path}/json")
+    if csv:
+        cell = lambda f: F.array_join(F.col(f.name).cast("array<string>"), ";").alias(f.name) if f.dataType.typeName() == "array" else F.col(f.name)
+        df.select(*map(cell, df.schema)).write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{path}/csv")
+
+
+def ocr_text(words: DataFrame) -> DataFrame:
+    """``path, value`` of ``path, line, index, word``: words joined by spaces, lines by line ends; lines without words are empty."""
+    lines = words.groupBy("path", "line").agg(F.array_sort(F.collect_list(F.struct("index", "word"))).alias("w"))
+    lines = lines.select("path", F.struct("line", F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("text")).alias("l"))
+    whole = lines.groupBy("path").agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    at = F.transform(F.sequence(F.lit(0), F.array_max(F.transform("ls", lambda x: x["line"]))), lambda i: F.coalesce(F.filter("ls", lambda x: x["line"] == i)[0]["text"], F.lit("")))
+    return whole.select("path", F.array_join(at, "\n").alias("value"))
+
+
+def write_ocr_text(words: DataFrame, path: str) -> None:
+    """One plain text file a page under ``path``/page=…."""
+    ocr_text(words).select(F.regexp_extract("path", r"([^/]*)$", 1).alias("page"), "value").write.mode("overwrite").partitionBy("page").text(path, lineSep="\n")
+
+
+def _rewritten(change):
+    """Whole XML files through ``change(root, rows)``; files that don't parse stay as they are."""
+    from xml.etree import ElementTree
+
+    def run(content, rows):
+        try:
+            root = ElementTree.fromstring(content)
+        except ElementTree.ParseError:
+            return content
+        change(root, rows or [])
+        return ElementTree.tostring(root, encoding="utf-8")
+
+    return F.udf(run, "binary", useArrow=True)
+
+
+def _own_id(el) -> str:
+    return el.get("{http://www.w3.org/XML/1998/namespace}id") or ""
+
+
+def replaced_segments(files: DataFrame, texts: DataFrame) -> DataFrame:
+    """``path, content`` with the ``ab`` elements named in ``path, ab_id, text`` holding the new text instead of what they held."""
+
+    def change(root, rows) -> None:
+        new = {r["ab_id"]: r["text"] for r in rows}
+        for el in root.iter():
+            if isinstance(el.tag, str) and el.tag.rpartition("}")[2] == "ab" and _own_id(el) in new:
+                for child in list(el):
+                    el.remove(child)
+                el.text = new[_own_id(el)]
+
+    by = texts.groupBy("path").agg(F.collect_list(F.struct("ab_id", "text")).alias("rows"))
+    return files.join(by, "path", "left").select("path", _rewritten(change)("content", "rows").alias("content"))
+
+
+def annotated_files(files: DataFrame, readings: DataFrame) -> DataFrame:
+    """``path, content`` with ``resp, cert, ana, n`` set on the readings named by ``app_id, wit``, in place; files already annotated (``*.v3.xml``) are left out.
+
+    Running it on its own result sets the same values again.
+    """
+
+    def change(root, rows) -> None:
+        new = {(r["app_id"], r["wit"]): r for r in rows}
+        for app in root.iter():
+            if isinstance(app.tag, str) and app.tag.rpartition("}")[2] == "app":
+                for rdg in app:
+                    r = new.get((_own_id(app), rdg.get("wit")))
+                    if r is not None:
+                        for name in ("resp", "cert", "ana", "n"):
+                            rdg.set(name, r[name] or "")
+
+    by = readings.groupBy("path").agg(F.collect_list(F.struct("app_id", "wit", "resp", "cert", "ana", "n")).alias("rows"))
+    open_ = files.where(~F.col("path").endswith(".v3.xml"))
+    return open_.join(by, "path", "left").select("path", _rewritten(change)("content", "rows").alias("content"))
+
+
+def multi_view_xml(apps: DataFrame) -> DataFrame:
+    """``stem, xml``: one ``div`` a file from ``stem, ord, app_id, xml``, its id the stem, all ids prefixed by it."""
+    xml = F.expr("replace(xml, concat('xml:id=\"', app_id, '\"'), concat('xml:id=\"', stem, '__', app_id, '\"'))")
+    rows = apps.groupBy("stem").agg(F.array_sort(F.collect_list(F.struct("ord", xml.alias("xml")))).alias("a"))
+    body = F.array_join(F.transform("a", lambda x: x["xml"]), "")
+    return rows.select("stem", F.concat(F.lit('<div xml:id="'), escaped(F.col("stem")), F.lit('">'), body, F.lit("</div>")).alias("xml"))
+
+
 def multi_view(apps: DataFrame, stem: str = "stem") -> DataFrame:
     """Apparatus rows of several files as one: every id prefixed by its file's stem."""
     return apps.withColumn("app_id", F.concat(F.col(stem), F.lit("__"), F.col("app_id")))
@@ -85,8 +170,10 @@ def lineage(df: DataFrame, source_path: str, script: str, threshold: float | Non
     })
 
 
-def write_alignments(df: DataFrame, path: str) -> None:
-    """Alignment store: Parquet by witness, sorted so that row groups prune by stanza."""
+def write_alignments(df: DataFrame, path: str, jsonl: str | None = None) -> None:
+    """Alignment store: Parquet by witness, sorted so that row groups prune by stanza; the same rows as JSON lines if a path for them is given."""
+    if jsonl:
+        df.write.mode("overwrite").json(jsonl)
     df.repartition("witness_id", F.pmod(F.xxhash64("stanza_id"), F.lit(64))).sortWithinPartitions("witness_id", "stanza_id", "our_index").write.mode(
         "overwrite"
     ).partitionBy("witness_id").parquet(path)

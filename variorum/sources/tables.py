@@ -58,3 +58,37 @@ def corpus_id(prefix, number):
     """Segment id of a remote corpus record: prefix, then chapter and verse without leading zeros."""
     part = lambda k: F.regexp_replace(F.regexp_extract(number, r"^(\d+)(?:\.(\d+))?", k), "^0+(?=.)", "")
     return F.concat(prefix, part(1), F.when(part(2) != "", F.concat(F.lit("."), part(2))).otherwise(F.lit("")))
+
+
+GATE = "xml_id string, canon_count int, our_count int, subs_total int, subs_low int, unmatched int, short_tokens int, error_rate double, triggers array<string>, flagged boolean"
+GROUPS = "xml_id string, score double, groups array<struct<c:array<int>,o:array<int>>>"
+
+
+def read_dry_run(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Report of the gate, one JSON object a line: which stanzas dynamic programming is to see."""
+    return spark.read.schema(GATE).json(paths)
+
+
+def read_groups(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Index groups of each stanza as dynamic programming left them, one JSON object a line."""
+    return spark.read.schema(GROUPS).json(paths)
+
+
+PAGE = "url string, next string, results array<struct<prefix:string,number:string,text:string>>"
+
+
+def read_corpus(spark: SparkSession, paths: str | list[str], start: str) -> DataFrame:
+    """``page, ab_id, ord, text`` of saved pages of a corpus service, from ``start`` along their ``next`` links.
+
+    Only the links (two addresses a page) go round; a page met before, or one that
+    was not saved, ends the walk. Pages that nothing leads to are left out.
+    """
+    pages = spark.read.schema(PAGE).json(paths)
+    links = dict(pages.where("url is not null").select("url", "next").distinct().collect())
+    order: list[str] = []
+    while start in links and start not in order:
+        order.append(start)
+        start = links[start]
+    walk = spark.createDataFrame([(u, k) for k, u in enumerate(order)], "url string, page int")
+    rows = pages.join(F.broadcast(walk), "url").select("page", F.posexplode("results").alias("ord", "r"))
+    return rows.select("page", corpus_id(F.col("r.prefix"), F.col("r.number")).alias("ab_id"), "ord", F.col("r.text").alias("text"))

@@ -1,7 +1,9 @@
 """TEI, CAB and ALTO readers.
 
 A file is one row (``binaryFile``), parsed in the task that reads it by a table
-function; files that don't parse give no rows. Text is composed (NFC) here, once.
+function; files that don't parse give no rows, and :func:`unparsed` names them.
+Text is composed (NFC) here, once. Each ``read_*`` has an ``*_of`` for files
+(``path, content``) that come from elsewhere.
 """
 
 from __future__ import annotations
@@ -224,34 +226,79 @@ def _parsed(files: DataFrame, f, *more) -> DataFrame:
     return files.lateralJoin(f(*(c.outer() for c in cols)) if more == () else f(F.col("content").outer(), *more)).drop("content")
 
 
-def read_segments(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``witness, kind, div_id, key, place, text`` of all files; canonical dot spacing applied, empty texts kept."""
-    out = _parsed(_files(spark, paths), Segments)
+def segments_of(files: DataFrame) -> DataFrame:
+    """``path, kind, div_id, key, place, text, witness`` of all elements with a name; canonical dot spacing applied, empty texts kept."""
+    out = _parsed(files, Segments)
     return out.withColumn("witness", C.manuscript_id(F.col("path"))).withColumn("text", F.trim(C.canonical_dots(F.col("text"))))
 
 
+def read_segments(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return segments_of(_files(spark, paths))
+
+
+def apparatus_of(files: DataFrame) -> DataFrame:
+    """Every reading of every entry of all files: one index over a directory."""
+    return _parsed(files, Apparatus)
+
+
 def read_apparatus(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return _parsed(_files(spark, paths), Apparatus)
+    return apparatus_of(_files(spark, paths))
 
 
-def read_stanzas(spark: SparkSession, paths: str | list[str], sentence_space: bool = False) -> DataFrame:
+def stanzas_of(files: DataFrame, sentence_space: bool = False) -> DataFrame:
     """``path, xml_id, words``; of divs that repeat an id in a file the last wins."""
-    out = _parsed(_files(spark, paths), StanzaWords, F.lit(sentence_space))
+    out = _parsed(files, StanzaWords, F.lit(sentence_space))
     return out.groupBy("path", "xml_id").agg(F.max_by("words", "place").alias("words"))
 
 
-def read_alto(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_stanzas(spark: SparkSession, paths: str | list[str], sentence_space: bool = False) -> DataFrame:
+    return stanzas_of(_files(spark, paths), sentence_space)
+
+
+def alto_of(files: DataFrame) -> DataFrame:
     """``page, line, index, word, seq``: pages in order of their names, ``seq`` orders words within a page."""
-    out = _parsed(_files(spark, paths), AltoWords)
+    out = _parsed(files, AltoWords)
     return out.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("page"), "line", "index", "word", F.col("place").alias("seq"))
 
 
+def read_alto(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return alto_of(_files(spark, paths))
+
+
+def cab_of(files: DataFrame) -> DataFrame:
+    """``path, id, index, word, seq``."""
+    return _parsed(files, CabWords).select("path", "id", "index", "word", F.col("place").alias("seq"))
+
+
 def read_cab(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    return _parsed(_files(spark, paths), CabWords).select("path", "id", "index", "word", F.col("place").alias("seq"))
+    return cab_of(_files(spark, paths))
 
 
-def read_ocr_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """``path, line, index, word`` of plain text files, lines counted from 0."""
-    lines = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    lines = lines.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
+def ocr_words(texts: DataFrame) -> DataFrame:
+    """``path, line, index, word`` of ``path, value`` (whole texts), lines counted from 0."""
+    lines = texts.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
     return lines.select("path", "line", F.posexplode(C.tokens(F.regexp_replace("text", r"\.", " "))).alias("index", "word"))
+
+
+def read_ocr_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return ocr_words(spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+@udtf(returnType="error string, line int", useArrow=False)
+class Broken:
+    """What keeps a file from being parsed; nothing if it parses."""
+
+    def eval(self, content: bytes) -> Iterator[tuple]:
+        try:
+            ElementTree.fromstring(content or b"")
+        except ElementTree.ParseError as e:
+            yield str(e).partition(":")[0], e.position[0]
+
+
+def unparsed(files: DataFrame) -> DataFrame:
+    """``path, error, line`` of the files that the readers leave out because they don't parse."""
+    return files.lateralJoin(Broken(F.col("content").outer())).drop("content")
+
+
+def read_unparsed(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return unparsed(_files(spark, paths))
