@@ -166,11 +166,6 @@ def spacing_merge(spark, d):
     return t.select("conv_id", "turn", rdg.alias("rdg"), ladder.spacing_merge(F.col("role"), rdg, F.col("before"), F.col("after")).alias("fused"))
 
 
-@query("ladder_full")
-def ladder_full(spark, d):
-    return ladder.classify(token_pairs(spark, d), RULES, FAMILIES).groupBy("type").agg(F.count(F.lit(1)).alias("n"))
-
-
 _OPS_SQL = []
 for _long, _short, _verb, _less in (("lem", "rdg", "deleted", "length(rdg) < length(lem)"), ("rdg", "lem", "inserted", "length(rdg) > length(lem)")):
     for _c in "həa":
@@ -815,4 +810,4 @@ def curation_stream(spark, d):
     return curation.latest(spark, f"{root}/state", max(0, run.lastProgress["batchId"])).select("user_id", "event_type", "value", "event_id")
 
 
-from . import queries_more  # noqa: E402, F401  it adds its queries to those above
+from . import queries_align, queries_more  # noqa: E402, F401  they add their queries to those above
