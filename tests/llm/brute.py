@@ -77,3 +77,24 @@ def jaccard5(a, b):
 
     a, b = grams(a), grams(b)
     return len(a & b) / max(1, len(a | b))
+
+
+def wide_simhash(text):
+    """256 bits: four times 64, by XXH64 of five-word shingles and three SplitMix64 hashes of it."""
+    import xxhash
+
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    grams = ([" ".join(words[i : i + 5]) for i in range(len(words) - 4)] or [" ".join(words)]) if words else []
+    out, top = 0, 2**64
+    for k in range(4):
+        hashes = []
+        for g in grams:
+            h = xxhash.xxh64(g.encode(), seed=42).intdigest()
+            if k:
+                h = (h + 0x9E3779B97F4A7C15 * k) % top
+                h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % top
+                h = (h ^ h >> 27) * 0x94D049BB133111EB % top
+                h ^= h >> 31
+            hashes.append(h)
+        out |= sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << 64 * k
+    return out

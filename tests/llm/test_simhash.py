@@ -3,7 +3,7 @@ import numpy as np
 from variorum.llm import simhash as S
 from variorum.llm.common import connected_components
 
-from .brute import components, jaccard5, simhash
+from .brute import components, jaccard5, simhash, wide_simhash
 
 
 def check(got, texts):
@@ -47,12 +47,9 @@ def test_components_of_long_chain(spark):
 
 
 def similar(rows):
-    """Component of each row: equal but for case and space, or Jaccard similarity of 0.8 or more and fingerprints within the radius."""
-    v = np.array([simhash(t) for _, t in rows], np.uint64)
-    near = np.argwhere(np.triu(np.bitwise_count(v[:, None] ^ v[None]) <= S.RADIUS, 1))
-    plain = [" ".join((t or "").encode().lower().decode().split(None)) if t and t.isascii() else t or "" for _, t in rows]
-    links = [(a, b) for a, b in near if plain[a] == plain[b] or jaccard5(rows[a][1], rows[b][1]) >= 0.8]
-    return components(range(len(rows)), links)
+    """Component of each row: wide fingerprints within the radius of a similarity of 0.8."""
+    v = [wide_simhash(t) for _, t in rows]
+    return components(range(len(rows)), [(a, b) for a in range(len(v)) for b in range(a + 1, len(v)) if (v[a] ^ v[b]).bit_count() <= 38])
 
 
 def words(rng, n):
@@ -86,12 +83,25 @@ def test_similar_documents_equal_brute_force(spark):
     check_similar(spark, edited_copies())
 
 
-def test_many_candidates_are_joined_round_by_round(spark, monkeypatch):
-    monkeypatch.setattr(S, "FEW", 20)
-    monkeypatch.setattr(S, "CHUNK", 16)
+def test_similar_documents_over_cut_tiles(spark, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", 2)
     check_similar(spark, edited_copies(4))
 
 
+def test_radius_tells_similarity():
+    """Texts of five-word similarity 0.9 or more lie within the radius, those of 0.6 or less beyond it."""
+    rng, near, far = np.random.default_rng(1), [], []
+    for _ in range(150):
+        base = words(rng, 400)
+        own = list(base)
+        for k in rng.integers(0, 400, rng.integers(1, 40)):
+            own[k] = "edit"
+        a, b = " ".join(base), " ".join(own)
+        j, d = jaccard5(a, b), int(np.bitwise_count(S.wide_fingerprint(a) ^ S.wide_fingerprint(b)).sum())
+        (near if j >= 0.9 else far if j <= 0.6 else []).append(d)
+    assert len(near) > 10 and len(far) > 10 and max(near) <= S.radius_of(0.8) < min(far)
+
+
 def test_similar_documents_of_the_table(spark, sf):
     check_similar(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
 
