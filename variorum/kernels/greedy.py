@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from .gestalt import edit_distance, ratio
+from functools import lru_cache
+
+from .gestalt import edit_distance, ratio, reaches
 from .text import skeleton, stanza_token
 
+_skeleton = lru_cache(maxsize=100_000)(skeleton)
+
 CLAIMED = 0.95  # similarity at which a token counts as well matched elsewhere
 SLACK, MERGED_SLACK, EDITS = 2, 3, 2
 CROSSING, GAIN = 12, 0.05
@@ -16,16 +20,18 @@ def same_word(a: str, b: str) -> bool:
         return False
     if a == b:
         return True
-    return edit_distance(skeleton(a), skeleton(b)) <= 1
+    x, y = _skeleton(a), _skeleton(b)
+    return abs(len(x) - len(y)) <= 1 and edit_distance(x, y) <= 1
 
 
 def _spelled(t: str) -> str:
     return t.replace("ii", "ai").replace("ə̄", "ē")
 
 
-def spelling_ratio(a: str, b: str) -> float:
-    """Best similarity over the common alternate spellings of either side."""
-    return max(ratio(x, y) for x in (a, _spelled(a)) for y in (b, _spelled(b)))
+def spelling_ratio(a: str, b: str, floor: float = 0.0) -> float:
+    """Best similarity over the common alternate spellings of either side; -1 where none can reach ``floor``."""
+    pairs = {(x, y): None for x in (a, _spelled(a)) for y in (b, _spelled(b))}
+    return max((ratio(x, y) for x, y in pairs if floor <= 0 or reaches(x, y, floor)), default=-1.0)
 
 
 def _dotless(t: str) -> str:
@@ -66,24 +72,24 @@ class Matcher:
             top = 1.0 if hit else -1.0
             if hit is None:
                 rank = (-1.0, float("-inf"))
-                for c in near:
-                    mark = (spelling_ratio(self.key[c], self.our_key[o]), lo - c)
+                for c in near:  # what stays below the threshold decides nothing
+                    mark = (spelling_ratio(self.key[c], self.our_key[o], max(threshold, rank[0])), lo - c)
                     if mark > rank:
                         rank, hit, top = mark, (c, 1), mark[0]
                 if top < threshold:
-                    hit, top = self._runs(o, lo, window, max_span, hit, rank)
+                    hit, top = self._runs(o, lo, window, max_span, hit, rank, threshold)
             if hit and top >= threshold:
                 c, k = hit
                 self.at[c : c + k] = [o] * k
                 last = c + k - 1
 
-    def _runs(self, o, lo, window, max_span, hit, rank):
+    def _runs(self, o, lo, window, max_span, hit, rank, threshold):
         n = len(self.canon)
         for c in range(lo, min(n, lo + window * 3)):
             for k in range(2, min(max_span, n - c) + 1):
                 run = range(c, c + k)
                 for glue in (".", ""):
-                    mark = (spelling_ratio(stanza_token(glue.join(self.canon[c : c + k])), self.our_key[o]), lo - c)
+                    mark = (spelling_ratio(stanza_token(glue.join(self.canon[c : c + k])), self.our_key[o], max(threshold, rank[0])), lo - c)
                     if mark > rank and not self.claimed(run, lambda _, run=run: run, o):
                         rank, hit = mark, (c, k)
             if rank[0] >= CLAIMED:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as C
 from ..functions import udfs as U
-from ..session import spread
+from ..session import small, spread
 
 
 def aligned(lemma: DataFrame, witnesses: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def readings(work: DataFrame, spans: DataFrame, witnesses: DataFrame) -> DataFra
     apps = spans.join(lemma, "ab_id").select(
         F.concat_ws("-", F.lit("app"), "ab_id", "a", "b").alias("app_id"), "ab_id", "a", "b", F.expr("array_join(slice(lt, a + 1, b - a), ' ')").alias("lem")
     )
-    grid = apps.crossJoin(F.broadcast(witnesses.select("witness").distinct()))  # entries x witnesses is the result itself
+    grid = apps.crossJoin(small(witnesses.select("witness").distinct()))  # entries x witnesses is the result itself
     at = "array_sort(array_distinct(flatten(slice(cover, a + 1, b - a))))"
     rdg = F.expr(f"array_join(transform({at}, i -> get(wt, i)), ' ')")
     out = grid.join(work.select("ab_id", "witness", "cover", "wt"), ["ab_id", "witness"], "left")

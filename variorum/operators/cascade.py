@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as C
 from ..kernels.annotate import Annotator
-from ..session import spread
+from ..session import small, spread
 
 RESULT = "struct<label:string,cert:string,n:string,rule:string,feature:string,likelihood:double>"
 #: fixed values: categories that labels are written as
@@ -25,7 +25,7 @@ def witness_group_sets(readings: DataFrame, groups: DataFrame) -> DataFrame:
     """Adds ``groups``: every group of the witnesses named in ``wit`` (blank-separated, ``#`` optional)."""
     named = readings.select("wit").distinct().withColumn("witness", F.explode(C.tokens(F.col("wit"))))
     named = named.withColumn("witness", F.regexp_replace("witness", "^#+", ""))
-    sets = named.join(F.broadcast(groups), "witness").groupBy("wit").agg(F.array_sort(F.collect_set("grp")).alias("groups"))
+    sets = named.join(small(groups), "witness").groupBy("wit").agg(F.array_sort(F.collect_set("grp")).alias("groups"))
     return readings.join(sets, "wit", "left").withColumn("groups", F.coalesce("groups", F.array().cast("array<string>")))
 
 

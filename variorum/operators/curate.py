@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as C
 from ..functions import udfs as U
+from ..session import small
 from .cascade import override_decision, suggestion
 
 
@@ -34,7 +35,7 @@ def consensus(curated: DataFrame) -> tuple[DataFrame, DataFrame]:
 def auto_overrides(unknown: DataFrame, scores: DataFrame) -> DataFrame:
     """``feature, app_id, rdg_text, label_override`` that scores decide for unknown readings."""
     s = scores.select("feature", F.col("variant_likelihood").alias("v"), "doc_freq", F.col("punct_penalty_applied").alias("p"))
-    u = unknown.withColumn("feature", C.canonical_feature(F.col("feature"))).join(F.broadcast(s), "feature", "left")
+    u = unknown.withColumn("feature", C.canonical_feature(F.col("feature"))).join(small(s), "feature", "left")
     v, punct = F.coalesce("v", "variant_likelihood", F.lit(0.0)), F.coalesce("p", F.lit(False))
     loud = ~punct & (v >= 0.78) & (F.coalesce("doc_freq", F.lit(0)) >= 2)
     label = F.when(loud, "meaningful").when(punct | F.coalesce("orthography_guess", F.lit(False)), "trivial")
@@ -76,25 +77,35 @@ def changes_to_overrides(words: DataFrame, scores: DataFrame) -> tuple[DataFrame
     rows = atoms.join(keys, "feature", "left")
     kind = F.when(F.col("feature").endswith(" inserted"), "insert").when(F.col("feature").endswith(" deleted"), "delete").otherwise("subst")
     value = F.regexp_replace("feature", " (inserted|deleted)$", "")
-    good = rows.where("s >= 0.6").join(F.broadcast(named), "key")
+    good = rows.where("s >= 0.6").join(small(named), "key")
     decided = good.withColumn("label_override", override_decision(kind, value)).where("label_override is not null")
     decided = decided.select(F.col("key").alias("feature"), "app_id", "rdg_text", "label_override")
     open_ = rows.where("s is null or s < 0.6").groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.first("key").alias("nearest"))
     return decided, open_
 
 
-def nearest_keys(features: DataFrame, keys: DataFrame, cutoff: float) -> DataFrame:
-    """``feature, key, s``: the most similar catalogue key of each distinct feature, ties to the first by name.
+def nearest_keys(features: DataFrame, keys: DataFrame, cutoff: float, block: int = 5000, rows: int = 500) -> DataFrame:
+    """``feature, key, s``: the most similar catalogue key of each feature, ties to the first by name; features that no key reaches are left out.
 
-    The catalogue's keys go to the workers as one list; a catalogue beyond 100,000 keys is refused.
+    Features and keys meet in blocks of about ``rows`` and ``block``: every feature is held
+    against every key, whatever the size of the catalogue, and no list goes to the driver.
     """
-    names = [r.key for r in keys.distinct().orderBy("key").limit(100_001).collect()]
-    if len(names) > 100_000:
-        raise ValueError("a feature catalogue of more than 100,000 keys is not searched fuzzily")
     from ..kernels.gestalt import nearest
 
-    find = F.udf(lambda f: dict(zip(("key", "s"), nearest(f, names, cutoff), strict=True)), "struct<key:string,s:double>", useArrow=True)
-    return features.select("feature", find("feature").alias("r")).select("feature", "r.key", "r.s").where("key is not null")
+    def packed(df: DataFrame, c: str, size: int) -> DataFrame:
+        some = df.select(F.col(c).alias("x")).distinct()
+        n = -(-some.count() // size) or 1
+        return some.groupBy(F.pmod(F.xxhash64("x"), F.lit(n)).alias("b")).agg(F.array_sort(F.collect_list("x")).alias("xs")).select("xs")
+
+    def run(fs, ks):
+        ks = list(ks)
+        return [{"feature": f, "key": k, "s": s} for f in fs for k, s in [nearest(f, ks, cutoff)] if k is not None]
+
+    find = F.udf(run, "array<struct<feature:string,key:string,s:double>>", useArrow=True)
+    blocks = packed(features, "feature", rows).withColumnRenamed("xs", "fs").crossJoin(small(packed(keys, "key", block).withColumnRenamed("xs", "ks"), 1000))
+    found = blocks.select(F.explode(find("fs", "ks")).alias("r")).select("r.*")
+    best = found.groupBy("feature").agg(F.min(F.struct((-F.col("s")).alias("least"), "key")).alias("b"))
+    return features.join(best, "feature").select("feature", F.col("b.key").alias("key"), (-F.col("b.least")).alias("s"))
 
 
 TIERS = ("rdg_exact", "lem_exact", "rdg_fuzzy", "lem_fuzzy")
@@ -108,17 +119,23 @@ def resolve_snippets(snippets: DataFrame, entries: DataFrame) -> DataFrame:
     """
     s = snippets.withColumn("stub_id", C.app_id_of(F.coalesce("stub", F.lit(""))))
     s = s.withColumn("rdg_text", F.when(F.trim(F.coalesce("rdg_text", F.lit(""))) != "", F.col("rdg_text")).otherwise(C.reading_of(F.coalesce("stub", F.lit("")))))
-    s = s.withColumn("_n", U.search_form("rdg_text"))
-    e = entries.select("div_id", F.col("app_id").alias("cand"), "lem", F.coalesce("rdg", F.lit("")).alias("rdg"))
-    e = e.withColumns({"_l": U.search_form("lem"), "_r": U.search_form("rdg")})
-    pairs = s.where("stub_id = '' and _n <> ''").join(e, F.col("locus") == F.col("div_id")).select("id", "_n", "cand", "_l", "_r")
-    close = pairs.select("_n", F.explode(F.array("_l", "_r")).alias("t")).distinct().where("_n <> t")
-    close = close.withColumn("near", U.gestalt_ratio("_n", "t") >= 0.92).where("near")
-    l_near = close.select("_n", F.col("t").alias("_l"), F.lit(True).alias("ln"))
-    r_near = close.select("_n", F.col("t").alias("_r"), F.lit(True).alias("rn"))
-    pairs = pairs.join(r_near, ["_n", "_r"], "left").join(l_near, ["_n", "_l"], "left")
-    tier = F.when(F.col("_n") == F.col("_r"), 0).when(F.col("_n") == F.col("_l"), 1).when(F.col("rn"), 2).when(F.col("ln"), 3)
-    best = pairs.withColumn("tier", tier).where("tier is not null")
+    s = s.join(s.select("rdg_text").distinct().withColumn("_n", U.search_form("rdg_text")), "rdg_text")
+    e = entries.select("div_id", F.col("app_id").alias("cand"), F.coalesce("lem", F.lit("")).alias("lem"), F.coalesce("rdg", F.lit("")).alias("rdg"))
+    forms = e.select(F.explode(F.array("lem", "rdg")).alias("x")).distinct().withColumn("form", U.search_form("x"))  # once for each text
+    e = e.join(forms.toDF("lem", "_l"), "lem").join(forms.toDF("rdg", "_r"), "rdg").select("div_id", "cand", "_l", "_r").distinct()
+    asked = s.where("stub_id = '' and _n <> ''").select("id", F.col("locus").alias("div_id"), "_n")
+    # exact tiers have a key; only snippets that they leave open are held against the other forms of their locus
+    exact = [asked.join(e.select("div_id", F.col(c).alias("_n"), "cand"), ["div_id", "_n"]).select("id", "cand", F.lit(t).alias("tier")) for t, c in enumerate(("_r", "_l"))]
+    exact = exact[0].union(exact[1])
+    open_ = asked.join(exact.select("id").distinct(), "id", "left_anti")
+    near = []
+    for t, c in ((2, "_r"), (3, "_l")):
+        texts = e.select("div_id", F.col(c).alias("t")).distinct()
+        close = open_.select("div_id", "_n").distinct().join(texts, "div_id").select("_n", "t").distinct()
+        close = close.withColumn("like", U.gestalt_ratio("_n", "t") >= 0.92).where("like").drop("like")
+        hits = open_.join(close, "_n").join(e.select("div_id", F.col(c).alias("t"), "cand"), ["div_id", "t"])
+        near.append(hits.select("id", "cand", F.lit(t).alias("tier")))
+    best = exact.union(near[0]).union(near[1]).groupBy("id", "cand").agg(F.min("tier").alias("tier"))
     best = best.withColumn("_top", F.min("tier").over(Window.partitionBy("id"))).where("tier = _top")
     best = best.groupBy("id", "tier").agg(F.array_sort(F.collect_list("cand")).alias("cands"))
     out = s.join(best, "id", "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as C
 from ..functions import udfs as U
-from ..session import spread
+from ..session import small, spread
 
 
 def split_entries(rows: DataFrame) -> DataFrame:
@@ -66,5 +66,5 @@ def trim_spillover(rows: DataFrame, doc: list[str], order: list[str]) -> DataFra
 def point_fixes(rows: DataFrame, fixes: DataFrame) -> DataFrame:
     """``app_id, witness, guard_text, new_text``: readings that still hold the guarded text get the new one."""
     f = fixes.select("app_id", "witness", F.col("guard_text").alias("_g"), F.col("new_text").alias("_n"))
-    out = rows.join(F.broadcast(f), ["app_id", "witness"], "left")
+    out = rows.join(small(f), ["app_id", "witness"], "left")
     return out.withColumn("rdg", F.when(F.contains("rdg", F.col("_g")), F.col("_n")).otherwise(F.col("rdg"))).select(*rows.columns)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small
+
 
 def label_counts(readings: DataFrame, by: str = "path") -> DataFrame:
     """Readings of each file by what they were labelled, in either vocabulary."""
@@ -29,9 +31,11 @@ def witness_distances(features: DataFrame) -> DataFrame:
     """
     f = features.select("witness", "feature").distinct()
     size = f.groupBy("witness").agg(F.count(F.lit(1)).alias("n"))
-    shared = f.withColumnRenamed("witness", "wit_a").join(f.withColumnRenamed("witness", "wit_b"), "feature").groupBy("wit_a", "wit_b").agg(F.count(F.lit(1)).alias("k"))
+    # features shown by the same witnesses count as one with a weight, so a set that recurs is paired once
+    shown = f.groupBy("feature").agg(F.array_sort(F.collect_set("witness")).alias("ws")).groupBy("ws").agg(F.count(F.lit(1)).alias("k"))
+    shared = shown.select("k", "ws", F.explode("ws").alias("wit_a")).select("k", "wit_a", F.explode("ws").alias("wit_b")).groupBy("wit_a", "wit_b").agg(F.sum("k").alias("k"))
     a, b = size.toDF("wit_a", "na"), size.toDF("wit_b", "nb")
-    grid = a.crossJoin(F.broadcast(b)).join(shared, ["wit_a", "wit_b"], "left")
+    grid = a.crossJoin(small(b)).join(shared, ["wit_a", "wit_b"], "left")
     k = F.coalesce("k", F.lit(0))
     return grid.select("wit_a", "wit_b", (1 - k / (F.col("na") + F.col("nb") - k)).alias("distance"))
 

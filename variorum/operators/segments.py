@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small
+
 
 def lemma_segments(elements: DataFrame, prefixes: list[str]) -> DataFrame:
     """``ab_id, ord, text`` of ``ab`` elements by id prefix inside divs by id prefix; headings by a prefix anywhere in their id."""
@@ -25,9 +27,9 @@ def witness_segments(elements: DataFrame, wanted: DataFrame, remap: DataFrame |
     in that order. ``remap`` (witness, ab_id, lookup_id) replaces ids for a witness.
     """
     ids = wanted.select("ab_id").distinct()
-    asked = elements.select("witness").distinct().crossJoin(F.broadcast(ids))  # witnesses x segments: the result's own size
+    asked = elements.select("witness").distinct().crossJoin(small(ids))  # witnesses x segments: the result's own size
     if remap is not None:
-        asked = asked.join(F.broadcast(remap), ["witness", "ab_id"], "left")
+        asked = asked.join(small(remap), ["witness", "ab_id"], "left")
     else:
         asked = asked.withColumn("lookup_id", F.lit(None).cast("string"))
     asked = asked.withColumn("lookup_id", F.coalesce("lookup_id", "ab_id"))
@@ -37,7 +39,10 @@ def witness_segments(elements: DataFrame, wanted: DataFrame, remap: DataFrame |
     exact = exact.select("witness", "ab_id", "rank", "place", "text")
     left = asked.join(exact.select("witness", "ab_id").distinct(), ["witness", "ab_id"], "left_anti")
     parts = elements.where("kind = 'ab'").select("witness", "key", "place", "text")
-    inside = left.join(parts, "witness").where(F.contains("key", F.col("lookup_id")))
+    # ids that no element is named by are sought inside the different keys of a witness, texts come after
+    keys = parts.select("witness", "key").distinct()
+    hits = left.join(keys, "witness").where(F.contains("key", F.col("lookup_id")))
+    inside = hits.join(parts, ["witness", "key"])
     found = exact.union(inside.select("witness", "ab_id", F.lit(3).alias("rank"), "place", "text"))
     first = F.min_by("text", F.struct("rank", "place")).alias("text")
     return found.groupBy("witness", "ab_id").agg(first).where("text <> ''")

@@ -17,7 +17,7 @@ from .functions import udfs as U
 from .kernels.annotate import Annotator
 from .operators import apparatus, cascade, curate, ladder, post, relations, reports, segments
 from .plans import collate
-from .session import shared_folder, written
+from .session import shared_folder, small, written
 from .sources import sinks, tables
 from .streaming import curation
 
@@ -65,7 +65,7 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 def witnesses(spark: SparkSession, d: str) -> DataFrame:
     """``lemma, doc_id, line, text`` of documents in clusters of two or more; the lemma itself included."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    key = F.array_join(F.slice(F.split(F.regexp_replace(F.lower("text"), r"\s+", " "), " "), 1, 12), " ")
+    key = F.array_join(F.slice(F.split(F.lower("text"), r"\s+", 13), 1, 12), " ")  # no more of a text is cut than is asked for
     docs = docs.withColumn("k", key)
     clusters = docs.groupBy("k").agg(F.min("doc_id").alias("lemma"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return docs.join(clusters, "k").select("lemma", "doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
@@ -545,10 +545,12 @@ def semi_and_anti(spark, d):
     long = b.where("size(w) >= 10").select("passage", key("w", 2).alias("key"))
     short = b.where("size(w) < 10").select("passage")
     places = F.when(F.size("w") >= 8, F.sequence(F.lit(1), F.size("w") - 7))
-    starts = docs.select("doc_id", "text", words("text").alias("w")).withColumn("key", F.explode(F.transform(places, lambda i: key(F.col("w"), i))))
+    # ids and keys meet first; only texts that hold a key are looked at whole
+    starts = docs.select("doc_id", words("text").alias("w")).select("doc_id", F.explode(F.array_distinct(F.transform(places, lambda i: key(F.col("w"), i)))).alias("key"))
+    maybe = starts.join(small(long), "key").select("doc_id", "passage").distinct()
     whole = F.contains("text", F.col("passage"))
-    hits = starts.join(F.broadcast(long), "key").where(whole).select("doc_id")
-    hits = hits.union(docs.join(F.broadcast(short), whole, "left_semi").select("doc_id")).distinct()
+    hits = docs.select("doc_id", "text").join(maybe, "doc_id").where(whole).select("doc_id")
+    hits = hits.union(docs.join(small(short), whole, "left_semi").select("doc_id")).distinct()
     return kept.join(hits.withColumn("reused", F.lit(True)), "doc_id", "left").select("doc_id", "toxic", F.coalesce("reused", F.lit(False)).alias("reused"))
 
 

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -39,11 +42,43 @@ def shared_folder(spark: SparkSession) -> str:
 
 def written(df: DataFrame) -> DataFrame:
     """The rows as a Parquet table in the shared folder: branches that follow read it instead of repeating what made it, and a lost executor costs no more."""
-    path = f"{shared_folder(df.sparkSession)}/rows-{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession, "rows")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: folders written so far, those of the innermost :func:`scratch` last
+_written: list[list[str]] = [[]]
+
+
+def scratch_path(spark: SparkSession, what: str) -> str:
+    """A new path in the shared folder, which the :func:`scratch` around it removes."""
+    path = f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
+    _written[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes, at its end, every intermediate table written inside.
+
+    Results are lazy and may read those tables: write or collect them before the end.
+    """
+    _written.append([])
+    try:
+        yield
+    finally:
+        jvm = spark.sparkContext._jvm
+        for path in _written.pop():
+            there = jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``most`` rows, which are counted; else joins are left to Spark."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Rows dealt to as many tasks as shuffles have partitions. Kernels cost by token pair, not by byte,
     so partitions that adaptive execution would join as small must stay apart."""
