@@ -729,12 +729,6 @@ def cascade_query(spark, d):
     return collate.annotated_readings(rows, groups, annotator).groupBy("label", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("atomic_features")
-def atomic_features(spark, d):
-    pairs = differing_pairs(spark, d)
-    return pairs.select("lem", "rdg", F.array_join(U.atomic_ops("lem", "rdg"), ";").alias("ops"), U.token_feature("lem", "rdg").alias("feature"))
-
-
 @query("snippet_resolution", r"""
 WITH e AS (SELECT source AS div_id, 'app-' || doc_id AS app_id, lang AS lem, CAST(doc_id % 40 AS VARCHAR) AS rdg FROM documents),
   s AS (SELECT item_id AS id, 'src' || (item_id % 25) AS locus, CAST(item_id % 50 AS VARCHAR) AS rdg_text, CASE WHEN item_id % 9 = 0 THEN '<app xml:id="app-x' || item_id || '">' ELSE '' END AS stub FROM benchmark),
@@ -812,4 +806,4 @@ def curation_stream(spark, d):
     return curation.latest(spark, f"{root}/state", max(0, run.lastProgress["batchId"])).select("user_id", "event_type", "value", "event_id")
 
 
-from . import queries_align, queries_more  # noqa: E402, F401  they add their queries to those above
+from . import queries_align, queries_features, queries_more  # noqa: E402, F401  they add their queries to those above
