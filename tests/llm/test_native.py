@@ -47,6 +47,18 @@ def test_shards_of_odd_tables(spark):
     assert [(r.slot, r.size) for r in sharding.shard_documents(odd(spark, ODD[:1])).collect()] == [(0, 8)]
 
 
+def test_small_groups_are_not_cut(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(i, f"text {i // 3}") for i in range(6000)], "id long, t string")
+    got = sharding.histogram_shards(df, 8, F.lit(1), F.col("t"), F.col("id"), tolerance=0.01).collect()
+    groups = defaultdict(set)
+    for r in got:
+        groups[r.t].add(r.shard)
+    sizes = Counter(r.shard for r in got)
+    assert all(len(s) == 1 for s in groups.values()) and max(abs(n - 750) for n in sizes.values()) <= 15
+
+
 def fill(stock, share, repeats):
     """Resharing as told: give by weight, stop at the cap, share the excess among the rest, again."""
     want, full, weights = share * sum(stock.values()), {}, {}
@@ -105,6 +117,17 @@ def test_mix(spark, table):
     assert not mixing.mix_documents(docs.limit(0)).collect()
 
 
+def test_clashing_columns_stay_apart(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "x y z", "ab"[i % 2], 7, 8, 9, "t") for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size int, hash int, _order int, target string")
+    got = mixing.mix(df, F.col("source"), F.lit(3), [F.col("doc_id")])
+    assert {(r.source, r.hash, r._order) for r in got.collect()} == {("a", 8, 9), ("b", 8, 9)} and got.columns.count("size") == 1
+    whole = mixing.mixed_rows(df)
+    assert whole.columns == df.columns and {(r.size, r.hash, r.target) for r in whole.collect()} == {(7, 8, "t")}
+
+
 @pytest.mark.parametrize("size, shards", [(250_000, 20), (15, 800), (10**13, 20)])
 def test_rare_sources_over_many_shards(spark, size, shards):
     """Sources of 150-word rows beside one of 20,000 rows: of billions of words, in shards smaller than a block, past the block limit."""

@@ -1,38 +1,16 @@
-"""Shared helpers: checkpoint folder, materialised tables, connected components."""
+"""Shared helpers: materialised tables in the shared folder, joins, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch, scratch_path  # noqa: F401  what operators write goes with the scratch around them
+
 #: white space of the word definition shared by several operators: \x20 and \x09-\x0D
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors share: what the cluster names in ``spark.checkpoint.dir``.
-
-    Only where neither the setting nor a checkpoint folder exists (local tests)
-    is a folder of our own made.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    have = sc.getCheckpointDir()
-    if have:
-        return have
-    if named is None:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        named = tempfile.mkdtemp(prefix="variorum-checkpoint-")
-    sc.setCheckpointDir(named)
-    return sc.getCheckpointDir()
-
-
 def materialize(df: DataFrame, compact: bool = False) -> DataFrame:
     """Cut lineage through a Parquet table in the shared folder.
 
@@ -48,33 +26,6 @@ def materialize(df: DataFrame, compact: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: folders written so far, of the innermost :func:`scratch` last
-_written: list[list[str]] = [[]]
-
-
-def scratch_path(spark: SparkSession, what: str) -> str:
-    """A new path in the shared folder, which the :func:`scratch` around it removes."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    _written[-1].append(path)
-    return path
-
-
-@contextmanager
-def scratch(spark: SparkSession) -> Iterator[None]:
-    """Removes, at its end, every intermediate table written inside.
-
-    Results are lazy and may read those tables: write or collect them before the end.
-    """
-    _written.append([])
-    try:
-        yield
-    finally:
-        jvm = spark.sparkContext._jvm
-        for path in _written.pop():
-            there = jvm.org.apache.hadoop.fs.Path(path)
-            there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
-
-
 def bucketed(df: DataFrame, key: str, buckets: int) -> DataFrame:
     """``df`` written once, and read again as ``buckets`` partitions by Spark's hash of ``key``: joins on ``key`` leave it where it is."""
     spark = df.sparkSession

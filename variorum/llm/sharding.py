@@ -50,11 +50,13 @@ def below(df: DataFrame, key: str, bounds: list[str], name: str) -> DataFrame:
     return df
 
 
-def splitters(keyed: DataFrame, parts: int, tolerance: float) -> tuple[list[str], int, int]:
+def splitters(keyed: DataFrame, parts: int, tolerance: float, align: int = 0) -> tuple[list[str], int, int]:
     """Boundaries that cut the bytes of ``keyed`` (_key, _size) in ``parts`` near-equal parts.
 
     Each boundary's exact byte count is within ``tolerance`` of a part's mean
-    size of its target, or no finer cut exists. Returns (boundaries, bytes, rows);
+    size of its target, or no finer cut exists. With ``align``, a boundary moves to an
+    edge between keys that differ in their first ``align`` digits where one lies within
+    the tolerance. Returns (boundaries, bytes, rows);
     fewer boundaries than ``parts - 1`` when there are fewer rows than parts.
     """
     probes = [TOP * i // PROBES for i in range(1, PROBES)]
@@ -94,7 +96,7 @@ def splitters(keyed: DataFrame, parts: int, tolerance: float) -> tuple[list[str]
             else:
                 open_bins.add(i - 1)
         if not open_bins:
-            return sorted({_hex(b) for b in done.values()}), total, rows
+            return sorted({_hex(b) for b in (_aligned(keyed, done, total / parts, slack, align) if align else done.values())}), total, rows
         each = max(2, (PROBES - 1) // len(open_bins))
         known = {b: 1 for b in done.values()}
         probes = []
@@ -104,6 +106,20 @@ def splitters(keyed: DataFrame, parts: int, tolerance: float) -> tuple[list[str]
             probes += [lo, hi, hi + 1, *(lo + (hi - lo) * k // (each + 1) for k in range(1, each + 1))]
 
 
+def _aligned(keyed: DataFrame, done: dict[int, int], mean: float, slack: float, digits: int) -> list[int]:
+    """Boundaries by their number, each at the nearer edge of the group that it cuts if exact bytes allow; counted once over all."""
+    unit = 1 << 4 * (DIGITS - digits)
+    edges = {t: (b // unit * unit, -(-b // unit) * unit) for t, b in done.items()}
+    bounds = sorted({e for pair in edges.values() for e in pair if 0 < e < TOP})
+    bins = dict(below(keyed.select("_key", "_size"), "_key", [_hex(e) for e in bounds], "_bin").groupBy("_bin").agg(F.sum("_size")).collect())
+    under, at = {}, 0
+    for k, e in enumerate(bounds):
+        at += bins.get(k, 0)
+        under[e] = at
+    best = {t: min((abs(under[e] - t * mean), e) for e in pair if e in under) for t, pair in edges.items() if any(e in under for e in pair)}
+    return [best[t][1] if t in best and best[t][0] <= slack else b for t, b in done.items()]
+
+
 def histogram_shards(
     df: DataFrame, shards: int, size: Column, group: Column, row_id: Column, tolerance: float = 0.002, rows_per_piece: int = 2_000_000
 ) -> DataFrame:
@@ -111,7 +127,8 @@ def histogram_shards(
 
     Shards hold near-equal sums of ``size`` and follow one global order by
     (hash of ``group``, ``row_id``, row), so rows of equal group value stand
-    next to each other and a group larger than a shard is cut, not piled up.
+    next to each other; a group is cut only where keeping it whole would miss the
+    tolerance, as one larger than a shard must be.
 
     ``df`` is written once to the shared folder, as later rounds must see the
     same rows; give it thin rows where the payload is large. Nulls in ``group``
@@ -122,7 +139,7 @@ def histogram_shards(
     """
     key = F.concat(_ordered(F.xxhash64(group)), _ordered(row_id), _ordered(F.monotonically_increasing_id()))
     kept = materialize(df.drop("shard", "slot").withColumns({"_size": size.cast("long"), "_key": key}), compact=True)
-    cuts, _, rows = splitters(kept, shards, tolerance)
+    cuts, _, rows = splitters(kept, shards, tolerance, 16)
     # pieces within the shards only bound the rows that one sort task sees; their sizes may vary
     many = max(16, -(-rows // (shards * rows_per_piece)))
     fine, _, _ = splitters(kept, shards * many, 0.4)
