@@ -193,17 +193,17 @@ def _steps(radius: int, words: int) -> list[int]:
     return out
 
 
-def chunks_of(nodes: DataFrame, fps: list[str], words: int, size: int) -> DataFrame:
+def chunks_of(nodes: DataFrame, fps: list[str], words: int, size: int, step: int = 1) -> DataFrame:
     """``node`` and fingerprint longs ``fps`` to ``tile, chunk, nodes, fps``: packed chunks of the tiles, written.
 
     A tile is named by the population counts of ``words`` equal parts of a fingerprint of
-    one long, or by that of a whole one.
+    one long, or by that of a whole one in steps of ``step``.
     """
     width = 64 // words
     if words > 1:
         tile = sum((F.bit_count(F.shiftrightunsigned(fps[0], width * i).bitwiseAND(2**width - 1)) * F.lit(512**i).cast("long") for i in range(words)), F.lit(0))
     else:
-        tile = sum((F.bit_count(c) for c in fps), F.lit(0))
+        tile = F.floor(sum((F.bit_count(c) for c in fps), F.lit(0)) / step)
     tiled = nodes.withColumn("tile", tile.cast("long"))
     # at most 17 ** 4 tiles: safe to broadcast whatever the input
     sizes = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / size).alias("chunks"))
@@ -222,23 +222,33 @@ def pairs_of(chunks: DataFrame, radius: int, words: int) -> DataFrame:
 
 
 def with_chunks(pairs: DataFrame, chunks: DataFrame, *cells: str) -> DataFrame:
-    """Pairs with the chunks' ``cells`` (those of the left as ``x_``, of the right as ``y_``; null there if it is the same), dealt by pair."""
+    """Pairs with the chunks' ``cells`` (those of the left as ``x_``, of the right as ``y_``; null there if it is the same), dealt by pair.
+
+    Each side goes to its pair by itself, so a chunk moves once for each pair that it is in.
+    """
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = chunks.select(F.col("tile").alias("xt"), F.col("chunk").alias("xc"), *[F.col(c).alias(f"x_{c}") for c in cells])
-    y = chunks.select(F.col("tile").alias("yt"), F.col("chunk").alias("yc"), *[F.col(c).alias(f"y_{c}") for c in cells])
-    same = F.expr("xt = yt and xc = yc")
-    both = pairs.join(x, ["xt", "xc"]).join(y, ["yt", "yc"]).withColumn("same", same)
-    both = both.withColumns({f"y_{c}": F.when(~same, F.col(f"y_{c}")) for c in cells})
-    return both.repartition(n, "xt", "xc", "yt", "yc")
+    key = ["xt", "xc", "yt", "yc"]
+
+    def side(of: DataFrame, name: str) -> DataFrame:
+        own = chunks.select(F.col("tile").alias(f"{name}t"), F.col("chunk").alias(f"{name}c"), *[F.col(c).alias(f"{name}_{c}") for c in cells])
+        return of.join(own, [f"{name}t", f"{name}c"]).select(*key, *[f"{name}_{c}" for c in cells]).repartition(n, *key)
+
+    other = F.expr("xt <> yt or xc <> yc")
+    return side(pairs, "x").join(side(pairs.where(other), "y"), key, "left").withColumn("same", ~other)
 
 
 def links_between(nodes: DataFrame, radius: int, fps: list[str] | None = None) -> DataFrame:
     """``node`` and fingerprint longs to ``(a, b)``: forests of all links at ``radius`` or fewer bits. Of one long ``fp``, nodes are the distinct ones."""
     wide = fps is not None
-    words, fps = (1, fps) if wide else (WORDS, ["fp"])
+    fps = fps or ["fp"]
     nodes = nodes if wide else nodes.select(F.col("fp").alias("node"), "fp")
-    chunks = chunks_of(nodes, fps, words, 4 * CHUNK if wide else CHUNK)
-    both = with_chunks(pairs_of(chunks, radius, words), chunks, "fps", "nodes")
+    if wide:  # counts that differ by the radius at most are of the same tile or of neighbours
+        chunks = chunks_of(nodes, fps, 1, 4 * CHUNK, max(1, radius))
+        pairs = pairs_of(chunks, 1, 1)
+    else:
+        chunks = chunks_of(nodes, fps, WORDS, CHUNK)
+        pairs = pairs_of(chunks, radius, WORDS)
+    both = with_chunks(pairs, chunks, "fps", "nodes")
     return both.select("x_fps", "y_fps", "x_nodes", "y_nodes", "same").mapInArrow(_compare(radius, len(fps)), "a long, b long")
 
 
