@@ -24,7 +24,23 @@ def test_newest_edit_wins_over_batches(spark, tmp_path):
     put("2", [("a1", "x", "f", "trivial", 3), ("a3", "z", "g", "trivial", 9)])
     run()
     assert seen == [(0, 2), (1, 3)]
-    got = curation.latest(spark, state, 1)
+    schema = "app_id string, rdg_text string, edited_at timestamp_ntz, feature string, curator_label string"
+    got = curation.latest(spark, state, 1, schema)
     assert {r.app_id: r.curator_label for r in got.collect()} == {"a1": "meaningful", "a2": "meaningful", "a3": "trivial"}
     features, readings = curation.overrides(got)
     assert {r.feature: r.label_override for r in features.collect()} == {"f": "meaningful", "g": "trivial"} and readings.count() == 0
+
+
+def test_batches_write_what_they_touch_and_old_versions_go(spark, tmp_path):
+    src, state, log = (str(tmp_path / x) for x in ("in", "state", "log"))
+    cols = ["feature", "curator_label"]
+    for second in range(4):
+        rows = [(f"a{i}", "x", "f", f"l{second}", datetime(2024, 1, 1, 0, 0, second)) for i in range(20 if not second else 1)]
+        spark.createDataFrame(rows, curation.EDITS).coalesce(1).write.mode("append").parquet(src)
+        edits = spark.readStream.schema(curation.EDITS).parquet(src)
+        curation.follow(edits, state, log, ["app_id", "rdg_text"], "edited_at", cols, interval=None, parts=8).awaitTermination()
+    parts = {n: sorted(p.name for p in (tmp_path / f"state/data/version={n}").glob("part=*")) for n in range(4)}
+    assert len(parts[0]) > 2 and parts[1] == [] and len(parts[2]) == len(parts[3]) == 1
+    schema = "app_id string, rdg_text string, edited_at timestamp_ntz, feature string, curator_label string"
+    got = {r.app_id: r.curator_label for r in curation.latest(spark, state, 3, schema).collect()}
+    assert got == {f"a{i}": "l3" if not i else "l0" for i in range(20)}

@@ -803,7 +803,8 @@ def curation_stream(spark, d):
     root = f"{shared_folder(spark)}/curation-{uuid.uuid4().hex}"
     run = curation.follow(edits, f"{root}/state", f"{root}/log", ["user_id", "event_type"], "ts", ["event_id", "value"], interval=None)
     run.awaitTermination()
-    return curation.latest(spark, f"{root}/state", max(0, run.lastProgress["batchId"])).select("user_id", "event_type", "value", "event_id")
+    schema = "user_id long, event_type string, ts timestamp_ntz, event_id long, value double"
+    return curation.latest(spark, f"{root}/state", max(0, run.lastProgress["batchId"]), schema).select("user_id", "event_type", "value", "event_id")
 
 
 from . import queries_align, queries_features, queries_more  # noqa: E402, F401  they add their queries to those above
