@@ -710,16 +710,6 @@ def learn_features(spark, d):
     return out.select("feature", "doc_freq", F.round("variant_likelihood", 9).alias("variant_likelihood"))
 
 
-@query("changes_to_overrides")
-def changes_to_overrides(spark, d):
-    pairs = differing_pairs(spark, d).select(F.col("rdg").alias("ocr_word"), F.col("lem").alias("manual_word"), F.lit("app").alias("app_id"))
-    cat = spark.createDataFrame(
-        [("i→e", "variant", 0.9, 3, False, False, False, False), ("s inserted", "reading", 0.2, 1, False, False, False, False), ("e deleted", "", 0.3, 4, False, False, False, False)],
-        "feature string, label string, variant_likelihood double, doc_freq int, orthography_match boolean, punct_penalty_applied boolean, singleton_demoted boolean, lexical_whitelist_applied boolean",
-    )
-    return curate.strongest(curate.changes_to_overrides(pairs, cat)[0], ["feature"])
-
-
 @query("cascade")
 def cascade_query(spark, d):
     rows = token_pairs(spark, d).where("lem <> rdg").select(F.concat_ws("-", F.lit("app"), "ab_id", "pos").alias("app_id"), "lem", "rdg", F.concat(F.lit("#"), "witness").alias("wit"))

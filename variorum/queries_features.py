@@ -11,10 +11,11 @@ from .functions import udfs as U
 from .kernels.annotate import Annotator
 from .kernels.diff import DIPHTHONGS
 from .kernels.text import EQUIVALENT, GRAPHEMES
-from .operators import cascade, post, relations
+from .operators import cascade, curate, post, relations
 from .plans import collate
 from .queries import _rule, differing_pairs, query, table, with_
-from .queries_align import _SQL_NW, _made_stanzas
+from .queries_align import _KEY as _KEYS
+from .queries_align import _SQL_NW, _SQL_TEXT, _TAIL, _made_stanzas, made
 from .queries_more import _c, _turns, recursive, sql_ratio
 from .session import shared_folder
 from .sources import config, sinks, xml
@@ -252,3 +253,117 @@ def files_once(spark, d):
     _turns(spark, d).select("conv_id", _c("<ab>", F.col("turn"), "</ab>").alias("value")).repartition("conv_id").write.partitionBy("conv_id").text(root)
     found = xml._files(spark, [root, f"{root}/*"], "*.txt")
     return found.select(F.regexp_extract("path", r"conv_id=(\d+)", 1).cast("long").alias("conv_id"))
+
+
+# -- spans without the full programme, fused readings, catalogue ---------------------------------------
+
+_SQL_MADE = f"""
+base AS (SELECT DISTINCT p_name AS ab_id, p_size % 8 AS e, 's' || p_size AS witness, p_name || '{_TAIL}' AS t FROM part),
+pairs_ AS (SELECT DISTINCT ab_id, e, string_split(t, ' ') AS lt, string_split({_SQL_TEXT}, ' ') AS wt FROM base WHERE e <> 7)"""
+
+
+def _made_pairs(spark, d) -> DataFrame:
+    lemma, wits = made(spark, d)
+    return wits.join(lemma.select("ab_id", F.col("text").alias("l")), "ab_id").select("ab_id", F.split("l", " ").alias("lt"), F.split("text", " ").alias("wt")).distinct()
+
+
+def _spans_text(c: str):
+    return F.array_join(F.transform(c, lambda s: F.concat(s["a"], F.lit("-"), s["b"], F.lit(":"), s["surface"])), "|")
+
+
+@query("opcode_spans", f"""WITH RECURSIVE {_SQL_MADE}, gl AS (SELECT DISTINCT lt AS x, wt AS y FROM pairs_ WHERE lt <> wt), {sql_atoms('gl', 'at_')},
+  s AS (SELECT x, y, unnest(range(i, i + k)) AS a, unnest(range(j, j + k)) AS w, NULL AS e FROM at__b WHERE k > 0
+    UNION ALL SELECT x, y, i1, j1, i2 FROM at__g WHERE i2 > i1 AND j2 > j1 AND (i2 - i1 = 1) <> (j2 - j1 = 1)
+    UNION ALL SELECT x, y, unnest(range(i1, i2)), unnest(list_transform(range(i2 - i1), lambda k: CASE WHEN j1 + k < j2 THEN j1 + k ELSE -1 END)), NULL FROM at__g WHERE i2 > i1 AND NOT (j2 > j1 AND (i2 - i1 = 1) <> (j2 - j1 = 1))
+    UNION ALL SELECT lt, wt, unnest(range(len(lt))), unnest(range(len(lt))), NULL FROM (SELECT DISTINCT lt, wt FROM pairs_ WHERE lt = wt)),
+  g AS (SELECT x, y, i1, j1, j2 FROM at__g),
+  o AS (SELECT s.x, s.y, a, coalesce(e, a + 1) AS b, CASE WHEN e IS NOT NULL THEN array_to_string(s.y[w + 1:j2], ' ') WHEN w < 0 THEN '' ELSE s.y[w + 1] END AS surface
+    FROM s LEFT JOIN g ON e IS NOT NULL AND g.x = s.x AND g.y = s.y AND g.i1 = a AND g.j1 = w)
+SELECT DISTINCT ab_id, array_to_string(wt, ' ') AS text, spans FROM pairs_ JOIN (SELECT x, y, array_to_string(list(a || '-' || b || ':' || surface ORDER BY a), '|') AS spans FROM o GROUP BY x, y) z ON x = lt AND y = wt""")
+def opcode_spans(spark, d):
+    return _made_pairs(spark, d).select("ab_id", F.array_join("wt", " ").alias("text"), _spans_text(U.opcode_spans("lt", "wt")).alias("spans"))
+
+
+_RUN = "array_to_string({0}[{1} + 1:{1} + k], '')"
+
+
+@query("greedy_spans", f"""WITH RECURSIVE {_SQL_MADE},
+  todo AS (SELECT row_number() OVER (ORDER BY lt, wt) AS pid, lt, wt, {_KEYS.format('lt')} AS lk, {_KEYS.format('wt')} AS wk, len(lt) AS n, len(wt) AS m FROM (SELECT DISTINCT lt, wt FROM pairs_)),
+  cells AS (SELECT *, unnest(range(m)) AS j FROM (SELECT *, unnest(range(n)) AS i FROM todo)), runs AS (SELECT *, unnest([2, 3, 4]) AS k FROM cells),
+  cand AS (SELECT pid, i, j, k, 'f' AS way, wk[j + 1] AS a, {_RUN.format('lk', 'i')} AS b FROM runs WHERE i + k <= n UNION ALL SELECT pid, i, j, k, 's', lk[i + 1], {_RUN.format('wk', 'j')} FROM runs WHERE j + k <= m),
+  sp AS (SELECT DISTINCT a, b FROM cand), {sql_ratio('sp')},
+  fit AS (SELECT pid, i, j, coalesce(max(k) FILTER (way = 'f'), 1) AS f, coalesce(max(k) FILTER (way = 's'), 1) AS s FROM cand c JOIN ratio r ON r.a = c.a AND r.b = c.b WHERE r.s >= 0.75 GROUP BY pid, i, j),
+  walk AS (SELECT pid, 0::BIGINT AS i, 0::BIGINT AS j, NULL::BIGINT AS i2, NULL::BIGINT AS j2 FROM todo
+    UNION ALL SELECT w.pid, coalesce(w.i2, 0), coalesce(w.j2, 0), coalesce(w.i2, 0) + coalesce(f, 1), coalesce(w.j2, 0) + CASE WHEN coalesce(f, 1) > 1 THEN 1 ELSE coalesce(s, 1) END
+    FROM walk w JOIN todo t USING (pid) LEFT JOIN fit x ON x.pid = w.pid AND x.i = coalesce(w.i2, 0) AND x.j = coalesce(w.j2, 0) WHERE coalesce(w.i2, 0) < n AND coalesce(w.j2, 0) < m),
+  done AS (SELECT pid, i, i2, j, j2 FROM walk WHERE i2 IS NOT NULL),
+  o AS (SELECT pid, i AS a, i2 AS b, array_to_string(wt[j + 1:j2], ' ') AS surface FROM done JOIN todo USING (pid)
+    UNION ALL SELECT pid, k, k + 1, '' FROM (SELECT pid, unnest(range(e, n)) AS k FROM (SELECT pid, n, (SELECT max(i2) FROM done d WHERE d.pid = todo.pid) AS e FROM todo)))
+SELECT DISTINCT ab_id, array_to_string(p.wt, ' ') AS text, spans FROM pairs_ p JOIN todo t ON t.lt = p.lt AND t.wt = p.wt
+  JOIN (SELECT pid, array_to_string(list(a || '-' || b || ':' || surface ORDER BY a), '|') AS spans FROM o GROUP BY pid) z USING (pid)""")
+def greedy_spans(spark, d):
+    return _made_pairs(spark, d).select("ab_id", F.array_join("wt", " ").alias("text"), _spans_text(U.greedy_spans("lt", "wt")).alias("spans"))
+
+
+_GRAMS = "list_distinct(list_transform(range(1, length({0})), lambda i: substr({0}, i, 2)))"
+
+
+@query("fused_trims", f"""WITH w AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS want, string_split(p_name, ' ')[1] || ' ' || CASE p_size % 3 WHEN 0 THEN string_split(p_name, ' ')[1] WHEN 1 THEN string_split(p_name, ' ')[2] || ' ed' ELSE 'x' END AS rdg FROM part),
+  h AS (SELECT *, replace(rdg, ' ', '') AS have FROM w), long AS (SELECT * FROM h WHERE have <> want AND length(have) > floor(length(want) * 1.4)),
+  n AS (SELECT *, unnest(range(greatest(1, length(want) - 2), least(length(have), length(want) + 2) + 1)) AS n FROM long), s AS (SELECT *, unnest(range(length(have) - n + 1)) AS a FROM n),
+  j AS (SELECT *, substr(have, a + 1, n) AS cut FROM s), k AS (SELECT *, len(list_intersect({_GRAMS.format('want')}, {_GRAMS.format('cut')})) / len(list_distinct(list_concat({_GRAMS.format('want')}, {_GRAMS.format('cut')}))) AS f FROM j),
+  best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY want, rdg ORDER BY f DESC, n, a) AS r FROM k) WHERE r = 1),
+  src AS (SELECT *, list_filter(range(1, length(rdg) + 1), lambda i: substr(rdg, i, 1) <> ' ') AS at_ FROM best)
+SELECT w.want AS lem, CASE WHEN cut IS NOT NULL AND ((length(have) - length(replace(have, w.want, ''))) / length(w.want) >= 2 OR f >= 0.8) THEN substr(w.rdg, at_[a + 1], at_[a + n] - at_[a + 1] + 1) ELSE w.rdg END AS rdg
+FROM w LEFT JOIN src ON src.want = w.want AND src.rdg = w.rdg""")
+def fused_trims(spark, d):
+    p, n = table(spark, d, "part"), F.col("p_size") % 3
+    one, two = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
+    rows = p.select(one.alias("lem"), F.concat(one, F.lit(" "), F.when(n == 0, one).when(n == 1, F.concat(two, F.lit(" ed"))).otherwise("x")).alias("rdg")).distinct()
+    return post.trim_fused(rows).select("lem", "rdg")
+
+
+_CATALOGUE = ["blue for old", "anvil→rod", "s inserted", "cold→plate", "small deleted"]
+
+
+@query("catalogue_lookups", recursive(f"""WITH k AS (SELECT unnest({[x.replace(' for ', '→') for x in _CATALOGUE]}) AS key, unnest(range({len(_CATALOGUE)})) AS pl),
+  n AS (SELECT replace(key, '→', ' for ') AS key, pl * 2 + 1 AS pl FROM k WHERE contains(key, '→') UNION ALL SELECT key, pl * 2 FROM k),
+  q AS (SELECT DISTINCT string_split(p_name, ' ')[1] AS x, string_split(p_name, ' ')[2] AS y, p_size % 3 AS m FROM part),
+  o AS (SELECT DISTINCT CASE m WHEN 0 THEN x || '→' || y WHEN 1 THEN y || '→' || x ELSE left(x, 1) || ' inserted' END AS op FROM q),
+  sp AS (SELECT op AS a, key AS b FROM o CROSS JOIN n), {sql_ratio('sp')},
+  near AS (SELECT a, b, s FROM (SELECT a, b, s, row_number() OVER (PARTITION BY a ORDER BY s DESC, pl) AS r FROM ratio JOIN n ON key = b WHERE s > 0) WHERE r = 1),
+  t AS (SELECT op, split_part(op, '→', 2) || '→' || split_part(op, '→', 1) AS turned, replace(op, '→', ' for ') AS spelt, contains(op, '→') AS two FROM o)
+SELECT op, CASE WHEN op IN (SELECT key FROM n) THEN 1.0 WHEN two AND turned IN (SELECT key FROM n) THEN 0.95 WHEN two AND spelt IN (SELECT key FROM n) THEN 0.9 WHEN s >= 0.6 THEN round(s, 9) ELSE 0.0 END::DOUBLE AS sure,
+  CASE WHEN op IN (SELECT key FROM n) THEN op WHEN two AND turned IN (SELECT key FROM n) THEN turned WHEN s >= 0.6 THEN replace(b, ' for ', '→') END AS key FROM t LEFT JOIN near ON a = op"""))
+def catalogue_lookups(spark, d):
+    annotator = Annotator(scores=[{"feature": f, "label": "", "variant_likelihood": 0.5, "doc_freq": 0} for f in _CATALOGUE])
+
+    def look(op: str) -> dict:
+        row, sure = annotator.lookup(op)
+        return {"sure": round(sure, 9), "key": row["feature"].replace(" for ", "→") if row else None}
+
+    run = F.udf(look, "struct<sure:double,key:string>", useArrow=True)
+    x, y, m = F.split("p_name", " ")[0], F.split("p_name", " ")[1], F.col("p_size") % 3
+    op = F.when(m == 0, _c(x, "→", y)).when(m == 1, _c(y, "→", x)).otherwise(F.concat(F.substring(x, 1, 1), F.lit(" inserted")))
+    return table(spark, d, "part").select(op.alias("op")).distinct().withColumn("r", run("op")).select("op", "r.*")
+
+
+_FINAL_BARE = "regexp_replace(strip_accents({0}), '[.,;:·⸳]+$', '')"
+
+
+@query("changes_to_overrides", recursive(with_(f""", w AS (SELECT rdg, {_GRAPHS.format(_FINAL.format('lem'))} AS x, {_GRAPHS.format(_FINAL.format('rdg'))} AS y FROM diffs WHERE trim(lem) <> '' AND trim(rdg) <> '' AND {_FINAL_BARE.format('lem')} <> {_FINAL_BARE.format('rdg')}),
+  gl AS (SELECT DISTINCT x, y FROM w WHERE x <> y), {sql_atoms('gl', 'at_')},
+  f AS (SELECT DISTINCT unnest({sql_names('(' + _REP + ')')}) AS feature FROM w JOIN at_ ON at_.x = w.x AND at_.y = w.y),
+  c AS (SELECT * FROM (VALUES ('i→e', 'variant', 0.9, 3), ('s inserted', 'reading', 0.2, 1), ('e deleted', '', 0.3, 4)) t(key, label, v, n)),
+  sp AS (SELECT feature AS a, key AS b FROM f CROSS JOIN c), {sql_ratio('sp')},
+  best AS (SELECT a, b, s FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM ratio WHERE s > 0) WHERE r = 1 AND s >= 0.6),
+  d AS (SELECT key, CASE WHEN (label = 'variant' AND n >= 2 AND v >= 0.75) OR (regexp_matches(a, ' (inserted|deleted)$') AND regexp_matches(a, '\\p{{L}}') AND length(regexp_replace(a, ' (inserted|deleted)$', '')) >= 2) THEN 'meaningful'
+    WHEN label = 'reading' OR (n >= 3 AND v < 0.72) THEN 'trivial' END AS lab FROM best JOIN c ON key = b)
+SELECT key AS feature, CASE WHEN bool_or(lab = 'meaningful') THEN 'meaningful' ELSE 'trivial' END AS label_override FROM d WHERE lab IS NOT NULL GROUP BY key""")))
+def changes_to_overrides(spark, d):
+    pairs = differing_pairs(spark, d).select(F.col("rdg").alias("ocr_word"), F.col("lem").alias("manual_word"), F.lit("app").alias("app_id"))
+    cat = spark.createDataFrame(
+        [("i→e", "variant", 0.9, 3, False, False, False, False), ("s inserted", "reading", 0.2, 1, False, False, False, False), ("e deleted", "", 0.3, 4, False, False, False, False)],
+        "feature string, label string, variant_likelihood double, doc_freq int, orthography_match boolean, punct_penalty_applied boolean, singleton_demoted boolean, lexical_whitelist_applied boolean",
+    )
+    return curate.strongest(curate.changes_to_overrides(pairs, cat)[0], ["feature"])
