@@ -121,7 +121,7 @@ def _aligned(keyed: DataFrame, done: dict[int, int], mean: float, slack: float,
 
 
 def histogram_shards(
-    df: DataFrame, shards: int, size: Column, group: Column, row_id: Column, tolerance: float = 0.002, rows_per_piece: int = 2_000_000
+    df: DataFrame, shards: int, size: Column, group: Column, row_id: Column, tolerance: float = 0.002, rows_per_piece: int = 8_000_000
 ) -> DataFrame:
     """All columns of ``df`` plus ``shard`` (0 to shards-1) and ``slot`` (gapless from 0 in each shard).
 
