@@ -150,3 +150,15 @@ def test_aligned_rows_are_whole(spark, segments):
     assert {(r.ab_id, r.witness) for r in rows} == set(wit) and len(rows) == len(wit)
     for r in rows:
         assert list(r.lt) == lem[r.ab_id] and list(r.wt) == wit[r.ab_id, r.witness] and len(r.cover) == len(r.lt)
+
+
+def test_cascade(spark):
+    from variorum.kernels.annotate import Annotator
+
+    nations = {str(r.n_nationkey): r.r_name for r in Q.table(spark, SF, "nation").join(Q.table(spark, SF, "region").withColumnRenamed("r_regionkey", "n_regionkey"), "n_regionkey").collect()}
+    annotator = Annotator(Q.RULES, "", Q.FAMILIES, [], frozenset(["the"]), {}, frozenset(), True)
+    want = Counter()
+    for r in Q.token_pairs(spark, SF).where("lem <> rdg").collect():
+        out = annotator.annotate(r.lem, r.rdg, [nations[r.witness]] if r.witness in nations else [])
+        want[out["label"], out["rule"]] += 1
+    assert {(r.label, r.rule): r.n for r in Q.QUERIES["cascade"](spark, SF).collect()} == dict(want)

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as C
-from .functions import udfs as U
 from .kernels.annotate import Annotator
 from .operators import apparatus, cascade, curate, ladder, post, relations, reports, segments
 from .plans import collate

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as C
 from .functions import udfs as U
-from .operators import apparatus, cascade, curate, ladder, post, relations, segments
+from .operators import curate, post, segments
 from .queries import differing_pairs, query, table, with_
 from .session import shared_folder
 from .sources import sinks, tables, xml
