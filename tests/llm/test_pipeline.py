@@ -78,3 +78,17 @@ def test_odd_rows(spark):
     for _, stage in P.STAGES:
         none = materialize(stage(spark, none, ""))
         assert none.count() == 0
+
+
+def test_extra_columns_with_clashing_names(spark):
+    extra = "id string, row string, _row string, pii string, score string, size string, target string, hash string, c0 string, lang_pred string, copies string, r string, fp string, f0 string, component_id string, kept_id string, _kept_id string, _copy string"
+    names = [x.split()[0] for x in extra.split(", ")]
+    rows = [(i, f"the cat number {i} sat here with a@b.co and looked at the rain over the old town", "en", "s", 9, *names) for i in range(6)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, n_chars long, {extra}")
+    columns = docs.columns
+    for _, stage in P.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, ""))
+        assert docs.columns == columns and docs.count()
+        assert all([r[n] for n in names] == names for r in docs.collect())
+    assert {r.n_chars == len(r.text) and "<EMAIL>" in r.text for r in docs.collect()} == {True}
+    assert P.STAGES[-1][1](spark, docs, "").count() == docs.count()

@@ -181,15 +181,17 @@ def mixed_rows(docs: DataFrame, seed: int = 17, **how) -> DataFrame:
     hashes; texts move once, to meet their number of copies. Rows equal in every
     column are one row as often as their copies together.
     """
-    keyed = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    thin = keyed.select("_row", "doc_id", "source", words(F.col("text")).alias("n_words"), F.crc32("text").alias("crc"))
-    out = mix(thin, F.col("source"), F.col("n_words"), [F.col("doc_id"), F.col("crc")], seed=seed, **how)
-    draw = F.pmod(F.xxhash64(F.lit(seed + 1), "doc_id", "crc"), F.lit(1 << 30)) / F.lit(1 << 30)
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # names that can't meet the added ones
+    doc, text = F.col(own["doc_id"]), F.col(own["text"])
+    keyed = docs.toDF(*own.values()).withColumn("row", F.xxhash64(*own.values()))
+    thin = keyed.select("row", doc.alias("doc"), F.col(own["source"]).alias("from"), words(text).alias("n_words"), F.crc32(text).alias("crc"))
+    out = mix(thin, F.col("from"), F.col("n_words"), [F.col("doc"), F.col("crc")], seed=seed, **how)
+    draw = F.pmod(F.xxhash64(F.lit(seed + 1), "doc", "crc"), F.lit(1 << 30)) / F.lit(1 << 30)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + draw)).otherwise(0).cast("int")
-    copies = out.groupBy(F.col("_row").alias("r"), F.col("doc_id").alias("d")).agg(F.sum(copies).cast("int").alias("copies"), F.count(F.lit(1)).alias("n"))
+    copies = out.groupBy(F.col("row").alias("r"), F.col("doc").alias("d")).agg(F.sum(copies).cast("int").alias("copies"), F.count(F.lit(1)).alias("n"))
     copies = materialize(copies)
     if copies.where("n > 1").limit(1).count():
-        keyed = keyed.dropDuplicates(["_row", "doc_id"])
-    same = (F.col("_row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d"))
-    found = keyed.join(copies.where("copies > 0").select("r", "d", "copies"), same)
-    return found.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+        keyed = keyed.dropDuplicates(["row", own["doc_id"]])
+    found = keyed.join(copies.where("copies > 0").select("r", "d", "copies"), (F.col("row") == F.col("r")) & doc.eqNullSafe(F.col("d")))
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return found.select(*[F.col(n).alias(c) for c, n in own.items()])
