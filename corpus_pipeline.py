@@ -35,8 +35,11 @@ def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null texts stay null, with a null ``n_chars``; empty and repeated rows stay; an empty table gives no rows.
     """
-    out = pii.redact(pii.find_pii(docs))
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    # numbered names can't meet the column of spans
+    own = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    text = own["text"]
+    out = pii.redact(pii.find_pii(docs.toDF(*own.values()), text), text).withColumn(own["n_chars"], F.length(text).cast("long"))
+    return out.select(*[F.col(n).alias(c) for c, n in own.items()])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
