@@ -367,3 +367,36 @@ def changes_to_overrides(spark, d):
         "feature string, label string, variant_likelihood double, doc_freq int, orthography_match boolean, punct_penalty_applied boolean, singleton_demoted boolean, lexical_whitelist_applied boolean",
     )
     return curate.strongest(curate.changes_to_overrides(pairs, cat)[0], ["feature"])
+
+
+@query("span_readings", f"""WITH RECURSIVE {_SQL_MADE}, gl AS (SELECT DISTINCT lt AS x, wt AS y FROM pairs_), {sql_atoms('gl', 'at_')},
+  runs AS (SELECT x, y, i AS i1, i + k AS i2, j AS j1, j + k AS j2, true AS eq FROM at__b WHERE k > 0 UNION ALL SELECT x, y, i1, i2, j1, j2, false FROM at__g WHERE i2 > i1 OR j2 > j1
+    UNION ALL SELECT x, y, 0, len(x), 0, len(y), true FROM gl WHERE x = y),
+  asked AS (SELECT x, y, unnest(range(len(x))) AS a, 1 AS w FROM gl UNION ALL SELECT x, y, 1, 3 FROM gl),
+  hits AS (SELECT q.x, q.y, a, w, i1, j1, CASE
+      WHEN w = 3 THEN CASE WHEN eq THEN q.y[j1 + greatest(i1, a) - i1 + 1:j1 + least(i2, a + w) - i1] ELSE q.y[j1 + 1:j2] END
+      WHEN j2 = j1 THEN [] ELSE [q.y[j1 + 1 + CASE WHEN j2 - j1 = i2 - i1 THEN a - i1 ELSE least(j2 - j1 - 1, CAST(floor((a - i1) / (i2 - i1) * (j2 - j1)) AS BIGINT)) END]] END AS ws
+    FROM asked q JOIN runs r ON r.x = q.x AND r.y = q.y AND i2 > a AND i1 < a + w)
+SELECT ab_id, array_to_string(wt, ' ') AS text, CAST(a AS INT) AS a, w AS width, array_to_string(flatten(list(ws ORDER BY i1, j1)), ' ') AS reading
+FROM pairs_ JOIN hits ON x = lt AND y = wt GROUP BY ab_id, e, wt, a, w""")
+def span_readings(spark, d):
+    rows = _made_pairs(spark, d)
+    one = rows.select("ab_id", "lt", "wt", F.posexplode("lt").alias("a", "_")).select("ab_id", "lt", "wt", "a", F.lit(1).alias("width"))
+    every = one.union(rows.select("ab_id", "lt", "wt", F.lit(1), F.lit(3)))
+    return every.select("ab_id", F.array_join("wt", " ").alias("text"), "a", "width", U.reading_of("lt", "wt", "a", F.col("a") + F.col("width")).alias("reading"))
+
+
+@query("realigned_stanzas", f"""WITH RECURSIVE {_SQL_NW},
+  g AS (SELECT pid, array_to_string(list(array_to_string(c, ',') || '/' || array_to_string(o, ',') ORDER BY run), ' ') AS groups FROM groups GROUP BY pid),
+  m AS (SELECT xml_id, groups, array_to_string(list_transform(range(least(len(canon), len(our))), lambda i: i || '/' || i), ' ') AS greedy FROM made JOIN g USING (pid) WHERE CAST(regexp_extract(xml_id, 's(\\d+)$', 1) AS INT) % 2 = 0)
+SELECT xml_id, greedy, groups, greedy <> groups AS changed FROM m""")
+def realigned_stanzas(spark, d):
+    rows = _made_stanzas(spark, d)
+    one = lambda i: F.struct(
+        F.array(i).alias("canon_indexes"), F.array(i).alias("our_indexes"), F.get(F.col("canon"), i).alias("canon_word"), F.get(F.col("our"), i).alias("our_word"), F.lit("equal").alias("relation"), F.lit(True).alias("matched")
+    )
+    matched = rows.withColumn("matches", F.transform(F.sequence(F.lit(0), F.least(F.size("canon"), F.size("our")) - 1), one))
+    flags = rows.select("xml_id", (F.regexp_extract("xml_id", r"s(\d+)$", 1).cast("int") % 2 == 0).alias("flagged"))
+    join = lambda c: F.array_join(c.cast("array<string>"), ",")
+    text = lambda c: F.array_join(F.transform(c, lambda g: F.concat(join(g["c"]), F.lit("/"), join(g["o"]))), " ").alias(c)
+    return relations.realigned(matched, flags).select("xml_id", text("greedy"), text("groups"), "changed")
