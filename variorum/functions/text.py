@@ -181,8 +181,8 @@ def compared_tokens(c: Column) -> Column:
 
 def graphemes(c: Column) -> Column:
     """Longest known grapheme first, else one character."""
-    known = "|".join(sorted(GRAPHEMES, key=len, reverse=True))
-    return F.regexp_extract_all(squeeze(c), F.lit(f"({known}|(?s:.))"), F.lit(0))
+    known = "|".join(sorted((g for g in GRAPHEMES if len(g) > 1), key=len, reverse=True))
+    return F.regexp_extract_all(squeeze(c), F.lit(f"(?s){known}|."), F.lit(0))
 
 
 def is_foreign(token: Column) -> Column:

@@ -15,7 +15,7 @@ GRAPHEMES = (
     "ā", "ą", "ō", "ē", "ū", "ī", "a", "o", "ə", "e", "u", "i",
     "k", "x", "g", "c", "j", "t", "ϑ", "d", "p", "b", "ŋ", "n", "m", "y", "v", "r", "l", "s", "z", "š", "h", "uu", "ii",
 )
-_GRAPHEME = re.compile("|".join(map(re.escape, sorted(GRAPHEMES, key=len, reverse=True))) + "|.", re.S)
+_GRAPHEME = re.compile("|".join(map(re.escape, sorted((g for g in GRAPHEMES if len(g) > 1), key=len, reverse=True))) + "|.", re.S)
 #: fixed values: representatives of graphemes that count as one in feature keys
 EQUIVALENT = {
     "ae": "aē", "ao": "aō", "ou": "ō", "ii": "ī", "uu": "ū", "ṣ̌": "š", "ś": "š", "ṣ": "š", "š́": "š",
