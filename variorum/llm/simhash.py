@@ -32,7 +32,7 @@ from .common import connected_components, join_skewed, materialize, unlike
 SEED = 42
 WORDS = 4  # equal words of a fingerprint whose population counts name a tile
 CHUNK = 4096  # nodes of a tile that one comparison holds at most, on average
-BLOCK = 128  # rows of a comparison at once
+BLOCK, COLS = 16, 4096  # of a comparison at once: what it holds stays in a core's cache
 SIMILAR, SHINGLE = 0.8, 5  # of similar documents: Jaccard similarity, words of a shingle
 PARTS = 4  # longs of a wide fingerprint
 
@@ -137,18 +137,30 @@ def _close(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> Iter
     """Rows of fingerprints (a column for each 64 bits) within the radius; the right ones are counted on after the left ones unless they are the same."""
     parts = left.shape[1]
     left, right = np.ascontiguousarray(left.T), np.ascontiguousarray(right.T)
-    for k in range(0, left.shape[1], BLOCK):
-        far = np.bitwise_count(left[0, k : k + BLOCK, None] ^ right[0])
-        if parts > 1:  # half of the bits decide nearly all pairs
-            far += np.bitwise_count(left[1, k : k + BLOCK, None] ^ right[1])
-        i, j = np.nonzero(far <= radius)
-        if same:
-            i, j = i[i + k < j], j[i + k < j]
-        if parts > 2 and len(i):
-            more = np.bitwise_count(left[2:, i + k] ^ right[2:, j]).sum(0, dtype=np.int64) + far[i, j]
-            i, j = i[more <= radius], j[more <= radius]
-        if len(i):
-            yield i + k, j if same else j + left.shape[1]
+    shift, held, size = 0 if same else left.shape[1], [], 0
+    for a in range(0, left.shape[1], BLOCK):
+        for b in range(a // COLS * COLS if same else 0, right.shape[1], COLS):
+            x, y = slice(a, a + BLOCK), slice(b, b + COLS)
+            far = np.bitwise_count(left[0, x, None] ^ right[0, y])
+            if parts > 1:  # half of the bits decide nearly all pairs
+                far += np.bitwise_count(left[1, x, None] ^ right[1, y])
+            near = far <= radius
+            if not near.any():
+                continue
+            i, j = np.nonzero(near)
+            if same:
+                up = i + a < j + b
+                i, j = i[up], j[up]
+            if parts > 2 and len(i):
+                more = np.bitwise_count(left[2:, i + a] ^ right[2:, j + b]).sum(0, dtype=np.int64) + far[i, j]
+                i, j = i[more <= radius], j[more <= radius]
+            held.append((i + a, j + b + shift))
+            size += len(i)
+            if size >= COLS:  # links are worked off some thousands at a time
+                yield tuple(map(np.concatenate, zip(*held, strict=True)))
+                held, size = [], 0
+    if size:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
 
 def _fps(cell: pa.Scalar, parts: int) -> np.ndarray:
