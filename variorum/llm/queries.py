@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, language, mixing, pii, sharding, simhash, token_counts, token_files, toxicity, vector_codes, vector_dedup
+from . import ann, bpe, language, mixing, pii, sharding, simhash, token_counts, token_files, token_links, toxicity, vector_codes, vector_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,7 @@ QUERIES = {
     "op9_token_files": lambda s, d: token_files.token_files_of_documents(_table(s, d, "documents")),
     "op10_toxicity": lambda s, d: toxicity.score_documents(_table(s, d, "documents"), _table(s, d, "labels")),
     "op11_vector_codes": lambda s, d: vector_codes.compress_vectors(_table(s, d, "embeddings")),
+    "op12_token_links": lambda s, d: token_links.link_documents(_table(s, d, "documents")),
     "op13_token_counts": lambda s, d: token_counts.token_counts_of_documents(_table(s, d, "documents")),
 }
 
