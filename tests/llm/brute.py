@@ -68,33 +68,33 @@ def components(ids, linked):
     return {i: find(i) for i in ids}
 
 
-def jaccard5(a, b):
-    """Similarity of the sets of five-word shingles (fewer words: the whole text)."""
+def shingles5(text):
+    """Set of five-word shingles (fewer words: the whole text)."""
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
 
-    def grams(text):
-        words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-        return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
-    a, b = grams(a), grams(b)
+def jaccard5(a, b):
+    """Similarity of the sets of five-word shingles."""
+    a, b = shingles5(a), shingles5(b)
     return len(a & b) / max(1, len(a | b))
 
 
-def wide_simhash(text):
-    """256 bits: four times 64, by XXH64 of five-word shingles and three SplitMix64 hashes of it."""
-    import xxhash
-
-    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    grams = ([" ".join(words[i : i + 5]) for i in range(len(words) - 4)] or [" ".join(words)]) if words else []
-    out, top = 0, 2**64
-    for k in range(4):
-        hashes = []
-        for g in grams:
-            h = xxhash.xxh64(g.encode(), seed=42).intdigest()
-            if k:
-                h = (h + 0x9E3779B97F4A7C15 * k) % top
-                h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % top
-                h = (h ^ h >> 27) * 0x94D049BB133111EB % top
-                h ^= h >> 31
-            hashes.append(h)
-        out |= sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << 64 * k
-    return out
+def similar_components(rows):
+    """Component (least position) of each of the rows (id, text): equal word sequences, or a Jaccard similarity of 0.8 or more."""
+    sets, alike = {}, []
+    for k, (_, text) in enumerate(rows):
+        words = " ".join(re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")))
+        if words in sets:
+            alike.append((sets[words][0], k))
+        else:
+            sets[words] = (k, shingles5(text))
+    seen, common = {}, {}
+    for k, s in sets.values():
+        for g in s:
+            for j in seen.setdefault(g, []):
+                common[j, k] = common.get((j, k), 0) + 1
+            seen[g].append(k)
+    size = {k: len(s) for k, s in sets.values()}
+    links = [(a, b) for (a, b), n in common.items() if n * 9 >= 4 * (size[a] + size[b])]  # n / (a + b - n) >= 4 / 5
+    return components(range(len(rows)), alike + links), links

@@ -1,9 +1,12 @@
+from fractions import Fraction
+
 import numpy as np
+import pytest
 
 from variorum.llm import simhash as S
 from variorum.llm.common import connected_components
 
-from .brute import components, jaccard5, simhash, wide_simhash
+from .brute import components, jaccard5, similar_components, simhash
 
 
 def check(got, texts):
@@ -46,19 +49,13 @@ def test_components_of_long_chain(spark):
     assert {r.node: r.root for r in got.collect()} == {**{i: 0 for i in range(301)}, 900: 900, 901: 900}
 
 
-def similar(rows):
-    """Component of each row: wide fingerprints within the radius of a similarity of 0.8."""
-    v = [wide_simhash(t) for _, t in rows]
-    return components(range(len(rows)), [(a, b) for a in range(len(v)) for b in range(a + 1, len(v)) if (v[a] ^ v[b]).bit_count() <= 38])
-
-
 def words(rng, n):
     return [f"w{rng.integers(3000)}" for _ in range(n)]
 
 
 def check_similar(spark, rows):
     got = S.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    want = similar(rows)
+    want, _ = similar_components(rows)
     least = {}
     for k, (i, _) in enumerate(rows):
         least[want[k]] = min(least.get(want[k], i), i)
@@ -83,27 +80,69 @@ def test_similar_documents_equal_brute_force(spark):
     check_similar(spark, edited_copies())
 
 
-def test_similar_documents_over_cut_tiles(spark, monkeypatch):
-    monkeypatch.setattr(S, "CHUNK", 2)
-    check_similar(spark, edited_copies(4))
+@pytest.mark.parametrize("shingles, blocks, pairs", [(3000, 20000, 100), (1, 1, 1)])
+def test_similar_documents_over_cut_groups(spark, monkeypatch, shingles, blocks, pairs):
+    monkeypatch.setattr(S, "SHINGLES", shingles)
+    monkeypatch.setattr(S, "TEXTS", blocks)
+    monkeypatch.setattr(S, "PAIRS", pairs)
+    check_similar(spark, edited_copies(4)[:: 1 if pairs > 1 else 4])
 
 
-def test_radius_tells_similarity():
-    """Texts of five-word similarity 0.9 or more lie within the radius, those of 0.6 or less beyond it."""
-    rng, near, far = np.random.default_rng(1), [], []
-    for _ in range(150):
-        base = words(rng, 400)
+def test_group_of_hundreds_of_near_copies(spark):
+    """Each at about 0.85 to a base that stands last, and at about 0.72 to one another, some farther; and a chain whose ends are unlike."""
+    rng = np.random.default_rng(8)
+    base, rows = words(rng, 300), []
+    for _ in range(400):
         own = list(base)
-        for k in rng.integers(0, 400, rng.integers(1, 40)):
-            own[k] = "edit"
-        a, b = " ".join(base), " ".join(own)
-        j, d = jaccard5(a, b), int(np.bitwise_count(S.wide_fingerprint(a) ^ S.wide_fingerprint(b)).sum())
-        (near if j >= 0.9 else far if j <= 0.6 else []).append(d)
-    assert len(near) > 10 and len(far) > 10 and max(near) <= S.radius_of(0.8) < min(far)
-
-
-def test_similar_documents_of_the_table(spark, sf):
-    check_similar(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
+        for k in rng.integers(0, 300, rng.integers(5, 16)):
+            own[k] = f"w{rng.integers(3000)}"
+        rows.append(" ".join(own))
+    chain = words(rng, 200)
+    for k in range(30):
+        rows.append(" ".join(chain[4 * k :] + [f"new{j}" for j in range(4 * k)]))
+    rows.append(" ".join(base))
+    check_similar(spark, list(enumerate(rows, 10)))
+
+
+def test_prefix_meets_every_similar_set():
+    """Sets at exactly the asked similarity share a member of their first ones, in any order."""
+    share = Fraction(0.8).limit_denominator(1000)
+    for n in range(1, 60):
+        for m in range(n, 2 * n):
+            for o in range(1, n + 1):
+                if o * 5 >= 4 * (n + m - o):
+                    # the worst order: what is shared comes last on both sides
+                    assert n - o < S.prefix_length(np.array(n), share) and m - o < S.prefix_length(np.array(m), share)
+
+
+def test_wide_radius_holds_all_similar_texts():
+    """Texts of similarity 0.8 or more, short ones too, stay far inside the radius within which pairs are counted."""
+    rng, most = np.random.default_rng(1), 0
+    for n in (5, 8, 14, 40, 120, 400):
+        for _ in range(200):
+            base = words(rng, n + 4)
+            own = base[: -max(1, n // 9)] + words(rng, max(0, n // 9 - rng.integers(0, 2)))
+            a, b = " ".join(base), " ".join(own)
+            if jaccard5(a, b) >= 0.8:
+                x, y = (S.wide_fingerprint(S.shingle_set(t, 5)) for t in (a, b))
+                most = max(most, int(np.bitwise_count(x ^ y).sum()))
+    assert 30 < most <= S.radius_of(0.8) + S.SLACK - 10
+
+
+def test_overlaps_by_product(monkeypatch):
+    monkeypatch.setattr(S, "COLUMNS", 7)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 40))).astype(np.uint64) for _ in range(25)]
+    got = S._overlaps(sets[:10], sets[10:])
+    assert got.tolist() == [[len(set(a.tolist()) & set(b.tolist())) for b in sets[10:]] for a in sets[:10]]
+
+
+@pytest.mark.parametrize("size, links", [("sf0.01", None), ("sf0.1", 48)])
+def test_similar_documents_of_the_table(spark, size, links):
+    """All links of the texts and no other: 48 on sf0.1, as the README says."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"/root/testdata/{size}/documents.parquet").collect()]
+    check_similar(spark, rows)
+    assert links in (None, len(similar_components(rows)[1]))
 
 
 def test_one_row_of_a_component_stays_whatever_the_columns(spark):

@@ -11,23 +11,33 @@
    and gives a spanning forest of its links rather than the links.
 5. Connected components over the forests; ids join back by fingerprint.
 
-:func:`similar_documents` compares fingerprints of 256 bits over longer shingles. The share
-of bits in which two differ estimates the angle between the texts' shingle counts, and so
-their Jaccard similarity: a similarity asked for is a radius. At such a radius population
-counts rule out little, so tiles are those of whole fingerprints.
+:func:`similar_documents` links texts by the Jaccard similarity of their shingle sets, exactly.
+Which pairs to look at:
+
+1. Equal texts become one node. Distinct texts are packed in blocks; each block sends
+   its distinct shingles once, and gets back those that occur in other texts too.
+2. A text's shingles, rarest first: two texts of similarity s share one of each's first
+   n - ceil(s n) + 1 (prefix filter). Texts whose first ones are all their own, by
+   far most, have no partner and go no further.
+3. Texts that share such a shingle form groups (a star for each shingle, not its pairs).
+   Groups are dealt to chunks of a bounded number of shingles, large groups to several.
+4. Inside a group, pairs of chunks are compared by fingerprints of 256 bits with
+   exclusive-or and bit counts; population counts skip rows that are too far apart. What lies
+   within a wide radius is counted exactly, all shared shingles of a tile at once.
 """
 
 from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import connected_components, join_skewed, materialize, unlike
+from .common import bucketed, connected_components, join_skewed, materialize, unlike
 
 SEED = 42
 WORDS = 4  # equal words of a fingerprint whose population counts name a tile
@@ -35,6 +45,10 @@ CHUNK = 4096  # nodes of a tile that one comparison holds at most, on average
 BLOCK, COLS = 16, 4096  # of a comparison at once: what it holds stays in a core's cache
 SIMILAR, SHINGLE = 0.8, 5  # of similar documents: Jaccard similarity, words of a shingle
 PARTS = 4  # longs of a wide fingerprint
+SLACK = 52  # bits beyond the mean at which pairs are still counted exactly: over six standard deviations
+TEXTS = 1 << 22  # bytes of the texts of a block, but for the text that crosses them
+SHINGLES, EACH = 1 << 20, 512  # of a chunk on average, where each text counts for so many more
+COLUMNS, ROWS, PAIRS = 4096, 1024, 1 << 19  # shingles, texts and pairs of texts counted at once
 
 
 def _hashes(text: str, shingle: int) -> Iterator[np.ndarray]:
@@ -82,13 +96,10 @@ def _mixed(h: np.ndarray, k: int) -> np.ndarray:
     return h ^ h >> np.uint64(31)
 
 
-def wide_fingerprint(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """SimHash of ``PARTS`` times 64 bits; no words give zeros."""
-    ones, n = np.zeros((PARTS, 64), np.int64), 0
-    for h in _hashes(text or "", shingle):
-        ones += [_ones(_mixed(h, k)) for k in range(PARTS)]
-        n += len(h)
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64).ravel() if n else np.zeros(PARTS, np.uint64)
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """SimHash of ``PARTS`` times 64 bits of a set of shingle hashes."""
+    ones = np.stack([_ones(_mixed(shingles, k)) for k in range(PARTS)])
+    return np.packbits(2 * ones > len(shingles), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
 def radius_of(similarity: float) -> int:
@@ -163,17 +174,17 @@ def _close(left: np.ndarray, right: np.ndarray, radius: int, same: bool) -> Iter
         yield tuple(map(np.concatenate, zip(*held, strict=True)))
 
 
-def _fps(cell: pa.Scalar, parts: int) -> np.ndarray:
-    return np.frombuffer(cell.as_buffer(), np.int64).view(np.uint64).reshape(-1, parts)
+def _fps(cell: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), np.int64).view(np.uint64).reshape(-1, 1)
 
 
-def _compare(radius: int, parts: int):
+def _compare(radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 same = batch["same"][r].as_py()
-                left, names = _fps(batch["x_fps"][r], parts), np.frombuffer(batch["x_nodes"][r].as_buffer(), np.int64)
-                right = left if same else _fps(batch["y_fps"][r], parts)
+                left, names = _fps(batch["x_fps"][r]), np.frombuffer(batch["x_nodes"][r].as_buffer(), np.int64)
+                right = left if same else _fps(batch["y_fps"][r])
                 names = names if same else np.concatenate((names, np.frombuffer(batch["y_nodes"][r].as_buffer(), np.int64)))
                 node, root = forest(len(names), _close(left, right, radius, same))
                 yield pa.RecordBatch.from_arrays([pa.array(names[node]), pa.array(names[root])], ["a", "b"])
@@ -181,53 +192,40 @@ def _compare(radius: int, parts: int):
     return run
 
 
-def _pack(fps: list[str]):
-    """array<struct<node, fps>> to bytes, so that a chunk stays two buffers from here on."""
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """array<struct<node, fp>> to bytes, so that a chunk stays two buffers from here on."""
+    for b in batches:
+        for k in range(b.num_rows):
+            rows = b["rows"][k].values
+            cells = [pa.array([np.asarray(rows.field(c).to_numpy(), np.int64).tobytes()], pa.binary()) for c in ("node", "fp")]
+            yield pa.RecordBatch.from_arrays([b["tile"].slice(k, 1), b["chunk"].slice(k, 1), *cells], ["tile", "chunk", "nodes", "fps"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for k in range(b.num_rows):
-                rows = b["rows"][k].values
-                cells = [np.asarray(rows.field("node").to_numpy(), np.int64), np.stack([np.asarray(rows.field(c).to_numpy(), np.int64) for c in fps], 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [b["tile"].slice(k, 1), b["chunk"].slice(k, 1), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], ["tile", "chunk", "nodes", "fps"]
-                )
 
-    return run
-
-
-def _steps(radius: int, words: int) -> list[int]:
+def _steps(radius: int) -> list[int]:
     """Tile differences (packed in base 512) that a radius allows, one of each two opposite ones."""
     out = []
-    for d in itertools.product(range(-radius, radius + 1), repeat=words):
-        if sum(map(abs, d)) <= radius and d >= (0,) * words:
+    for d in itertools.product(range(-radius, radius + 1), repeat=WORDS):
+        if sum(map(abs, d)) <= radius and d >= (0,) * WORDS:
             out.append(sum(x * 512**i for i, x in enumerate(reversed(d))))
     return out
 
 
-def chunks_of(nodes: DataFrame, fps: list[str], words: int, size: int, step: int = 1) -> DataFrame:
-    """``node`` and fingerprint longs ``fps`` to ``tile, chunk, nodes, fps``: packed chunks of the tiles, written.
-
-    A tile is named by the population counts of ``words`` equal parts of a fingerprint of
-    one long, or by that of a whole one in steps of ``step``.
-    """
-    width = 64 // words
-    if words > 1:
-        tile = sum((F.bit_count(F.shiftrightunsigned(fps[0], width * i).bitwiseAND(2**width - 1)) * F.lit(512**i).cast("long") for i in range(words)), F.lit(0))
-    else:
-        tile = F.floor(sum((F.bit_count(c) for c in fps), F.lit(0)) / step)
+def chunks_of(nodes: DataFrame) -> DataFrame:
+    """``node, fp`` to ``tile, chunk, nodes, fps``: packed chunks of the tiles, which are named by the population counts of ``WORDS`` equal parts, written."""
+    width = 64 // WORDS
+    tile = sum((F.bit_count(F.shiftrightunsigned("fp", width * i).bitwiseAND(2**width - 1)) * F.lit(512**i).cast("long") for i in range(WORDS)), F.lit(0))
     tiled = nodes.withColumn("tile", tile.cast("long"))
     # at most 17 ** 4 tiles: safe to broadcast whatever the input
-    sizes = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / size).alias("chunks"))
+    sizes = tiled.groupBy("tile").agg(F.ceil(F.count(F.lit(1)) / CHUNK).alias("chunks"))
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    chunks = tiled.join(F.broadcast(sizes), "tile").groupBy("tile", chunk.alias("chunk")).agg(F.collect_list(F.struct("node", *fps)).alias("rows"))
-    return materialize(chunks.mapInArrow(_pack(fps), "tile long, chunk int, nodes binary, fps binary"))
+    chunks = tiled.join(F.broadcast(sizes), "tile").groupBy("tile", chunk.alias("chunk")).agg(F.collect_list(F.struct("node", "fp")).alias("rows"))
+    return materialize(chunks.mapInArrow(_pack, "tile long, chunk int, nodes binary, fps binary"))
 
 
-def pairs_of(chunks: DataFrame, radius: int, words: int) -> DataFrame:
+def pairs_of(chunks: DataFrame, radius: int) -> DataFrame:
     """``xt, xc, yt, yc``: tile and chunk of both sides of every pair that a link may join."""
     keys = chunks.select("tile", "chunk")
-    near = F.explode(F.array(*[F.lit(s).cast("long") for s in _steps(radius, words)])).alias("step")
+    near = F.explode(F.array(*[F.lit(s).cast("long") for s in _steps(radius)])).alias("step")
     x = keys.select(F.col("tile").alias("xt"), F.col("chunk").alias("xc"), near).withColumn("yt", F.col("xt") + F.col("step"))
     y = keys.select(F.col("tile").alias("yt"), F.col("chunk").alias("yc"))
     return x.join(y, "yt").where("xt <> yt or xc <= yc").select("xt", "xc", "yt", "yc")
@@ -249,19 +247,11 @@ def with_chunks(pairs: DataFrame, chunks: DataFrame, *cells: str) -> DataFrame:
     return side(pairs, "x").join(side(pairs.where(other), "y"), key, "left").withColumn("same", ~other)
 
 
-def links_between(nodes: DataFrame, radius: int, fps: list[str] | None = None) -> DataFrame:
-    """``node`` and fingerprint longs to ``(a, b)``: forests of all links at ``radius`` or fewer bits. Of one long ``fp``, nodes are the distinct ones."""
-    wide = fps is not None
-    fps = fps or ["fp"]
-    nodes = nodes if wide else nodes.select(F.col("fp").alias("node"), "fp")
-    if wide:  # counts that differ by the radius at most are of the same tile or of neighbours
-        chunks = chunks_of(nodes, fps, 1, 4 * CHUNK, max(1, radius))
-        pairs = pairs_of(chunks, 1, 1)
-    else:
-        chunks = chunks_of(nodes, fps, WORDS, CHUNK)
-        pairs = pairs_of(chunks, radius, WORDS)
-    both = with_chunks(pairs, chunks, "fps", "nodes")
-    return both.select("x_fps", "y_fps", "x_nodes", "y_nodes", "same").mapInArrow(_compare(radius, len(fps)), "a long, b long")
+def links_between(nodes: DataFrame, radius: int) -> DataFrame:
+    """Distinct fingerprints ``fp`` (long) to ``(a, b)``: forests of all links at ``radius`` or fewer bits."""
+    chunks = chunks_of(nodes.select(F.col("fp").alias("node"), "fp"))
+    both = with_chunks(pairs_of(chunks, radius), chunks, "fps", "nodes")
+    return both.select("x_fps", "y_fps", "x_nodes", "y_nodes", "same").mapInArrow(_compare(radius), "a long, b long")
 
 
 def _named(rows: DataFrame, nodes: DataFrame, key: list[str], node: str, edges: DataFrame) -> DataFrame:
@@ -288,19 +278,235 @@ def near_duplicates(
     return _named(rows, nodes.withColumn("node", F.col("fp")), ["fp"], "node", edges).select("id", *carry, "fp", "component_id")
 
 
-def _wide_fingerprints(shingle: int):
+def shingle_set(text: str, words: int) -> np.ndarray:
+    """Hashes of the text's distinct shingles, in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *_hashes(text, words)]))
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """128 bits of each text's words (A-Z lower-cased) instead of the text."""
+    import xxhash
+
+    for b in batches:
+        keys = [xxhash.xxh128_digest(b" ".join((t.as_py() or "").encode().lower().split())) for t in b["text"]]
+        k = np.frombuffer(b"".join(keys), ">i8").reshape(-1, 2).astype(np.int64)
+        keep = [c for c in b.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), *(pa.array(np.ascontiguousarray(x)) for x in k.T)], [*keep, *_KEY])
+
+
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with a word: their key, and the words compressed."""
+    import xxhash
+    import zstandard
+
+    for b in batches:
+        keys, texts = [], []
+        for t in b["text"]:
+            joined = b" ".join((t.as_py() or "").encode().lower().split())
+            if joined:
+                keys.append(xxhash.xxh128_digest(joined))
+                texts.append(zstandard.compress(joined, 1))
+        k = np.frombuffer(b"".join(keys), ">i8").reshape(-1, 2).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(x)) for x in k.T), pa.array(texts, pa.binary())], [*_KEY, "words"])
+
+
+def _to_blocks(parts_out: int):
+    """Texts of a task as blocks: nodes, and compressed words as a list."""
+    import zstandard
+
+    from .bpe import block_names
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                b = whole.slice(k, 512)
-                fp = np.array([wide_fingerprint(t.as_py(), shingle) for t in b["text"]]).reshape(-1, PARTS).view(np.int64)
-                keep = [c for c in b.schema.names if c != "text"]
-                yield pa.RecordBatch.from_arrays([*(b[c] for c in keep), *(pa.array(np.ascontiguousarray(x)) for x in fp.T)], [*keep, *_FPS])
+        from pyspark import TaskContext
+
+        names = block_names(TaskContext.get().partitionId(), parts_out)
+        nodes, texts, size = [], [], 0
+
+        def pack() -> pa.RecordBatch:
+            cells = [[next(names)], [nodes], [texts]]
+            types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary())]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cells, types, strict=True)], ["block", "nodes", "texts"])
+
+        for b in batches:
+            for node, t in zip(b["node"].to_pylist(), b["words"], strict=True):
+                nodes.append(node)
+                texts.append(t.as_py())
+                size += zstandard.frame_content_size(texts[-1])
+                if size >= TEXTS:
+                    yield pack()
+                    nodes, texts, size = [], [], 0
+        if nodes:
+            yield pack()
 
     return run
 
 
-_FPS = [f"f{k}" for k in range(PARTS)]
+def _sets(texts: pa.ListScalar, words: int) -> Iterator[np.ndarray]:
+    import zstandard
+
+    return (shingle_set(zstandard.decompress(t.as_py()).decode(), words) for t in texts.values)
+
+
+def _block_shingles(words: int):
+    """(block, shingle, n): each distinct shingle of a block, and in how many of its texts it is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for block, texts in zip(b["block"].to_pylist(), b["texts"], strict=True):
+                shingle, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *_sets(texts, words)]), return_counts=True)
+                for k in range(0, len(n), 1 << 16):
+                    s = slice(k, k + (1 << 16))
+                    cells = [pa.array(np.full(len(n[s]), block)), pa.array(shingle[s].view(np.int64)), pa.array(n[s].astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cells, ["block", "shingle", "n"])
+
+    return run
+
+
+def prefix_length(n: np.ndarray, share: Fraction) -> np.ndarray:
+    """So many of a set's ``n`` members, first in any order common to all sets, meet those of every set as similar as ``share``."""
+    return n - -(-n * share.numerator // share.denominator) + 1
+
+
+def _candidates(words: int, share: Fraction):
+    """Of each block, with ``known`` (shingles of several texts and in how many they are): texts that may have a partner, their sets and first shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                known = b["known"][k].values
+                shared = known.field("shingle").to_numpy(zero_copy_only=False).view(np.uint64)
+                count = known.field("count").to_numpy(zero_copy_only=False)
+                order = np.argsort(shared)
+                shared, count = shared[order], count[order]
+                out = []
+                for node, own in zip(b["nodes"][k].as_py(), _sets(b["texts"][k], words), strict=True):
+                    at = np.minimum(np.searchsorted(shared, own), len(shared) - 1)
+                    at = at[shared[at] == own]
+                    most = int(prefix_length(len(own), share)) - (len(own) - len(at))  # those that no other text has come first
+                    if most > 0:
+                        first = shared[at[np.lexsort((shared[at], count[at]))[:most]]]
+                        out.append((node, len(own), wide_fingerprint(own).tobytes(), own.tobytes(), first.view(np.int64)))
+                cells = zip((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())), zip(*out, strict=True) if out else [[]] * 5, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for t, c in cells], ["node", "size", "fp", "shingles", "first"])
+
+    return run
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many members each set of the left shares with each of the right, by a product of incidence matrices."""
+    sets = [*left, *right]
+    row = np.repeat(np.arange(len(sets)), list(map(len, sets)))
+    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    often = n > 1
+    column, row = (np.cumsum(often) - 1)[column][often[column]], row[often[column]]
+    out = np.zeros((len(left), len(right)), np.float32)  # exact up to 2 ** 24 shared members
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    for k in range(0, int(often.sum()), COLUMNS):
+        a, b = np.searchsorted(column, [k, k + COLUMNS])
+        held = np.zeros((len(sets), COLUMNS), np.float32)
+        held[row[a:b], column[a:b] - k] = 1
+        out += held[: len(left)] @ held[len(left) :].T
+    return out
+
+
+def _gathered(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs, ``PAIRS`` or more at a time."""
+    held, size = [], 0
+    for ij in pairs:
+        held.append(ij)
+        size += len(ij[0])
+        if size >= PAIRS:
+            yield tuple(map(np.concatenate, zip(*held, strict=True)))
+            held, size = [], 0
+    if held:
+        yield tuple(map(np.concatenate, zip(*held, strict=True)))
+
+
+def _alike(left: tuple, right: tuple, radius: int, share: Fraction, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows of similarity ``share`` or more; a side is its fingerprints and sets. Right rows are counted on after the left ones unless they are the same."""
+    shift = 0 if same else len(left[1])
+    for i, j in _gathered(_close(left[0], right[0], radius, same)):
+        j = j - shift
+        size = [np.array([len(s[k]) for k in at], np.int64) for s, at in ((left[1], i), (right[1], j))]
+        if len(i) < 64:
+            shared = np.array([len(np.intersect1d(left[1][a], right[1][b], assume_unique=True)) for a, b in zip(i, j, strict=True)])
+        else:
+            (x, at_x), (y, at_y) = np.unique(i, return_inverse=True), np.unique(j, return_inverse=True)
+            shared = np.concatenate([_overlaps([left[1][a] for a in x[k : k + ROWS]], [right[1][b] for b in y]) for k in range(0, len(x), ROWS)])[at_x, at_y].astype(np.int64)
+        good = shared * (share.numerator + share.denominator) >= share.numerator * (size[0] + size[1])
+        yield i[good], j[good] + shift
+
+
+def _check(radius: int, share: Fraction):
+    """Forests of the links between two chunks (or inside one), of texts of the same group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                same = batch["same"][r].as_py()
+                sides = []
+                for name in "x" if same else "xy":
+                    v = batch[f"{name}_rows"][r].values
+                    group, node = (v.field(c).to_numpy(zero_copy_only=False) for c in ("root", "node"))
+                    sides.append((group, node, v.field("fp"), v.field("shingles")))
+                links = [np.zeros((2, 0), np.int64)]
+                groups = np.unique(sides[0][0]) if same else np.intersect1d(sides[0][0], sides[1][0])
+                for g in groups.tolist():
+                    rows = [(np.flatnonzero(s[0] == g), s) for s in sides]
+                    packed = [(_fps_of(s[2], at), [np.frombuffer(s[3][k].as_buffer(), np.uint64) for k in at.tolist()]) for at, s in rows]
+                    names = np.concatenate([s[1][at] for at, s in rows])
+                    links.append(names[np.stack(forest(len(names), _alike(packed[0], packed[-1], radius, share, same)))])
+                a, b = np.concatenate(links, axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
+def _fps_of(cells: pa.Array, at: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(cells.take(pa.array(at)).to_pylist()), np.uint64).reshape(-1, PARTS)
+
+
+def groups_of(first: DataFrame) -> DataFrame:
+    """(node, shingle) to (node, root): nodes that share a shingle, also over others, have one root. Nodes that share none are left out."""
+    keyed = materialize(first.groupBy("shingle").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), compact=True)
+    stars = join_skewed(first, keyed, ["shingle"])
+    return connected_components(stars.select(F.col("node").alias("a"), F.col("least").alias("b")))
+
+
+def links_of_similar(nodes: DataFrame, similarity: float, words: int) -> DataFrame:
+    """``node`` (long) and compressed ``words`` of distinct texts to ``(a, b)``: forests of all links of ``similarity`` or more."""
+    share = Fraction(similarity).limit_denominator(1000)
+    n = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = bucketed(nodes.mapInArrow(_to_blocks(n), "block long, nodes array<long>, texts array<binary>"), "block", n)
+    # each shingle of a block once, however many texts hold it
+    listed = blocks.select("block", "texts").mapInArrow(_block_shingles(words), "block long, shingle long, n int")
+    listed = listed.withColumn("count", F.sum("n").over(Window.partitionBy("shingle"))).where("count > 1")
+    listed = listed.groupBy("block").agg(F.collect_list(F.struct("shingle", "count")).alias("known"))
+    rows = blocks.join(listed, "block").select("nodes", "texts", "known").mapInArrow(
+        _candidates(words, share), "node long, size long, fp binary, shingles binary, first array<long>"
+    )
+    rows = materialize(rows, compact=True)
+    groups = groups_of(rows.select("node", F.explode("first").alias("shingle")))
+    rows = materialize(rows.drop("first").join(groups, "node"), compact=True)
+    # chunks by shingles: groups that fill one have chunks of their own, the others share
+    weight = F.sum(F.col("size") + EACH)
+    sizes = rows.groupBy("root").agg(weight.alias("weight"), F.count(F.lit(1)).alias("n"))
+    total = sizes.where(F.col("weight") <= SHINGLES).agg(F.sum("weight")).first()[0] or 0
+    own = F.col("weight") > SHINGLES
+    tile = F.when(own, F.col("root")).otherwise(-1 - F.pmod(F.xxhash64("root"), F.lit(-(-total // SHINGLES) or 1)))
+    sizes = sizes.select("root", "n", tile.alias("tile"), F.when(own, F.ceil(F.col("weight") / SHINGLES)).otherwise(1).cast("int").alias("chunks"))
+    sizes = materialize(sizes, compact=True)
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    chunks = join_skewed(rows, sizes, ["root"]).groupBy("tile", chunk.alias("chunk")).agg(F.collect_list(F.struct("root", "node", "fp", "shingles")).alias("rows"))
+    chunks = materialize(chunks)
+    keys = chunks.select("tile", "chunk")
+    pairs = keys.toDF("xt", "xc").join(keys.toDF("yt", "yc"), F.expr("xt = yt and xc <= yc"))
+    both = with_chunks(pairs, chunks, "rows").select("x_rows", "y_rows", "same")
+    return both.mapInArrow(_check(radius_of(similarity) + SLACK, share), "a long, b long")
+
+
+_KEY = ["k0", "k1"]
 
 
 def similar_documents(
@@ -308,23 +514,24 @@ def similar_documents(
 ) -> DataFrame:
     """``id``, columns of ``carry``, ``component_id`` of every row: the least id reachable over links.
 
-    Two texts link if the Jaccard similarity of their shingles of ``words`` words is
-    ``similarity`` or more as their fingerprints of 256 bits tell it, which is to within
-    about 0.06 there (one standard deviation): texts well above always link, texts well below
-    never. Equal texts (but for the case of A-Z and white space) always link. Wordless
-    and null texts are equal texts. Null ids keep their rows and take the component of
-    their text; repeated rows come back repeated; an empty table gives no rows.
+    Two texts link if the Jaccard similarity of their sets of shingles of ``words`` words (A-Z
+    lower-cased; a text of fewer words is one shingle) is ``similarity`` or more, and only
+    then; a pair whose fingerprints differ in ``SLACK`` bits more than the mean of that
+    similarity is taken to lie below it. Equal texts (but for the case of A-Z and white
+    space) always link. Wordless and null texts are equal texts. Null ids keep their rows
+    and take the component of their text; repeated rows come back repeated; an empty
+    table gives no rows.
     """
     from .language import _schema
 
     names = [f"c{i}" for i in range(len(carry))]
     picked = df.select(F.col(row_id).cast("long").alias("id"), *[F.col(c).alias(n) for c, n in zip((text, *carry), ("text", *names), strict=True)])
-    more = ", ".join(f"{f} long" for f in _FPS)
-    rows = materialize(picked.mapInArrow(_wide_fingerprints(words), _schema(picked.drop("text"), more)), compact=True)
-    nodes = rows.groupBy(*_FPS).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
+    rows = materialize(picked.mapInArrow(_keys, _schema(picked.drop("text"), "k0 long, k1 long")), compact=True)
+    nodes = rows.groupBy(*_KEY).agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()))
-    edges = links_between(nodes.select("node", *_FPS), radius_of(similarity), _FPS)
-    out = _named(rows, nodes, _FPS, "node", edges)
+    texts = picked.select("text").mapInArrow(_compressed, "k0 long, k1 long, words binary").dropDuplicates(_KEY)
+    texts = texts.join(nodes.select(*_KEY, "node"), _KEY).select("node", "words")
+    out = _named(rows, nodes, _KEY, "node", links_of_similar(texts, similarity, words))
     return out.select("id", *[F.col(n).alias(c) for n, c in zip(names, carry, strict=True)], "component_id")
 
 
