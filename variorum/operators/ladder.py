@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as C
 from ..functions import udfs as U
+from .order import neighbours
 
 
 def _core(c: Column) -> Column:
@@ -40,10 +41,8 @@ def rule_label(ops: Column, rules: list[dict], groups: Column | None = None) ->
 
 
 def with_neighbours(readings: DataFrame, doc: list[str], order: list[str]) -> DataFrame:
-    """Adds ``before`` and ``after``, the neighbouring lemmas in document order."""
-    lemmas = readings.select(*doc, *order, "lem").distinct()
-    w = Window.partitionBy(*doc).orderBy(*order)
-    lemmas = lemmas.withColumns({"before": F.lag("lem").over(w), "after": F.lead("lem").over(w)})
+    """Adds ``before`` and ``after``, the neighbouring lemmas in document order; ``order`` names a lemma's place inside ``doc``, across segments too."""
+    lemmas = neighbours(readings.select(*doc, *order, "lem").distinct(), doc, order, "lem")
     return readings.join(lemmas.drop("lem"), [*doc, *order])
 
 

@@ -12,22 +12,24 @@ from ..sources import xml
 
 
 def tagged_apparatus(lemma: DataFrame, witnesses: DataFrame, rules: list[dict], families: list[dict]) -> DataFrame:
-    """``app_id, ab_id, a, b, lem, witness, rdg, type`` from segments (ab_id, text) and (witness, ab_id, text).
+    """``app_id, ab_id, a, b, lem, witness, rdg, type`` from segments (ab_id, ord, text, and path where there are several documents) and (witness, ab_id, text).
 
-    Neighbouring lemmas are those of the same segment. Alignments and readings are
-    each written once, as several branches need them.
+    Neighbouring lemmas are those before and behind in the document, so a word run together
+    with the first one of the next segment is found. Alignments and readings are each
+    written once, as several branches need them.
     """
-    work = written(apparatus.aligned(lemma, witnesses))
+    work = written(apparatus.aligned(lemma.select("ab_id", "text"), witnesses))
     rows = written(apparatus.readings(work, apparatus.entry_spans(work), witnesses))
-    rows = ladder.with_neighbours(rows, ["ab_id"], ["a", "b"])
-    return ladder.classify(rows, rules, families).drop("before", "after")
+    doc = [c for c in ("path",) if c in lemma.columns]
+    rows = ladder.with_neighbours(rows.join(lemma.select(*doc, "ab_id", "ord"), "ab_id"), doc, ["ord", "ab_id", "a", "b"])
+    return ladder.classify(rows, rules, families).drop("before", "after", "ord", *doc)
 
 
 def apparatus_of_files(spark: SparkSession, lemma: str, witnesses: list[str], prefixes: list[str], rules, families, remap: DataFrame | None = None) -> DataFrame:
     """The same from TEI files."""
     wanted = written(segments.lemma_segments(xml.read_segments(spark, lemma), prefixes))
     found = written(segments.witness_segments(written(xml.read_segments(spark, witnesses)), wanted, remap))
-    return tagged_apparatus(wanted.select("ab_id", "text"), found, rules, families)
+    return tagged_apparatus(wanted, found, rules, families)
 
 
 def chosen_alignment(stanzas: DataFrame, threshold: float = 0.90) -> DataFrame:

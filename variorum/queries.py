@@ -425,7 +425,10 @@ def readings_grouped(spark, d):
 
 @query("apparatus_types")
 def apparatus_types(spark, d):
-    rows = ladder.with_neighbours(written(_readings(spark, d)), ["ab_id"], ["a", "b"])
+    # lines are segments of their lemma: neighbours may stand in the line before or behind
+    line = F.split("ab_id", "_")
+    rows = _readings(spark, d).withColumns({"lemma": line[0].cast("long"), "line": line[1].cast("int")})
+    rows = ladder.with_neighbours(written(rows), ["lemma"], ["line", "a", "b"])
     return ladder.type_summary(ladder.classify(rows, RULES, FAMILIES))
 
 
@@ -796,4 +799,4 @@ def curation_stream(spark, d):
     return curation.latest(spark, f"{root}/state", max(0, run.lastProgress["batchId"]), schema).select("user_id", "event_type", "value", "event_id")
 
 
-from . import queries_align, queries_features, queries_more  # noqa: E402, F401  they add their queries to those above
+from . import queries_align, queries_documents, queries_features, queries_more  # noqa: E402, F401  they add their queries to those above

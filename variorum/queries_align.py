@@ -150,11 +150,12 @@ def sql_ladder(rows: str) -> str:
   typed AS (SELECT *, coalesce(early, CASE WHEN sa <> sb AND s < 0.8 THEN 'meaningful' END, CASE WHEN len(ops) > 0 THEN {_sql_rules(False)} END, 'trivial') AS type FROM lo)"""
 
 
-@query("ladder_grid", f"""WITH RECURSIVE {sql_grid()}, ordered AS (SELECT app_id, lag(lem) OVER w AS before, lead(lem) OVER w AS after FROM apps WINDOW w AS (PARTITION BY ab_id ORDER BY a, b)),
+@query("ladder_grid", f"""WITH RECURSIVE {sql_grid()}, ordered AS (SELECT app_id, lag(lem) OVER w AS before, lead(lem) OVER w AS after FROM apps WINDOW w AS (ORDER BY ab_id, a, b)),
   near AS (SELECT * FROM grid JOIN ordered USING (app_id)), {sql_ladder('near')}
 SELECT app_id, witness, lem, rdg, type FROM typed""")
 def ladder_grid(spark, d):
-    rows = ladder.with_neighbours(written(_grid(spark, d)), ["ab_id"], ["a", "b"])
+    # all segments are one document, in order of their ids
+    rows = ladder.with_neighbours(written(_grid(spark, d)), [], ["ab_id", "a", "b"])
     return ladder.classify(rows, RULES, FAMILIES).select("app_id", "witness", "lem", "rdg", "type")
 
 

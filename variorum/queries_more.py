@@ -193,7 +193,7 @@ def remapped_witnesses(spark, d):
 @query("unparsed_files", f"""WITH {_SQL_AT} SELECT DISTINCT 'in/' || conv_id || '.xml' AS path, 'mismatched tag' AS error, 1 AS line FROM t WHERE conv_id % 3 = 0""")
 def unparsed_files(spark, d):
     files = _files(_turns(spark, d), _c("<ab>", F.col("turn"), F.when(F.col("conv_id") % 3 == 0, "</a>").otherwise("</ab>")), "<r>", "</r>")
-    return xml.unparsed(files)
+    return xml.unparsed(files).drop("repairs")
 
 
 @query("stanza_scan", f"""WITH {_SQL_AT}, m AS (SELECT conv_id, max(pl) AS last FROM t GROUP BY conv_id)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.order import neighbours
+
 #: fixed values: categories of the taxonomy and their descriptions
 TAXONOMY = {"meaningful": "Meaningful variant", "trivial": "Trivial variant", "missing": "Word missing", "unknown": "Unknown"}
 
@@ -105,6 +107,45 @@ def replaced_segments(files: DataFrame, texts: DataFrame) -> DataFrame:
     return files.join(by, "path", "left").select("path", _rewritten(change)("content", "rows").alias("content"))
 
 
+def paged_segments(files: DataFrame, words: DataFrame) -> DataFrame:
+    """``path, content`` with the ``ab`` elements named in ``path, ab_id, seq, page, line, word`` holding these words instead of what they held.
+
+    ``seq`` orders the words of a file. Where page or line is another than that of the word before, in
+    whatever segment, an empty ``pb`` or ``lb`` with its number stands before the word (lines are
+    counted from 0 and numbered from 1); the first word of a file has both. The elements have the
+    namespace of the segment. A segment that is named twice is filled at its first place.
+    """
+    seen = neighbours(words.withColumn("at", F.struct("page", "line")), ["path"], ["seq"], "at")
+    new = lambda c: F.col("before").isNull() | ~F.col(f"before.{c}").eqNullSafe(F.col(c))
+    items = seen.select(
+        "path", "ab_id", "seq", F.when(new("page"), F.col("page").cast("string")).alias("pb"), F.when(new("line"), (F.col("line") + 1).cast("string")).alias("lb"), "word"
+    )
+
+    def change(root, rows) -> None:
+        by: dict[str, list] = {}
+        for r in sorted(rows, key=lambda r: r["seq"]):
+            by.setdefault(r["ab_id"], []).append(r)
+        for ab in root.iter():
+            space, _, name = ab.tag.rpartition("}") if isinstance(ab.tag, str) else ("", "", "")
+            if name != "ab" or _own_id(ab) not in by:
+                continue
+            for child in list(ab):
+                ab.remove(child)
+            ab.text, last = "", None
+            for r in by.pop(_own_id(ab)):
+                for kind in ("pb", "lb"):
+                    if r[kind] is not None:
+                        last = ab.makeelement(f"{space}}}{kind}" if space else kind, {"n": r[kind]})
+                        ab.append(last)
+                if last is None:
+                    ab.text += f" {r['word']}"
+                else:
+                    last.tail = f"{last.tail or ''} {r['word']}"
+
+    by = items.groupBy("path").agg(F.collect_list(F.struct("ab_id", "seq", "pb", "lb", "word")).alias("rows"))  # a file's words: the file is one cell itself
+    return files.join(by, "path", "left").select("path", _rewritten(change)("content", "rows").alias("content"))
+
+
 def annotated_files(files: DataFrame, readings: DataFrame) -> DataFrame:
     """``path, content`` with ``resp, cert, ana, n`` set on the readings named by ``app_id, wit``, in place; files already annotated (``*.v3.xml``) are left out.
 

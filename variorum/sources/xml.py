@@ -1,7 +1,8 @@
 """TEI, CAB and ALTO readers.
 
 A file is one row (``binaryFile``), parsed in the task that reads it by a table
-function; files that don't parse give no rows, and :func:`unparsed` names them.
+function; files that don't parse are repaired (:mod:`.repair`), and :func:`unparsed` says
+what was wrong and how it was mended. Only a file without any element gives no rows.
 Text is composed (NFC) here, once. Each ``read_*`` has an ``*_of`` for files
 (``path, content``) that come from elsewhere.
 """
@@ -18,6 +19,7 @@ from pyspark.sql.functions import udtf
 
 from ..functions import text as C
 from ..kernels.text import nfc, stanza_token
+from .repair import repaired, tree
 
 XML = "{http://www.w3.org/XML/1998/namespace}"
 FOREIGN = ("pahl", "pers")
@@ -36,14 +38,6 @@ def _lang(el) -> str:
     return (el.get(f"{XML}lang") or el.get("lang") or "").lower()
 
 
-def _tree(content: bytes | None):
-    try:
-        parser = ElementTree.XMLParser(target=ElementTree.TreeBuilder(insert_comments=False))
-        return ElementTree.fromstring(content or b"", parser)
-    except ElementTree.ParseError:
-        return None
-
-
 def _reading(app, order: tuple[str, ...]):
     """The reading of an inline ``app`` by type, in the order given; else the first."""
     readings = [r for r in app if _local(r) == "rdg"]
@@ -78,7 +72,7 @@ class Segments:
     """Every element that can be a segment, once for each way to name it: by xml:id, id, n, corresp; ``ab`` elements also for search."""
 
     def eval(self, content: bytes) -> Iterator[tuple]:
-        root = _tree(content)
+        root = tree(content)
         if root is None:
             return
         parents = {c: p for p in root.iter() for c in p}
@@ -103,7 +97,7 @@ class StanzaWords:
     """Words of each ``div`` with an id: foreign and nerang blocks, comments and skipped tags left out."""
 
     def eval(self, content: bytes, sentence_space: bool) -> Iterator[tuple]:
-        root = _tree(content)
+        root = tree(content)
         if root is None:
             return
         for place, div in enumerate(root.iter()):
@@ -167,7 +161,7 @@ class AltoWords:
     """Words of an ALTO page: every ``String`` of every line, full stops as word ends."""
 
     def eval(self, content: bytes) -> Iterator[tuple]:
-        root, place = _tree(content), 0
+        root, place = tree(content), 0
         if root is None:
             return
         lines = [el for el in root.iter() if _local(el) == "TextLine"]
@@ -183,7 +177,7 @@ class CabWords:
     """Words of every ``ab`` with an id; words broken over lines are joined, inner full stops dropped."""
 
     def eval(self, content: bytes) -> Iterator[tuple]:
-        root, place = _tree(content), 0
+        root, place = tree(content), 0
         if root is None:
             return
         for el in root.iter():
@@ -193,12 +187,32 @@ class CabWords:
                     place += 1
 
 
+@udtf(returnType="place int, id string, page string, line string, word string", useArrow=False)
+class PagedWords:
+    """Words of every ``ab`` with an id, each with the numbers of the ``pb`` and ``lb`` before it in the file."""
+
+    def eval(self, content: bytes) -> Iterator[tuple]:
+        root, place, page, line = tree(content), 0, None, None
+        if root is None:
+            return
+        for el in root.iter():
+            if _local(el) != "ab" or not _id(el):
+                continue
+            for part in el.iter():
+                page = part.get("n") if _local(part) == "pb" else page
+                line = part.get("n") if _local(part) == "lb" else line
+                text = [part.text] if part is el or _local(part) not in ("pb", "lb") else []
+                for word in " ".join(nfc(t or "") for t in (*text, part.tail if part is not el else "")).split():
+                    yield place, _id(el), page, line, word
+                    place += 1
+
+
 @udtf(returnType="div_id string, app_id string, ord int, lem string, rdg_ord int, wit string, rdg string, type string, ana string, cert string, n string", useArrow=False)
 class Apparatus:
     """Every reading of every ``app`` of an apparatus, in document order; an ``app`` without readings gives one row with nulls."""
 
     def eval(self, content: bytes) -> Iterator[tuple]:
-        root, ord_ = _tree(content), 0
+        root, ord_ = tree(content), 0
         if root is None:
             return
         for div in [d for d in root.iter() if _local(d) == "div" and _id(d)] or [root]:
@@ -214,7 +228,7 @@ class Apparatus:
                 ord_ += 1
 
 
-TABLE_FUNCTIONS = {"tei_segments": Segments, "stanza_words": StanzaWords, "alto_words": AltoWords, "cab_words": CabWords, "tei_apparatus": Apparatus}
+TABLE_FUNCTIONS = {"tei_segments": Segments, "stanza_words": StanzaWords, "alto_words": AltoWords, "cab_words": CabWords, "paged_words": PagedWords, "tei_apparatus": Apparatus}
 
 
 def _files(spark: SparkSession, paths: str | list[str], glob: str = "*.xml") -> DataFrame:
@@ -270,6 +284,15 @@ def cab_of(files: DataFrame) -> DataFrame:
     return _parsed(files, CabWords).select("path", "id", "index", "word", F.col("place").alias("seq"))
 
 
+def paged_of(files: DataFrame) -> DataFrame:
+    """``path, id, page, line, seq, word`` by the milestones in the segments; null before the first one."""
+    return _parsed(files, PagedWords).select("path", "id", "page", "line", F.col("place").alias("seq"), "word")
+
+
+def read_paged(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return paged_of(_files(spark, paths))
+
+
 def read_cab(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return cab_of(_files(spark, paths))
 
@@ -284,19 +307,19 @@ def read_ocr_text(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return ocr_words(spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
-@udtf(returnType="error string, line int", useArrow=False)
+@udtf(returnType="error string, line int, repairs array<struct<kind:string,line:int>>", useArrow=False)
 class Broken:
-    """What keeps a file from being parsed; nothing if it parses."""
+    """What keeps a file from being parsed, and what the readers repair in it, in order; nothing if it parses."""
 
     def eval(self, content: bytes) -> Iterator[tuple]:
         try:
             ElementTree.fromstring(content or b"")
         except ElementTree.ParseError as e:
-            yield str(e).partition(":")[0], e.position[0]
+            yield str(e).partition(":")[0], e.position[0], repaired(content)[1]
 
 
 def unparsed(files: DataFrame) -> DataFrame:
-    """``path, error, line`` of the files that the readers leave out because they don't parse."""
+    """``path, error, line, repairs`` of the files that a strict parser refuses, and that the readers repair."""
     return files.lateralJoin(Broken(F.col("content").outer())).drop("content")
 
 
