@@ -103,5 +103,28 @@ def test_clashing_columns_and_too_many_languages(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score double")
     kept = L.keep_identified(docs).collect()
     assert {(r.lang_pred, r.score) for r in kept} == {("own", 7.0)} and all(r.lang for r in kept)
-    with pytest.raises(ValueError):
-        L.fit(spark.createDataFrame([(i, "a", f"l{i}") for i in range(4)], "doc_id long, text string, lang string"), most_langs=3)
+
+
+def test_any_number_of_languages(spark):
+    """Six hundred values of lang, one of them in half of the rows: the sample stays bounded, all texts are predicted."""
+    rows = [(i, f"word{i % 600} sits near place{i % 600}", f"l{i % 600:03}") for i in range(1800)] + [(i, f"the cat number {i} sat", "en") for i in range(5000, 6800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(docs, per_lang=20, sample=60, most_langs=5)
+    assert sorted(v for m in model.members.values() for v in m) == ["en", "l000", "l001", "l002", "l003"]
+    got = L.predict(docs, model).collect()
+    assert len(got) == len(rows) and {r.lang_pred for r in got} <= {"en", "l000", "l001", "l002", "l003"}
+    assert sum(r.lang_pred == "en" for r in got if r.lang == "en") > 1700
+
+
+def test_sample_is_bounded_whatever_the_ids(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(L, "train", lambda x, langs: seen.append(len(langs)) or L.Model())
+    rows = [(None, f"the cat number {i} sat here", "en") for i in range(900)] + [(7, f"le chat {i} est ici", "fr") for i in range(900)] + [(8, "copied text", "nl")] * 900
+    L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), per_lang=100)
+    assert 2 * 120 < seen[0] < 2 * 280
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string")
+    got = L.identify_documents(docs)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score"] and not got.collect() and not L.keep_identified(docs).collect()

@@ -88,3 +88,7 @@ def test_clashing_columns_stay(spark):
     df = spark.createDataFrame([("a@b.co", "T", "r", "p", "e")], "text string, t string, row string, PII string, email string")
     got = pii.redact(pii.find_pii(df)).collect()[0]
     assert (got.text, got.t, got.row, got.email, got.pii[0].kind) == ("<EMAIL>", "T", "r", "e", "email")
+
+
+def test_empty_table(spark):
+    assert not pii.pii_documents(spark.createDataFrame([], "doc_id long, text string")).collect()

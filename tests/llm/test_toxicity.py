@@ -145,3 +145,12 @@ def test_one_word_counts_once_and_long_words_are_mined(spark):
     long = "zq" * 30
     rows = [(i, f"{long} day" if i % 2 else "fine day", i % 2) for i in range(40)]
     assert long in X.mine_lexicon(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+
+
+def test_empty_tables(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = X.score_documents(docs, labels)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"] and not got.collect()
+    some = spark.createDataFrame([(1, None), (2, ""), (None, "you moron")], "doc_id long, text string")
+    assert all(0 <= r.score <= 1 for r in X.score_documents(some, labels).collect())

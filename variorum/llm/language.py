@@ -1,7 +1,7 @@
 """Language identification in two steps: family first, then one-versus-one linear SVMs inside it.
 
 Features are hashed character 1- to 3-grams of the whole lower-cased text.
-Training sees a bounded sample per language (``PER_LANG``, chosen by hash);
+Training sees a sample chosen by hash, bounded per language (``PER_LANG``) and in all (``SAMPLE``);
 predictions run over Arrow batches with a few small weight vectors.
 """
 
@@ -23,7 +23,8 @@ DIMS = 4096
 PER_LANG = 400  # training documents of a language at most, as an expected number
 SNIPPET = 48  # characters of the short extra example cut from each training document
 UNDETERMINED = "und"
-MOST_LANGS = 512  # values of ``lang`` that a model is fitted for; a column of more holds no languages
+SAMPLE = 8000  # training documents of all languages together, as an expected number: languages share them equally where PER_LANG each would be more
+MOST_LANGS = 512  # languages in the sample: those with most documents
 MIN_SCORE = 0.2  # below it a text fits no known language
 
 #: fixed values: families by language code; a code that is not listed is a family of its own
@@ -179,17 +180,21 @@ def held_out(doc_id: Column, fold: int, folds: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG, most_langs: int = MOST_LANGS) -> Model:
+def fit(docs: DataFrame, per_lang: int = PER_LANG, sample: int = SAMPLE, most_langs: int = MOST_LANGS) -> Model:
     """Model of the languages in ``lang`` over (doc_id, text, lang); null texts and languages are left out.
 
-    ``per_lang`` bounds what the driver gets: two vectors of 8 KB a document, of at
-    most ``most_langs`` languages; more raise a ValueError, as no model of theirs
-    would fit the driver. Without a labelled row the model knows no language.
+    The driver gets two vectors of 8 KB for each document of the sample, which holds about ``per_lang``
+    of each of the ``most_langs`` languages with most documents (ties by name), and about ``sample`` of
+    all. Rows are chosen by their hash, copies count once, so reruns agree and neither null nor
+    repeated ids make it larger. Without a labelled row the model knows no language.
     """
     rows = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
-    if rows.select("lang").distinct().limit(most_langs + 1).count() > most_langs:
-        raise ValueError(f"lang holds more than {most_langs} values")
-    picked = sample_by_hash(rows, F.col("doc_id"), "lang", per_lang).select("text", "lang")
+    langs = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(most_langs)
+    known = [r["lang"] for r in langs.collect()]  # most_langs at most
+    if not known:
+        return Model()
+    picked = sample_by_hash(rows.where(F.col("lang").isin(known)), F.struct("doc_id", "text"), "lang", max(1, min(per_lang, sample // len(known))))
+    picked = picked.select("text", "lang").distinct()
     got = sorted((r[0], bytes(r[1])) for r in picked.mapInArrow(_examples, "lang string, x binary").collect())
     if not got:
         return Model()
@@ -204,7 +209,7 @@ def predict(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
     Texts that are null or hold no letter, and all texts under a model without
     languages, are ``und`` with score 0. Ties go to the first language by name.
-    Repeated rows get equal results; columns of the two names are replaced.
+    Repeated rows get equal results; columns of the two names are replaced; an empty table gives no rows.
     """
     df = df.drop("lang_pred", "score")
     at = df.columns.index(text)
@@ -247,7 +252,11 @@ def keep_identified(docs: DataFrame, least: float = MIN_SCORE) -> DataFrame:
 
 
 def identify_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score of all ``documents``; learned from those not held out."""
+    """doc_id, held_out, lang_pred, score of all ``documents``; learned from those not held out.
+
+    Null texts, and those without a letter, are ``und`` with score 0; null ids are not held out and not
+    learned from; repeated rows stay repeated; an empty table gives no rows.
+    """
     rows = docs.select("doc_id", "text", "lang")
     out = held_out(F.col("doc_id"), 1, 3)
     model = fit(rows.where(~out & F.col("doc_id").isNotNull()))

@@ -13,11 +13,11 @@ of the id; totals of the written parts give every document's global start.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -25,16 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import ragged
 from .common import scratch_path
-from .pretoken import pieces
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0  # id after each document
 BLOCK = 8192
 QUANTILE = 0.95
 SEGMENT = 1 << 18  # ids after which a segment ends, with a document
-KNOWN = 600_000  # words a worker remembers
+AT_ONCE = 1 << 18  # characters of the texts that the library gets in one call, but for a single longer one
 MAGIC = b"PFR1"
 _HEAD = struct.Struct("<4sQI")  # magic, ids, blocks
 _BLOCK = struct.Struct("<IIBI")  # minimum, ids, width, exceptions
@@ -134,99 +132,20 @@ def tokenizer(name: str):
     return Tokenizer.from_file(public_tokenizers.path(name))
 
 
-@cache
-def added(name: str) -> re.Pattern | None:
-    """Tokens that the library takes out of a text before it splits the rest, as one group."""
-    found = sorted((x.content for x in tokenizer(name).get_added_tokens_decoder().values()), key=lambda x: (-len(x), x))
-    return re.compile(f"({'|'.join(map(re.escape, found))})") if found else None
-
-
-@cache
-def token_lengths(name: str) -> np.ndarray:
-    """Bytes of each token by id: the vocabulary writes a byte as one character."""
-    words = tokenizer(name).get_vocab(with_added_tokens=False)
-    out = np.zeros(max(words.values(), default=0) + 1, np.int64)
-    out[list(words.values())] = [len(w) for w in words]
-    return out
-
-
-def _appended(a: np.ndarray, used: int, more: np.ndarray) -> np.ndarray:
-    """``a`` with ``more`` behind its first ``used`` values, grown by half where it lacks room."""
-    if used + len(more) > len(a):
-        a = np.concatenate((a[:used], np.empty(len(more) + used // 2, a.dtype)))
-    a[used : used + len(more)] = more
-    return a
-
-
-class Words(dict):
-    """Pre-tokens a worker has met: word to code, and by code where its ids stand. New ones wait in ``new``.
-
-    The library meets each word once while the worker remembers it; ids of a text are
-    those of its pre-tokens. The empty word stands for the end of a document.
-    """
-
-    def __init__(self, name: str = VOCABULARY):
-        super().__init__({"": 0})
-        self.name, self.new = name, []
-        self.start, self.lens, self.ids, self.used = np.zeros(1, np.int64), np.ones(1, np.int64), np.array([END], np.uint32), 1
-
-    def __missing__(self, word: str) -> int:
-        code = self[word] = len(self)
-        self.new.append(word)
-        return code
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each with the end id, and how many each has."""
-        parts, special = [], added(self.name)
-        for x in texts:
-            if special and special.search(x):  # odd parts are the added tokens
-                split = [w for i, part in enumerate(special.split(x)) for w in ([part] if i % 2 else pieces(part))]
-            else:
-                split = pieces(x)
-            split.append("")
-            parts.append(np.fromiter(map(self.__getitem__, split), np.int64, len(split)))
-        if self.new:
-            self.learn()
-        codes = np.concatenate(parts)
-        lens = self.lens[codes]
-        return self.ids[ragged(self.start[codes], lens)], np.add.reduceat(lens, np.cumsum([0, *map(len, parts[:-1])]))
-
-    def learn(self) -> None:
-        """Encode what is new. Words of the shape " letters" go in one text, which splits into just these words again;
-        ids are told apart by the bytes that they stand for."""
-        t = tokenizer(self.name)
-        plain = np.array([w[0] == " " and w[1:].isalpha() for w in self.new])
-        words = [w for w, p in zip(self.new, plain, strict=True) if p]
-        joined = "".join(words)
-        ends = np.cumsum(list(map(len, words)) if joined.isascii() else [len(w.encode()) for w in words], dtype=np.int64)
-        flat = np.array(t.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
-        to = np.cumsum(token_lengths(self.name)[flat])
-        last = np.searchsorted(to, ends)
-        if len(to) and (to[-1] != ends[-1] or (to[last] != ends).any()):
-            plain[:], flat, last = False, flat[:0], last[:0]
-        rest = t.encode_batch_fast([w for w, p in zip(self.new, plain, strict=True) if not p], add_special_tokens=False)
-        lens, start = np.zeros(len(self.new), np.int64), np.empty(len(self.new), np.int64)
-        lens[plain] = np.diff(last + 1, prepend=0)
-        lens[~plain] = [len(x.ids) for x in rest]
-        start[plain] = np.cumsum(lens[plain]) - lens[plain]
-        start[~plain] = np.cumsum(lens[~plain]) - lens[~plain] + len(flat)
-        ids = np.concatenate((flat, *(np.array(x.ids, np.uint32) for x in rest)))
-        done = len(self) - len(self.new)
-        self.start = _appended(self.start, done, start + self.used)
-        self.lens = _appended(self.lens, done, lens)
-        self.ids = _appended(self.ids, self.used, ids)
-        self.used += len(ids)
-        self.new = []
-
-
-_words: dict[str, Words] = {}
-
-
-def remembered(name: str) -> Words:
-    """The worker's words, anew when there are too many."""
-    if name not in _words or len(_words[name]) > KNOWN:
-        _words[name] = Words(name)
-    return _words[name]
+def encode(texts: list[str], name: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids of whole texts by the library's own call, each with the end id, and how many each has; some texts at a time."""
+    t, k = tokenizer(name), 0
+    while k < len(texts):
+        to = k + 1
+        size = len(texts[k])
+        while to < len(texts) and size + len(texts[to]) <= AT_ONCE:
+            size += len(texts[to])
+            to += 1
+        found = [x.ids for x in t.encode_batch_fast(texts[k:to], add_special_tokens=False)]
+        n = np.array([len(x) + 1 for x in found], np.int64)
+        ids = np.fromiter(chain.from_iterable((*found_ids, END) for found_ids in found), np.uint32, int(n.sum()))
+        yield ids, n
+        k = to
 
 
 _SEGMENT = "part int, first long, n_ids long, doc_ids array<long>, n_tokens array<long>, ids binary"
@@ -249,15 +168,17 @@ def _write(name: str):
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 b = whole.slice(k, 256)
-                ids, n = remembered(name).encode([t or "" for t in b["text"].to_pylist()])
-                docs += b["doc_id"].to_pylist()
-                lens.append(n)
-                held.append(ids)
-                size += len(ids)
-                if size >= SEGMENT:
-                    yield segment()
-                    first += size
-                    docs, lens, held, size = [], [], [], 0
+                names_of, done = b["doc_id"].to_pylist(), 0
+                for ids, n in encode([t or "" for t in b["text"].to_pylist()], name):
+                    docs += names_of[done : done + len(n)]
+                    done += len(n)
+                    lens.append(n)
+                    held.append(ids)
+                    size += len(ids)
+                    if size >= SEGMENT:
+                        yield segment()
+                        first += size
+                        docs, lens, held, size = [], [], [], 0
         if docs:
             yield segment()
 
