@@ -47,7 +47,8 @@ SIMILAR, SHINGLE = 0.8, 5  # of similar documents: Jaccard similarity, words of
 PARTS = 4  # longs of a wide fingerprint
 SLACK = 52  # bits beyond the mean at which pairs are still counted exactly: over six standard deviations
 TEXTS = 1 << 22  # bytes of the texts of a block, but for the text that crosses them
-SHINGLES, EACH = 1 << 20, 512  # of a chunk on average, where each text counts for so many more
+BITS = 48  # of a shingle's hash by which it is counted
+SHINGLES, EACH = 1 << 19, 512  # of a chunk on average, where each text counts for so many more
 COLUMNS, ROWS, PAIRS = 4096, 1024, 1 << 19  # shingles, texts and pairs of texts counted at once
 
 
@@ -347,13 +348,18 @@ def _sets(texts: pa.ListScalar, words: int) -> Iterator[np.ndarray]:
     return (shingle_set(zstandard.decompress(t.as_py()).decode(), words) for t in texts.values)
 
 
+def _short(shingles: np.ndarray) -> np.ndarray:
+    """The ``BITS`` by which shingles are counted over all texts: fewer travel, and two that share them only count as more frequent."""
+    return shingles >> np.uint64(64 - BITS)
+
+
 def _block_shingles(words: int):
-    """(block, shingle, n): each distinct shingle of a block, and in how many of its texts it is."""
+    """(block, shingle, n): each distinct shingle of a block by its ``BITS``, and in how many of its texts it is."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for block, texts in zip(b["block"].to_pylist(), b["texts"], strict=True):
-                shingle, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *_sets(texts, words)]), return_counts=True)
+                shingle, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *map(_short, _sets(texts, words))]), return_counts=True)
                 for k in range(0, len(n), 1 << 16):
                     s = slice(k, k + (1 << 16))
                     cells = [pa.array(np.full(len(n[s]), block)), pa.array(shingle[s].view(np.int64)), pa.array(n[s].astype(np.int32))]
@@ -380,11 +386,11 @@ def _candidates(words: int, share: Fraction):
                 shared, count = shared[order], count[order]
                 out = []
                 for node, own in zip(b["nodes"][k].as_py(), _sets(b["texts"][k], words), strict=True):
-                    at = np.minimum(np.searchsorted(shared, own), len(shared) - 1)
-                    at = at[shared[at] == own]
-                    most = int(prefix_length(len(own), share)) - (len(own) - len(at))  # those that no other text has come first
+                    at = np.minimum(np.searchsorted(shared, _short(own)), len(shared) - 1)
+                    held = np.flatnonzero(shared[at] == _short(own))
+                    most = int(prefix_length(len(own), share)) - (len(own) - len(held))  # those that no other text has come first
                     if most > 0:
-                        first = shared[at[np.lexsort((shared[at], count[at]))[:most]]]
+                        first = own[held[np.lexsort((own[held], count[at[held]]))[:most]]]
                         out.append((node, len(own), wide_fingerprint(own).tobytes(), own.tobytes(), first.view(np.int64)))
                 cells = zip((pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64())), zip(*out, strict=True) if out else [[]] * 5, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for t, c in cells], ["node", "size", "fp", "shingles", "first"])
@@ -487,23 +493,22 @@ def links_of_similar(nodes: DataFrame, similarity: float, words: int) -> DataFra
         _candidates(words, share), "node long, size long, fp binary, shingles binary, first array<long>"
     )
     rows = materialize(rows, compact=True)
-    groups = groups_of(rows.select("node", F.explode("first").alias("shingle")))
-    rows = materialize(rows.drop("first").join(groups, "node"), compact=True)
+    groups = materialize(groups_of(rows.select("node", F.explode("first").alias("shingle"))).join(rows.select("node", "size"), "node"), compact=True)
     # chunks by shingles: groups that fill one have chunks of their own, the others share
-    weight = F.sum(F.col("size") + EACH)
-    sizes = rows.groupBy("root").agg(weight.alias("weight"), F.count(F.lit(1)).alias("n"))
+    sizes = groups.groupBy("root").agg(F.sum(F.col("size") + EACH).alias("weight"), F.count(F.lit(1)).alias("n"))
     total = sizes.where(F.col("weight") <= SHINGLES).agg(F.sum("weight")).first()[0] or 0
     own = F.col("weight") > SHINGLES
     tile = F.when(own, F.col("root")).otherwise(-1 - F.pmod(F.xxhash64("root"), F.lit(-(-total // SHINGLES) or 1)))
     sizes = sizes.select("root", "n", tile.alias("tile"), F.when(own, F.ceil(F.col("weight") / SHINGLES)).otherwise(1).cast("int").alias("chunks"))
-    sizes = materialize(sizes, compact=True)
     chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    chunks = join_skewed(rows, sizes, ["root"]).groupBy("tile", chunk.alias("chunk")).agg(F.collect_list(F.struct("root", "node", "fp", "shingles")).alias("rows"))
+    places = join_skewed(groups.drop("size"), materialize(sizes, compact=True), ["root"]).select("root", "node", "tile", chunk.alias("chunk"))
+    chunks = rows.join(places, "node").groupBy("tile", "chunk").agg(F.collect_list(F.struct("root", "node", "fp", "shingles")).alias("rows"))
     chunks = materialize(chunks)
-    keys = chunks.select("tile", "chunk")
-    pairs = keys.toDF("xt", "xc").join(keys.toDF("yt", "yc"), F.expr("xt = yt and xc <= yc"))
-    both = with_chunks(pairs, chunks, "rows").select("x_rows", "y_rows", "same")
-    return both.mapInArrow(_check(radius_of(similarity) + SLACK, share), "a long, b long")
+    check = _check(radius_of(similarity) + SLACK, share)
+    inside = chunks.select(F.col("rows").alias("x_rows"), F.lit(True).alias("same")).mapInArrow(check, "a long, b long")
+    keys = chunks.where("tile >= 0").select("tile", "chunk")
+    pairs = keys.toDF("xt", "xc").join(keys.toDF("yt", "yc"), F.expr("xt = yt and xc < yc"))
+    return inside.union(with_chunks(pairs, chunks, "rows").select("x_rows", "y_rows", "same").mapInArrow(check, "a long, b long"))
 
 
 _KEY = ["k0", "k1"]
