@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .operators import order, segments
-from .queries import query, table
+from .operators import books, order, segments
+from .queries import query, table, witnesses
 from .queries_more import _SQL_AT, _c, _files, _turns
 from .session import scratch_path
 from .sources import sinks, store, xml
@@ -104,3 +104,17 @@ def milestone_files(spark, d):
     seq = F.col("seq")
     words = words.select("path", _c("c", F.col("turn")).alias("ab_id"), "seq", _c("p", F.floor(seq / 8)).alias("page"), F.floor(seq % 8 / 3).cast("int").alias("line"), "word")
     return xml.paged_of(sinks.paged_segments(files, words))
+
+
+# -- books ---------------------------------------------------------------------------------------------
+
+
+@query("book_matches")
+def book_matches(spark, d):
+    """Every document with the one that it is a witness of, word by word over their whole texts."""
+    lines = witnesses(spark, d).where("trim(text) <> ''")
+    words = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: F.filter(F.split(F.lower(x["text"]), r"\s+"), lambda w: w != "")))
+    texts = lines.groupBy("lemma", "doc_id").agg(words.alias("words"))
+    pairs = texts.where("lemma <> doc_id").select("lemma", F.col("doc_id").alias("book"), F.col("words").alias("our"))
+    lemmas = texts.where("lemma = doc_id").select("lemma", F.col("words").alias("canon"))
+    return books.match_books(pairs.join(lemmas, "lemma").select("book", "canon", "our")).select(F.col("book").alias("doc_id"), "c", "o")
