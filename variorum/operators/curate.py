@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as C
 from ..functions import udfs as U
-from ..session import small
+from ..session import small, spread, written
 from .cascade import override_decision, suggestion
 
 
@@ -84,28 +84,54 @@ def changes_to_overrides(words: DataFrame, scores: DataFrame) -> tuple[DataFrame
     return decided, open_
 
 
-def nearest_keys(features: DataFrame, keys: DataFrame, cutoff: float, block: int = 5000, rows: int = 500) -> DataFrame:
+#: similarities down to which keys are sought, one after the other, for features that nothing was found for yet
+STEPS = (0.9, 0.75, 0.6, 0.45, 0.3, 0.0)
+
+
+def _letters(df: DataFrame, c: str) -> DataFrame:
+    """``x, n, letters`` of the distinct values of a column: its letters, of which repeated ones are told apart by a number."""
+    one = F.filter(F.split("x", ""), lambda ch: ch != "")
+    nth = F.transform(one, lambda ch, i: F.concat(ch, F.size(F.filter(F.slice(one, 1, i + 1), lambda o: o == ch)).cast("string")))
+    return df.select(F.col(c).alias("x")).where("x is not null").distinct().select("x", F.length("x").alias("n"), nth.alias("letters"))
+
+
+def likely_keys(features: DataFrame, keys: DataFrame, step: float) -> DataFrame:
+    """Pairs ``feature, key`` that may have a similarity of ``step`` or more (of 0: more than 0), from tables of :func:`_letters`.
+
+    Similarity is at most twice the letters in common by all letters. So a key has to hold one of
+    a feature's rarest letters, all but as many as may be missing: an inverted list of the keys'
+    letters gives the candidates, of which those stay whose bound reaches the step.
+    """
+    listed = keys.select(F.col("x").alias("key"), F.explode("letters").alias("letter"))
+    often = listed.groupBy("letter").agg(F.count(F.lit(1)).alias("often"))
+    # of n letters a key as similar as the step shares n * step / (2 - step) at least
+    held = features.select("x", "n", F.explode("letters").alias("letter")).join(small(often), "letter", "left")
+    rarest = F.row_number().over(Window.partitionBy("x").orderBy(F.coalesce("often", F.lit(0)), "letter"))
+    least = F.greatest(F.lit(1), F.ceil(F.col("n") * step / (2 - step) - 1e-9))
+    first = held.withColumn("rank", rarest).where(F.col("rank") <= F.col("n") - least + 1).where("often is not null")
+    pairs = first.select(F.col("x").alias("feature"), "letter").join(listed, "letter").select("feature", "key").distinct()
+    f, k = (t.select(F.col("x").alias(c), F.col("letters").alias(f"_{c}")) for t, c in ((features, "feature"), (keys, "key")))
+    bound = 2 * F.size(F.array_intersect("_feature", "_key")) / (F.size("_feature") + F.size("_key"))
+    return pairs.join(f, "feature").join(k, "key").where(bound + 1e-9 >= step).select("feature", "key")
+
+
+def nearest_keys(features: DataFrame, keys: DataFrame, cutoff: float) -> DataFrame:
     """``feature, key, s``: the most similar catalogue key of each feature, ties to the first by name; features that no key reaches are left out.
 
-    Features and keys meet in blocks of about ``rows`` and ``block``: every feature is held
-    against every key, whatever the size of the catalogue, and no list goes to the driver.
+    Keys are sought at falling similarities (``STEPS``, down to ``cutoff``): all keys that may reach a step are
+    compared, so the best of them is the best of all if it does, and the feature is done. Few pairs are ever compared.
     """
-    from ..kernels.gestalt import nearest
-
-    def packed(df: DataFrame, c: str, size: int) -> DataFrame:
-        some = df.select(F.col(c).alias("x")).distinct()
-        n = -(-some.count() // size) or 1
-        return some.groupBy(F.pmod(F.xxhash64("x"), F.lit(n)).alias("b")).agg(F.array_sort(F.collect_list("x")).alias("xs")).select("xs")
-
-    def run(fs, ks):
-        ks = list(ks)
-        return [{"feature": f, "key": k, "s": s} for f in fs for k, s in [nearest(f, ks, cutoff)] if k is not None]
-
-    find = F.udf(run, "array<struct<feature:string,key:string,s:double>>", useArrow=True)
-    blocks = packed(features, "feature", rows).withColumnRenamed("xs", "fs").crossJoin(small(packed(keys, "key", block).withColumnRenamed("xs", "ks"), 1000))
-    found = blocks.select(F.explode(find("fs", "ks")).alias("r")).select("r.*")
-    best = found.groupBy("feature").agg(F.min(F.struct((-F.col("s")).alias("least"), "key")).alias("b"))
-    return features.join(best, "feature").select("feature", F.col("b.key").alias("key"), (-F.col("b.least")).alias("s"))
+    fs, ks = written(_letters(features, "feature")), written(_letters(keys, "key"))
+    found = None
+    for step in [s for s in STEPS if s > cutoff] + [cutoff]:
+        pairs = written(likely_keys(fs, ks, step))
+        got = spread(pairs, "feature", "key").withColumn("s", U.gestalt_ratio("feature", "key")).where((F.col("s") > 0) & (F.col("s") >= step))
+        got = written(got.groupBy("feature").agg(F.min(F.struct((-F.col("s")).alias("least"), "key")).alias("b")))
+        found = got if found is None else found.union(got)
+        fs = fs.join(got, fs["x"] == got["feature"], "left_anti")
+        if fs.isEmpty():
+            break
+    return features.join(found, "feature").select("feature", F.col("b.key").alias("key"), (-F.col("b.least")).alias("s"))
 
 
 TIERS = ("rdg_exact", "lem_exact", "rdg_fuzzy", "lem_fuzzy")
