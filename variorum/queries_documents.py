@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .operators import books, order, segments
+from .operators import rules as rule_tables
 from .queries import query, table, witnesses
 from .queries_more import _SQL_AT, _c, _files, _turns
 from .session import scratch_path
@@ -118,3 +119,36 @@ def book_matches(spark, d):
     pairs = texts.where("lemma <> doc_id").select("lemma", F.col("doc_id").alias("book"), F.col("words").alias("our"))
     lemmas = texts.where("lemma = doc_id").select("lemma", F.col("words").alias("canon"))
     return books.match_books(pairs.join(lemmas, "lemma").select("book", "canon", "our")).select(F.col("book").alias("doc_id"), "c", "o")
+
+
+# -- rules ---------------------------------------------------------------------------------------------
+# suppliers are rules, parts operations
+
+_SQL_RULES = """
+rules AS (SELECT CAST(s_suppkey AS INT) AS ord, CASE WHEN s_suppkey % 4 IN (1, 2) THEN 'match_regex' ELSE 'match' END AS kind, CASE s_suppkey % 4 WHEN 0 THEN x || '→' || y WHEN 1 THEN x || '.*' || y || 'r' WHEN 2 THEN '^[' || x || y || '].*→' ELSE x || ' inserted' END AS pattern,
+  CASE s_suppkey % 5 WHEN 0 THEN 'meaningful' ELSE 'trivial' END AS label, CASE s_suppkey % 3 WHEN 0 THEN 'forward' WHEN 1 THEN 'reverse' ELSE 'either' END AS direction, CASE WHEN s_suppkey % 7 < 3 THEN 'SMALL' END AS wanted, CASE WHEN s_suppkey % 5 = 3 THEN 'BIG' END AS barred
+  FROM (SELECT *, chr(CAST(97 + s_suppkey % 26 AS INT)) AS x, chr(CAST(97 + (s_suppkey // 3) % 26 AS INT)) AS y FROM supplier)),
+ops AS (SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN substr(a, 1, 1) || '→' || substr(b, 1, 1) WHEN 1 THEN substr(a, 1, 1) || ' inserted' ELSE a || '→' || b END AS op, CASE WHEN p_size < 25 THEN 'SMALL' ELSE 'BIG' END AS grp
+  FROM (SELECT *, lower(string_split(p_name, ' ')[1]) AS a, lower(string_split(p_type, ' ')[1]) AS b FROM part)),
+hits AS (SELECT p_partkey, op, ord, label FROM ops JOIN rules ON (wanted IS NULL OR wanted = grp) AND (barred IS NULL OR barred <> grp) AND CASE WHEN kind = 'match_regex' THEN regexp_matches(op, pattern)
+  WHEN strpos(pattern, '→') = 0 OR direction = 'forward' THEN op = pattern WHEN direction = 'reverse' THEN op = split_part(pattern, '→', 2) || '→' || split_part(pattern, '→', 1)
+  ELSE op IN (pattern, split_part(pattern, '→', 2) || '→' || split_part(pattern, '→', 1)) END)"""
+
+
+@query("rule_table", f"WITH {_SQL_RULES} SELECT o.p_partkey, o.op, min(ord) AS ord, arg_min(label, ord) AS label FROM ops o LEFT JOIN hits h USING (p_partkey) GROUP BY o.p_partkey, o.op")
+def rule_table(spark, d):
+    s, p = table(spark, d, "supplier"), table(spark, d, "part")
+    k, none = F.col("s_suppkey"), F.array().cast("array<string>")
+    letter = lambda n: F.chr(97 + n % 26)
+    x, y = letter(k), letter(F.floor(k / 3))
+    rules = s.select(
+        k.cast("int").alias("ord"), F.when((k % 4).isin(1, 2), "match_regex").otherwise("match").alias("kind"),
+        F.when(k % 4 == 0, _c(x, "→", y)).when(k % 4 == 1, _c(x, ".*", y, "r")).when(k % 4 == 2, _c("^[", x, y, "].*→")).otherwise(_c(x, " inserted")).alias("pattern"),
+        F.when(k % 5 == 0, "meaningful").otherwise("trivial").alias("label"), F.when(k % 3 == 0, "forward").when(k % 3 == 1, "reverse").otherwise("either").alias("direction"),
+        F.when(k % 7 < 3, F.array(F.lit("SMALL"))).otherwise(none).alias("groups"), F.when(k % 5 == 3, F.array(F.lit("BIG"))).otherwise(none).alias("exclude_groups"),
+    )
+    a, b, n = F.lower(F.split("p_name", " ")[0]), F.lower(F.split("p_type", " ")[0]), F.col("p_partkey")
+    first = lambda w: F.substring(w, 1, 1)
+    op = F.when(n % 3 == 0, _c(first(a), "→", first(b))).when(n % 3 == 1, _c(first(a), " inserted")).otherwise(_c(a, "→", b))
+    ops = p.select("p_partkey", op.alias("op"), F.array(F.when(F.col("p_size") < 25, "SMALL").otherwise("BIG")).alias("groups"))
+    return rule_tables.first_rule(ops, rules).select("p_partkey", "op", "ord", "label")
