@@ -69,12 +69,58 @@ def test_readings_and_their_groups(spark, segments):
     for app, w, _, rdg in want:
         groups.setdefault((app, rdg), []).append(w)
     assert {(r.app_id, r.rdg): r.wits for r in Q.QUERIES["readings_grouped"](spark, SF).collect()} == {k: " ".join(sorted(v)) for k, v in groups.items()}
-    assert sum(r.n for r in Q.QUERIES["apparatus_types"](spark, SF).collect()) == sum(want.values())
+
+
+def plain_type(lem, rdg, before, after):
+    """The ladder, rung by rung."""
+    import re
+
+    form = lambda t: re.sub("[※⁛]", "", t.strip(" \t\n\r\f\v").lower())
+    core = lambda t: re.sub(r"\.$", "", (t or "").strip().lower())
+    a, b = form(lem), form(rdg)
+    solid = lambda t: len(t.replace(".", "").replace(" ", ""))
+    if not rdg.strip():
+        return "missing"
+    r = core(rdg)
+    joined = (core(after) and core(lem) + core(after) == r) or (core(before) and core(before) + core(lem) == r)
+    if a == b or ("." not in r and joined) or any(re.sub(p, "#", a) == re.sub(p, "#", b) for p in Q.PATTERNS):
+        return "trivial"
+    if (solid(a) and solid(b) / solid(a) < 0.6) or solid(b) > 1.5 * solid(a):
+        return "meaningful"
+    import unicodedata
+
+    from variorum.functions.text import VOWELS
+
+    bare = lambda t: "".join(c for c in unicodedata.normalize("NFD", t.translate({46: None, 32: None})) if unicodedata.category(c) != "Mn" and c not in VOWELS)
+    x, y = bare(a), bare(b)
+    if x != y and ratio(x, y) < 0.8:
+        return "meaningful"
+    return None  # left to the rules
+
+
+def test_types_of_all_readings(spark, segments):
+    """Every reading by itself, its neighbours those of the document, over the ends of lines too."""
+    want = plain_readings(*segments)
+    rows = Q.QUERIES["apparatus_types"](spark, SF).collect()
+    assert Counter((r.app_id, r.witness, r.lem, r.rdg) for r in rows) == want
+    apps = sorted({(int(ab.split("_")[0]), int(ab.split("_")[1]), a, b, ab) for ab, a, b in plain_entries(*segments)})
+    lemma = lambda x: " ".join(segments[0][x[4]][x[2] : x[3]])
+    near = {}
+    for k, x in enumerate(apps):
+        side = [lemma(apps[j]) if 0 <= j < len(apps) and apps[j][0] == x[0] else None for j in (k - 1, k + 1)]
+        near[f"app-{x[4]}-{x[2]}-{x[3]}"] = tuple(side)
+    ruled = 0
+    for r in rows:
+        assert near[r.app_id] == (r.before, r.after)
+        plain = plain_type(r.lem, r.rdg, r.before, r.after)
+        ruled += plain is None
+        assert r.type == plain if plain else r.type in ("trivial", "meaningful"), r
+    assert ruled < len(rows)
 
 
 def test_greedy_relations(spark, stanzas):
-    want = Counter(m["relation"] for c, o in stanzas.values() for m in greedy.match(c, o))
-    assert {r.relation: r.n for r in Q.QUERIES["align_greedy"](spark, SF).collect()} == dict(want)
+    want = {(x, k): (m["canon_indexes"], m["our_indexes"], m["relation"], m["matched"]) for x, (c, o) in stanzas.items() for k, m in enumerate(greedy.match(c, o))}
+    assert {(r.xml_id, r.k): (r.canon_indexes, r.our_indexes, r.relation, r.matched) for r in Q.QUERIES["align_greedy"](spark, SF).collect()} == want
 
 
 def plain_gate(canon, our):
@@ -110,8 +156,8 @@ def test_chosen_alignment(spark, stanzas):
             want[k, i] = (g, d, "both" if d == g else "dp" if d else "greedy", d or g)
     rows = collate.chosen_alignment(Q._stanzas(spark, SF)).collect()
     assert {(r.xml_id, r.our_index): (r.greedy_relation, r.dp_relation, r.final_choice, r.final_relation) for r in rows} == want
-    total = Counter(v[2] for v in want.values())
-    assert {r.final_choice: r.n for r in Q.QUERIES["chosen_alignment"](spark, SF).collect()} == dict(total)
+    rows = Q.QUERIES["chosen_alignment"](spark, SF).collect()
+    assert {(r.xml_id, r.our_index): (r.greedy_relation, r.dp_relation, r.final_choice, r.final_relation) for r in rows} == want and len(rows) == len(want)
 
 
 def test_global_groups_are_exported(spark, stanzas):
@@ -132,16 +178,16 @@ def test_trimmed_readings(spark):
     rows = [r.asDict() for r in Q.token_pairs(spark, SF).collect()]
     lemmas = {}
     for r in rows:
-        lemmas.setdefault(r["ab_id"], {})[r["pos"]] = r["lem"]
-    changed = Counter()
+        lemmas.setdefault((r["ab_id"], r["witness"]), {})[r["pos"]] = r["lem"]
+    want = Counter()
     for r in rows:
         rdg = " ".join(x for x in (r["before"], r["rdg"], r["after"]) if x is not None)
-        line = lemmas[r["ab_id"]]
-        near = lambda k: [line[r["pos"] + k]] if r["pos"] + k in line else []
-        if len(rdg.split()) > 1:
-            rdg = post.drop_neighbours(rdg, [r["lem"]], [near(-1), near(-2)], [near(1), near(2)])
-        changed[post.trim_fused(r["lem"], rdg) != rdg] += 1
-    assert {r.changed: r.n for r in Q.QUERIES["trimmed_readings"](spark, SF).collect()} == dict(changed)
+        line = lemmas[r["ab_id"], r["witness"]]
+        near = lambda k: line.get(r["pos"] + k, "").split()
+        if len(rdg.split()) > len(r["lem"].split()):
+            rdg = post.drop_neighbours(rdg, r["lem"].split(), [near(-1), near(-2)], [near(1), near(2)])
+        want[r["ab_id"], r["pos"], r["witness"], r["lem"], post.trim_fused(r["lem"], rdg)] += 1
+    assert Counter(map(tuple, Q.QUERIES["trimmed_readings"](spark, SF).collect())) == want
 
 
 def test_aligned_rows_are_whole(spark, segments):
@@ -160,5 +206,5 @@ def test_cascade(spark):
     want = Counter()
     for r in Q.token_pairs(spark, SF).where("lem <> rdg").collect():
         out = annotator.annotate(r.lem, r.rdg, [nations[r.witness]] if r.witness in nations else [])
-        want[out["label"], out["rule"]] += 1
-    assert {(r.label, r.rule): r.n for r in Q.QUERIES["cascade"](spark, SF).collect()} == dict(want)
+        want[f"app-{r.ab_id}-{r.pos}", "#" + r.witness, r.lem, r.rdg, out["label"], out["rule"]] += 1
+    assert Counter(map(tuple, Q.QUERIES["cascade"](spark, SF).collect())) == want

@@ -102,3 +102,30 @@ def test_corpus_ids_and_layout(spark):
     assert sorted(r[0] for r in df.select(tables.corpus_id(F.col("p"), F.col("n"))).collect()) == ["Y3", "Y9.10"]
     pairs = spark.createDataFrame([("g", 0, "ab", "abcd")], "g string, i int, l string, r string")
     assert sinks.side_by_side(pairs, "g", "i", "l", "r").first().text == "ab  \tabcd"
+
+
+def test_chains_of_pages(spark, tmp_path):
+    """Chains of several lengths, a branch, a ring, a page of its own, a link to nowhere."""
+    links = [(f"a{i}", f"a{i + 1}") for i in range(37)] + [("a37", None), ("b0", "b1"), ("b1", "gone"), ("c1", "c2"), ("c2", "c0"), ("c0", "c1"), ("d", "d"), ("e", None), ("x", "a30")]
+    df = spark.createDataFrame(links, "url string, next string")
+    got = {r.url: (r.first, r.place) for r in tables.chained(df).collect()}
+    want = {f"a{i}": ("a0", i) for i in range(38)} | {"b0": ("b0", 0), "b1": ("b0", 1), "d": ("d", 0), "e": ("e", 0), "x": ("x", 0)}
+    assert got == want
+    assert {r.url: r.place for r in tables.walked(df, "a5").collect()} == {f"a{i}": i - 5 for i in range(5, 38)}
+    assert {r.url: r.place for r in tables.walked(df, "x").collect()} == {"x": 0} | {f"a{i}": i - 29 for i in range(30, 38)}
+    assert {r.url: r.place for r in tables.walked(df, "c2").collect()} == {"c2": 0, "c0": 1, "c1": 2}
+    assert not tables.walked(df, "none").collect() and not tables.chained(df.limit(0)).collect()
+    pages = [{"url": "p", "next": "q", "results": [{"prefix": "Y", "number": "9.010", "text": "one"}]}, {"url": "q", "next": "p", "results": []}]
+    (tmp_path / "p.json").write_text("".join(json.dumps(x) + "\n" for x in pages))
+    assert [tuple(r) for r in tables.read_corpus(spark, str(tmp_path), "q").collect()] == [(1, "Y9.10", 0, "one")]
+
+
+def test_configuration_of_many_files(spark):
+    good = 'rules:\n- {match: "a→b", label: Trivial, groups: [X]}\n- {label: x}\ngroups: {A: [ms1, 2]}\nwitnesses: {ms1: {x: y}}\nfamilies:\n  a:\n    compare_only_regex: [x]\n'
+    files = spark.createDataFrame([("g", good.encode()), ("bad", b"rules: [\n"), ("list", b"- a"), ("none", None)], "path string, content binary")
+    assert [(r.path, r.ord, r.label, r.groups, r.otherwise) for r in config.rules_of(files).collect()] == [("g", 0, "trivial", ["X"], "")]
+    assert sorted((r.witness, r.grp) for r in config.groups_of(files).collect()) == [("2", "A"), ("ms1", "A")]
+    assert [tuple(r) for r in config.remap_of(files).collect()] == [("g", "ms1", "x", "y")]
+    assert [(r.ord, r.family, r.patterns, r.compare_only) for r in config.families_of(files).collect()] == [(0, "a", [], ["x"])]
+    words = spark.createDataFrame([("w", b"# no\nfr\xc4\x81\n\n")], "path string, content binary")
+    assert [tuple(r) for r in config.whitelists_of(words).collect()] == [("w", "frā")]

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as C
@@ -78,10 +78,28 @@ def collation(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def token_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """``ab_id, witness, n, pos, lem, rdg, before, after`` of lines with as many tokens as the lemma's."""
+    """``ab_id, witness, n, pos, lem, rdg, before, after`` of all lines that the lemma has too.
+
+    Lines of unequal length are aligned by the words that they begin and end with alike: blanks stand in
+    the shorter one before the common end, so that a word that is missing or added is paired with nothing.
+    """
     lemma, wits = collation(spark, d)
     lines = wits.withColumn("wt", C.tokens(F.col("text"))).join(lemma.select("ab_id", C.tokens(F.col("text")).alias("lt")), "ab_id")
-    lines = lines.where(F.size("lt") == F.size("wt"))
+
+    def alike(a: Column, b: Column, most: Column) -> Column:
+        """How many words both begin with, ``most`` at most."""
+        other = F.transform(F.slice(a, F.lit(1), most), lambda x, i: x != F.get(b, i))
+        return F.when(F.array_contains(other, True), F.array_position(other, True) - 1).otherwise(most).cast("int")
+
+    n, m = F.size("lt"), F.size("wt")
+    lines = lines.withColumn("p", alike(F.col("lt"), F.col("wt"), F.least(n, m)))
+    lines = lines.withColumn("s", alike(F.reverse("lt"), F.reverse("wt"), F.least(n, m) - F.col("p")))
+
+    def filled(c: str, size: Column, other: Column) -> Column:
+        blanks = F.array_repeat(F.lit(""), F.greatest(F.lit(0), other - size))
+        return F.concat(F.slice(c, F.lit(1), size - F.col("s")), blanks, F.slice(c, size - F.col("s") + 1, F.col("s")))
+
+    lines = lines.select("ab_id", "witness", filled("lt", n, m).alias("lt"), filled("wt", m, n).alias("wt"))
     pairs = lines.select("ab_id", "witness", "lt", F.posexplode("wt").alias("pos", "rdg"))
     at = lambda i: F.get(F.col("lt"), i)
     p = F.col("pos")
@@ -101,7 +119,11 @@ lines AS (SELECT lemma, doc_id, unnest(range(len(ls))) AS line, unnest(ls) AS te
 segs AS (SELECT lemma || '_' || line AS ab_id, lemma, doc_id, text, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS toks FROM lines WHERE trim(text) <> ''),
 lem AS (SELECT * FROM segs WHERE doc_id = lemma),
 wit AS (SELECT * FROM segs WHERE doc_id <> lemma),
-same AS (SELECT w.ab_id, CAST(w.doc_id AS VARCHAR) AS witness, l.toks AS lt, w.toks AS wt FROM wit w JOIN lem l USING (ab_id) WHERE len(l.toks) = len(w.toks)),
+both_ AS (SELECT w.ab_id, CAST(w.doc_id AS VARCHAR) AS witness, l.toks AS l, w.toks AS w, least(len(l.toks), len(w.toks)) AS k FROM wit w JOIN lem l USING (ab_id)),
+begun AS (SELECT *, coalesce(nullif(list_position(list_transform(range(1, k + 1), lambda i: l[i] <> w[i]), true), 0), k + 1) - 1 AS p FROM both_),
+ended AS (SELECT *, coalesce(nullif(list_position(list_transform(range(1, k - p + 1), lambda i: l[len(l) + 1 - i] <> w[len(w) + 1 - i]), true), 0), k - p + 1) - 1 AS s FROM begun),
+same AS (SELECT ab_id, witness, list_concat(list_concat(l[1:len(l) - s], list_transform(range(greatest(0, len(w) - len(l))), lambda x: '')), l[len(l) - s + 1:]) AS lt,
+  list_concat(list_concat(w[1:len(w) - s], list_transform(range(greatest(0, len(l) - len(w))), lambda x: '')), w[len(w) - s + 1:]) AS wt FROM ended),
 pairs AS (
   SELECT ab_id, witness, len(lt) AS n, p AS pos, lt[p + 1] AS lem, wt[p + 1] AS rdg, CASE WHEN p > 0 THEN lt[p] END AS before, CASE WHEN p + 1 < len(lt) THEN lt[p + 2] END AS after
   FROM (SELECT *, unnest(range(len(lt))) AS p FROM same)),
@@ -429,7 +451,7 @@ def apparatus_types(spark, d):
     line = F.split("ab_id", "_")
     rows = _readings(spark, d).withColumns({"lemma": line[0].cast("long"), "line": line[1].cast("int")})
     rows = ladder.with_neighbours(written(rows), ["lemma"], ["line", "a", "b"])
-    return ladder.type_summary(ladder.classify(rows, RULES, FAMILIES))
+    return ladder.classify(rows, RULES, FAMILIES).select("app_id", "witness", "lem", "rdg", "before", "after", "type")
 
 
 def _stanzas(spark, d) -> DataFrame:
@@ -441,8 +463,8 @@ def _stanzas(spark, d) -> DataFrame:
 
 @query("align_greedy")
 def align_greedy(spark, d):
-    m = relations.greedy_matches(_stanzas(spark, d)).select("xml_id", F.explode("matches").alias("m"))
-    return m.groupBy("m.relation").agg(F.count(F.lit(1)).alias("n"))
+    m = relations.greedy_matches(_stanzas(spark, d)).select("xml_id", F.posexplode("matches").alias("k", "m"))
+    return m.select("xml_id", "k", "m.*")
 
 
 @query("align_nw_groups")
@@ -457,7 +479,7 @@ def dp_gate(spark, d):
 
 @query("chosen_alignment")
 def chosen_alignment(spark, d):
-    return relations.validation(collate.chosen_alignment(_stanzas(spark, d)))
+    return collate.chosen_alignment(_stanzas(spark, d)).select("xml_id", "our_index", "greedy_relation", "dp_relation", "final_choice", "final_relation", "final_canon_indexes")
 
 
 _SQL_G = "CASE l_returnflag WHEN 'A' THEN 'equal' WHEN 'R' THEN 'substitution' ELSE '' END"
@@ -718,7 +740,7 @@ def cascade_query(spark, d):
     nations = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     groups = nations.select(F.col("n_nationkey").cast("string").alias("witness"), F.col("r_name").alias("grp"))
     annotator = Annotator(RULES, "", FAMILIES, [], frozenset(["the"]), {}, frozenset(), True)
-    return collate.annotated_readings(rows, groups, annotator).groupBy("label", "rule").agg(F.count(F.lit(1)).alias("n"))
+    return collate.annotated_readings(rows, groups, annotator).select("app_id", "wit", "lem", "rdg", "label", "rule")
 
 
 @query("snippet_resolution", r"""
@@ -780,8 +802,8 @@ def split_entries(spark, d):
 @query("trimmed_readings")
 def trimmed_readings(spark, d):
     rows = token_pairs(spark, d).select("ab_id", "pos", "witness", "lem", F.concat_ws(" ", "before", "rdg", "after").alias("rdg"))
-    out = post.trim_spillover(rows, ["ab_id"], ["pos"])
-    return post.trim_fused(out.drop("changed")).groupBy("changed").agg(F.count(F.lit(1)).alias("n"))
+    out = post.trim_spillover(rows, ["ab_id", "witness"], ["pos"])
+    return post.trim_fused(out.drop("changed")).select("ab_id", "pos", "witness", "lem", "rdg")
 
 
 @query("curation_stream", """

@@ -185,7 +185,7 @@ def snippet_readings(spark, d):
 # -- gate, maps, trims, texts --------------------------------------------------------------------------
 
 
-@query("gate_diagnostics", recursive(f"""WITH m AS (SELECT l_orderkey, l_linenumber, lower(l_shipdate::VARCHAR) AS x, 'w' || (l_partkey % 97) AS a, 'w' || (l_suppkey % 89) AS b, CASE l_linenumber % 3 WHEN 0 THEN 'substitution' WHEN 1 THEN 'equal' ELSE 'insert' END AS rel FROM lineitem WHERE l_orderkey % 2 = 0),
+@query("gate_diagnostics", recursive(f"""WITH m AS (SELECT l_orderkey, l_linenumber, lower(l_shipdate::VARCHAR) AS x, 'w' || (l_partkey % 97) AS a, 'w' || (l_suppkey % 89) AS b, CASE l_linenumber % 3 WHEN 0 THEN 'substitution' WHEN 1 THEN 'equal' ELSE 'insert' END AS rel FROM lineitem),
   sp AS (SELECT DISTINCT a, b FROM m WHERE rel = 'substitution'), {sql_ratio('sp')},
   g AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (rel = 'substitution') AS subs, count(*) FILTER (rel = 'substitution' AND s < 0.75) AS low, count(*) FILTER (rel = 'insert') AS un,
     count(*) FILTER (length(m.b) <= 3) AS short FROM m LEFT JOIN ratio r ON r.a = m.a AND r.b = m.b AND rel = 'substitution' GROUP BY l_orderkey)
@@ -198,7 +198,7 @@ def gate_diagnostics(spark, d):
         F.array(n).alias("canon_indexes"), F.array(n).alias("our_indexes"), _c("w", F.col("l_partkey") % 97).alias("canon_word"), _c("w", F.col("l_suppkey") % 89).alias("our_word"),
         F.when(n % 3 == 0, "substitution").when(n % 3 == 1, "equal").otherwise("insert").alias("relation"), F.lit(True).alias("matched"),
     )
-    rows = table(spark, d, "lineitem").where("l_orderkey % 2 = 0").groupBy(F.col("l_orderkey").cast("string").alias("xml_id")).agg(F.collect_list(one).alias("matches"))
+    rows = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("xml_id")).agg(F.collect_list(one).alias("matches"))
     words = F.transform("matches", lambda m: m["our_word"])
     out = relations.gate(rows.withColumns({"canon": words, "our": words}))
     return out.withColumn("triggers", F.array_join("triggers", ","))
@@ -229,22 +229,49 @@ def side_by_side(spark, d):
     return sinks.side_by_side(rows, "conv_id", "turn", "role", "other")
 
 
-@query("config_files", "SELECT n_nationkey || '' AS witness, r_name AS grp, 'A' || n_nationkey AS ab_id, 'B' || n_name AS lookup_id FROM nation JOIN region ON n_regionkey = r_regionkey")
+_SQL_NATIONS = "FROM nation JOIN region ON n_regionkey = r_regionkey"
+
+
+def _config(spark, d) -> DataFrame:
+    """A configuration file for each region: groups, remapped ids, rules, families and a list of words."""
+    k, n = F.col("n_nationkey"), F.col("n_name")
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    lines = {
+        "groups": _c('"', k, '"'), "witnesses": _c('  "', k, '": {"A', k, '": "B', n, '"}\n'),
+        "rules": _c("- {match", F.when(k % 2 == 0, "").otherwise("_regex"), ': "', n, '→x", label: ', F.when(k % 3 == 0, " Meaningful ").otherwise('""'), ", direction: Forward, groups: [", F.col("r_name"), "]}\n"),
+        "families": _c('  f', k, ':\n    patterns: ["', n, '"]\n    nested: {compare_only: [q]}\n'),
+    }
+    rows = rows.select("r_name", "n_nationkey", *[x.alias(c) for c, x in lines.items()])
+    whole = rows.groupBy("r_name").agg(F.array_sort(F.collect_list(F.struct("n_nationkey", *lines))).alias("r"))
+    all_of = lambda c, between="": F.array_join(F.transform("r", lambda x: x[c]), between)
+    text = _c("groups:\n  ", F.col("r_name"), ": [", all_of("groups", ", "), "]\nwitnesses:\n", all_of("witnesses"), "rules:\n", all_of("rules"), "families:\n", all_of("families"), "default_nontrivial_label: ", F.col("r_name"), "\n")
+    return whole.select(_c("conf/", F.col("r_name"), ".yaml").alias("path"), F.encode(text, "UTF-8").alias("content"))
+
+
+@query("config_files", f"SELECT n_nationkey || '' AS witness, r_name AS grp, 'A' || n_nationkey AS ab_id, 'B' || n_name AS lookup_id {_SQL_NATIONS}")
 def config_files(spark, d):
-    import os
-    import tempfile
-
-    # configuration is read by the driver, from files at its side
-    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name").collect()
-    by: dict[str, list[str]] = {}
-    for r in rows:
-        by.setdefault(r.r_name, []).append(f'"{r.n_nationkey}"')
-    text = "groups:\n" + "".join(f"  {g}: [{', '.join(ws)}]\n" for g, ws in by.items()) + "witnesses:\n" + "".join(f'  "{r.n_nationkey}": {{"A{r.n_nationkey}": "B{r.n_name}"}}\n' for r in rows)
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "config.yaml")
-        with open(path, "w", encoding="utf-8") as f:
-            f.write(text)
-        return config.witness_groups(spark, path).join(config.id_remap(spark, path), "witness")
+    files = _config(spark, d)
+    return config.groups_of(files).join(config.remap_of(files), ["path", "witness"]).drop("path")
+
+
+@query("config_rules", f"""SELECT 'conf/' || r_name || '.yaml' AS path, CAST(row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 AS INT) AS ord, CASE WHEN n_nationkey % 2 = 0 THEN 'match' ELSE 'match_regex' END AS kind, n_name || '→x' AS pattern,
+  CASE WHEN n_nationkey % 3 = 0 THEN 'meaningful' ELSE 'trivial' END AS label, 'forward' AS direction, r_name AS groups, r_name AS otherwise {_SQL_NATIONS}""")
+def config_rules(spark, d):
+    return config.rules_of(_config(spark, d)).select("path", "ord", "kind", "pattern", "label", "direction", F.array_join("groups", ",").alias("groups"), "otherwise")
+
+
+@query("config_families", f"""WITH f AS (SELECT 'conf/' || r_name || '.yaml' AS path, n_nationkey, n_name, row_number() OVER (PARTITION BY r_name ORDER BY n_nationkey) - 1 AS k {_SQL_NATIONS})
+SELECT path, CAST(2 * k AS INT) AS ord, 'f' || n_nationkey AS family, n_name AS patterns, '' AS compare_only FROM f UNION ALL SELECT path, CAST(2 * k + 1 AS INT), 'nested', '', 'q' FROM f""")
+def config_families(spark, d):
+    out = config.families_of(_config(spark, d), strict=False)
+    return out.select("path", "ord", "family", F.array_join("patterns", ",").alias("patterns"), F.array_join("compare_only", ",").alias("compare_only"))
+
+
+@query("config_words", "SELECT 'conf/' || r_name AS path, n_name AS token FROM nation JOIN region ON n_regionkey = r_regionkey")
+def config_words(spark, d):
+    rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    text = rows.groupBy("r_name").agg(F.collect_list(_c(" ", F.col("n_name"), "\n# ", F.col("n_nationkey"), "\n\n")).alias("x"))
+    return config.whitelists_of(text.select(_c("conf/", F.col("r_name")).alias("path"), F.encode(F.array_join("x", ""), "UTF-8").alias("content")))
 
 
 @query("files_once", "SELECT DISTINCT conv_id FROM conversations")

@@ -6,16 +6,14 @@ same table functions as files do; CSV and JSON files are written to the shared f
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as C
 from .functions import udfs as U
 from .operators import curate, post, segments
 from .queries import differing_pairs, query, table, with_
-from .session import shared_folder
+from .session import scratch_path
 from .sources import sinks, tables, xml
 
 # -- similarity in SQL ---------------------------------------------------------------------------------
@@ -79,7 +77,7 @@ def fuzzy_catalogue(spark, d):
 _KEY = "lower(translate({0}, '.,;:·⸳ ', ''))"
 
 
-@query("window_trims", recursive(f"""WITH w AS (SELECT DISTINCT p_type AS lem, p_name || ' ' || p_type || ' ' || p_brand AS rdg FROM part WHERE p_size % 3 = 0),
+@query("window_trims", recursive(f"""WITH w AS (SELECT DISTINCT p_type AS lem, p_name || ' ' || p_type || ' ' || p_brand AS rdg FROM part),
   t AS (SELECT lem, rdg, string_split(lem, ' ') AS l, string_split(rdg, ' ') AS r FROM w),
   p AS (SELECT lem, rdg, l, r, unnest(range(len(r) - len(l) + 1)) AS pl FROM t WHERE len(l) > 1 AND len(r) > len(l)),
   q AS (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM p), z AS (SELECT lem, rdg, pl, i, l[i] AS x, r[pl + i] AS y, {_KEY.format('l[i]')} AS kx, {_KEY.format('r[pl + i]')} AS ky FROM q),
@@ -88,7 +86,7 @@ _KEY = "lower(translate({0}, '.,;:·⸳ ', ''))"
   best AS (SELECT lem, rdg, pl FROM (SELECT *, row_number() OVER (PARTITION BY lem, rdg ORDER BY f DESC, pl) AS n FROM fit) WHERE n = 1)
 SELECT t.lem, array_to_string(CASE WHEN pl IS NULL THEN r ELSE r[pl + 1:pl + len(l)] END, ' ') AS rdg, pl IS NOT NULL AS changed FROM t LEFT JOIN best b ON b.lem = t.lem AND b.rdg = t.rdg"""))
 def window_trims(spark, d):
-    p = table(spark, d, "part").where("p_size % 3 = 0")
+    p = table(spark, d, "part")
     return post.trim_windows(p.select(F.col("p_type").alias("lem"), F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("rdg")).distinct())
 
 
@@ -144,8 +142,6 @@ def small_forms(spark, d):
 
 def _turns(spark, d) -> DataFrame:
     """``conv_id, turn, role`` with the place of a turn in its conversation."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("conv_id").orderBy("turn")
     return table(spark, d, "conversations").select("conv_id", "turn", "role", (F.row_number().over(w) - 1).alias("at"))
 
@@ -241,11 +237,11 @@ def replaced_segments(spark, d):
 
 
 @query("ocr_round_trip", """
-WITH l AS (SELECT conv_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS line FROM conversations WHERE turn = 0),
-  w AS (SELECT conv_id, line, list_filter(regexp_split_to_array(replace(text, '.', ' '), '\\s+'), lambda x: x <> '') AS ws FROM l)
-SELECT CAST(conv_id AS VARCHAR) AS path, CAST(line AS INT) AS line, CAST(unnest(range(len(ws))) AS INT) AS index, unnest(ws) AS word FROM w""")
+WITH l AS (SELECT conv_id || '/' || turn AS path, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10))))) AS line FROM conversations),
+  w AS (SELECT path, line, list_filter(regexp_split_to_array(replace(text, '.', ' '), '\\s+'), lambda x: x <> '') AS ws FROM l)
+SELECT path, CAST(line AS INT) AS line, CAST(unnest(range(len(ws))) AS INT) AS index, unnest(ws) AS word FROM w""")
 def ocr_round_trip(spark, d):
-    texts = table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").cast("string").alias("path"), F.col("text").alias("value"))
+    texts = table(spark, d, "conversations").select(_c(F.col("conv_id"), "/", F.col("turn")).alias("path"), F.col("text").alias("value"))
     return xml.ocr_words(sinks.ocr_text(xml.ocr_words(texts)))
 
 
@@ -278,17 +274,16 @@ def annotated_tei(spark, d):
     return xml.apparatus_of(sinks.annotated_files(once, marks)).select("path", "app_id", "wit", "ana", "cert", "n")
 
 
-@query("multi_view_files", f"""WITH {_SQL_AT} SELECT 'all.xml' AS path, 'v' || conv_id AS div_id, 'v' || conv_id || '__app-' || turn AS app_id, 'lem <' || role AS lem, row_number() OVER (ORDER BY 'v' || conv_id, pl) - 1 AS ord FROM t""")
+@query("multi_view_files", f"""WITH {_SQL_AT} SELECT 'v' || conv_id AS div_id, 'v' || conv_id || '__app-' || turn AS app_id, 'lem <' || role AS lem, pl AS ord FROM t""")
 def multi_view_files(spark, d):
     t = _turns(spark, d)
     rows = t.select(F.col("conv_id").alias("doc"), F.col("at").alias("ord"), _c("app-", F.col("turn")).alias("app_id"), _c("lem <", F.col("role")).alias("lem"), F.lit("#ms1").alias("wit"), F.lit("x").alias("rdg"))
     divs = sinks.multi_view_xml(sinks.app_xml(rows).withColumn("stem", _c("v", F.col("doc"))))
-    whole = divs.agg(F.array_sort(F.collect_list(F.struct("stem", "xml"))).alias("d")).select(F.lit("all.xml").alias("path"), F.encode(_c("<TEI>", F.array_join(F.transform("d", lambda x: x["xml"]), ""), "</TEI>"), "UTF-8").alias("content"))
-    return xml.apparatus_of(whole).select("path", "div_id", "app_id", "lem", F.col("ord").cast("long").alias("ord"))
+    out = xml.apparatus_of(sinks.view_files(divs, 20))
+    return out.select("div_id", "app_id", "lem", (F.col("ord") - F.min("ord").over(Window.partitionBy("path", "div_id"))).cast("long").alias("ord"))
 
 
-def _scratch(spark, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+_scratch = scratch_path
 
 
 @query("csv_scores", """
@@ -316,23 +311,23 @@ def json_matches(spark, d):
         F.when(n % 2 == 0, n).alias("canon_index"), F.when(n % 2 == 1, F.array(n, n + 1)).alias("canon_indexes"), F.when(n % 3 != 0, F.col("l_suppkey").cast("int")).alias("our_index"),
         F.col("l_orderkey").cast("string").alias("canon_word"), F.col("l_returnflag").alias("relation"), (n % 3 != 0).alias("matched"),
     )
-    lines = table(spark, d, "lineitem").groupBy(F.pmod("l_orderkey", F.lit(64)).alias("f")).agg(F.to_json(F.collect_list(one)).alias("value"))
-    lines.repartition(64, "f").write.partitionBy("f").text(root)
+    items = table(spark, d, "lineitem")
+    # an array of some thousand records a line, however many rows there are
+    lines = items.groupBy(F.pmod(F.xxhash64("l_orderkey"), F.lit(-(-items.count() // 2000) or 1))).agg(F.to_json(F.collect_list(one)).alias("value"))
+    lines.select("value").write.text(root)
     join = lambda c: F.array_join(F.col(c).cast("array<string>"), "|").alias(c)
-    return tables.read_matches(spark, root).select(F.col("canon_word").cast("long").alias("l_orderkey"), join("canon_indexes"), join("our_indexes"), "relation", "matched")
+    return tables.read_matches(spark, root, lines=True).select(F.col("canon_word").cast("long").alias("l_orderkey"), join("canon_indexes"), join("our_indexes"), "relation", "matched")
 
 
 @query("saved_corpus_pages", """
-WITH p AS (SELECT conv_id, turn, role, text, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations WHERE conv_id = (SELECT min(conv_id) FROM conversations))
-SELECT CAST(turn AS INT) AS page, 'Y' || (turn + 1) || CASE WHEN turn % 2 = 0 THEN '.7' ELSE '' END AS ab_id, 0 AS ord, role AS text FROM p""")
+SELECT 'p/' || conv_id || '/0' AS first, CAST(turn AS INT) AS page, 'Y' || (turn + 1) || CASE WHEN turn % 2 = 0 THEN '.7' ELSE '' END AS ab_id, 0 AS ord, role AS text FROM conversations""")
 def saved_corpus_pages(spark, d):
     root, c = _scratch(spark, "pages"), table(spark, d, "conversations")
     number = _c("00", F.col("turn") + 1, F.when(F.col("turn") % 2 == 0, ".07").otherwise(""))
     one = F.array(F.struct(F.lit("Y").alias("prefix"), number.alias("number"), F.col("role").alias("text")))
     url = lambda t: _c("p/", F.col("conv_id"), "/", t)
     c.select(url(F.col("turn")).alias("url"), url(F.col("turn") + 1).alias("next"), one.alias("results")).write.json(root)
-    first = c.agg(F.min("conv_id")).first()[0]
-    return tables.read_corpus(spark, root, f"p/{first}/0")
+    return tables.read_chains(spark, root)
 
 
 @query("stored_reports", """

@@ -175,6 +175,14 @@ def multi_view_xml(apps: DataFrame) -> DataFrame:
     return rows.select("stem", F.concat(F.lit('<div xml:id="'), escaped(F.col("stem")), F.lit('">'), body, F.lit("</div>")).alias("xml"))
 
 
+def view_files(divs: DataFrame, most: int) -> DataFrame:
+    """``path, content``: the ``div`` of :func:`multi_view_xml` in whole files of about ``most`` each, so that no file grows with their number."""
+    n = -(-divs.count() // most) or 1
+    rows = divs.groupBy(F.pmod(F.xxhash64("stem"), F.lit(n)).alias("f")).agg(F.array_sort(F.collect_list(F.struct("stem", "xml"))).alias("d"))
+    body = F.concat(F.lit("<TEI>"), F.array_join(F.transform("d", lambda x: x["xml"]), ""), F.lit("</TEI>"))
+    return rows.select(F.concat(F.lit("view-"), "f", F.lit(".xml")).alias("path"), F.encode(body, "UTF-8").alias("content"))
+
+
 def multi_view(apps: DataFrame, stem: str = "stem") -> DataFrame:
     """Apparatus rows of several files as one: every id prefixed by its file's stem."""
     return apps.withColumn("app_id", F.concat(F.col(stem), F.lit("__"), F.col("app_id")))
