@@ -1,7 +1,8 @@
 """Curation as a stream: every new snapshot of the curator's workbook re-runs overrides and summary.
 
-One micro-batch may bring several snapshots of a file; only the newest edit of each
-reading counts (the debounce), and running a batch again writes the same rows.
+One micro-batch may bring several snapshots of a file; only the newest edit of each reading
+counts, and running a batch again writes the same rows. :mod:`.debounce` waits for a pause
+in the edits and sends out only what they change.
 """
 
 from __future__ import annotations
@@ -48,7 +49,7 @@ def _read(spark: SparkSession, state_path: str, held: dict[int, int], schema) ->
 
 def follow(
     edits: DataFrame, state_path: str, checkpoint: str, keys: list[str], when: str, columns: list[str],
-    react: Callable[[DataFrame, int], None] | None = None, interval: str | None = "1 second", parts: int = 64,
+    react: Callable[[DataFrame, int], None] | None = None, interval: str | None = "1 second", parts: int = 16,
 ):
     """Start a query that keeps the newest edit of each key under ``state_path`` and calls ``react`` with all of them after each batch.
 
