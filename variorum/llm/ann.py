@@ -289,5 +289,8 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int, row_id: str = "vec_id",
 
 
 def search_embeddings(table: DataFrame) -> DataFrame:
-    """The 20 nearest rows of every row whose vec_id is divisible by 20."""
+    """The 20 nearest rows of every row whose vec_id is divisible by 20.
+
+    Vectors that are null, zero or not finite, and null ids, ask for nothing and are not found; an empty table gives no rows; further columns go.
+    """
     return nearest(table, table.where(F.col("vec_id") % 20 == 0), 20)

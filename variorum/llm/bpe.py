@@ -329,7 +329,10 @@ def _digests(rows: pa.Table, ids: list[np.ndarray], name: str) -> pa.Table:
 
 
 def tokenize_documents(docs: DataFrame, name: str = RANKS) -> DataFrame:
-    """Digest for ``documents``: doc_id, n_tokens, ids_sha256, decoded_sha256."""
+    """Digest for ``documents``: doc_id, n_tokens, ids_sha256, decoded_sha256.
+
+    Null and empty texts have no ids and the hashes of nothing; repeated rows and null ids stay; an empty table gives no rows.
+    """
     return _joined(docs.select("doc_id", "text"), "text", name, _digests, "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

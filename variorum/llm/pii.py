@@ -155,7 +155,10 @@ def redact(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def pii_documents(docs: DataFrame) -> DataFrame:
-    """Digest for ``documents``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, best_score."""
+    """Digest for ``documents``: doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, best_score.
+
+    Null and empty texts have no spans; null ids and repeated rows stay; further columns go; an empty table gives no rows.
+    """
     found = find_pii(docs.select("doc_id", "text"))
     joined = "array_join(transform({}, s -> concat(s.kind, ':', s.start, ':', s.end)), ',')"
     base = f"filter(pii, s -> s.kind in {BASE})"

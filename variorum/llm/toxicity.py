@@ -325,7 +325,11 @@ def score(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted of all ``documents``; labels are learned from rows not held out only."""
+    """doc_id, held_out, score, predicted of all ``documents``; labels are learned from rows not held out only.
+
+    Null and empty texts are scored as any other; null ids are not held out; repeated rows stay
+    repeated; without a usable label all scores are equal; an empty table gives no rows.
+    """
     out = held_out(F.col("doc_id"), 2, 4)
     rows = docs.select("doc_id", "text")
     return score(rows, fit(rows, labels.where(~out))).select("doc_id", out.alias("held_out"), "score", "predicted")

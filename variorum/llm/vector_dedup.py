@@ -239,7 +239,10 @@ def chunk_pairs(reach: DataFrame, pivots: dict[int, np.ndarray], total: int, thr
 
 
 def dedup_embeddings(table: DataFrame) -> DataFrame:
-    """Digest for ``embeddings``: vec_id, n_links, component_id, kept."""
+    """Digest for ``embeddings``: vec_id, n_links, component_id, kept.
+
+    Vectors that are null, zero or not finite stay, without links; an empty table gives no rows; further columns go.
+    """
     out = near_vectors(table)
     return out.withColumnRenamed("id", "vec_id")
 
