@@ -115,7 +115,7 @@ _SKELETON = (
 )
 #: fixed values: consonant classes of the matching skeleton, merged in this order
 MERGED = (
-    ("ŋ", ("ŋ́", "ŋᵛ")), ("s", ("š", "š́", "ṣ")), ("mh", ("m̨",)), ("x", ("θ", "x́")), ("y", ("ẏ",)), ("n", ("ń",)), ("x́", ("xᵛ",)), ("t", ("δ", "t", "t̰")), ("y", ("ẏ",)),
+    ("ŋ", ("ŋ́", "ŋᵛ")), ("s", ("š", "š́", "ṣ")), ("mh", ("m̨",)), ("x", ("θ", "x́")), ("y", ("ẏ",)), ("n", ("ń",)), ("x́", ("xᵛ",)), ("t", ("δ", "t", "t̰")),
 )
 
 

@@ -16,7 +16,7 @@ from .functions import text as C
 from .kernels.annotate import Annotator
 from .operators import apparatus, cascade, curate, ladder, post, relations, reports, segments
 from .plans import collate
-from .session import shared_folder, small, written
+from .session import scratch_path, small, written
 from .sources import sinks, tables
 from .streaming import curation
 
@@ -810,11 +810,9 @@ def trimmed_readings(spark, d):
 SELECT user_id, event_type, arg_max(value, event_id) AS value, max(event_id) AS event_id FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS n FROM events) WHERE n = 1 GROUP BY user_id, event_type""")
 def curation_stream(spark, d):
-    import uuid
-
     schema = table(spark, d, "events").schema
     edits = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")
-    root = f"{shared_folder(spark)}/curation-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "curation")
     run = curation.follow(edits, f"{root}/state", f"{root}/log", ["user_id", "event_type"], "ts", ["event_id", "value"], interval=None)
     run.awaitTermination()
     schema = "user_id long, event_type string, ts timestamp_ntz, event_id long, value double"

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from .queries import _rule, differing_pairs, query, table, with_
 from .queries_align import _KEY as _KEYS
 from .queries_align import _SQL_NW, _SQL_TEXT, _TAIL, _made_stanzas, made
 from .queries_more import _c, _turns, recursive, sql_ratio
-from .session import shared_folder
+from .session import scratch_path
 from .sources import config, sinks, xml
 
 # -- differences of words ------------------------------------------------------------------------------
@@ -276,7 +274,7 @@ def config_words(spark, d):
 
 @query("files_once", "SELECT DISTINCT conv_id FROM conversations")
 def files_once(spark, d):
-    root = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    root = scratch_path(spark, "files")
     _turns(spark, d).select("conv_id", _c("<ab>", F.col("turn"), "</ab>").alias("value")).repartition("conv_id").write.partitionBy("conv_id").text(root)
     found = xml._files(spark, [root, f"{root}/*"], "*.txt")
     return found.select(F.regexp_extract("path", r"conv_id=(\d+)", 1).cast("long").alias("conv_id"))
