@@ -48,3 +48,15 @@ def test_pieces_join_to_the_text():
     for _ in range(2000):
         s = "".join(rng.choice(alphabet) for _ in range(30))
         assert pretoken.pieces(s) == [s[a:b] for _, (a, b) in t.pre_tokenizer.pre_tokenize_str(s)]
+
+
+def test_bucket_hash_is_sparks(spark):
+    """Blocks are named so that a task's blocks fall in one bucket: that needs Spark's own hash."""
+    from pyspark.sql import functions as F
+
+    values = [0, 1, -1, 7, 2**40, 2**40 + 8, -(2**63), 2**63 - 1, *range(1000, 1300)]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "x long").repartition(1).select("x", F.hash("x").alias("h")).orderBy("x").select("h").collect()]
+    assert got == bpe.spark_hash(np.array(sorted(values), np.int64)).tolist()
+    names = [n for _, n in zip(range(50), bpe.block_names(5, 8), strict=False)]
+    where = {r[0] for r in spark.createDataFrame([(n,) for n in names], "x long").select(F.pmod(F.hash("x"), F.lit(8))).collect()}
+    assert len(names) == len(set(names)) == 50 and where == {5}
