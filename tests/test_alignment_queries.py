@@ -190,6 +190,17 @@ def test_trimmed_readings(spark):
     assert Counter(map(tuple, Q.QUERIES["trimmed_readings"](spark, SF).collect())) == want
 
 
+def test_words_of_trimmed_readings_are_not_shuffled(spark):
+    """Lines go to tasks whole: a window or join over their words wrote twenty times the input."""
+    plan = Q.QUERIES["trimmed_readings"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("posexplode") == 3, plan  # lines of both sides, and the words at the end
+
+
+def test_lines_that_differ_are_those_with_differing_words(spark):
+    some = Q.token_pairs(spark, SF, False).where("lem <> rdg")
+    assert Counter(map(tuple, some.collect())) == Counter(map(tuple, Q.token_pairs(spark, SF).where("lem <> rdg").collect()))
+
+
 def test_aligned_rows_are_whole(spark, segments):
     lem, wit = segments
     rows = apparatus.aligned(*Q.collation(spark, SF)).collect()

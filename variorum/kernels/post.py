@@ -3,23 +3,28 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
 from .gestalt import ratio
 from .text import PUNCT, nfc, no_punct, squeeze, token_key
 
 
+@lru_cache(maxsize=200_000)
+def _like(a: str, b: str, least: float) -> bool:
+    return ratio(token_key(a), token_key(b)) >= least
+
+
 def drop_neighbours(reading: str, lemma: list[str], before: list[list[str]], after: list[list[str]], least: float = 0.50) -> str:
     """Leading tokens like the first of a lemma before, and trailing ones like the last of one after, go while too many are left.
 
     ``before`` and ``after`` hold the nearest lemmas first.
     """
     tokens = reading.split()
-    like = lambda a, b: ratio(token_key(a), token_key(b)) >= least
     for lem in before:
-        while lem and len(tokens) > len(lemma) and like(tokens[0], lem[0]):
+        while lem and len(tokens) > len(lemma) and _like(tokens[0], lem[0], least):
             tokens = tokens[1:]
     for lem in after:
-        while lem and len(tokens) > len(lemma) and like(tokens[-1], lem[-1]):
+        while lem and len(tokens) > len(lemma) and _like(tokens[-1], lem[-1], least):
             tokens = tokens[:-1]
     return " ".join(tokens) if tokens and lemma else reading
 
@@ -51,6 +56,21 @@ def trim_fused(lemma: str, reading: str, least: float = 0.80, too_long: float =
     return cut if good and key and key != have else reading
 
 
+_trim_fused = lru_cache(maxsize=50_000)(trim_fused)
+
+
+def trimmed_line(lemmas: list[str], readings: list[str]) -> list[str]:
+    """The readings of a line's lemmas: what they hold of the two lemmas before and behind goes, then what a fused reading holds beyond its lemma."""
+    words = [(x or "").split() for x in lemmas]
+    out = []
+    for k, (lemma, reading) in enumerate(zip(lemmas, readings, strict=True)):
+        lemma, reading = lemma or "", reading or ""
+        if len(reading.split()) > len(words[k]):
+            before = [words[i] if i >= 0 else [] for i in (k - 1, k - 2)]
+            reading = drop_neighbours(reading, words[k], before, [words[i] if i < len(words) else [] for i in (k + 1, k + 2)])
+        out.append(_trim_fused(lemma, reading))
+    return out
+
 
 def best_window(lemma: str, reading: str) -> str:
     """For a lemma of several tokens, the window of as many reading tokens that fits best token by token."""

@@ -63,6 +63,15 @@ def trim_spillover(rows: DataFrame, doc: list[str], order: list[str]) -> DataFra
     return out.withColumns({"rdg": new, "changed": new != F.col("_old")}).select(*rows.columns, "changed")
 
 
+def trimmed_lines(lines: DataFrame, lemmas: str, readings: str) -> DataFrame:
+    """``lines`` with the list ``readings`` trimmed, one reading for each of the list ``lemmas``.
+
+    Does to lines that are whole in a cell what :func:`trim_spillover` and then :func:`trim_fused` do to rows of their words,
+    without a shuffle; a task remembers the pairs of words that it has compared.
+    """
+    return lines.withColumn(readings, U.trimmed_line(lemmas, readings))
+
+
 def point_fixes(rows: DataFrame, fixes: DataFrame) -> DataFrame:
     """``app_id, witness, guard_text, new_text``: readings that still hold the guarded text get the new one."""
     f = fixes.select("app_id", "witness", F.col("guard_text").alias("_g"), F.col("new_text").alias("_n"))
