@@ -219,3 +219,11 @@ def test_cascade(spark):
         out = annotator.annotate(r.lem, r.rdg, [nations[r.witness]] if r.witness in nations else [])
         want[f"app-{r.ab_id}-{r.pos}", "#" + r.witness, r.lem, r.rdg, out["label"], out["rule"]] += 1
     assert Counter(map(tuple, Q.QUERIES["cascade"](spark, SF).collect())) == want
+
+
+def test_stanzas_are_moved_once(spark):
+    """Lists of words went with every word through joins, which made disk grow with the square of a stanza."""
+    before = Q._stanzas(spark, SF)._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    for name in ("dp_gate", "chosen_alignment", "align_nw_groups", "align_greedy"):
+        plan = Q.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Join") == before and plan.count("ArrowEvalPython") <= 3 and "Union" not in plan, name

@@ -2,11 +2,53 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from . import align, greedy
+from .gestalt import ratio
+
+
+@lru_cache(maxsize=4)  # equal pairs come one after the other
+def _needleman(canon: tuple, our: tuple) -> tuple[list, float]:
+    return align.needleman(list(canon), list(our))
+
+
+@lru_cache(maxsize=4)
+def _greedy(canon: tuple, our: tuple) -> list[dict]:
+    return greedy.match(list(canon), list(our))
+
+
+def greedy_records(canon, our) -> list[dict]:
+    return _greedy(tuple(canon), tuple(our))
+
+
+def count_below(a, b, low: float) -> int:
+    """How many pairs are less similar than ``low``."""
+    return sum(ratio(x or "", y or "") < low for x, y in zip(a, b, strict=True))
+
+
+def group_positions(groups, n: int) -> list[list[int]]:
+    """Canon indices of each of ``n`` manuscript words, from (canon, our) index groups."""
+    out: list[set[int]] = [set() for _ in range(n)]
+    for g in groups:
+        for o in g["o"]:
+            if 0 <= o < n:
+                out[o].update(g["c"])
+    return [sorted(x) for x in out]
+
+
+def single_positions(records, n: int) -> list[list[int]]:
+    """The same from greedy records of single manuscript words."""
+    return group_positions([{"c": r["canon_indexes"], "o": r["our_indexes"]} for r in records if len(r["canon_indexes"]) and len(r["our_indexes"]) == 1], n)
+
+
+def dp_positions(canon, our, threshold: float) -> list[list[int]]:
+    """The same from the global alignment, groups of several on both sides paired by similarity."""
+    return align.pair_groups(_needleman(tuple(canon), tuple(our))[0], list(canon), list(our), threshold)
 
 
 def needleman_result(canon, our) -> dict:
-    groups, score = align.needleman(canon, our)
+    groups, score = _needleman(tuple(canon), tuple(our))
     return {"groups": [{"c": c, "o": o} for c, o in groups], "score": score}
 
 

@@ -10,15 +10,18 @@ from ..functions import udfs as U
 from ..session import spread
 
 
+def _together(stanzas: DataFrame) -> DataFrame:
+    """Equal (canon, our) pairs one after the other in one task, which remembers what it has aligned: the lists are moved once, without a join."""
+    return spread(stanzas, "canon", "our").sortWithinPartitions(F.xxhash64("canon", "our"))
+
+
 def greedy_matches(stanzas: DataFrame) -> DataFrame:
     """Adds ``matches`` to ``xml_id, canon, our``; equal stanza pairs are aligned once."""
-    pairs = spread(stanzas.select("canon", "our").distinct(), "canon", "our").withColumn("matches", U.align_greedy("canon", "our"))
-    return stanzas.join(pairs, ["canon", "our"])
+    return _together(stanzas).withColumn("matches", U.align_greedy("canon", "our"))
 
 
 def dp_groups(stanzas: DataFrame) -> DataFrame:
-    pairs = spread(stanzas.select("canon", "our").distinct(), "canon", "our").withColumn("nw", U.align_nw("canon", "our"))
-    return stanzas.join(pairs, ["canon", "our"]).select(*stanzas.columns, F.col("nw.groups").alias("groups"), F.col("nw.score").alias("score"))
+    return _together(stanzas).withColumn("nw", U.align_nw("canon", "our")).select(*stanzas.columns, F.col("nw.groups").alias("groups"), F.col("nw.score").alias("score"))
 
 
 def gate(matched: DataFrame, low: float = 0.75, subs: int = 6, errors: float = 0.20, short: int = 6, short_length: int = 3) -> DataFrame:
@@ -27,18 +30,30 @@ def gate(matched: DataFrame, low: float = 0.75, subs: int = 6, errors: float = 0
     Unmatched are manuscript words without a canon word; short tokens are manuscript
     words of at most ``short_length`` characters without full stops, matched or not.
     """
-    one = matched.select("xml_id", "canon", "our", F.explode_outer("matches").alias("m")).where("m.relation is null or m.relation not like '%merged%'")
-    bare = lambda c: F.replace(C.stanza_token(F.col(c)), F.lit("."), F.lit(""))
-    pair = one.withColumns({"a": bare("m.canon_word"), "b": bare("m.our_word")})
-    ratios = spread(pair.where("m.relation = 'substitution'").select("a", "b").distinct(), "a", "b").withColumn("s", U.gestalt_ratio("a", "b"))
-    rows = pair.join(ratios, ["a", "b"], "left")
-    swapped = F.col("m.relation") == "substitution"
-    ours = (F.col("m.our_word") != "") & (F.length("b") <= short_length)
-    d = rows.groupBy("xml_id").agg(
-        F.first(F.size("canon")).alias("canon_count"), F.first(F.size("our")).alias("our_count"), F.count_if(swapped).alias("subs_total"),
-        F.count_if(swapped & (F.col("s") < low)).alias("subs_low"), F.count_if(F.col("m.relation") == "insert").alias("unmatched"),
-        F.count_if(ours).alias("short_tokens"),
-    )
+    counts = ("subs_total", "subs_low", "unmatched", "short_tokens")
+    rows = diagnosed(matched, low, short_length).select("xml_id", "canon_count", "our_count", *counts)
+    # a stanza's own sums: nothing but numbers is moved
+    d = rows.groupBy("xml_id").agg(F.first("canon_count").alias("canon_count"), F.first("our_count").alias("our_count"), *[F.sum(c).alias(c) for c in counts])
+    return _judged(d, subs, errors, short)
+
+
+def diagnosed(matched: DataFrame, low: float = 0.75, short_length: int = 3) -> DataFrame:
+    """Adds ``canon_count, our_count, subs_total, subs_low, unmatched, short_tokens`` to each stanza, from its own ``matches``."""
+    bare = lambda c: F.replace(C.stanza_token(c), F.lit("."), F.lit(""))
+    none = matched.schema["matches"].dataType.simpleString()
+    single = F.filter(F.coalesce("matches", F.array().cast(none)), lambda m: m["relation"].isNull() | ~F.contains(m["relation"], F.lit("merged")))
+    rows = matched.withColumn("_one", single)
+    swapped = F.filter("_one", lambda m: m["relation"] == "substitution")
+    rows = rows.withColumns({"_a": F.transform(swapped, lambda m: bare(m["canon_word"])), "_b": F.transform(swapped, lambda m: bare(m["our_word"]))})
+    ours = lambda m: (m["our_word"] != "") & (F.length(bare(m["our_word"])) <= short_length)
+    long = lambda c: F.size(c).cast("long")
+    return rows.withColumns({
+        "canon_count": F.size("canon"), "our_count": F.size("our"), "subs_total": long("_a"), "subs_low": U.count_below("_a", "_b", F.lit(low)),
+        "unmatched": long(F.filter("_one", lambda m: m["relation"] == "insert")), "short_tokens": long(F.filter("_one", ours)),
+    }).drop("_one", "_a", "_b")
+
+
+def _judged(d: DataFrame, subs: int = 6, errors: float = 0.20, short: int = 6) -> DataFrame:
     d = d.withColumn("error_rate", (F.col("subs_total") + F.col("unmatched")) / F.greatest(F.lit(1), F.col("canon_count")))
     why = F.array_compact(F.array(
         F.when(F.col("subs_low") >= subs, "low_conf_subs"), F.when(F.col("error_rate") >= errors, "high_error_rate"),
@@ -66,17 +81,28 @@ def word_rows(stanzas: DataFrame, groups: str, prefix: str, threshold: float | N
     ``groups`` is a column of (canon, our) index groups; with a threshold, groups of
     several on both sides are paired by similarity first.
     """
-    if threshold is None:
-        at = F.transform("our", lambda _, i: F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(groups, lambda g: F.array_contains(g["o"], i)), lambda g: g["c"])))))
-    else:
-        at = U.pair_groups(groups, "canon", "our")
-    rows = stanzas.withColumn("_at", at).select("xml_id", "canon", "_at", F.posexplode("our").alias("our_index", "our_word"))
-    cis = F.col("_at")[F.col("our_index")]
-    return rows.select(
-        "xml_id", "our_index", "our_word", cis.alias(f"{prefix}_canon_indexes"),
-        F.transform(cis, lambda i: F.get(F.col("canon"), i)).alias(f"{prefix}_canon_words"),
-        relation(cis, F.col("canon"), F.col("our_word")).alias(f"{prefix}_relation"),
-    )
+    at = U.group_positions(groups, F.size("our")) if threshold is None else U.pair_groups(groups, "canon", "our")
+    return stanzas.withColumn("_at", at).select("xml_id", F.inline(_words("_at", prefix)))
+
+
+def _words(at: str, prefix: str) -> Column:
+    """A stanza's manuscript words with the canon words at the places ``at``: made in the stanza's cell, so that its lists aren't repeated for every word."""
+    cis = lambda i: F.get(F.col(at), i)
+    return F.transform("our", lambda w, i: F.struct(
+        i.alias("our_index"), w.alias("our_word"), cis(i).alias(f"{prefix}_canon_indexes"),
+        F.transform(cis(i), lambda c: F.get(F.col("canon"), c)).alias(f"{prefix}_canon_words"), relation(cis(i), F.col("canon"), w).alias(f"{prefix}_relation"),
+    ))
+
+
+def chosen(stanzas: DataFrame, threshold: float) -> DataFrame:
+    """Greedy alignment of ``xml_id, canon, our``, dynamic programming where the gate asks for it, and :func:`compared`, each stanza in its own row until the end."""
+    rows = diagnosed(greedy_matches(stanzas).withColumn("_g", U.single_positions("matches", F.size("our"))))
+    rows = _judged(rows).select("xml_id", "canon", "our", "_g", "flagged")
+    asked = lambda c: F.when(F.col("flagged"), F.col(c))  # noqa: E731  nulls cost the aligner nothing
+    rows = rows.withColumn("_d", U.dp_positions(asked("canon"), asked("our"), F.lit(threshold)))
+    rows = rows.select("xml_id", "flagged", F.inline(F.arrays_zip(_words("_g", "greedy").alias("greedy"), F.when(F.col("flagged"), _words("_d", "dp")).otherwise(F.transform("our", lambda w: F.lit(None))).alias("dp"))))
+    dp = [F.col(f"dp.dp_{c}") for c in ("canon_indexes", "canon_words", "relation")]
+    return _final(rows.select("xml_id", "greedy.*", *dp))
 
 
 def decide_final(greedy: Column, dp: Column) -> Column:
@@ -90,6 +116,10 @@ def compared(greedy_rows: DataFrame, dp_rows: DataFrame, compat: bool = False) -
     rows = greedy_rows.join(dp_rows.drop("our_word"), ["xml_id", "our_index"], "left")
     if compat:
         rows = rows.withColumn("dp_relation", F.coalesce("dp_relation", F.lit("unmatched")))
+    return _final(rows)
+
+
+def _final(rows: DataFrame) -> DataFrame:
     choice = decide_final(F.col("greedy_relation"), F.col("dp_relation"))
     by_dp = F.col("final_choice").isin("dp", "both")
     rows = rows.withColumn("final_choice", choice)
@@ -101,27 +131,32 @@ def compared(greedy_rows: DataFrame, dp_rows: DataFrame, compat: bool = False) -
 
 def exported_groups(stanzas: DataFrame, groups: str = "groups") -> DataFrame:
     """Groups as export rows: pairs where both sides are equally long, else one row a group, and a row for every uncovered word."""
-    g = stanzas.select("xml_id", "canon", "our", F.explode(groups).alias("g"))
-    g = g.select("xml_id", "canon", "our", F.array_sort("g.c").alias("c"), F.array_sort("g.o").alias("o")).where("size(c) + size(o) > 0")
     words = lambda side, at: F.transform(at, lambda i: F.get(F.col(side), i))
-    even = (F.size("c") == F.size("o")) & (F.size("c") > 0)
-    flat = g.where(even).select("xml_id", "canon", "our", F.explode(F.arrays_zip("c", "o")).alias("p"))
-    cw, ow = F.get(F.col("canon"), F.col("p.c")), F.get(F.col("our"), F.col("p.o"))
-    pairs = flat.select(
-        "xml_id", F.col("p.o").cast("string").alias("our_index"), ow.alias("our_word"), F.col("p.c").cast("string").alias("canon_indexes"), cw.alias("canon_words"),
-        F.when(C.stanza_token(cw) == C.stanza_token(ow), "equal").otherwise("substitution").alias("relation"), F.lit(True).alias("matched"),
-    )
-    kind = F.when((F.size("c") > 1) & (F.size("o") == 1), "many-to-one").when((F.size("c") == 1) & (F.size("o") > 1), "one-to-many").otherwise("grouped")
-    rest = g.where(~even).withColumn("relation", kind)
-    joined = F.when(F.col("relation") == "one-to-many", F.get(F.col("canon"), F.col("c")[0])).when(F.size("c") > 0, C.joined_canon(words("canon", F.col("c")))).otherwise("")
-    lists = rest.select(
-        "xml_id", F.array_join(F.col("o").cast("array<string>"), ";").alias("our_index"), F.array_join(words("our", F.col("o")), " ").alias("our_word"),
-        F.array_join(F.col("c").cast("array<string>"), ";").alias("canon_indexes"), joined.alias("canon_words"), "relation", F.lit(True).alias("matched"),
-    )
-    covered = F.flatten(F.transform(groups, lambda x: x["o"]))
-    bare = stanzas.select("xml_id", covered.alias("_done"), F.posexplode("our").alias("i", "w")).where("not array_contains(_done, i)")
-    alone = bare.select("xml_id", F.col("i").cast("string"), "w", F.lit(""), F.lit(""), F.lit("unmatched"), F.lit(False))
-    return pairs.union(lists).union(alone)
+    text = lambda at: at.cast("array<string>")
+
+    def row(our_index, our_word, canon_indexes, canon_words, kind, matched) -> Column:
+        return F.struct(our_index.alias("our_index"), our_word.alias("our_word"), canon_indexes.alias("canon_indexes"), canon_words.alias("canon_words"), kind.alias("relation"), F.lit(matched).alias("matched"))
+
+    def pair(p) -> Column:
+        cw, ow = F.get(F.col("canon"), p["c"]), F.get(F.col("our"), p["o"])
+        return row(p["o"].cast("string"), ow, p["c"].cast("string"), cw, F.when(C.stanza_token(cw) == C.stanza_token(ow), "equal").otherwise("substitution"), True)
+
+    def whole(g) -> Column:
+        c, o = g["c"], g["o"]
+        kind = F.when((F.size(c) > 1) & (F.size(o) == 1), "many-to-one").when((F.size(c) == 1) & (F.size(o) > 1), "one-to-many").otherwise("grouped")
+        joined = F.when((F.size(c) == 1) & (F.size(o) > 1), F.get(F.col("canon"), F.get(c, F.lit(0)))).when(F.size(c) > 0, C.joined_canon(words("canon", c))).otherwise("")
+        return row(F.array_join(text(o), ";"), F.array_join(words("our", o), " "), F.array_join(text(c), ";"), joined, kind, True)
+
+    # made in the stanza's cell: its lists aren't repeated for every group, nor is what aligned it
+    sides = F.transform(groups, lambda g: F.struct(F.array_sort(g["c"]).alias("c"), F.array_sort(g["o"]).alias("o")))
+    even = lambda g: (F.size(g["c"]) == F.size(g["o"])) & (F.size(g["c"]) > 0)
+    rows = stanzas.select("xml_id", "canon", "our", F.filter(sides, lambda g: F.size(g["c"]) + F.size(g["o"]) > 0).alias("_g"))
+    pairs = F.transform(F.flatten(F.transform(F.filter("_g", even), lambda g: F.arrays_zip(g["c"].alias("c"), g["o"].alias("o")))), pair)
+    lists = F.transform(F.filter("_g", lambda g: ~even(g)), whole)
+    index = F.filter(F.sequence(F.lit(0), F.size("our")), lambda i: i < F.size("our"))
+    bare = F.array_except(index, F.flatten(F.transform("_g", lambda g: g["o"])))
+    alone = F.transform(bare, lambda i: row(i.cast("string"), F.get(F.col("our"), i), F.lit(""), F.lit(""), F.lit("unmatched"), False))
+    return rows.select("xml_id", F.inline(F.concat(pairs, lists, alone)))
 
 
 def runs(matches: DataFrame, keys: list[str]) -> DataFrame:

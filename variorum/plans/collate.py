@@ -37,13 +37,7 @@ def chosen_alignment(stanzas: DataFrame, threshold: float = 0.90) -> DataFrame:
 
     ``stanzas`` has xml_id, canon, our. Greedy runs once and feeds the gate and both results.
     """
-    matched = written(relations.greedy_matches(stanzas))
-    flagged = relations.gate(matched).where("flagged").select("xml_id")
-    greedy = F.transform("matches", lambda m: F.struct(m["canon_indexes"].alias("c"), m["our_indexes"].alias("o")))
-    kept = matched.withColumn("groups", F.filter(greedy, lambda g: (F.size(g["c"]) > 0) & (F.size(g["o"]) == 1)))
-    first = relations.word_rows(kept, "groups", "greedy")
-    second = relations.word_rows(relations.dp_groups(matched.join(flagged, "xml_id", "left_semi")), "groups", "dp", threshold)
-    return relations.compared(first, second)
+    return relations.chosen(stanzas, threshold)
 
 
 def annotated_readings(readings: DataFrame, groups: DataFrame, annotator: Annotator, overrides: DataFrame | None = None) -> DataFrame:
