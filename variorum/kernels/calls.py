@@ -63,6 +63,12 @@ def grouped_records(records) -> list[dict]:
 
 def alignment(lemma, witness) -> dict:
     """Spans, witness indices of each lemma token and differing positions, from one alignment."""
+    return _alignment(tuple(lemma), tuple(witness))
+
+
+@lru_cache(maxsize=4)
+def _alignment(lemma: tuple, witness: tuple) -> dict:
+    lemma, witness = list(lemma), list(witness)
     ops = align.align(lemma, witness)
     spans = [dict(zip(("a", "b", "surface"), x, strict=True)) for x in align.surfaces(ops, lemma, witness)]
     return {"spans": spans, "cover": align.coverage(ops, len(lemma)), "diff": align.differing(lemma, witness)}
