@@ -19,9 +19,9 @@ def aligned(lemma: DataFrame, witnesses: DataFrame) -> DataFrame:
     pairs = lemma.select("ab_id", F.col("text").alias("l")).join(witnesses.select("ab_id", "witness", F.col("text").alias("w")), "ab_id")
     tokens = pairs.select("ab_id", "witness", C.tokens(F.col("l")).alias("lt"), C.tokens(F.col("w")).alias("wt"))
     different = F.col("lt") != F.col("wt")
-    todo = spread(tokens.where(different).select("lt", "wt").distinct(), "lt", "wt")
-    done = todo.withColumn("_a", U.alignment("lt", "wt")).select("lt", "wt", "_a.*")
-    changed = tokens.join(done, ["lt", "wt"])
+    # equal pairs one after the other in one task, which remembers what it has aligned: lists are moved once, without a join
+    todo = spread(tokens.where(different), "lt", "wt").sortWithinPartitions(F.xxhash64("lt", "wt"))
+    changed = todo.withColumn("_a", U.alignment("lt", "wt")).select("ab_id", "witness", "lt", "wt", "_a.*")
     index = F.sequence(F.lit(0), F.size("lt") - 1)
     whole = F.transform(index, lambda i: F.struct(i.alias("a"), (i + 1).alias("b"), F.get(F.col("lt"), i).alias("surface")))
     same = tokens.where(~different).select(
@@ -38,13 +38,14 @@ def entry_spans(work: DataFrame) -> DataFrame:
 
     A segment without any such span gets all its tokens one by one.
     """
-    s = work.select("ab_id", "cover", "diff", F.explode("spans").alias("s")).select("ab_id", "cover", "diff", "s.*")
-    inside = F.expr("slice(cover, a + 1, b - a)")
-    fused = (F.size(F.array_distinct(inside)) == 1) & (F.size(F.get(F.col("cover"), F.col("a"))) == 1)
-    split = F.exists(inside, lambda x: F.size(x) > 1)
-    many = s.where((F.col("b") - F.col("a") > 1) & (fused | split)).select("ab_id", "a", "b").distinct()
+    # spans are sorted out inside a segment's cell: its lists aren't repeated for every span
+    inside = lambda s: F.slice("cover", s["a"] + 1, s["b"] - s["a"])
+    fused = lambda s: (F.size(F.array_distinct(inside(s))) == 1) & (F.size(F.get(F.col("cover"), s["a"])) == 1)
+    split = lambda s: F.exists(inside(s), lambda x: F.size(x) > 1)
+    spans = lambda hit: work.select("ab_id", F.explode(F.filter("spans", hit)).alias("s")).select("ab_id", "s.a", "s.b")
+    many = spans(lambda s: (s["b"] - s["a"] > 1) & (fused(s) | split(s))).distinct()
     differing = work.select("ab_id", F.explode("diff").alias("a")).distinct()
-    spaced = s.where((F.col("b") - F.col("a") == 1) & F.contains(F.trim("surface"), F.lit(" "))).select("ab_id", "a")
+    spaced = spans(lambda s: (s["b"] - s["a"] == 1) & F.contains(F.trim(s["surface"]), F.lit(" "))).select("ab_id", "a")
     ones = differing.union(spaced).distinct().withColumn("b", F.col("a") + 1)
     m = many.select(F.col("ab_id").alias("m_ab"), F.col("a").alias("ma"), F.col("b").alias("mb"))
     free = ones.join(m, (F.col("ab_id") == F.col("m_ab")) & (F.col("a") >= F.col("ma")) & (F.col("b") <= F.col("mb")), "left_anti")
