@@ -79,13 +79,14 @@ def _rewritten(change):
 
     def run(content, rows):
         try:
-            root = ElementTree.fromstring(content)
+            root = ElementTree.fromstring(bytes(content))
         except ElementTree.ParseError:
             return content
         change(root, rows or [])
         return ElementTree.tostring(root, encoding="utf-8")
 
-    return F.udf(run, "binary", useArrow=True)
+    # a hundred files at a time; an Arrow batch holds ten thousand, with all their words as objects
+    return F.udf(run, "binary", useArrow=False)
 
 
 def _own_id(el) -> str:
