@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 
 from ..session import written
 
+MOST = 1_000_000  # rows of a range, about
 
-def neighbours(rows: DataFrame, doc: list[str], order: list[str], value: str) -> DataFrame:
+
+def neighbours(rows: DataFrame, doc: list[str], order: list[str], value: str, most: int = MOST) -> DataFrame:
     """``rows`` plus ``before`` and ``after``: the ``value`` of the row before and behind in the order of ``order`` inside a document ``doc`` (none: all rows are one).
 
-    Rows go to ranges of document order, so a document may fill many tasks. Each range looks inside itself;
+    Rows go to ranges of document order, of about ``most`` rows, so a document may fill many tasks and a task doesn't grow with the table. Each range looks inside itself;
     only its first and last row are exchanged, one of each for a range. A null value is
     a neighbour as any other; rows of equal place stand in no certain order.
     """
     keys = [*doc, *order]
     # written once: ranges must not change between the rows and their ends
-    ranged = written(rows.repartitionByRange(*keys).withColumn("_range", F.spark_partition_id()))
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // most))
+    ranged = written(rows.repartitionByRange(n, *keys).withColumn("_range", F.spark_partition_id()))
     row = F.struct(F.struct(*[F.col(c) for c in doc] or [F.lit(0)]).alias("doc"), F.col(value).alias("value"))
     inside = Window.partitionBy("_range").orderBy(*keys)
-    here = ranged.withColumns({"_row": row, "_before": F.lag(row).over(inside), "_after": F.lead(row).over(inside)})
+    here = ranged.repartition(n, "_range").withColumns({"_row": row, "_before": F.lag(row).over(inside), "_after": F.lead(row).over(inside)})
     ends = ranged.groupBy("_range").agg(F.min_by(row, F.struct(*keys)).alias("first"), F.max_by(row, F.struct(*keys)).alias("last"))
     along = Window.orderBy("_range")  # as many rows as ranges
     ends = ends.select("_range", F.lag("last").over(along).alias("_last"), F.lead("first").over(along).alias("_first"))
