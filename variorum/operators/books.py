@@ -43,7 +43,8 @@ def match_books(books: DataFrame, apart: int = APART) -> DataFrame:
     seeds = _seeds(books, "canon", "c").join(_seeds(books, "our", "o"), ["book", "key"])
     # a book's seeds are no more than its words
     seeds = seeds.groupBy("book").agg(F.array_sort(F.collect_list(F.struct("c", "o"))).alias("seeds"))
-    pick = F.udf(lambda xs: [{"c": c, "o": o} for c, o in B.cuts([(x["c"], x["o"]) for x in xs], apart)], "array<struct<c:int,o:int>>", useArrow=True)
+    # whole lists: a hundred rows at a time, as an Arrow batch of ten thousand fills a worker
+    pick = F.udf(lambda xs: [{"c": c, "o": o} for c, o in B.cuts([(x["c"], x["o"]) for x in xs], apart)], "array<struct<c:int,o:int>>", useArrow=False)
     cut = books.join(seeds.select("book", pick("seeds").alias("cuts")), "book", "left").withColumn("cuts", F.coalesce("cuts", F.array().cast("array<struct<c:int,o:int>>")))
     parts = cut.select("book", "canon", "our", "cuts", F.explode(F.sequence(F.lit(0), F.size("cuts"))).alias("part"))
     at = lambda side, k, other: F.coalesce(F.get("cuts", F.col("part") + k)[side], other)
@@ -56,7 +57,7 @@ def match_books(books: DataFrame, apart: int = APART) -> DataFrame:
 
     sides = [taken(words, side, field).alias(f"{side}_{field}") for words, side in (("canon", "c"), ("our", "o")) for field in "wi"]
     parts = parts.select("book", "part", "c0", "o0", *sides, (F.col("part") == F.size("cuts")).alias("last"))
-    find = F.udf(lambda *a: B.stretch(*a), "struct<pairs:array<struct<c:int,o:int>>,arrived:boolean>", useArrow=True)
+    find = F.udf(lambda *a: B.stretch(*a), "struct<pairs:array<struct<c:int,o:int>>,arrived:boolean>", useArrow=False)
     # dealt one by one: a stretch costs by its words, not by its bytes
     parts = written(spread(parts, "book", "part").withColumn("m", find("c_w", "o_w", "c_i", "o_i", F.col("part") == 0, "last")).select("book", "part", "c0", "o0", "m"))
     end = parts.where("not m.arrived").groupBy("book").agg(F.min("part").alias("end"))
