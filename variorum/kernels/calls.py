@@ -22,6 +22,20 @@ def greedy_records(canon, our) -> list[dict]:
     return _greedy(tuple(canon), tuple(our))
 
 
+def greedy_column(canon, our):
+    """The records of a whole Arrow batch, put into columns a hundred stanzas at a time: few are Python objects at once."""
+    import pyarrow as pa
+
+    index = pa.list_(pa.int32())
+    fields = {"canon_indexes": index, "our_indexes": index, "canon_word": pa.string(), "our_word": pa.string(), "relation": pa.string(), "matched": pa.bool_()}
+    kind = pa.list_(pa.struct(fields.items()))
+    parts = [pa.array([], kind)]
+    for i in range(0, len(canon), 100):
+        some = zip(canon.slice(i, 100).to_pylist(), our.slice(i, 100).to_pylist(), strict=True)
+        parts.append(pa.array([greedy_records(a or [], b or []) for a, b in some], kind))
+    return pa.concat_arrays(parts)
+
+
 def count_below(a, b, low: float) -> int:
     """How many pairs are less similar than ``low``."""
     return sum(ratio(x or "", y or "") < low for x, y in zip(a, b, strict=True))

@@ -17,11 +17,11 @@ def _together(stanzas: DataFrame) -> DataFrame:
 
 def greedy_matches(stanzas: DataFrame) -> DataFrame:
     """Adds ``matches`` to ``xml_id, canon, our``; equal stanza pairs are aligned once."""
-    return _together(stanzas).withColumn("matches", U.align_greedy("canon", "our"))
+    return _together(stanzas).withColumn("matches", U.align_greedy.once("canon", "our"))
 
 
 def dp_groups(stanzas: DataFrame) -> DataFrame:
-    return _together(stanzas).withColumn("nw", U.align_nw("canon", "our")).select(*stanzas.columns, F.col("nw.groups").alias("groups"), F.col("nw.score").alias("score"))
+    return _together(stanzas).withColumn("nw", U.align_nw.once("canon", "our")).select(*stanzas.columns, F.col("nw.groups").alias("groups"), F.col("nw.score").alias("score"))
 
 
 def gate(matched: DataFrame, low: float = 0.75, subs: int = 6, errors: float = 0.20, short: int = 6, short_length: int = 3) -> DataFrame:
