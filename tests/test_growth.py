@@ -78,3 +78,23 @@ def test_large_clusters_are_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, got.collect())) == want and len(want) == 78
     assert sorted(map(tuple, Q.line_pairs(spark, d, False).collect())) == [x for x in want if x[2] != x[3]]
     assert "part" in got._jdf.queryExecution().optimizedPlan().toString().split("Join", 1)[1].split("\n")[0]
+
+
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_words_are_typed_where_they_are(spark):
+    """A join with the distinct open pairs moved every word of every line."""
+    assert optimized(Q.QUERIES["ladder_full"](spark, SF)).count("Join") == optimized(Q.token_pairs(spark, SF)).count("Join")
+
+
+def test_readings_are_annotated_without_a_join(spark):
+    """Distinct readings were joined back with all of them."""
+    plan = optimized(Q.QUERIES["cascade"](spark, SF))
+    assert "<=>" not in plan and plan.count("ArrowEvalPython") == 1, plan
+
+
+def test_changes_are_read_once(spark):
+    """Changes were found again for each use, and words freed of marks before equal pairs had met."""
+    assert "ArrowEvalPython" not in optimized(Q.QUERIES["changes_to_overrides"](spark, SF))
