@@ -6,6 +6,7 @@ from functools import lru_cache
 
 from . import align, greedy
 from .gestalt import ratio
+from .text import without_marks
 
 
 @lru_cache(maxsize=4)  # equal pairs come one after the other
@@ -36,6 +37,23 @@ def greedy_column(canon, our):
     return pa.concat_arrays(parts)
 
 
+@lru_cache(maxsize=200_000)
+def _apart(a: str, b: str, vowels: str, low: float) -> bool:
+    a, b = ("".join(c for c in without_marks(x) if c not in vowels) for x in (a, b))
+    return a != b and ratio(a, b) < low
+
+
+def apart_column(a, b, vowels, low):
+    """Whether the words of two Arrow arrays differ without marks and vowels, and are less similar than ``low``; false where one is null."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    both = pc.and_(a.is_valid(), b.is_valid())
+    found = both.to_numpy(zero_copy_only=False).copy()
+    found[found] = [_apart(*x) for x in zip(*(c.filter(both).to_pylist() for c in (a, b, vowels, low)), strict=True)]
+    return pa.array(found)
+
+
 def count_below(a, b, low: float) -> int:
     """How many pairs are less similar than ``low``."""
     return sum(ratio(x or "", y or "") < low for x, y in zip(a, b, strict=True))

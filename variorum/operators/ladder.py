@@ -63,14 +63,13 @@ def classify(readings: DataFrame, rules: list[dict], families: list[dict], group
     """Adds ``type`` to rows with ``lem, rdg, before, after``.
 
     The built-in steps run on all rows; similarity of consonants, which needs
-    Python, only on the distinct pairs that are still open after them.
+    Python, only on those that are still open after them. Rows stay where they are:
+    a join with the distinct open pairs moved every word of every line.
     """
     rows = readings.withColumn("_early", early(families))
-    pairs = rows.where("_early is null").select("lem", "rdg").distinct()
-    bare = lambda c: C.skeleton_by_vowels(U.without_marks(F.translate(C.ladder_form(F.col(c)), ". ", "")))
-    pairs = pairs.withColumns({"_a": bare("lem"), "_b": bare("rdg")})
-    pairs = pairs.withColumn("_s", U.gestalt_ratio("_a", "_b")).withColumn("_apart", (F.col("_a") != F.col("_b")) & (F.col("_s") < 0.8))
-    rows = rows.join(pairs.select("lem", "rdg", "_apart"), ["lem", "rdg"], "left")
+    # decided rows pass as nulls; workers remember the pairs they have compared
+    bare = lambda c: F.when(F.col("_early").isNull(), F.translate(C.ladder_form(F.col(c)), ". ", ""))
+    rows = rows.withColumn("_apart", U.consonants_apart(bare("lem"), bare("rdg"), F.lit(C.VOWELS), F.lit(0.8)))
     ops = C.simple_ops(C.ladder_form(F.col("lem")), C.ladder_form(F.col("rdg")))
     label = rule_label(F.col("_ops"), rules, F.col(groups) if groups else None)
     rows = rows.withColumn("_ops", ops).withColumn(
