@@ -6,7 +6,9 @@ import pstats
 import random
 
 from variorum import queries as Q
+from variorum import queries_features as QF
 from variorum.kernels import greedy
+from variorum.sources import xml
 
 SF = "/root/testdata/sf0.001"
 
@@ -98,3 +100,31 @@ def test_readings_are_annotated_without_a_join(spark):
 def test_changes_are_read_once(spark):
     """Changes were found again for each use, and words freed of marks before equal pairs had met."""
     assert "ArrowEvalPython" not in optimized(Q.QUERIES["changes_to_overrides"](spark, SF))
+
+
+def test_files_grow_in_number_with_turns_not_with_conversations(spark, tmp_path, monkeypatch):
+    """A folder and a file were written for each conversation, and ids that are null or negative were not found again."""
+    rows = [(i // 3, i % 3) for i in range(900)] + [(-7, 0), (-7, 1), (None, 0), (None, None)] + [(1000, i) for i in range(700)]
+    spark.createDataFrame([(*r, "user", "x") for r in rows], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    monkeypatch.setattr(QF, "TURNS", 200)
+    found, read = [], xml._files
+
+    def files(*args):
+        out = read(*args)
+        found.extend(r.path for r in out.select("path").collect())
+        return out
+
+    monkeypatch.setattr(xml, "_files", files)
+    got = [r.conv_id for r in QF.files_once(spark, str(tmp_path)).collect()]
+    assert len(got) == len(set(got)) and set(got) == {r[0] for r in rows}
+    assert len(rows) / 200 <= len(found) == len(set(found)) <= len(rows) / 200 + 8  # 8 tasks
+    spark.read.parquet(str(tmp_path / "conversations.parquet")).limit(0).write.parquet(str(tmp_path / "none/conversations.parquet"))
+    assert not QF.files_once(spark, str(tmp_path / "none")).collect()
+
+
+def test_a_file_under_two_paths_is_read_once(spark, tmp_path):
+    spark.range(20).selectExpr("cast(id as string) value").repartition(4).write.text(str(tmp_path / "f"))
+    paths = [str(tmp_path / "f"), f"{tmp_path}/f/*"]
+    assert spark.read.option("pathGlobFilter", "*.txt").text(paths).count() == 40  # the reader alone takes both
+    lines = [x for r in xml._files(spark, paths, "*.txt").collect() for x in bytes(r.content).decode().split()]
+    assert sorted(map(int, lines)) == list(range(20))
