@@ -1,3 +1,5 @@
+import random
+import time
 import zlib
 from functools import cache
 
@@ -76,3 +78,45 @@ def test_encoding_equals_the_library(texts):
 
 def test_added_tokens_are_the_librarys():
     assert whole(["a <|endoftext|> b"], 9) == [[64, 220, 50256, 275, 0]]
+
+
+#: what stands where tokens could lie across a cut: apostrophes, line feeds and other white space, letters of two bytes
+TRAPS = [*"'stvlmdrSaéßÀĝſ1.,-_()\"\n\t\r\x0b\x1c\0 ", "re", "ve", "ll", "  ", "''", "\n\n", " \n", "23", "<|endoftext|>", "<|"]
+
+
+def test_unsplit_texts_get_the_files_ids():
+    draw = random.Random(9)
+    texts = ["".join(draw.choices(TRAPS, k=draw.randint(0, 30))) for _ in range(20000)]
+    texts += ["a\n\nb", "a\n\n\nb", "a\n\n", "a\n\n b", "it's 5'9 o'clock", "don't", "l'été"]
+    easy = [x for x in texts if T.plain(x)]
+    assert len(easy) > 1000
+    got, want = (t.encode_batch_fast(easy, add_special_tokens=False) for t in (T.unsplit(T.VOCABULARY), library()))
+    assert [x.ids for x in got] == [x.ids for x in want]
+
+
+@pytest.mark.parametrize("text", ["''s", "'tis", "a 's", "'sabc", "x'vex", "'llama", "3×4", "9²", "a—b", "\xa0 \xa0", "ɐʼ", "日", "Ω"])
+def test_odd_texts_are_split_as_the_file_says(text):
+    assert not T.plain(text)
+
+
+def test_every_plain_letter_is_a_letter():
+    assert all(chr(c).isalpha() == T.plain(chr(c)) for c in range(0xC0, 0x280))
+    assert not any(T.plain(chr(c)) for c in (*range(0x80, 0xC0), *range(0x280, 0xD800), *range(0xE000, 0x11000)))
+
+
+@pytest.mark.parametrize(("token", "pairs"), [(b" word", []), (b"12", []), (b"...", []), (b"caf\xc3\xa9", []), (b"\xe2\x80\x94-", []), (b"'s", [b"'s"]), (b"a b", [b"a "]), (b"x,", [b"x,"]), (b"\n\n", [b"\n\n"]), (b"  a", [b"  "])])
+def test_tokens_across_a_cut(token, pairs):
+    assert T.crossed([token]) == set(pairs)
+
+
+def test_plain_texts_cost_less_than_the_files_split():
+    draw = random.Random(4)
+    words = ["".join(draw.choices("etaoinshrdlucé", k=draw.randint(2, 9))) for _ in range(30000)]
+    texts = [" ".join(draw.choices(words, k=600)) + "." for _ in range(60)]
+    took = {}
+    for _ in range(5):
+        for way, run in (("file", lambda: library().encode_batch_fast(texts, add_special_tokens=False)), ("here", lambda: list(T.encode(texts, T.VOCABULARY)))):
+            began = time.process_time()
+            run()
+            took[way] = min(took.get(way, 1e9), time.process_time() - began)
+    assert took["here"] < 0.7 * took["file"], took

@@ -12,12 +12,14 @@ of the id; totals of the written parts give every document's global start.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import scratch_path
+from .token_counts import _byte_letters
 
 VOCABULARY = "byte_bpe_50k.json"
 END = 0  # id after each document
@@ -33,9 +36,16 @@ BLOCK = 8192
 QUANTILE = 0.95
 SEGMENT = 1 << 18  # ids after which a segment ends, with a document
 AT_ONCE = 1 << 18  # characters of the texts that the library gets in one call, but for a single longer one
+LONG = 1 << 20  # characters beyond which a text is split as the file says, so that merges over it stay small
 MAGIC = b"PFR1"
 _HEAD = struct.Struct("<4sQI")  # magic, ids, blocks
 _BLOCK = struct.Struct("<IIBI")  # minimum, ids, width, exceptions
+#: the file's split, for which ``unsplit`` was made
+_SPLIT = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+#: bytes of ASCII and of U+00C0 to U+027F, which are letters but for U+00D7 and U+00F7
+_PLAIN = bytes([*range(0xC0), *range(0xC3, 0xCA)])
+#: apostrophes before a contraction's letters that aren't a contraction, or one with a letter behind it
+_ACROSS = re.compile(r"'(?:(?<![^\W_]')[stvlmdr]|(?:[stmd]|re|ve|ll)[^\W\d_]|v(?!e)|l(?!l)|r(?!e))")
 
 
 def _bits(rows: np.ndarray, width: int) -> np.ndarray:
@@ -45,14 +55,14 @@ def _bits(rows: np.ndarray, width: int) -> np.ndarray:
         return np.zeros((len(rows), 0), np.uint8)
     eights = np.zeros((len(rows), -(-n // 8) * 8), np.uint64)
     eights[:, :n] = rows
-    eights = eights.reshape(len(rows), -1, 8)
-    out = np.zeros((*eights.shape[:2], width), np.uint8)
+    eights = np.ascontiguousarray(np.moveaxis(eights.reshape(len(rows), -1, 8), 2, 0))
+    out = np.zeros((width, *eights.shape[1:]), np.uint8)
     for k in range(8):
         byte, shift = divmod(k * width, 8)
-        value = eights[:, :, k] << np.uint64(shift)
+        value = eights[k] << np.uint64(shift)
         for i in range((shift + width + 7) // 8):
-            out[:, :, byte + i] |= (value >> np.uint64(8 * i)).astype(np.uint8)
-    return out.reshape(len(rows), -1)[:, : (n * width + 7) // 8]
+            out[byte + i] |= (value >> np.uint64(8 * i)).astype(np.uint8)
+    return np.moveaxis(out, 0, 2).reshape(len(rows), -1)[:, : (n * width + 7) // 8]
 
 
 def _values(rows: np.ndarray, width: int, n: int) -> np.ndarray:
@@ -95,7 +105,7 @@ def _packed(rows: np.ndarray) -> list[bytes]:
 def pack(ids: np.ndarray) -> bytes:
     """A segment: head, byte start of each block, blocks. A block: head, places and values of what exceeds its width, packed differences."""
     whole = len(ids) // BLOCK * BLOCK
-    ids = ids.astype(np.uint64)
+    ids = ids.astype(np.uint32)
     blocks = _packed(ids[:whole].reshape(-1, BLOCK)) if whole else []
     blocks += _packed(ids[None, whole:]) if len(ids) > whole else []
     first = _HEAD.size + 8 * len(blocks)
@@ -132,19 +142,67 @@ def tokenizer(name: str):
     return Tokenizer.from_file(public_tokenizers.path(name))
 
 
+def crossed(tokens: Iterable[bytes]) -> set[bytes]:
+    """Pairs of neighbouring bytes inside tokens between which the file's split may cut a plain text, but for letters after a contraction."""
+    kinds = {b: "letter" if b > 127 or chr(b).isalpha() else "number" if chr(b).isdigit() else "other" for b in (*range(0x21, 0x7F), *range(0x80, 0x100))}
+    pairs = {t[i : i + 2] for t in tokens if not t.translate(None, _PLAIN) for i in range(len(t) - 1)}
+    return {p for p in pairs if p[1] not in kinds or p[0] != 0x20 and kinds.get(p[0]) != kinds[p[1]]}
+
+
+@cache
+def unsplit(name: str):
+    """The tokenizer of the file without its split into words, which takes the library more time than the merges; None
+    where other ids than the file's could come out for ``plain`` texts.
+
+    A cut of the split changes ids only where a token lies across it. Such tokens begin with a contraction's
+    apostrophe (``plain`` looks for them) or are two line feeds: the last before other text is cut off here as the file's split does it.
+    """
+    from tokenizers import Regex, Tokenizer, models, pre_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        file = json.load(f)
+    model = file["model"]
+    vocab, merges = model.pop("vocab"), model.pop("merges")
+    if file["normalizer"] or file["post_processor"] or file["pre_tokenizer"] != _SPLIT or model.pop("type") != "BPE" or any(model.values()):
+        return None
+    of = {c: b for b, c in enumerate(_byte_letters())}
+    if not crossed(bytes(map(of.__getitem__, t)) for t in vocab) <= {b"\n\n", *(b"'%c" % c for c in b"stvlmdr")}:
+        return None
+    t = Tokenizer(models.BPE(vocab, [tuple(m if isinstance(m, list) else m.split(" ")) for m in merges], cache_capacity=0))
+    t.add_special_tokens([x for _, x in sorted(tokenizer(name).get_added_tokens_decoder().items())])
+    cut = pre_tokenizers.Split(Regex(r"\n(?=\S)"), "isolated")
+    t.pre_tokenizer = pre_tokenizers.Sequence([cut, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return t if t.get_vocab() == tokenizer(name).get_vocab() else None
+
+
+def plain(text: str) -> bool:
+    """Whether a text holds ASCII and Latin letters up to U+027F alone, and no apostrophe at which a token could lie across a cut."""
+    if not text.isascii() and ("×" in text or "÷" in text or text.encode().translate(None, _PLAIN)):
+        return False
+    return len(text) <= LONG and not ("'" in text and _ACROSS.search(text))
+
+
 def encode(texts: list[str], name: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids of whole texts by the library's own call, each with the end id, and how many each has; some texts at a time."""
-    t, k = tokenizer(name), 0
+    whole, k = unsplit(name), 0
     while k < len(texts):
         to = k + 1
         size = len(texts[k])
         while to < len(texts) and size + len(texts[to]) <= AT_ONCE:
             size += len(texts[to])
             to += 1
-        found = [x.ids for x in t.encode_batch_fast(texts[k:to], add_special_tokens=False)]
-        n = np.array([len(x) + 1 for x in found], np.int64)
-        ids = np.fromiter(chain.from_iterable((*found_ids, END) for found_ids in found), np.uint32, int(n.sum()))
-        yield ids, n
+        some = texts[k:to]
+        found: list[list[int]] = [[]] * len(some)
+        easy = [whole is not None and plain(x) for x in some]
+        for t, kind in ((whole, True), (tokenizer(name), False)):
+            if at := [i for i, e in enumerate(easy) if e == kind]:
+                for i, x in zip(at, t.encode_batch_fast([some[i] for i in at], add_special_tokens=False), strict=True):
+                    found[i] = x.ids
+        ids = array("I")  # takes a list several times as fast as numpy does
+        for x in found:
+            ids.fromlist(x)
+            ids.append(END)
+        yield np.frombuffer(ids, np.uint32), np.array([len(x) + 1 for x in found], np.int64)
         k = to
 
 
