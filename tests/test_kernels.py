@@ -1,6 +1,8 @@
+from collections import Counter
 from difflib import SequenceMatcher
 from itertools import product
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -10,6 +12,7 @@ from variorum.kernels import diff as D
 from variorum.kernels import gestalt as S
 from variorum.kernels import greedy as G
 from variorum.kernels import post as P
+from variorum.kernels import ratios as R
 from variorum.kernels import text as T
 
 words = st.lists(st.text("abcā.", min_size=1, max_size=4), max_size=5)
@@ -148,3 +151,28 @@ def test_long_lines_are_aligned_in_seconds():
     assert [x for op in ops for x in range(op[1], op[2])] == list(range(len(a))) and [x for op in ops for x in range(op[3], op[4])] == list(range(len(b)))
     assert sum(len(c) for c, _ in groups) == len(a) and score > 600
 
+
+
+@settings(max_examples=60)
+@given(st.lists(st.text("abcā😀", max_size=9), min_size=1, max_size=6), st.lists(st.text("aābc", max_size=70), min_size=1, max_size=6))
+def test_ratios_in_step_are_those_one_by_one(few, many):
+    alphabet = R.Alphabet([*few, *many])
+    for x, y in ((few, many), (many, few)):
+        a, b = R.Strings(x, alphabet), R.Strings(y, alphabet)
+        i, j = (k.ravel() for k in np.indices((len(a.strings), len(b.strings))))
+        want = [SequenceMatcher(None, a.strings[p], b.strings[q]).ratio() for p, q in zip(i, j, strict=True)]
+        assert R.ratios(a, b, i, j).tolist() == want
+        some = R.ratios(a, b, i, j, 0.5)
+        assert all(s == w if w >= 0.5 else s <= w for s, w in zip(some, want, strict=True))
+        for lo, both in R.common(a, b):
+            for p, row in enumerate(both, lo):
+                assert row.tolist() == [sum((Counter(a.strings[p]) & Counter(s)).values()) for s in b.strings]
+
+
+def test_ratios_of_whole_words_of_bits():
+    x, y = ["a" * 64, "b" + "a" * 63, "a" * 63 + "b", "a" * 65], ["a" * 64, "a", "ba", "ab", ""]
+    alphabet = R.Alphabet(x + y)
+    a, b = R.Strings(x, alphabet), R.Strings(y, alphabet)
+    i, j = (k.ravel() for k in np.indices((len(x), len(y))))
+    assert R.ratios(a, b, i, j).tolist() == [SequenceMatcher(None, x[p], y[q]).ratio() for p, q in zip(i, j, strict=True)]
+    assert R.ratios(b, a, j, i).tolist() == [SequenceMatcher(None, y[q], x[p]).ratio() for p, q in zip(i, j, strict=True)]
