@@ -7,7 +7,7 @@ import random
 
 from variorum import queries as Q
 from variorum import queries_features as QF
-from variorum.kernels import align, greedy
+from variorum.kernels import align, book, greedy
 from variorum.sources import xml
 
 SF = "/root/testdata/sf0.001"
@@ -146,3 +146,11 @@ def test_aligners_compare_words_in_step():
     whole = [(list(range(100)), list(range(100)))]
     for f in (align.align, align.needleman, lambda a, b: align.pair_groups(whole, a, b)):
         assert calls(f, canon, our) < 3 * len(canon) * len(our)
+
+
+def test_moves_between_matches_are_judged_in_step():
+    """136 places were looked up for every match, one by one."""
+    r = random.Random(8)
+    canon, our = ([f"k{r.randint(0, 9)}" for _ in range(400)] for _ in range(2))
+    rows = book.matching(canon, our)
+    assert calls(book.chain, rows, (0, rows[0][0]), True, None) < 3 * sum(map(len, rows))

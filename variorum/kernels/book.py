@@ -5,9 +5,14 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Sequence
 
+import numpy as np
+
 from .greedy import _skeleton, edit_distance
 
 SKIP, BUDGET = 10, 15  # words passed in one move, and between two matches, of both sides together
+_BEFORE, _BESIDE = np.array([(d, e) for d in range(BUDGET + 1) for e in range(BUDGET + 1 - d)]).T  # words passed on either side, fewest first
+_COST = -(-_BEFORE // SKIP) - (-_BESIDE // SKIP)  # the moves that this takes
+_MATCH, _NONE, _AT_ONCE = 1 << 32, -(1 << 62), 2048
 
 
 def _cut(word: str) -> set[str]:
@@ -84,43 +89,62 @@ def chain(rows: list[list[int]], start: tuple[int, int], forced: bool, end: tupl
     ``end``, the chain ends where it is best.
     """
     s, t = start
-    value: dict[int, dict[int, tuple[int, int]]] = {}
-    prior: dict[tuple[int, int], tuple[int, int]] = {}
-    if forced:
-        value[s] = {t: (1, -1)}
-    else:  # as if the words before had matched
-        value[s - 1] = {t - 1: (0, 0)}
-    best, top = (s, t) if forced else None, (1, -1) if forced else (0, 0)
-    moves = [-(-k // SKIP) for k in range(BUDGET + 1)]
+    keep = BUDGET + 2  # the last rows of values, by our words from ``t`` on; as one number each: matches, less the moves
+    width = max((r[-1] for r in rows if r), default=t) - t + keep + 1
+    ring = np.full((keep, width), _NONE)
+    held: list[np.ndarray] = [np.zeros(0, np.int64)] * keep  # where a row of the ring is filled
+    prior: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    best, top = ((s, t), _MATCH - 1) if forced else (None, 0)
+    # as if the words before had matched, if the start itself need not
+    ring[(s - 1 + forced) % keep, keep - 1 + forced] = top
+    held[(s - 1 + forced) % keep] = np.array([keep - 1 + forced])
+    reach, filled, read = t - 1 + forced, s - 1 + forced, {}
     for c in range(s + forced, (end[0] if end else len(rows) - 1) + 1):
-        row: dict[int, tuple[int, int]] = {}
-        back = [(d, value[c - d - 1]) for d in range(BUDGET + 1) if c - d - 1 in value]
-        if not back and c > s + BUDGET:
-            break  # nothing is near enough to go on from
-        for o in rows[c]:
-            if o < t + forced or (end and o > end[1]):
-                continue
-            mine, came = None, (0, 0)
-            for d, old in back:
-                for e in range(BUDGET + 1 - d):
-                    v = old.get(o - e - 1)
-                    if v is not None:
-                        new = (v[0] + 1, v[1] - 1 - moves[d] - moves[e])
-                        if mine is None or new > mine:
-                            mine, came = new, (c - d - 1, o - e - 1)
-            if mine is not None:
-                row[o], prior[c, o] = mine, came
-                if mine > top:
-                    best, top = (c, o), mine
-        if row:
-            value[c] = row
-        value.pop(c - BUDGET - 1, None)
-    arrived = end is not None and end in prior
+        ring[c % keep, held[c % keep]] = _NONE
+        held[c % keep] = held[0][:0]
+        if filled < c - BUDGET - 1:
+            if c > s + BUDGET:
+                break  # nothing is near enough to go on from
+            continue
+        places = read.get(id(rows[c]))
+        if places is None:
+            places = read[id(rows[c])] = np.array(rows[c], np.int64)
+        # no farther than one can move from what is reached
+        places = places[places.searchsorted(t + forced) : places.searchsorted(min(reach + BUDGET + 1, end[1] if end else reach + BUDGET + 1), "right")]
+        if not len(places):
+            continue
+        back = (c - 1 - _BEFORE) % keep * width - t + keep - 1 - _BESIDE
+        new, came = np.empty(len(places), np.int64), np.empty(len(places), np.int64)
+        for k in range(0, len(places), _AT_ONCE):
+            values = ring.take(places[k : k + _AT_ONCE, None] + back)
+            values -= _COST
+            came[k : k + _AT_ONCE] = values.argmax(axis=1)
+            new[k : k + _AT_ONCE] = values[np.arange(len(values)), came[k : k + _AT_ONCE]]
+        found = new > _NONE // 2
+        if not found.any():
+            continue
+        places, new, came = places[found], new[found] + _MATCH - 1, came[found]
+        held[c % keep] = places - t + keep
+        ring[c % keep, held[c % keep]] = new
+        prior[c] = places, came
+        reach, filled = max(reach, int(places[-1])), c
+        first = int(new.argmax())
+        if new[first] > top:
+            best, top = (c, int(places[first])), int(new[first])
+
+    def before(at: tuple[int, int]) -> tuple[int, int] | None:
+        places, came = prior.get(at[0], (held[0][:0], held[0][:0]))
+        k = int(places.searchsorted(at[1]))
+        if k == len(places) or places[k] != at[1]:
+            return None
+        return at[0] - 1 - int(_BEFORE[came[k]]), at[1] - 1 - int(_BESIDE[came[k]])
+
+    arrived = end is not None and before(end) is not None
     at, out = end if arrived else best, []
     while at is not None:
         if at[0] >= s and at[1] >= t:
             out.append(at)
-        at = prior.get(at)
+        at = before(at)
     return out[::-1], arrived
 
 
